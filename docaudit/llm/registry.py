@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "mixing", "packing", "quality_rules", "language_id"]
+MODULES = ["exact_dedup", "mixing", "packing", "quality_rules", "language_id", "secret_scan", "toxicity"]
 
 
 def queries() -> dict:
