@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +60,50 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 def texts(t: pa.Table, name: str = "text") -> list[str]:
     """A text column; null counts as empty."""
     return [x or "" for x in t[name].to_pylist()]
+
+
+#: Bits of the filter that spares rows a shuffle; more ids only make it pass more rows on to the exact join.
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A fixed-size bitmap of hashed ids, as a broadcast."""
+    bit = F.xxhash64(column).bitwiseAND(FILTER_BITS - 1)
+    words = ids.select(F.shiftright(bit, 5).alias("word"), F.pmod(bit, F.lit(32)).alias("at")).groupBy("word").agg(
+        F.expr("bit_or(shiftleft(1L, cast(at as int)))").alias("bits")
+    )
+    got = words.toArrow()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return ids.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+
+
+def split_by(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be in ``ids``, and rows whose id is surely not."""
+    found = id_filter(ids, ids.columns[0])
+    schema = docs.schema
+    bit = "hashed id bit"
+
+    def part(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = found.value[b[bit].to_numpy()].astype(bool) == hit
+                yield b.filter(pa.array(kept)).select([i for i, n in enumerate(b.schema.names) if n != bit])
+
+        return run
+
+    marked = docs.withColumn(bit, F.xxhash64(F.col(id_col)).bitwiseAND(FILTER_BITS - 1))
+    return marked.mapInArrow(part(True), schema), marked.mapInArrow(part(False), schema)
+
+
+def only_in(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Left semi join on the id that shuffles hardly more than the rows that stay."""
+    key = ids.select(F.col(ids.columns[0]).alias(id_col))
+    return split_by(docs, key, id_col)[0].join(key, id_col, "left_semi")
+
+
+def not_in(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Left anti join on the id that shuffles hardly more than the rows that go."""
+    key = ids.select(F.col(ids.columns[0]).alias(id_col))
+    maybe, surely_not = split_by(docs, key, id_col)
+    return surely_not.unionByName(maybe.join(key, id_col, "left_anti"))

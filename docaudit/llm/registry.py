@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "mixing", "packing", "quality_rules", "language_id", "secret_scan", "toxicity"]
+MODULES = ["exact_dedup", "mixing", "packing", "quality_rules", "language_id", "secret_scan", "toxicity", "ngram_join", "html_extract", "lm_score"]
 
 
 def queries() -> dict:
