@@ -39,8 +39,8 @@ class Shape:
     word_buckets: int = 1 << 14
     gram_buckets: int = 1 << 15
     grams: tuple[int, ...] = (3, 4, 5)
-    sample: int = 6000
-    sample_chars: int = 6000
+    sample: int = 4000
+    sample_chars: int = 4000
     steps: int = 400
     batch: int = 96
     picks: int = 8
@@ -74,7 +74,7 @@ def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np
         owners.append(owner[: len(h)][inside])
     grams, owners = np.concatenate(parts), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    grams, count = grams[order].astype(np.int64), np.bincount(owners, minlength=len(words))
+    grams, count = grams[order].astype(np.int32), np.bincount(owners, minlength=len(words))
     # A word's own hash: over all its codes by a running sum of position-weighted codes.
     weight = (np.arange(len(codes), dtype=np.uint32) - np.repeat(begin, size).astype(np.uint32)) * np.uint32(0x9E3779B1) + np.uint32(1)
     mixed = (codes * weight) ^ ((codes * weight) >> np.uint32(16))
@@ -111,6 +111,11 @@ class Net:
     def project(self, e: np.ndarray) -> np.ndarray:
         return e @ self.w["wx"] + self.w["b"]
 
+    def project_words(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
+        """Projected inputs of words, a bounded number at a time."""
+        parts = [self.project(self.embed(words[i : i + at_once])[0]) for i in range(0, len(words), at_once)]
+        return np.concatenate(parts) if parts else np.zeros((0, 6 * self.shape.hidden), np.float32)
+
     def forward(self, x: np.ndarray, length: np.ndarray, keep: bool = False):
         """x: projected inputs (steps, windows, 6 hidden), zero beyond a window's length."""
         steps, n, _ = x.shape
@@ -206,13 +211,13 @@ def train(doc_texts: list[str], toxic: np.ndarray, shape: Shape) -> Net:
     """Fit on documents with labels; each document counts through its highest-scored window."""
     net = Net(shape)
     net.base = float((toxic.sum() + 0.1) / (len(toxic) + 1))
-    tokens = [TOKEN.findall(t.lower()) for t in doc_texts]
-    some = [i for i, w in enumerate(tokens) if w]
+    number: dict[str, int] = {}
+    tokens = [np.fromiter((number.setdefault(w, len(number)) for w in TOKEN.findall(t.lower())), np.int32) for t in doc_texts]
+    some = [i for i, w in enumerate(tokens) if len(w)]
     y = toxic[some].astype(np.float32)
     if not len(y) or y.min() == y.max():
         return net
-    number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for i in some for w in tokens[i]])
+    ids = np.concatenate([tokens[i] for i in some])
     n = np.array([len(tokens[i]) for i in some])
     net.w["bias"][0] = np.log(net.base / (1 - net.base))
     doc, start, length = windows(n, shape)
@@ -220,23 +225,25 @@ def train(doc_texts: list[str], toxic: np.ndarray, shape: Shape) -> Net:
     word, grams, first = features(vocabulary, shape)
     n_grams = np.diff(np.append(first, len(grams)))
     root = np.sqrt(n_grams).astype(np.float32)
-    # Unique (document, bucket) pairs, for the tables' first column: the smoothed log-odds of a bucket.
-    pairs = {}
-    seen = np.unique(np.repeat(np.arange(len(n)), n) * len(number) + ids)
-    in_doc, in_word = seen // len(number), seen % len(number)
-    pairs["word"] = np.unique(in_doc * shape.word_buckets + word[in_word])
-    many = n_grams[in_word]
-    at = np.repeat(first[in_word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    pairs["gram"] = np.unique(np.repeat(in_doc, many) * shape.gram_buckets + grams[at])
-    # The odds come from one half of the documents while the network learns from the other half how
-    # far to trust them; buckets that few documents have stay blank.
+    # The tables' first column is the smoothed log-odds of a bucket. The odds come from one half of the
+    # documents while the network learns from the other half how far to trust them; buckets that few
+    # documents have stay blank.
     half = np.random.default_rng(shape.seed + 1).permutation(len(n)) % 2 == 0
     if y[half].min() == y[half].max() or y[~half].min() == y[~half].max():
         half = np.ones(len(n), bool)
-    alive = {k: np.bincount(pairs[k] % len(net.w[k]), minlength=len(net.w[k]))[:, None] >= shape.min_docs for k in pairs}
-    for k in pairs:
+    spread = {k: np.zeros((2, 2, len(net.w[k]))) for k in ("word", "gram")}  # documents by half, label and bucket
+    at = 0
+    for i, size in enumerate(n):
+        own = np.unique(ids[at : at + size])
+        many = n_grams[own]
+        span = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        spread["word"][int(half[i]), int(y[i]), np.unique(word[own])] += 1
+        spread["gram"][int(half[i]), int(y[i]), np.unique(grams[span])] += 1
+        at += size
+    alive = {k: spread[k].sum((0, 1))[:, None] >= shape.min_docs for k in spread}
+    for k in spread:
         net.w[k] *= alive[k]
-        net.w[k][:, 0] = log_odds(pairs[k], y, half, len(net.w[k]))
+        net.w[k][:, 0] = log_odds(*spread[k][1], p=float(y[half].mean()))
     learners = np.flatnonzero(~half) if not half.all() else np.arange(len(n))
     rng, adam = np.random.default_rng(shape.seed), Adam(net.w, 0.01, ("word", "gram"))
     of_doc = np.searchsorted(doc, np.arange(len(n) + 1))
@@ -244,8 +251,7 @@ def train(doc_texts: list[str], toxic: np.ndarray, shape: Shape) -> Net:
         if phase < 2:  # any window may stand for its document until the network tells windows apart
             pick = None
         else:
-            e, _ = net.embed(vocabulary)
-            order = np.lexsort((-score_windows(net, net.project(e), ids, start, length), doc))
+            order = np.lexsort((-score_windows(net, net.project_words(vocabulary), ids, start, length), doc))
             pick = order[of_doc[:-1]]
         for _ in range(shape.steps // shape.picks):
             at = rng.choice(learners, min(len(learners), shape.batch), replace=False)
@@ -273,20 +279,14 @@ def train(doc_texts: list[str], toxic: np.ndarray, shape: Shape) -> Net:
                 grads[k] *= a
                 grads[k][:, 0] = 0
             adam.step(grads)
-    for k in pairs:
-        net.w[k][:, 0] = log_odds(pairs[k], y, np.ones(len(n), bool), len(net.w[k]))
+    for k in spread:
+        net.w[k][:, 0] = log_odds(*spread[k].sum(0), p=float(y.mean()))
     return net
 
 
-def log_odds(pairs: np.ndarray, y: np.ndarray, docs: np.ndarray, buckets: int, prior: float = 4.0) -> np.ndarray:
-    """Log-odds of label 1 among the documents that have a bucket, against all, shrunk by ``prior`` documents."""
-    doc, bucket = pairs // buckets, pairs % buckets
-    use = docs[doc]
-    n = np.bincount(bucket[use], minlength=buckets)
-    k = np.bincount(bucket[use], y[doc[use]], buckets)
-    p = y[docs].mean()
-    rate = (k + prior * p) / (n + prior)
-    rate = np.clip(rate, 1e-4, 1 - 1e-4)
+def log_odds(no: np.ndarray, yes: np.ndarray, p: float, prior: float = 4.0) -> np.ndarray:
+    """Log-odds of label 1 among the documents that have a bucket, against rate p, shrunk by ``prior`` documents."""
+    rate = np.clip((yes + prior * p) / (no + yes + prior), 1e-4, 1 - 1e-4)
     return (np.clip(np.log(rate / (1 - rate)) - np.log(p / (1 - p)), -3, 6) / 2).astype(np.float32)
 
 
@@ -317,8 +317,7 @@ class Scorer:
         ids = np.fromiter((number.setdefault(w, len(number)) for ws in tokens for w in ws), np.int64, int(n.sum()))
         if len(number) > known:
             fresh = list(number)[known:]
-            rows = [self.net.project(self.net.embed(fresh[i : i + 20_000])[0]) for i in range(0, len(fresh), 20_000)]
-            self.rows = np.concatenate([self.rows, *rows])
+            self.rows = np.concatenate([self.rows, self.net.project_words(fresh)])
         out = np.full(len(doc_texts), self.net.base)
         doc, start, length = windows(n, self.net.shape)
         if len(doc):
