@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 from collections.abc import Iterator
 
@@ -107,3 +108,20 @@ def not_in(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     key = ids.select(F.col(ids.columns[0]).alias(id_col))
     maybe, surely_not = split_by(docs, key, id_col)
     return surely_not.unionByName(maybe.join(key, id_col, "left_anti"))
+
+
+def fitted_in_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:
+    """Arrays that ``fit`` makes of the rows of ``sample``, a pa.Table; it runs in one task, so the driver holds the result alone.
+
+    ``sample`` must be bounded by the caller.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        out = io.BytesIO()
+        np.savez(out, **fit(pa.Table.from_batches(got) if got else None))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["arrays"])
+
+    data = bytes(sample.coalesce(1).mapInArrow(run, "arrays binary").first()[0])
+    with np.load(io.BytesIO(data)) as arrays:
+        return {k: arrays[k] for k in arrays.files}

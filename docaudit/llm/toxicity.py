@@ -4,7 +4,7 @@ A word's input is the embedding of its hash plus those of its character n-grams.
 read a window of words in both directions, attention pools their states, and a logistic
 unit gives the window's score. All overlapping windows of a text are scored and the
 largest score is the document's, both in training and in use. The network is trained in
-numpy on the driver, on a bounded sample of labelled rows; scoring reads every row.
+numpy in one task, on a bounded sample of labelled rows; scoring reads every row.
 
 Defined results: a null text or one without words gets the learned base rate as score;
 without labelled rows of both kinds every score is the (smoothed) base rate; an empty table gives no
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, remainder, table, texts
+from .common import chunks, fitted_in_task, remainder, table, texts
 
 TOKEN = re.compile(r"\w+")
 CUTOFF = 0.3
@@ -39,8 +39,8 @@ class Shape:
     word_buckets: int = 1 << 14
     gram_buckets: int = 1 << 15
     grams: tuple[int, ...] = (3, 4, 5)
-    sample: int = 4000
-    sample_chars: int = 4000
+    sample: int = 6000
+    sample_chars: int = 6000
     steps: int = 400
     batch: int = 96
     picks: int = 8
@@ -332,8 +332,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, shape.sample_chars))
     rows = rows.join(marks, F.col("doc_id") == F.col("label_id"))
-    got = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(shape.sample).toArrow().sort_by("h")
-    return train(texts(got), got["toxic"].to_numpy(), shape)
+    sample = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(shape.sample)
+
+    def learn(t: pa.Table | None) -> dict:
+        if t is None:
+            net = Net(shape)
+        else:
+            t = t.sort_by([("h", "ascending"), ("text", "ascending")])
+            net = train(texts(t), t["toxic"].to_numpy(), shape)
+        return {**net.w, "base": np.array(net.base)}
+
+    net = Net(shape)
+    net.w = fitted_in_task(sample, learn)
+    net.base = float(net.w.pop("base"))
+    return net
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
