@@ -25,13 +25,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     introduce single nodes; edges with a null end are ignored; no edges give no rows.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    both = cut(e.union(e.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    both = cut(e.select(F.explode(ends).alias("e")).select("e.*").distinct())  # both directions, and every node with itself
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    labels = cut(labels)
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        found = cut(best.join(jump, best.label == jump.via).select("node", "old", F.least("label", "far").alias("label")))
-        labels = found.select("node", "label")
+        found = cut(near.join(jump, near.near == jump.via).select(F.col("a").alias("node"), "old", F.least("near", "far").alias("label")))
         if found.filter("label < old").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+            return found.select("node", F.col("label").alias("component"))
+        labels = found.select("node", "label")
