@@ -397,28 +397,33 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
     rows = rows.join(sets, ["doc_id", "d"]).select("block", "splits", "split", "d", "shingles")
     rows = cut(rows)
-    found = connected_components(join_groups(rows, ["block", "split"], join))
+    # Every class is in one group, so its root there is its component so far.
+    found = cut(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
     large = rows.filter("splits > 1")
     if large.isEmpty():
         return found
-    # One set of each component, then all pairs of splits where that leaves several components.
-    edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    label = F.col("component").alias("label")
+    # One set of each component, grouped again per block.
     heads = large.join(found.filter("node = component").select(F.col("node").alias("d")), "d", "left_semi")
     count = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).alias("parts"))
-    heads = heads.join(count, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("parts")))
-    found = connected_components(edges.union(join_groups(heads.select("block", "split", "d", "shingles"), ["block", "split"], join)))
-    large = large.join(found.select(F.col("node").alias("d"), label), "d")
+    heads = heads.join(count, "block").withColumn("split", F.pmod(F.xxhash64("d", F.lit(1)), F.col("parts")))
+    merged = join_groups(heads.select("block", "split", "d", "shingles"), ["block", "split"], join)
+    merged = merged.select(F.col("src").alias("component"), F.col("dst").alias("head"))
+    found = cut(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
+    # All pairs of splits, where a block has several components left.
+    large = large.join(found.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     open_ = large.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
     large = cut(large.join(open_, "block", "left_semi"))
     if large.isEmpty():
         return found
     splits = large.select("block", "split").distinct()
     pairs = splits.select("block", F.col("split").alias("a")).join(splits.select("block", F.col("split").alias("b")), "block").filter("a < b")
-    across = [pairs.join(large.withColumnRenamed("split", name), ["block", name]).withColumn("side", F.lit(s)) for s, name in enumerate("ab")]
-    rows = across[0].select("block", "a", "b", "d", "shingles", "side", "label").union(across[1].select("block", "a", "b", "d", "shingles", "side", "label"))
-    edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    return connected_components(edges.union(join_groups(rows, ["block", "a", "b"], join)))
+    columns = ["block", "a", "b", "d", "shingles", "side", "label"]
+    across = [pairs.join(large.withColumnRenamed("split", name), ["block", name]).withColumn("side", F.lit(s)).select(columns) for s, name in enumerate("ab")]
+    label_of = found.select(F.col("node").alias("d"), F.col("component").alias("label"))
+    links = join_groups(across[0].union(across[1]), ["block", "a", "b"], join).filter("src <> dst")
+    links = links.join(label_of.withColumnsRenamed({"d": "src", "label": "from"}), "src").join(label_of.withColumnsRenamed({"d": "dst", "label": "to"}), "dst")
+    merged = connected_components(links.filter("from <> to").select("from", "to").distinct(), "from", "to").withColumnsRenamed({"node": "component", "component": "head"})
+    return found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
