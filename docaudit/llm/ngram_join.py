@@ -422,7 +422,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     label_of = found.select(F.col("node").alias("d"), F.col("component").alias("label"))
     links = join_groups(across[0].union(across[1]), ["block", "a", "b"], join).filter("src <> dst")
     links = links.join(label_of.withColumnsRenamed({"d": "src", "label": "from"}), "src").join(label_of.withColumnsRenamed({"d": "dst", "label": "to"}), "dst")
-    merged = connected_components(links.filter("from <> to").select("from", "to").distinct(), "from", "to").withColumnsRenamed({"node": "component", "component": "head"})
+    merged = connected_components(links.filter("from <> to").select("from", "to").distinct(), "from", "to").select(F.col("node").alias("component"), F.col("component").alias("head"))
     return found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component"))
 
 
