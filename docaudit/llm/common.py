@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 from collections.abc import Iterator
@@ -33,9 +34,16 @@ def shared_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy."""
+    """Write ``df`` to the shared checkpoint folder and go on from the copy.
+
+    What led to it is no longer needed, but Spark's cleaner removes shuffle files, broadcasts and
+    earlier checkpoints only once the driver has collected its garbage; that is asked for here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    copy = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return copy
 
 
 def remainder(doc_id, modulus: int):
