@@ -1,9 +1,117 @@
 """Every query of the library and the SQL it is checked against."""
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .fixtures import view, with_views
+from .functions import text as T
+from .operators import album, logs, nets, odd, rules_cross, rules_single
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, a, t = (view(spark, sf_dir, n) for n in ("spec_items", "assembly_elements", "scheme_tags"))
+    ordered = rules_cross.spec_not_on_assembly(s, a, t).select("bundle", F.col("key").alias("designator"), F.lit("MISSING_ON_DRAWING").alias("kind"), "severity")
+    drawn = rules_cross.designator_not_in_spec(s, a, t).select("bundle", F.col("key").alias("designator"), F.lit("MISSING_IN_SPEC").alias("kind"), F.lit("high").alias("severity"))
+    return ordered.unionByName(drawn).withColumn("rank", T.severity_rank(F.col("severity"))).orderBy("rank", "bundle", "designator")
+
+
+def over(f, *names):
+    return lambda spark, sf_dir: f(*(view(spark, sf_dir, n) for n in names))
+
+
+def raw(name: str, f):
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def marks_dropped(marks: DataFrame) -> DataFrame:
+    return odd.drop_repeated(odd.odd_ones_out(marks))
+
+
+def links(refs: DataFrame) -> DataFrame:
+    return rules_single.broken_sheet_link(refs, refs.select("document").distinct().withColumn("total", F.lit(40)))
+
+
+def text_keys(part: DataFrame) -> DataFrame:
+    c = F.col("p_type")
+    return part.select("p_partkey", T.fold(c).alias("folded"), T.fold_designator(F.concat(F.lit("xa0"), F.col("p_partkey").cast("string"))).alias("designator"), F.size(T.text_tokens(F.col("p_name"))).cast("long").alias("n_tokens"), T.to_number(F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))).alias("price"), T.approx_tokens(c).alias("tokens"), T.clip_text(c, 5).alias("clipped"), T.norm_title(c).alias("title"))
+
+
+s, a, t = "spec_items", "assembly_elements", "scheme_tags"
+QUERIES = {
+    "r1_dup_terminal_address": over(rules_single.dup_terminal_address, "connections"),
+    "r2_tag_in_conductor": over(rules_single.tag_in_conductor, "connections"),
+    "r3_kks_suffix_artifact": over(rules_single.kks_suffix_artifact, "connections"),
+    "r4_missing_terminal": over(rules_single.missing_terminal, "connections"),
+    "r5_reserve_tag_placement": over(rules_single.reserve_tag_placement, "connections"),
+    "r9_qty_below_positions": over(rules_single.qty_below_positions, s),
+    "r10_dup_code": over(rules_single.dup_code, s),
+    "r11_missing_from_peer_sheet": over(rules_single.missing_from_peer_sheet, a),
+    "r12_broken_sheet_link": over(links, "cross_refs"),
+    "r13_one_way_sheet_link": over(rules_single.one_way_sheet_link, "cross_refs"),
+    "r16_column_population": over(rules_single.column_population, "connections"),
+    "r17_spec_stats": over(rules_single.spec_stats, s),
+    "r18_assembly_stats": over(rules_single.assembly_stats, a),
+    "x4_mass_captions": over(lambda e: rules_cross.mass_captions(e, "label_text"), a),
+    "x6_spec_not_on_assembly": over(rules_cross.spec_not_on_assembly, s, a, t),
+    "x7_article_not_in_spec": over(rules_cross.article_not_in_spec, s, a),
+    "x8_designator_not_in_spec": over(rules_cross.designator_not_in_spec, s, a, t),
+    "x9_article_mismatch": over(rules_cross.article_mismatch, s, a, t),
+    "alb3_split_parts": over(album.split_parts, "sheet_titles"),
+    "odd2_odd_ones_out": over(odd.odd_ones_out, "marks"),
+    "odd3_drop_repeated": over(marks_dropped, "marks"),
+    "net2_drop_hairlines": over(nets.drop_hairlines, "segments"),
+    "net3_dense_sheets": over(lambda g: nets.dense_sheets(g, 5), "segments"),
+    "net4_endpoint_edges": over(nets.endpoint_edges, "segments"),
+    "net7_connected_components": over(nets.nets, "segments"),
+    "log1_agent_transcript": raw("conversations", logs.agent_transcript),
+    "log3_split_reasoning": raw("conversations", logs.split_reasoning),
+    "txt_keys": raw("part", text_keys),
+}
+ADDRESS = "select *, cabinet || '.' || terminal_block || '.' || pin as terminal_address from connections"
+BLOCK = "select *, upper(designator) as key from assembly_elements where pair_source = 'block'"
+ODD = """n as (select document, sheet, comp, cast(text as integer) as v, count(*) as n from marks group by all),
+ o as (select a.document, a.sheet, a.comp, a.v as major, b.v as odd from n a join n b using (document, sheet, comp) where a.n >= 3 and b.n = 1 and abs(a.v - b.v) = 1
+ and not exists (select 1 from n m where m.document = a.document and m.sheet = a.sheet and m.comp = a.comp and m.n = 1 and m.v = 2 * a.v - b.v))"""
+SQL = {
+    "r1_dup_terminal_address": f"select document, terminal_address, count(*) as n, min(id) as first_id, list_sort(list(id))[2] as second_id, case when arg_min(pin, id) = 'PE' then 'medium' else 'high' end as severity from ({ADDRESS}) where terminal_address is not null group by document, terminal_address having count(*) >= 2",
+    "r2_tag_in_conductor": "select document, id, kks from connections where kks = conductor and kks <> ''",
+    "r3_kks_suffix_artifact": r"select document, id, regexp_extract(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$', 1) as tag, regexp_extract(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$', 2) as tail from connections where regexp_matches(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$')",
+    "r4_missing_terminal": "select document, id, kks from connections where kks <> 'Резерв' and kks <> '' and (terminal_block is null or pin is null)",
+    "r5_reserve_tag_placement": "select document, count(*) as n, array_to_string(list_sort(list(id))[1:15], ',') as ids from connections where kks = 'Резерв' and conductor <> '' group by document",
+    "r9_qty_below_positions": "select document, row_no, quantity, n_positions from spec_items where quantity > 1 and n_positions >= 2 and quantity < n_positions",
+    "r10_dup_code": "select document, code, count(*) as n, min(row_no) as first_id, list_sort(list(row_no))[2] as second_id from spec_items group by document, code having count(*) >= 2",
+    "r11_missing_from_peer_sheet": "select * from (select x.document, x.sheet, y.sheet as peer, unnest(list_filter(x.d, lambda v: not list_contains(y.d, v))) as designator from (select document, sheet, list(distinct designator) as d from assembly_elements group by all) x join (select document, sheet, list(distinct designator) as d from assembly_elements group by all) y on x.document = y.document and x.sheet <> y.sheet where len(list_intersect(x.d, y.d)) >= 8 and len(x.d) - len(list_intersect(x.d, y.d)) between 1 and 3 and len(list_intersect(x.d, y.d)) >= 0.9 * len(x.d))",
+    "r12_broken_sheet_link": "select * from cross_refs where target_sheet < 1 or target_sheet > 40",
+    "r13_one_way_sheet_link": "select a.* from cross_refs a where from_sheet <> target_sheet and not exists (select 1 from cross_refs b where b.document = a.document and b.from_sheet = a.target_sheet and b.target_sheet = a.from_sheet)",
+    "r16_column_population": "select document, count(*) as n, count(*) filter (terminal_block <> '') as n_terminal_block, count(*) filter (pin <> '') as n_pin, count(*) filter (kks <> '') as n_kks, count(*) filter (conductor <> '') as n_conductor, count(*) filter (kks = 'Резерв') as n_reserve, count(distinct terminal_block) as blocks, max(page) as pages from connections group by document",
+    "r17_spec_stats": "select document, count(*) as n, count(distinct designator) as designators, count(distinct code) as codes, count(*) filter (coalesce(code, '') = '') as without_code from spec_items group by document",
+    "r18_assembly_stats": "select document, designator, count(*) as n, count(distinct sheet) as sheets, count(distinct article) as articles, count(*) filter (pair_source = 'block') as in_block from assembly_elements group by all",
+    "x4_mass_captions": "select bundle, label_text, count(distinct designator) as n from assembly_elements where pair_source = 'block' group by all having count(distinct designator) >= 25",
+    "x6_spec_not_on_assembly": "select bundle, designator as key, arg_min(document, row_no) as document, min(row_no) as row_no, case when exists (select 1 from scheme_tags g where g.bundle = s.bundle and g.designator = s.designator) then 'low' else 'medium' end as severity from spec_items s where not exists (select 1 from assembly_elements e where e.bundle = s.bundle and e.designator = s.designator) group by bundle, designator",
+    "x7_article_not_in_spec": "select bundle, article as art, count(distinct designator) as designators from assembly_elements e where pair_source = 'block' and not exists (select 1 from spec_items s where s.bundle = e.bundle and s.code = e.article) group by bundle, article having not bool_and(exists (select 1 from spec_items s where s.bundle = e.bundle and s.designator = e.designator))",
+    "x8_designator_not_in_spec": "select distinct e.bundle, e.designator as key from assembly_elements e join scheme_tags g using (bundle, designator) where not exists (select 1 from spec_items s where s.bundle = e.bundle and s.designator = e.designator)",
+    "x9_article_mismatch": f"select bundle, key, x.article, z.code, z.row_no, case when contains(coalesce(z.note, ''), x.article) then 'low' when exists (select 1 from scheme_tags g where g.bundle = x.bundle and g.designator = x.key) then 'high' else 'medium' end as severity, case when contains(coalesce(z.note, ''), x.article) then 'REVIEW' else 'MISMATCH' end as kind from (select bundle, key, min(article) as article from ({BLOCK}) group by bundle, key having count(distinct article) = 1) x join (select bundle, designator as key, min(row_no) as row_no, arg_min(code, row_no) as code, max(note) as note from spec_items group by bundle, designator) z using (bundle, key) where x.article <> z.code",
+    "alb3_split_parts": "select album, part, any_value(name) as title, min(pos) as first_page, max(pos) as last_page, count(*) as pages from (select *, cast(sum(new) over (partition by album order by sheet) as bigint) as part from (select *, case when lag(name) over (partition by album order by sheet) = name then 0 else 1 end as new from (select *, last_value(nullif(title, '') ignore nulls) over (partition by album order by sheet) as name, row_number() over (partition by album order by sheet) as pos from sheet_titles) where name is not null)) group by album, part",
+    "odd2_odd_ones_out": ("select * from o", ODD),
+    "odd3_drop_repeated": ("select o.* from o where (select count(distinct sheet) from o p where p.document = o.document and p.major = o.major and p.odd = o.odd) < 3", ODD),
+    "net2_drop_hairlines": "select * exclude (stroked) from (select *, count(*) filter (width > 0) over (partition by document, sheet) as stroked from segments) where width > 0 or stroked < 20",
+    "net3_dense_sheets": "select document, sheet, count(*) as n from segments group by all having count(*) > 5",
+    "net4_endpoint_edges": "select distinct seg as src, min(seg) over (partition by document, sheet, gx, gy) as dst from (select distinct document, sheet, seg, cast(round_even(x / 0.15, 0) as bigint) as gx, cast(round_even(y / 0.15, 0) as bigint) as gy from (select document, sheet, seg, x1 as x, y1 as y from segments union all select document, sheet, seg, x2, y2 from segments))",
+    "log1_agent_transcript": "select conv_id, count(*) as n_kept, cast(sum(n) as bigint) as chars from (select conv_id, n, sum(n) over (partition by conv_id order by turn desc) as upto from (select conv_id, turn, length(role) + 2 + case when length(text) > 200 then 203 else length(text) end as n from conversations)) where upto <= 1000 group by conv_id",
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    out = {}
+    for k, q in SQL.items():
+        q, more = q if isinstance(q, tuple) else (q, "")
+        sql = with_views(q)
+        if more:
+            head = with_views("select 1 from marks")
+            sql = head[: head.rindex("select 1")].rstrip() + ", " + more + " " + q
+        out[k] = sql
+    return out
