@@ -130,6 +130,9 @@ def fitted_in_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:
         np.savez(out, **fit(pa.Table.from_batches(got) if got else None))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["arrays"])
 
-    data = bytes(sample.coalesce(1).mapInArrow(run, "arrays binary").first()[0])
+    row = sample.coalesce(1).mapInArrow(run, "arrays binary").first()
+    if row is None:  # an empty table may have no partition and so no task
+        return fit(None)
+    data = bytes(row[0])
     with np.load(io.BytesIO(data)) as arrays:
         return {k: arrays[k] for k in arrays.files}
