@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import chunks, cut, not_in, only_in, table, texts
 
-SUB_BLOCK = 1024
+SUB_BLOCK = 4096
 LEAF, FANOUT = 32, 8
 MAX_BITS = 1 << 16
 RUN_BITS = 10
