@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that are contracted together within a task.
+CHUNK_EDGES = 1 << 20
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder; sessions without one (tests) get a new folder."""
@@ -17,14 +23,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def contracted(e: DataFrame) -> DataFrame:
+    """Edges a, b that connect what those of ``e`` do: each node with the smallest one that it hangs together with in its part.
+
+    Parts are runs of CHUNK_EDGES edges of a partition.
+    """
+
+    def forest(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches)
+        kind, a, b = t.schema.field("a").type, t["a"].to_numpy(), t["b"].to_numpy()
+        nodes, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+        x, y = number[: len(a)], number[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[x], label[y])
+            open_ = label[x] != label[y]
+            if not open_.any():
+                break
+            x, y, low = x[open_], y[open_], low[open_]
+            np.minimum.at(label, label[x], low)
+            np.minimum.at(label, label[y], low)
+            while (label != label[label]).any():
+                label = label[label]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[label], kind)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_EDGES:
+                yield forest(held)
+                held, n = [], 0
+        if n:
+            yield forest(held)
+
+    return e.mapInArrow(run, e.schema)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (its smallest node) for every node of ``edges``.
 
-    Each round takes the smallest label among a node's neighbours, then the label of that
-    label, so chains shorten by half and more. Rounds end when no label changes. Self-edges
+    Partitions contract their own edges first, so that few rounds are left. Each round takes the
+    smallest label among a node's neighbours, then the label of that label, so chains shorten by
+    half and more. Rounds end when no label changes. Self-edges
     introduce single nodes; edges with a null end are ignored; no edges give no rows.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
+    e = contracted(e)
     ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
     both = cut(e.select(F.explode(ends).alias("e")).select("e.*").distinct())  # both directions, and every node with itself
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
