@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     return copy
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, for small results of many joins.
+
+    A checkpoint hands the constraints of its plan on to later plans, where they multiply with every
+    join and renaming until planning takes seconds and much of the driver's memory; a table has none.
+    """
+    shared_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))

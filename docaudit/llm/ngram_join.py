@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import chunks, cut, not_in, only_in, table, texts
+from .common import chunks, cut, not_in, only_in, table, texts, written
 
 SUB_BLOCK = 4096
 LEAF, FANOUT = 32, 8
@@ -391,14 +391,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """node, component over the digests of classes that link with another one. classes: d, rep."""
     blocks = connected_components(candidate_edges(signature_rows(docs, join)))
     blocks = blocks.select(F.col("node").alias("d"), F.col("component").alias("block"))
-    candidates = cut(classes.join(blocks, "d").select("d", "block", F.col("rep").alias("doc_id")))
+    candidates = written(classes.join(blocks, "d").select("d", "block", F.col("rep").alias("doc_id")))
     sets = shingle_sets(only_in(docs, candidates.select("doc_id"), "doc_id"), join)
     sizes = candidates.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).alias("splits"))
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
     rows = rows.join(sets, ["doc_id", "d"]).select("block", "splits", "split", "d", "shingles")
     rows = cut(rows)
     # Every class is in one group, so its root there is its component so far.
-    found = cut(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
+    found = written(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
     large = rows.filter("splits > 1")
     if large.isEmpty():
         return found
@@ -408,7 +408,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     heads = heads.join(count, "block").withColumn("split", F.pmod(F.xxhash64("d", F.lit(1)), F.col("parts")))
     merged = join_groups(heads.select("block", "split", "d", "shingles"), ["block", "split"], join)
     merged = merged.select(F.col("src").alias("component"), F.col("dst").alias("head"))
-    found = cut(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
+    found = written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
     # All pairs of splits, where a block has several components left.
     large = large.join(found.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     open_ = large.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
@@ -422,8 +422,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     label_of = found.select(F.col("node").alias("d"), F.col("component").alias("label"))
     links = join_groups(across[0].union(across[1]), ["block", "a", "b"], join).filter("src <> dst")
     links = links.join(label_of.withColumnsRenamed({"d": "src", "label": "from"}), "src").join(label_of.withColumnsRenamed({"d": "dst", "label": "to"}), "dst")
-    merged = connected_components(links.filter("from <> to").select("from", "to").distinct(), "from", "to").select(F.col("node").alias("component"), F.col("component").alias("head"))
-    return found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component"))
+    merged = connected_components(written(links.filter("from <> to").select("from", "to").distinct()), "from", "to").select(F.col("node").alias("component"), F.col("component").alias("head"))
+    return written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -432,7 +432,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = set_rows(docs, join).withColumn("row", F.monotonically_increasing_id())
     # Equal sets are gathered per run of rows first, so that a hot class is one row for each run.
     runs = cut(rows.groupBy("d", "n", F.shiftright("row", RUN_BITS).alias("run")).agg(F.collect_list(F.struct("doc_id")).alias("ids"), F.min("doc_id").alias("rep")))
-    classes = cut(runs.filter("n > 0").groupBy("d").agg(F.min("rep").alias("rep")))
+    classes = written(runs.filter("n > 0").groupBy("d").agg(F.min("rep").alias("rep")))
     links = link_classes(docs, classes, join)
     of_label = classes.join(links.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     smallest = of_label.groupBy("label").agg(F.min("rep").alias("component_id"))
