@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .operators import album, logs, nets, odd, rules_cross, rules_single
+from .operators import album, bundles, logs, nets, odd, report, rules_cross, rules_single, tables
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,76 @@ def text_keys(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", T.fold(c).alias("folded"), T.fold_designator(F.concat(F.lit("xa0"), F.col("p_partkey").cast("string"))).alias("designator"), F.size(T.text_tokens(F.col("p_name"))).cast("long").alias("n_tokens"), T.to_number(F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))).alias("price"), T.approx_tokens(c).alias("tokens"), T.clip_text(c, 5).alias("clipped"), T.norm_title(c).alias("title"))
 
 
+def documents(items: DataFrame, elements: DataFrame, tags: DataFrame) -> DataFrame:
+    """bundle, document, doc_type, n of the derived tables; bundle CAB3 has no specification of its own, CAB0 is the common one."""
+    kinds = ((items.filter("bundle <> 'CAB3'"), "spec"), (elements, "assembly"), (tags, "scheme"))
+    per = [d.groupBy("bundle", "document").agg(F.count(F.lit(1)).alias("n")).withColumn("doc_type", F.lit(k)) for d, k in kinds]
+    return per[0].unionByName(per[1]).unionByName(per[2])
+
+
+def paths(items: DataFrame) -> DataFrame:
+    return items.select(F.when(F.col("row_no") % 2 == 0, F.concat(F.lit("base_files/"), "bundle", F.lit("/"), "code")).otherwise(F.concat(F.lit("base_files/"), "code")).alias("path")).distinct()
+
+
+def assigned(items: DataFrame) -> DataFrame:
+    given = items.filter("row_no % 5 = 0").select(F.col("code").alias("name"), F.lit("forced").alias("bundle")).distinct()
+    return bundles.assign_bundles(paths(items), given)
+
+
+def lent(items: DataFrame, elements: DataFrame, tags: DataFrame) -> DataFrame:
+    return bundles.lend_common_specs(documents(items, elements, tags), "CAB0")
+
+
+def project_wide(items: DataFrame, elements: DataFrame, tags: DataFrame) -> DataFrame:
+    return bundles.pick_project_wide_spec(lent(items, elements, tags), items, elements, tags)
+
+
+def item_findings(items: DataFrame) -> DataFrame:
+    """A finding for every row with a replacement note (low) or a planted code (high)."""
+    kind, severity = (F.when(F.col("note").isNotNull(), x).otherwise(y) for x, y in (("REPLACED", "DUPLICATE"), ("low", "high")))
+    ref = F.struct("document", "designator", F.col("code").alias("article"))
+    return items.filter("note is not null or code like 'DUP%'").select(F.concat_ws("/", "document", F.lpad(F.col("row_no").cast("string"), 12, "0")).alias("finding_id"), kind.alias("kind"), severity.alias("severity"), F.array(ref).alias("refs"))
+
+
+def known_items(items: DataFrame) -> DataFrame:
+    """Known: replacements at every 26th row, whatever the document; planted codes of document SO-2; and places that do not exist."""
+    ref = lambda d, g, c: F.array(F.struct(d.alias("document"), g.alias("designator"), c.alias("article")))
+    no, doc, name = F.lit(None).cast("string"), F.col("document"), F.col("designator")
+    one = items.filter("row_no % 26 = 0").select(F.concat(F.lit("a"), "designator").alias("known_id"), F.lit("REPLACED").alias("kind"), ref(no, name, no).alias("refs")).distinct()
+    two = items.filter("document = 'SO-2'").select(F.lit("b").alias("known_id"), F.lit("DUPLICATE").alias("kind"), ref(doc, no, F.lit("")).alias("refs")).distinct()
+    three = items.select(F.concat(F.lit("c"), "document").alias("known_id"), no.alias("kind"), ref(doc, F.lit("none"), no).alias("refs")).distinct()
+    return one.unionByName(two).unionByName(three)
+
+
+def combined(items: DataFrame) -> DataFrame:
+    f = item_findings(items)
+    return report.combine(f.filter("kind = 'REPLACED'"), f.filter("finding_id not like 'SO-4%'")).select("finding_id", "signature")
+
+
+def sections(titles: DataFrame) -> DataFrame:
+    return tables.carry_section(titles, "album", "sheet", "title").select("album", "sheet", "section")
+
+
 s, a, t = "spec_items", "assembly_elements", "scheme_tags"
 QUERIES = {
+    "x1_positions": over(bundles.positions, s),
+    "x2_scheme_facts": over(bundles.scheme_facts, t),
+    "x3_merge_documents": over(bundles.merge_documents, a),
+    "cls5_assign_bundles": over(assigned, s),
+    "cls6_bundle_summary": over(lambda *d: bundles.bundle_summary(documents(*d)), s, a, t),
+    "cls8_pick_primary": over(lambda e: bundles.pick_primary(e.groupBy("bundle", F.concat("document", F.lit("/"), "sheet").alias("document")).agg(F.count(F.lit(1)).alias("n")).withColumn("doc_type", F.lit("assembly")), "n"), a),
+    "cls9_drop_empty": over(lambda d, e: bundles.drop_empty(d.select("document").distinct(), e.filter("note is not null").select("document")), s, s),
+    "cls10_lend_common_specs": over(lent, s, a, t),
+    "cls11_project_wide_spec": over(project_wide, s, a, t),
+    "rep2_signature": over(lambda d: item_findings(d).select("finding_id", report.signature().alias("signature")), s),
+    "rep3_combine": over(combined, s),
+    "rep4_suppress_known": over(lambda d: report.suppress_known(item_findings(d), known_items(d)).select("finding_id"), s),
+    "rep5_unused_known": over(lambda d: report.unused_known(item_findings(d), known_items(d)).select("known_id"), s),
+    "rep8_severity_sort": over(lambda d: report.severity_sort(item_findings(d)).select("finding_id", "severity"), s),
+    "rep9_report_counts": over(lambda d: report.report_counts(item_findings(d)), s),
+    "rep14_baseline_diff": over(lambda d: report.baseline_diff(item_findings(d.filter("row_no % 4 <> 0")), item_findings(d.filter("row_no % 3 <> 0"))), s),
+    "tab1_column_separators": over(tables.column_separators, "segments"),
+    "tab7_carry_section": over(sections, "sheet_titles"),
     "r1_dup_terminal_address": over(rules_single.dup_terminal_address, "connections"),
     "r2_tag_in_conductor": over(rules_single.tag_in_conductor, "connections"),
     "r3_kks_suffix_artifact": over(rules_single.kks_suffix_artifact, "connections"),
@@ -72,7 +140,32 @@ BLOCK = "select *, upper(designator) as key from assembly_elements where pair_so
 ODD = """n as (select document, sheet, comp, cast(text as integer) as v, count(*) as n from marks group by all),
  o as (select a.document, a.sheet, a.comp, a.v as major, b.v as odd from n a join n b using (document, sheet, comp) where a.n >= 3 and b.n = 1 and abs(a.v - b.v) = 1
  and not exists (select 1 from n m where m.document = a.document and m.sheet = a.sheet and m.comp = a.comp and m.n = 1 and m.v = 2 * a.v - b.v))"""
+DOCUMENTS = """(select bundle, document, 'spec' as doc_type from spec_items where bundle <> 'CAB3' group by all union all
+ select bundle, document, 'assembly' from assembly_elements group by all union all select bundle, document, 'scheme' from scheme_tags group by all)"""
+FOUND = """(select document || '/' || lpad(cast(row_no as varchar), 12, '0') as finding_id, case when note is null then 'DUPLICATE' else 'REPLACED' end as kind,
+ case when note is null then 'high' else 'low' end as severity, document, designator, code, row_no from spec_items where note is not null or code like 'DUP%')"""
+SIGNATURE = "kind || ';' || document || '|' || designator || '|' || code"
+LENT = f"""(select bundle, (select min(document) from {DOCUMENTS} where bundle = 'CAB0' and doc_type = 'spec') as document, true as project_wide from {DOCUMENTS}
+ group by bundle having bundle <> 'CAB0' and count(*) filter (doc_type = 'spec') = 0)"""
 SQL = {
+    "x1_positions": "select bundle, designator, min(row_no) as first_row, count(*) as n from spec_items group by all",
+    "x2_scheme_facts": "select bundle, designator, array_to_string(list_sort(list(distinct sheet)), ',') as sheets from scheme_tags group by all",
+    "x3_merge_documents": "select distinct bundle, designator, first_value(article) over (partition by bundle, designator order by document, sheet) as article, (select count(distinct article) from assembly_elements b where b.bundle = e.bundle and b.designator = e.designator) as articles from assembly_elements e",
+    "cls5_assign_bundles": "select path, case when name in (select code from spec_items where row_no % 5 = 0) then 'forced' when sub is not null then sub else 'project' end as bundle, case when name in (select code from spec_items where row_no % 5 = 0) then 'override' when sub is not null then 'folder' else 'default' end as bundle_source from (select distinct 'base_files/' || case when row_no % 2 = 0 then bundle || '/' else '' end || code as path, code as name, case when row_no % 2 = 0 then bundle end as sub from spec_items)",
+    "cls6_bundle_summary": f"select bundle, count(*) as n, array_to_string(list_sort(list(distinct doc_type)), ',') as types, count(distinct doc_type) >= 2 as cross_checkable from {DOCUMENTS} group by bundle",
+    "cls8_pick_primary": "select *, row_number() over (partition by bundle order by n desc, document) = 1 as main from (select bundle, document || '/' || sheet as document, count(*) as n, 'assembly' as doc_type from assembly_elements group by bundle, document, sheet)",
+    "cls9_drop_empty": "select document from spec_items group by document having count(note) > 0",
+    "cls10_lend_common_specs": f"select * from {LENT}",
+    "cls11_project_wide_spec": f"select n.bundle, n.document, count(distinct i.designator) as shared from {LENT} n join spec_items i using (document) where exists (select 1 from assembly_elements e where e.bundle = n.bundle and e.designator = i.designator) and exists (select 1 from scheme_tags g where g.bundle = n.bundle and g.designator = i.designator) group by n.bundle, n.document",
+    "rep2_signature": f"select finding_id, {SIGNATURE} as signature from {FOUND}",
+    "rep3_combine": f"select finding_id, {SIGNATURE} as signature from {FOUND} where kind = 'REPLACED' or finding_id not like 'SO-4%'",
+    "rep4_suppress_known": f"select finding_id from {FOUND} where not (kind = 'REPLACED' and row_no % 26 = 0) and not (kind = 'DUPLICATE' and document = 'SO-2')",
+    "rep5_unused_known": f"select distinct 'c' || document as known_id from spec_items union all select 'b' where exists (select 1 from spec_items where document = 'SO-2') and not exists (select 1 from {FOUND} where kind = 'DUPLICATE' and document = 'SO-2')",
+    "rep8_severity_sort": f"select finding_id, severity from {FOUND} order by case severity when 'high' then 1 else 3 end, finding_id",
+    "rep9_report_counts": f"select kind, severity, count(*) as n from {FOUND} group by all",
+    "rep14_baseline_diff": f"select {SIGNATURE} as signature, case when row_no % 3 = 0 then 'appeared' else 'vanished' end as change from {FOUND} where (row_no % 4 <> 0) <> (row_no % 3 <> 0)",
+    "tab1_column_separators": "select document, sheet, x from (select *, max(length) over (partition by document, sheet) as top from (select document, sheet, round(x1) as x, sum(abs(y2 - y1)) as length from segments where abs(x1 - x2) <= 1 and y1 <> y2 group by document, sheet, round(x1))) where length >= 0.5 * top",
+    "tab7_carry_section": "select album, sheet, last_value(nullif(title, '') ignore nulls) over (partition by album order by sheet rows between unbounded preceding and current row) as section from sheet_titles",
     "r1_dup_terminal_address": f"select document, terminal_address, count(*) as n, min(id) as first_id, list_sort(list(id))[2] as second_id, case when arg_min(pin, id) = 'PE' then 'medium' else 'high' end as severity from ({ADDRESS}) where terminal_address is not null group by document, terminal_address having count(*) >= 2",
     "r2_tag_in_conductor": "select document, id, kks from connections where kks = conductor and kks <> ''",
     "r3_kks_suffix_artifact": r"select document, id, regexp_extract(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$', 1) as tag, regexp_extract(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$', 2) as tail from connections where regexp_matches(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$')",
