@@ -136,9 +136,9 @@ class Automaton:
             todo += [(self.next[p][s], self.next[q][s]) for s in self.next[p].keys() & self.next[q].keys() if self.next[p][s] != self.next[q][s]]
         return True
 
-    def fold(self, red: int, blue: int) -> None:
-        """Add the tree under ``blue`` to ``red``."""
-        todo = [(red, blue)]
+    def fold(self, red: int, blue: int, settled: set[int]) -> list[tuple[int, str]]:
+        """Add the tree under ``blue`` to ``red``. Loops lead it through other red states too; returned is what any of them got as a new child."""
+        todo, new = [(red, blue)], []
         while todo:
             p, q = todo.pop()
             for s, n in self.count[q].items():
@@ -148,6 +148,9 @@ class Automaton:
                     todo.append((self.next[p][s], child))
                 else:
                     self.next[p][s] = child
+                    if p in settled:
+                        new.append((p, s))
+        return new
 
     def infer(self) -> None:
         red, queue = [0], [(0, s) for s in sorted(self.next[0])]
@@ -160,8 +163,7 @@ class Automaton:
             for r in red:
                 if self.compatible(r, blue):
                     self.next[p][s] = r
-                    self.fold(r, blue)
-                    queue += [(r, x) for x in sorted(self.next[r]) if self.next[r][x] not in settled and (r, x) not in queue]
+                    queue += sorted(self.fold(r, blue, settled))
                     break
             else:
                 red.append(blue)

@@ -1,5 +1,7 @@
 """The ten operators on small cases, against brute force."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -226,3 +228,13 @@ def test_toxicity(spark, docs, empty):
     score = toxicity.Scorer(net)([text(i % 2 == 0) for i in range(40)])
     assert ((score >= 0.3) == (np.arange(40) % 2 == 0)).mean() > 0.9
     assert toxicity.score(docs, net).count() == len(ROWS) and toxicity.score(empty, toxicity.fit(empty, labels(spark))).count() == 0
+
+
+def test_automata_are_closed_under_their_moves():
+    rng = random.Random(5)
+    for alpha in (0.5, 0.05, 1e-4):
+        words = ["".join(rng.choice("aA0-_"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 14))) for _ in range(600)]
+        made = secret_scan.Automaton(sorted(words), alpha)
+        assert all(t < len(made.states) for _, follow, _ in made.states for t in follow.values())
+        assert all(set(follow) == set(count) - {""} for count, follow, _ in made.states)
+        assert all(math.isfinite(made.score(w)) for w in words)
