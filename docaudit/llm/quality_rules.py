@@ -133,7 +133,9 @@ def levels() -> Column:
 
 
 def thresholds(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
-    """stratum, measure, strictest (number of the strictest admissible cutoff), n, k; at most MAX_STRATA strata.
+    """stratum, measure, strictest (least admissible level: documents of this level or more fail); at most MAX_STRATA strata.
+
+    A level counts the cutoffs that a document is above, so level 1 belongs to the strictest cutoff of the grid.
 
     Counts go over all labelled good documents that pass the base rule.
     """
@@ -147,18 +149,18 @@ def thresholds(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
     tests = max(1, strata) * sum(len(c) for _, c in MEASURES.values())
     deep = W.Window.partitionBy("stratum", "measure").orderBy(F.col("level").desc())
     every = W.Window.partitionBy("stratum", "measure")
-    # Rejected at cutoff number c are the documents above c cutoffs or more.
+    # Rejected at level c are the documents above c cutoffs or more: fewer, the higher c.
     grid = F.create_map(*[x for name, (_, c) in MEASURES.items() for x in (F.lit(name), F.lit(len(c)))])
     at = hist.select("stratum", "measure", "level", F.sum("docs").over(deep).alias("k"), F.sum("docs").over(every).alias("n"), F.lag("level").over(deep).alias("next"))
-    # Between two levels that occur, all cutoffs reject the same documents as the higher level.
+    # Levels above ``low`` up to ``high``, two that occur, reject the same documents.
     above = at.select("stratum", "measure", "n", "k", F.coalesce(F.lag("level").over(W.Window.partitionBy("stratum", "measure").orderBy("level")), F.lit(0)).alias("low"), F.col("level").alias("high")).filter("high > 0")
     none = at.groupBy("stratum", "measure").agg(F.max("n").alias("n"), F.max("level").alias("top")).select(
         "stratum", "measure", "n", F.lit(0).cast("long").alias("k"), F.col("top").alias("low"), F.element_at(grid, F.col("measure")).alias("high")
     ).filter("high > low")
     tails = above.unionByName(none).withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk.alpha / len(MEASURES)))
-    # Within a run of equal counts the strictest cutoff is the highest number.
+    # Within a run of equal counts the strictest cutoff has the least level.
     return tails.filter(F.col("tail") <= risk.delta / tests).groupBy("stratum", "measure").agg(
-        F.max("high").alias("strictest")
+        F.min(F.col("low") + 1).alias("strictest")
     )
 
 
@@ -178,7 +180,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     )
     rows = cut(rows)  # a few numbers per document, for the thresholds and the verdicts
     found = admissible(rows, thresholds(rows, labels, risk))
-    # A document fails a measure when it is above the cutoff of that number, counted from the lenient end.
+    # A document fails a measure when it is above as many cutoffs as the strictest admissible level says.
     above = F.filter(levels(), lambda m: m["level"] >= F.element_at(F.col("cutoffs"), m["measure"]))
     failed = F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(F.transform(above, lambda m: m["measure"]))
     return found.withColumn("failed", failed).select(

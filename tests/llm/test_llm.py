@@ -130,6 +130,22 @@ def test_thresholds_reject_junk_only(spark):
     assert all(r.kept == (r.doc_id % 4 > 0) for r in got)
 
 
+def test_thresholds_take_the_strictest_cutoff(spark):
+    clean = [f"word{i}" for i in range(80)]
+    some = [w + "%" * (i % 5 > 0) for i, w in enumerate(clean)]  # 0.8 symbols per word
+    few = [w + "%" * (i % 8 == 0) for i, w in enumerate(clean)]  # 0.125
+    text = lambda i: " ".join(few if i % 4 == 1 else some if i % 4 == 0 else clean)
+    rows = [(i, text(i), "en") for i in range(2400)]
+    marks = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(2400)], "doc_id long, quality int")
+    cols = "doc_id long, text string, lang string"
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, cols), marks).collect()
+    assert all((r.kept, r.failed) == ((True, []) if r.doc_id % 4 else (False, ["symbols_per_word"])) for r in got)
+    # Above the strictest cutoff that the good ones allow (0.2, as they have 0.125), and not above it.
+    new = [(5000, " ".join(w + "%" * (i % 4 == 0) for i, w in enumerate(clean)), "en"), (5001, " ".join(w + "%" * (i % 5 == 0) for i, w in enumerate(clean)), "en")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows + new, cols), marks).collect()
+    assert {r.doc_id: r.kept for r in got if r.doc_id >= 5000} == {5000: False, 5001: True}
+
+
 def test_secret_scan(spark, empty):
     rows = [(1, 'x password = "hunter22" y'), (2, "é AKIA" + "A1" * 10 + " z"), (3, "secret: token: abcdefg"), (4, "k " + "0a" * 15), (5, None), (6, "TOKEN=abc")]
     got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
