@@ -9,10 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docaudit.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from docaudit.llm.common import cut, not_in, shared_dir, table
+from docaudit.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    found = exact_dedup.exact_dedup(docs)
-    return not_in(docs, cut(found.filter(~F.col("kept")).select("doc_id")), "doc_id")
+    """Of equal texts one row with the largest doc_id."""
+    return exact_dedup.one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

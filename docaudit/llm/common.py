@@ -131,6 +131,19 @@ def not_in(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return surely_not.unionByName(maybe.join(key, id_col, "left_anti"))
 
 
+def without_rows(docs: DataFrame, key, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, a column that is never null, is not in ``gone``; of rows whose key is in ``again`` one each."""
+    name, columns = "row key", docs.columns
+    keyed = docs.withColumn(name, key)
+    if again.isEmpty():
+        return not_in(keyed, gone, name).select(columns)
+    rest = not_in(keyed, gone.union(again), name).select(columns)
+    again = again.select(F.col(again.columns[0]).alias(name))
+    # Gathered before the join, so that a key with many rows is one row of each task.
+    once = split_by(keyed, again, name)[0].groupBy(name).agg(F.first(F.struct(*columns)).alias("doc"))
+    return rest.unionByName(once.join(again, name, "left_semi").select("doc.*"))
+
+
 def fitted_in_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:
     """Arrays that ``fit`` makes of the rows of ``sample``, a pa.Table; it runs in one task, so the driver holds the result alone.
 

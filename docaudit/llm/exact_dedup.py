@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, without_rows
 
 #: Rows of one digest are first gathered per run of so many input rows, so that a hot
 #: digest reaches the join as one row for each run and never as one row for each copy.
@@ -93,6 +93,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return index.resolve(runs, before)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of equal texts one row with the largest id, with all its columns. Rows are known by id, which may be null or shared, and text."""
+    key = lambda digest, doc_id: F.concat(digest, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    lost = exact_dedup(docs, id_col, text_col).filter(~F.col("kept"))
+    # A row that is not kept and has the id of the one that is kept repeats that one.
+    lost = cut(lost.select(key(F.col("text_sha256"), F.col("doc_id")).alias("key"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")).distinct())
+    own = key(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), F.col(id_col).cast("long"))
+    return without_rows(docs, own, lost.filter(~F.col("same")).select("key"), lost.filter("same").select("key"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -16,7 +16,8 @@ Two classes link when num / den is at most |intersection| / |union|.
 Shingles and sets are known by 64-bit hashes. Defined results: null texts and texts without words
 have the empty set and link with nothing; fewer words than k make one shingle of the whole
 sequence; an empty table gives no rows; repeated rows each get their row; a class takes the smallest
-doc_id of its rows; extra columns are ignored.
+doc_id of its rows; rows without an id link like others, and only a component of such rows has no id;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import chunks, cut, not_in, only_in, table, texts, written
+from .common import chunks, cut, only_in, table, texts, without_rows, written
 
 SUB_BLOCK = 4096
 LEAF, FANOUT = 32, 8
@@ -164,16 +165,16 @@ class Schemes:
 
 
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n, d per row: size and digest of its set (n = 0: none)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
+    """doc_id, row_key, n, d per row: size and digest of its set (n = 0: none)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(join.k)
         for t in chunks(batches):
             sets = [shingle(x) for x in texts(t)]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["row_key"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, d long")
+    return docs.mapInArrow(run, "doc_id long, row_key long, n long, d long")
 
 
 def signature_rows(docs: DataFrame, join: Join) -> DataFrame:
@@ -382,20 +383,20 @@ def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
         shingle = Shingler(join.k)
         for t in chunks(batches):
             sets = [shingle(x) for x in texts(t)]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary() if sum(map(len, sets)) > 1 << 27 else pa.binary())], ["doc_id", "d", "shingles"])
+            yield pa.RecordBatch.from_arrays([t["row_key"].combine_chunks(), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary() if sum(map(len, sets)) > 1 << 27 else pa.binary())], ["row_key", "d", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, d long, shingles binary")
+    return docs.mapInArrow(run, "row_key long, d long, shingles binary")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """node, component over the digests of classes that link with another one. classes: d, rep."""
     blocks = connected_components(candidate_edges(signature_rows(docs, join)))
     blocks = blocks.select(F.col("node").alias("d"), F.col("component").alias("block"))
-    candidates = written(classes.join(blocks, "d").select("d", "block", F.col("rep").alias("doc_id")))
-    sets = shingle_sets(only_in(docs, candidates.select("doc_id"), "doc_id"), join)
+    candidates = written(classes.join(blocks, "d").select("d", "block", F.col("rep.row_key").alias("row_key")))
+    sets = shingle_sets(only_in(docs, candidates.select("row_key"), "row_key"), join)
     sizes = candidates.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).alias("splits"))
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
-    rows = rows.join(sets, ["doc_id", "d"]).select("block", "splits", "split", "d", "shingles")
+    rows = rows.join(sets, ["row_key", "d"]).select("block", "splits", "split", "d", "shingles")
     rows = cut(rows)
     # Every class is in one group, so its root there is its component so far.
     found = written(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
@@ -426,28 +427,41 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     return written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def row_key(id_col: str, text_col: str):
+    """A hash of id and text; rows with equal ones repeat each other."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def near_rows(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
+    """Per row: doc_id, row_key, n_shingles, component_id (smallest doc_id reachable by links), leader (row_key of that row)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     rows = set_rows(docs, join).withColumn("row", F.monotonically_increasing_id())
     # Equal sets are gathered per run of rows first, so that a hot class is one row for each run.
-    runs = cut(rows.groupBy("d", "n", F.shiftright("row", RUN_BITS).alias("run")).agg(F.collect_list(F.struct("doc_id")).alias("ids"), F.min("doc_id").alias("rep")))
+    runs = cut(rows.groupBy("d", "n", F.shiftright("row", RUN_BITS).alias("run")).agg(F.collect_list(F.struct("doc_id", "row_key")).alias("ids"), F.min(one).alias("rep")))
     classes = written(runs.filter("n > 0").groupBy("d").agg(F.min("rep").alias("rep")))
     links = link_classes(docs, classes, join)
     of_label = classes.join(links.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
-    smallest = of_label.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = of_label.join(smallest, "label").select("d", "component_id")
-    resolved = classes.join(linked, "d", "left").select("d", F.coalesce("component_id", "rep").alias("component_id"))
-    full = runs.filter("n > 0").join(resolved, "d").select(F.explode("ids").alias("r"), "n", "component_id")
-    full = full.select(F.col("r.doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    none = runs.filter("n = 0").select(F.explode("ids").alias("r"), "n").select(F.col("r.doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("r.doc_id").alias("component_id"))
-    return full.union(none)
+    smallest = of_label.groupBy("label").agg(F.min("rep").alias("first"))
+    linked = of_label.join(smallest, "label").select("d", "first")
+    resolved = classes.join(linked, "d", "left").select("d", F.coalesce("first", "rep").alias("first"))
+    full = runs.filter("n > 0").join(resolved, "d").select(F.explode("ids").alias("r"), "n", "first")
+    none = runs.filter("n = 0").select(F.explode("ids").alias("r"), "n").select("r", "n", F.col("r").alias("first"))
+    out = ["r.doc_id", "r.row_key", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("leader")]
+    return full.select(out).union(none.select(out))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return near_rows(docs, id_col, text_col, join).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join(k=5, num=80, den=100)) -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, join)
-    return not_in(docs, cut(found.filter("doc_id <> component_id").select("doc_id")), id_col)
+    """One row of each component, of those with the smallest id, with all its columns; rows without shingles all stay."""
+    found = written(near_rows(docs, id_col, text_col, join).filter("n_shingles > 0").select("row_key", "leader"))
+    again = found.filter("row_key = leader").groupBy("row_key").count().filter("count > 1")
+    gone = found.filter("row_key <> leader").select("row_key").distinct()
+    return without_rows(docs, row_key(id_col, text_col), gone, again.select("row_key"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from docaudit.llm import exact_dedup, html_extract, language_id, lm_score, mixing, ngram_join, packing, quality_rules, secret_scan, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,6 +212,41 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, block, k, num):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
 
 
+def test_copies_are_dropped_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [
+        (6, a), (6, a), (6, a),  # repeated rows
+        (1, b), (2, b), (1, c),  # id 1 has two texts, b a copy of that of 2
+        (None, "no id here"), (None, "no id here"), (None, a), (7, None), (8, ""),
+    ]
+    docs = spark.createDataFrame([(*r, "kept along") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_copies(spark, docs, "").collect()]
+    want = [(6, a), (2, b), (1, c), (None, "no id here"), (8, "")]
+    assert sorted(got, key=repr) == sorted(((*r, "kept along") for r in want), key=repr)
+    assert corpus_pipeline.drop_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = lambda t: t + " tail"
+    rows = [
+        (6, a), (6, a), (7, near(a)), (None, a),  # repeated rows, copies with and without an id
+        (1, b), (2, near(c)), (3, c), (2, near(b)),  # id 2 has two texts near others, one of them the smaller of its pair
+        (None, d), (None, near(d)), (4, None), (4, None), (5, ""),
+    ]
+    docs = spark.createDataFrame([(*r, "kept along") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted((r for r in got if r[1] not in (d, near(d))), key=repr) == sorted([(6, a), (1, b), (2, near(c)), (4, None), (4, None), (5, "")], key=repr)
+    assert sum(r[1] in (d, near(d)) for r in got) == 1
+
+
+def test_rows_without_an_id_link_others(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (None, " ".join([*w, *(f"x{i}" for i in range(6))])), (2, " ".join([*w, *(f"x{i}" for i in range(12))]))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and {r.component_id for r in got} == {1}
+
+
 def test_html(spark):
     page = "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>Head</h1><p>One &amp; two<br>three <b>bold</b><p>Next</article><div class='comments'><p>First!</p></div><footer>&copy; me</footer>"
     rows = [(i, "u", page.replace("Next", f"Next {i}")) for i in range(30)] + [(98, None, None), (99, "u", "<p")]
