@@ -6,6 +6,7 @@ character classes, whose states are merged while their continuation frequencies
 compatible under Hoeffding's bound. A second automaton is inferred from other strings of
 the same shape. Every other candidate string is scored by the difference of the two
 log-likelihoods per character, and is reported as ``format`` when it is high enough.
+Texts are scanned twice, for the samples and for the scores, so that candidates need not be kept.
 
 Defined results: a null text counts as empty and has no spans; without labelled credentials
 no format is learned and only base spans are returned; an empty table gives no rows; repeated
@@ -15,6 +16,7 @@ rows each get their row. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -36,9 +38,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 @dataclass(frozen=True)
 class Formats:
-    """Candidates are runs of [A-Za-z0-9+/_=-] of this length with a digit; both samples are bounded."""
+    """Candidates are runs of [A-Za-z0-9+/_.=-] of this length, as in assignments; both samples are bounded.
 
-    min_length: int = 16
+    Of longer strings than ``max_chars`` the automata learn the beginning, and nothing about their end.
+    """
+
+    min_length: int = 6
     max_sample: int = 2000
     max_chars: int = 128
     alpha: float = 0.05
@@ -56,11 +61,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def class_table() -> np.ndarray:
-    """Bit 1: candidate character, bit 2: digit, bit 4: lower-case hex digit; code points from 128 on share the last entry."""
+    """Bit 1: candidate character, bit 4: lower-case hex digit; code points from 128 on share the last entry."""
     t = np.zeros(129, np.uint8)
     for c in range(128):
         ch = chr(c)
-        t[c] = (ch.isalnum() or ch in "+/_=-") + 2 * ch.isdigit() + 4 * (ch in "0123456789abcdef")
+        t[c] = (ch.isalnum() or ch in "+/_.=-") + 4 * (ch in "0123456789abcdef")
     return t
 
 
@@ -79,12 +84,12 @@ def scan(text: str, kinds: np.ndarray, least: int) -> tuple[list[tuple[int, int,
     found += [(int(a), 2, int(b)) for a, b in zip(*runs((k & 4) > 0, 24), strict=True)]
     found.sort()
     start, end = runs((k & 1) > 0, least)
-    if not len(start):
-        return found, []
-    digits = np.concatenate(([0], np.cumsum((k & 2) > 0)))
-    some = digits[end] > digits[start]
-    free = [(int(a), int(b)) for a, b in zip(start[some], end[some], strict=True) if not any(s < b and a < e for s, _, e in found)]
-    return found, free
+    if found:
+        # Spans that begin before a candidate's end, less those that end before it begins.
+        begun, ended = np.array([s for s, _, _ in found]), np.sort([e for _, _, e in found])
+        free = np.searchsorted(begun, end, "left") == np.searchsorted(ended, start, "right")
+        start, end = start[free], end[free]
+    return found, list(zip(start.tolist(), end.tolist(), strict=True))
 
 
 def symbols(s: str) -> str:
@@ -104,19 +109,21 @@ class Automaton:
     Hoeffding's bound at ``alpha``.
     """
 
-    def __init__(self, words: list[str], alpha: float):
+    def __init__(self, words: list[str], alpha: float, most: int | None = None):
+        """Of words longer than ``most`` that many symbols count, and no ending."""
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]  # "" counts endings
         for w in words:
             at = 0
-            for s in w:
+            for s in w[:most]:
                 self.count[at][s] = self.count[at].get(s, 0) + 1
                 if s not in self.next[at]:
                     self.next[at][s] = len(self.next)
                     self.next.append({})
                     self.count.append({})
                 at = self.next[at][s]
-            self.count[at][""] = self.count[at].get("", 0) + 1
+            if most is None or len(w) <= most:
+                self.count[at][""] = self.count[at].get("", 0) + 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.infer()
 
@@ -192,65 +199,85 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan_documents(docs: DataFrame, id_col: str, text_col: str, formats: Formats) -> DataFrame:
-    """doc_id, spans (flat start, kind, end), candidates (flat start, end), their strings, credentials."""
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.int64())), ("free", pa.list_(pa.int64())), ("strings", pa.list_(pa.string())), ("credentials", pa.list_(pa.string()))])
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def hashed(s: str) -> bytes:
+    return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def samples(docs: DataFrame, formats: Formats) -> tuple[list[str], list[str]]:
+    """At most max_sample different credentials and other candidates, those of least hash; each cut after max_chars + 1 characters.
+
+    Each chunk hands on its own least ones, among which are the least of all.
+    """
+
+    def least(strings: set[str]) -> list[str]:
+        if len(strings) <= formats.max_sample:
+            return list(strings)
+        return heapq.nsmallest(formats.max_sample, strings, key=lambda s: (hashed(s), s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = class_table()
+        kinds, most = class_table(), formats.max_chars + 1
+        kept: tuple[set[str], set[str]] = (set(), set())
         for t in chunks(batches):
-            spans, free, strings, credentials = [], [], [], []
+            yes, no = kept
             for text in texts(t):
                 base, rest = scan(text, kinds, formats.min_length)
-                spans.append([x for s in base for x in s])
-                free.append([x for s in rest for x in s])
-                strings.append([text[a:b] for a, b in rest])
-                credentials.append([text[a:b] if k else ASSIGN.match(text, a)[2] for a, k, b in base])
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), *(pa.array(x, f.type) for x, f in zip((spans, free, strings, credentials), list(schema)[1:], strict=True))], schema=schema)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<long>, free array<long>, strings array<string>, credentials array<string>")
-
+                yes.update((text[a:b] if k else ASSIGN.match(text, a)[2])[:most] for a, k, b in base)
+                no.update(text[a : min(b, a + most)] for a, b in rest)
+            kept = set(least(yes)), set(least(no))
+        for credential, strings in zip((True, False), kept, strict=True):
+            yield pa.RecordBatch.from_pydict({"credential": pa.array([credential] * len(strings), pa.bool_()), "s": pa.array(list(strings), pa.string()), "h": pa.array([hashed(s) for s in strings], pa.binary())})
 
-def sample(found: DataFrame, column: str, formats: Formats) -> list[str]:
-    """At most max_sample different strings of at most max_chars characters, chosen by their hash."""
-    s = found.select(F.explode(column).alias("s")).filter(F.length("s").between(formats.min_length, formats.max_chars)).distinct()
-    return [r.s for r in s.orderBy(F.xxhash64("s"), "s").limit(formats.max_sample).collect()]
+    found = cut(docs.mapInArrow(run, "credential boolean, s string, h binary"))
+    yes, no = ([r.s for r in found.filter(which).select("h", "s").distinct().orderBy("h", "s").limit(formats.max_sample).collect()] for which in ("credential", "not credential"))
+    return yes, no
 
 
-def learn(found: DataFrame, formats: Formats) -> tuple[Automaton, Automaton] | None:
+def learn(docs: DataFrame, formats: Formats) -> tuple[Automaton, Automaton] | None:
     """Automata of credentials and of other candidates; the samples are bounded by ``formats``."""
-    yes = sample(found, "credentials", formats)
+    yes, no = samples(docs, formats)
     if not yes:
         return None
-    no = sample(found, "strings", formats)
-    return Automaton(sorted(map(symbols, yes)), formats.alpha), Automaton(sorted(map(symbols, no)), formats.alpha)
+    like, other = (Automaton(sorted(map(symbols, s)), formats.alpha, formats.max_chars) for s in (yes, no))
+    return like, other
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", formats: Formats = Formats()) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format."""
-    found = cut(scan_documents(docs, id_col, text_col, formats))
-    model = docs.sparkSession.sparkContext.broadcast(learn(found.select("credentials", "strings"), formats))
+    docs = rows_of(docs, id_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, formats))
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_format", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kinds, known = class_table(), {}
+
+        def secret(s: str) -> bool:
+            """Scores of short strings are remembered, as words come again and again."""
+            if s in known:
+                return known[s]
+            x = symbols(s)
+            like, other = model.value
+            hit = like.score(x) - other.score(x) > formats.margin
+            if len(s) <= 32:
+                if len(known) >= 200_000:
+                    known.clear()
+                known[s] = hit
+            return hit
+
+        for t in chunks(batches):
             out: list[list] = [[] for _ in schema]
-            for doc_id, flat, free, strings in zip(*(b[c].to_pylist() for c in ("doc_id", "spans", "free", "strings")), strict=True):
-                base = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-                more = []
-                if model.value:
-                    like, other = model.value
-                    for a, e, s in zip(free[::2], free[1::2], strings, strict=True):
-                        x = symbols(s)
-                        if like.score(x) - other.score(x) > formats.margin:
-                            more.append((a, 3, e))
+            for doc_id, text in zip(t["doc_id"].to_pylist(), texts(t), strict=True):
+                base, rest = scan(text, kinds, formats.min_length)
+                more = [(a, 3, b) for a, b in rest if secret(text[a:b])] if model.value else []
                 row = [doc_id, *(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return found.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,19 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_candidates_are_like_assigned_values(spark):
+    rng = random.Random(3)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    short, plain = lambda: "ZQ-" + word("0123456789", 7), lambda: "QZ_" + word("BCDFGHJKLM", 17)
+    dotted = lambda: ".".join("Z" + word("0123456789", 6) for _ in range(3))
+    prose = " ".join(word("abcdefghijklmnopqrstuvwxyz", rng.randint(6, 12)) for _ in range(60))
+    rows = [(i, f"{prose} token={make()} {word('abcdefghij', 8)}") for i, make in enumerate([short, plain, dotted] * 100)]
+    for i, make in enumerate([short, plain, dotted]):
+        rows.append((1000 + i, f"see {make()} and\n{prose}"))
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[1000 + i].spans for i in range(3)] == ["format:4:14", "format:4:24", "format:4:27"]
+
+
 def test_automaton_prefers_its_format():
     rng = np.random.default_rng(1)
     key = lambda: "sk-" + "".join(rng.choice(list("0123456789abcdef"), 32))
