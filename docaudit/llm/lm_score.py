@@ -6,8 +6,8 @@ chunks that have the word. The network predicts the next of the most frequent tr
 its output softmax is factored into frequency classes, and an "other" word then has its share of the
 smoothed counts of all other words, so every text has a proper likelihood. Output biases start from the
 counts of the whole training corpus. Weights are trained by truncated backpropagation in the
-tasks, each chunk on a fixed share of its training documents, and averaged over the chunks; the
-state is carried across windows in training and in scoring.
+tasks, each chunk on all of its training documents, a part of them in each round, and averaged over the
+chunks after every round; the state is carried across windows in training and in scoring.
 
 Defined results: a null text counts as empty and has the end token alone; without training rows all
 counts are 0 and the network is the untrained one; an empty table gives no rows; repeated rows each get their row.
@@ -30,8 +30,8 @@ from .common import chunks, cut, remainder, table, texts
 END = b""
 #: Long enough chunks for the network to read many documents side by side.
 CHUNK_CHARS = 24_000_000
-#: Training uses 1 in SHARE documents of each chunk and round.
-SHARE, ROUNDS = 32, 2
+#: Every training document is learned from in one of the rounds.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -228,7 +228,7 @@ class Model:
                 _, dout = self.outputs(states[on], x[t0 + 1 : t1 + 1, :live][on], grads)
                 dstates = np.zeros_like(states)
                 dstates[on] = dout
-                ds, dproj = np.zeros_like(s), np.zeros_like(projected)
+                ds, dx = np.zeros_like(s), []
                 for t in range(t1 - 1, t0 - 1, -1):
                     before, z, r, c, gc = kept[t - t0]
                     ds = ds + dstates[t - t0]
@@ -236,8 +236,13 @@ class Model:
                     dz = ds * (c - before) * z * (1 - z)
                     dr = dc * gc * r * (1 - r)
                     grads["u"] += before.T @ np.concatenate([dz, dr, dc * r], 1)
-                    np.add.at(dproj, x[t, :live], np.concatenate([dz, dr, dc], 1))
+                    dx.append(np.concatenate([dz, dr, dc], 1))
                     ds = ds * (1 - z) + np.concatenate([dz, dr, dc * r], 1) @ w["u"].T
+                seen = x[t0:t1, :live][::-1].ravel()
+                order = np.argsort(seen, kind="stable")
+                first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+                dproj = np.zeros_like(projected)
+                dproj[seen[order][first]] = np.add.reduceat(np.concatenate(dx)[order], first)
                 grads["wx"], grads["b"], grads["e"] = w["e"].T @ dproj, dproj.sum(0), dproj @ w["wx"].T
                 norm = float(np.sqrt(sum((v * v).sum() for v in grads.values())))
                 adam.step({k: v * min(1.0, 1 / (norm + 1e-9)) for k, v in grads.items()})
@@ -274,8 +279,8 @@ class Model:
         return np.fromiter((number.get(w, other) for w in words), np.int64, len(words))
 
 
-def train_round(encoded: DataFrame, model: Model, turn: int) -> dict | None:
-    """Weights averaged by trained tokens over all chunks."""
+def train_round(encoded: DataFrame, model: Model, turn: int) -> tuple[dict | None, int]:
+    """Weights averaged by trained tokens over all chunks, None without any, and the number of trained tokens."""
     given = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +291,8 @@ def train_round(encoded: DataFrame, model: Model, turn: int) -> dict | None:
                 own.w = {k: v.copy() for k, v in m.w.items()}
                 symbol = own.symbols(words_of(words))[np.frombuffer(unpack(tokens), np.int32)]
                 end = np.cumsum(lengths)
-                # Knuth's multiplier spreads ids; the share is the same in every chunk.
-                mine = [i for i, d in enumerate(ids) if not held[i] and ((d or 0) * 2654435761 >> 7) % SHARE == turn]
+                # Knuth's multiplier spreads ids over the rounds.
+                mine = [i for i, d in enumerate(ids) if not held[i] and ((d or 0) * 2654435761 >> 7) % ROUNDS == turn]
                 docs = [symbol[end[i] - lengths[i] : end[i]] for i in mine]
                 n = sum(map(len, docs))
                 if n:
@@ -307,12 +312,12 @@ def train_round(encoded: DataFrame, model: Model, turn: int) -> dict | None:
     some = parts.withColumn("to", F.pmod(F.xxhash64("chunk"), F.lit(16))).groupBy("to").applyInArrow(add, "n long, sums binary").collect()
     n = sum(r.n for r in some)
     if not n:
-        return None
+        return None, 0
     flat, out, at = sum(np.frombuffer(r.sums) for r in some) / n, {}, 0
     for k, v in model.w.items():
         out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
-    return out
+    return out, n
 
 
 def lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
@@ -326,7 +331,7 @@ def lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     model = Model(corpus, shape)
     for turn in range(ROUNDS):
         if corpus.n:
-            model.w = train_round(encoded, model, turn) or model.w
+            model.w = train_round(encoded, model, turn)[0] or model.w
     given = docs.sparkSession.sparkContext.broadcast(model)
     totals = rows.groupBy("word").agg(F.sum("n").alias("c"))
     back = rows.select("word", "chunk", "local").join(totals, "word").select("chunk", "local", "c")
