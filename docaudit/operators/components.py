@@ -15,11 +15,14 @@ CHUNK_EDGES = 1 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; sessions without one (tests) get a new folder."""
+    """Cut the lineage in the shared checkpoint folder; local sessions without one (tests) get a new folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -61,24 +64,43 @@ def contracted(e: DataFrame) -> DataFrame:
     return e.mapInArrow(run, e.schema)
 
 
+def sparse(e: DataFrame, worth: float = 0.8) -> tuple[DataFrame, bool]:
+    """Few edges that connect what those of ``e`` do, and whether they are each node's only one, to its smallest.
+
+    Partitions contract their edges; then as many are read together as make CHUNK_EDGES edges, again and again while
+    that saves some. Once a single task takes all edges that are left, its answer is whole.
+    """
+    e = cut(contracted(e).distinct())
+    n = e.count()
+    while n:
+        parts = -(-n // CHUNK_EDGES)
+        e = cut(contracted(e.coalesce(parts)).distinct())
+        if parts == 1:
+            return e, True
+        before, n = n, e.count()
+        if n > worth * before:
+            return e, False
+    return e, True
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (its smallest node) for every node of ``edges``.
 
-    Partitions contract their own edges first, so that few rounds are left. Each round takes the
-    smallest label among a node's neighbours, then the label of that label, so chains shorten by
+    Tasks contract their own edges first, which ends it when few are left. Else each round takes the smallest label among a node's neighbours, then the label of that label, so chains shorten by
     half and more. Rounds end when no label changes. Self-edges
     introduce single nodes; edges with a null end are ignored; no edges give no rows.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    e = contracted(e)
-    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
-    both = cut(e.select(F.explode(ends).alias("e")).select("e.*").distinct())  # both directions, and every node with itself
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    labels = cut(labels)
+    e, done = sparse(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null"))
+    if done:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # Every node comes with the smallest one of its part, itself included; the other direction is added.
+    both = cut(e.union(e.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        near = near.join(labels, near.a == labels.node).select("node", F.col("label").alias("old"), F.least("near", "label").alias("near"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        found = cut(near.join(jump, near.near == jump.via).select(F.col("a").alias("node"), "old", F.least("near", "far").alias("label")))
+        found = cut(near.join(jump, near.near == jump.via).select("node", "old", F.least("near", "far").alias("label")))
         if found.filter("label < old").isEmpty():
             return found.select("node", F.col("label").alias("component"))
         labels = found.select("node", "label")

@@ -1,5 +1,6 @@
 import random
 
+from docaudit.operators import components
 from docaudit.operators.components import connected_components
 from docaudit.operators.odd import drop_repeated, odd_ones_out
 
@@ -39,3 +40,12 @@ def test_odd_labels(spark):
     assert pairs(odd_ones_out(odd(spark, [51] * 3 + [41]))) == []
     same = [odd_ones_out(odd(spark, [5] * 4 + [6], s)) for s in (1, 2, 3)]
     assert drop_repeated(same[0].union(same[1]).union(same[2])).count() == 0
+
+
+def test_rounds_beyond_a_task(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 150)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    want = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    monkeypatch.setattr(components, "CHUNK_EDGES", 8)
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(7)).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
