@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import io
 import tempfile
 import uuid
@@ -17,34 +16,33 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to Python in groups of about this many characters.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the session's own setting, else a new one (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints: the session's own setting; a new one where there is none, in local sessions only.
+
+    On a cluster such a folder would be on the driver's own disk, where executors cannot find what others wrote.
+    """
     sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif given is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(given)
+    folder = sc._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc._jsc.sc().getCheckpointDir()
+    return folder.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy.
-
-    What led to it is no longer needed, but Spark's cleaner removes shuffle files, broadcasts and
-    earlier checkpoints only once the driver has collected its garbage; that is asked for here.
-    """
+    """Write ``df`` to the shared checkpoint folder and go on from the copy."""
     shared_dir(df.sparkSession)
-    copy = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return copy
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -53,8 +51,7 @@ def written(df: DataFrame) -> DataFrame:
     A checkpoint hands the constraints of its plan on to later plans, where they multiply with every
     join and renaming until planning takes seconds and much of the driver's memory; a table has none.
     """
-    shared_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -84,64 +81,46 @@ def texts(t: pa.Table, name: str = "text") -> list[str]:
     return [x or "" for x in t[name].to_pylist()]
 
 
-#: Bits of the filter that spares rows a shuffle; more ids only make it pass more rows on to the exact join.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that spares rows a shuffle: 16 for each id, within these bounds, so that its broadcast has 2^20 rows at
+#: most; with more ids it only passes more rows on to the exact join.
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
-def id_filter(ids: DataFrame, column: str):
-    """A fixed-size bitmap of hashed ids, as a broadcast."""
-    bit = F.xxhash64(column).bitwiseAND(FILTER_BITS - 1)
-    words = ids.select(F.shiftright(bit, 5).alias("word"), F.pmod(bit, F.lit(32)).alias("at")).groupBy("word").agg(
-        F.expr("bit_or(shiftleft(1L, cast(at as int)))").alias("bits")
-    )
-    got = words.toArrow()
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    return ids.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+def split_by(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``column`` may be in ``ids``, a table of that column, and rows in which it surely is not.
 
-
-def split_by(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be in ``ids``, and rows whose id is surely not."""
-    found = id_filter(ids, ids.columns[0])
-    schema = docs.schema
-    bit = "hashed id bit"
-
-    def part(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                kept = found.value[b[bit].to_numpy()].astype(bool) == hit
-                yield b.filter(pa.array(kept)).select([i for i, n in enumerate(b.schema.names) if n != bit])
-
-        return run
-
-    marked = docs.withColumn(bit, F.xxhash64(F.col(id_col)).bitwiseAND(FILTER_BITS - 1))
-    return marked.mapInArrow(part(True), schema), marked.mapInArrow(part(False), schema)
+    A bitmap of hashed ids, 64 bits in a row, is broadcast.
+    """
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (16 * ids.count()).bit_length()))
+    word, place = "hash word", "hash place"
+    bit = F.xxhash64(column).bitwiseAND(bits - 1)
+    hashed = lambda d: d.withColumn(word, F.shiftright(bit, 6)).withColumn(place, F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))"))
+    words = cut(hashed(ids).groupBy(word).agg(F.bit_or(place).alias("bits")))
+    marked = hashed(docs).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col(place)) != 0, F.lit(False))
+    return tuple(marked.filter(c).select(docs.columns) for c in (hit, ~hit))
 
 
-def only_in(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Left semi join on the id that shuffles hardly more than the rows that stay."""
-    key = ids.select(F.col(ids.columns[0]).alias(id_col))
-    return split_by(docs, key, id_col)[0].join(key, id_col, "left_semi")
+def only_in(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Left semi join on ``column``, which both tables have, that shuffles hardly more than the rows that stay."""
+    return split_by(docs, ids, column)[0].join(ids, column, "left_semi")
 
 
-def not_in(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Left anti join on the id that shuffles hardly more than the rows that go."""
-    key = ids.select(F.col(ids.columns[0]).alias(id_col))
-    maybe, surely_not = split_by(docs, key, id_col)
-    return surely_not.unionByName(maybe.join(key, id_col, "left_anti"))
+def not_in(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Left anti join on ``column``, which both tables have, that shuffles hardly more than the rows that go."""
+    maybe, surely_not = split_by(docs, ids, column)
+    return surely_not.unionByName(maybe.join(ids, column, "left_anti"))
 
 
 def without_rows(docs: DataFrame, key, gone: DataFrame, again: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``key``, a column that is never null, is not in ``gone``; of rows whose key is in ``again`` one each."""
     name, columns = "row key", docs.columns
     keyed = docs.withColumn(name, key)
+    gone, again = (d.select(F.col(d.columns[0]).alias(name)) for d in (gone, again))
     if again.isEmpty():
         return not_in(keyed, gone, name).select(columns)
     rest = not_in(keyed, gone.union(again), name).select(columns)
-    again = again.select(F.col(again.columns[0]).alias(name))
-    # Gathered before the join, so that a key with many rows is one row of each task.
-    once = split_by(keyed, again, name)[0].groupBy(name).agg(F.first(F.struct(*columns)).alias("doc"))
-    return rest.unionByName(once.join(again, name, "left_semi").select("doc.*"))
+    return rest.unionByName(only_in(keyed, again, name).dropDuplicates([name]).select(columns))
 
 
 def fitted_in_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:

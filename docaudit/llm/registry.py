@@ -1,13 +1,13 @@
 """The queries of this package and their SQL."""
 
-from importlib import import_module
+from . import exact_dedup, html_extract, language_id, lm_score, mixing, ngram_join, packing, quality_rules, secret_scan, toxicity
 
-MODULES = ["exact_dedup", "mixing", "packing", "quality_rules", "language_id", "secret_scan", "toxicity", "ngram_join", "html_extract", "lm_score"]
+MODULES = [exact_dedup, mixing, packing, quality_rules, language_id, secret_scan, toxicity, ngram_join, html_extract, lm_score]
 
 
 def queries() -> dict:
-    return {k: q for m in MODULES for k, q in import_module(f"{__package__}.{m}").QUERIES.items()}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: q for m in MODULES for k, q in import_module(f"{__package__}.{m}").SQL.items()}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}

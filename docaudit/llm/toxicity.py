@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fitted_in_task, remainder, table, texts
+from .common import chunks, cut, fitted_in_task, remainder, table, texts
 
 TOKEN = re.compile(r"\w+")
 CUTOFF = 0.3
@@ -328,11 +328,16 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> Net:
-    """Train on labelled rows, sampled by a hash of the id. ``labels`` has doc_id and toxic (0 or 1)."""
-    marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, shape.sample_chars))
-    rows = rows.join(marks, F.col("doc_id") == F.col("label_id"))
-    sample = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(shape.sample)
+    """Train on labelled rows, sampled by a hash of the id. ``labels`` has doc_id and toxic (0 or 1).
+
+    The sample is drawn from ids alone, and the texts of those ids are read then, so that no other text is shuffled.
+    """
+    marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic is not null and id is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, shape.sample_chars))
+    ids = rows.select("id").join(marks, "id").select("id", "toxic", F.xxhash64("id").alias("h")).distinct().orderBy("h").limit(shape.sample)
+    sample = rows.join(F.broadcast(cut(ids)), "id")  # ``ids`` has at most shape.sample rows
+    # Ids that repeat could bring more rows than ids.
+    sample = sample.select("text", "toxic", "h").orderBy("h", "text").limit(shape.sample)
 
     def learn(t: pa.Table | None) -> dict:
         if t is None:
@@ -342,36 +347,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             net = train(texts(t), t["toxic"].to_numpy(), shape)
         return {**net.w, "base": np.array(net.base)}
 
-    net = Net(shape)
-    net.w = fitted_in_task(sample, learn)
-    net.base = float(net.w.pop("base"))
+    return rebuilt(asdict(shape), fitted_in_task(sample, learn))
+
+
+def rebuilt(shape: dict, arrays: dict) -> Net:
+    """A network from plain arrays; only those are broadcast, as executors may not have this package."""
+    net = Net(Shape(**shape))
+    net.w = {k: v for k, v in arrays.items() if k != "base"}
+    net.base = float(arrays["base"])
     return net
 
 
-def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` reduced to doc_id and score."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def scores(docs: DataFrame, net: Net):
+    """A column function: the score of a text column."""
+    model = docs.sparkSession.sparkContext.broadcast((asdict(net.shape), {**net.w, "base": net.base}))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        for t in chunks(batches, limit=1_500_000):
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(scorer(texts(t)))], schema=schema)
+    @F.arrow_udf("double")
+    def score_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(rebuilt(*model.value))
+        for part in parts:
+            rows = pa.RecordBatch.from_arrays([part], ["text"])
+            yield pa.array(np.concatenate([scorer(texts(t)) for t in chunks([rows], limit=1_500_000)] or [np.zeros(0)]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return score_of
 
 
-def drop_toxic(docs: DataFrame, net: Net, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows whose text scores below ``cutoff``, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
+def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row of ``docs``."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), scores(docs, net)(F.col(text_col).cast("string")).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        for t in chunks(batches, text_col, limit=1_500_000):
-            kept = t.filter(pa.array(scorer(texts(t, text_col)) < cutoff))
-            yield from kept.to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+def drop_toxic(docs: DataFrame, net: Net, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The rows whose text scores below ``cutoff``, with all their columns; only the texts go through Python."""
+    return docs.filter(scores(docs, net)(F.col(text_col).cast("string")) < cutoff)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
