@@ -34,6 +34,18 @@ VIEWS = {
  from k_part""",
 }
 
+VIEWS["captions"] = """select p_partkey as id, case p_partkey % 24 when 0 then '1/L1' when 1 then concat('DI', k % 20) when 2 then '230VAC' when 3 then '24 В'
+ when 4 then concat('DVP16SN', k % 90, 'T, R5ST-', 1000 + k) when 5 then '026.809.01.01-ИПК ША1' when 6 then '#REF!' when 7 then concat(' КЛ0', k % 9, ' x') when 8 then 'Лист'
+ when 9 then concat('A', k % 4, 'x4') when 10 then 'Количе-' when 11 then concat('600x', k % 900, ' мм') when 12 then 'C40A' when 13 then concat('8140', 10 + k % 90)
+ when 14 then '12,5' when 15 then concat('XT-G', k % 9) when 16 then 'plc-kvs-16-50-gray' when 17 then 'Схема принципиальная ЩС2' when 18 then concat('Щит общекотельной (ША', k % 5, ') OS001')
+ when 19 then 'Вид ЩУ-АБ ЩА1' when 20 then '#DIV/0!' when 21 then 'f:a*b?c ..' when 22 then concat('Реле 0,4кВ; 24VDC; 10А; ', k % 9, 'кА')
+ else concat('-QF0', k % 30, ', (XA00', k % 7, '); КL1') end as caption from k_part"""
+VIEWS["position_cells"] = """select p_partkey as id, k, k % 6 as form, case k % 6 when 0 then concat('K', k + 1, '...K0', k + 4) when 1 then concat('XT', k, ', XT', k + 1, ';XT', k)
+ when 2 then concat('1KL', k, ' - 4KL', k) when 3 then concat('K', k, '-K', k + 1) when 4 then concat('A', k, '…B', k + 3) end as cell from k_part"""
+VIEWS["file_names"] = """select p_partkey as id, p_size as pages, concat('base_files/CAB', b, '/', case k % 7 when 0 then '(scheme)' when 1 then ' ( Спецификация )' when 2 then '(unknown)' when 3 then '~$' else '' end, '24-', b,
+ case k % 5 when 0 then ' Э3_10.04' when 1 then '_СБ_' when 2 then ' соед СО.1' when 3 then ' NL сх_' else ' СОЕДИНЕНИЙ' end, p_partkey,
+ case p_partkey % 4 when 0 then '.pdf' when 1 then '.XLSX' when 2 then '.dwg' else '.PDF' end) as path from k_part"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table. Spark puts the base tables in by name through parameters of ``sql``."""
@@ -50,4 +62,5 @@ def with_views(sql: str) -> str:
     """The same tables as CTEs before a DuckDB query."""
     used = [n for n in VIEWS if n in sql]
     ctes = ([f"k_part as ({K_PART})"] if any("k_part" in VIEWS[n] for n in used) or "k_part" in sql else []) + [f"{n} as ({VIEWS[n]})" for n in used]
-    return f"with {', '.join(ctes)} {sql}" if ctes else sql
+    own = sql.lstrip()
+    return sql if not ctes else f"with {', '.join(ctes)}, {own[5:]}" if own.startswith("with ") else f"with {', '.join(ctes)} {sql}"

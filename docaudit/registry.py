@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
+from .plans import texts
+from .plans.common import over, raw
 from .operators import album, bundles, logs, nets, odd, report, rules_cross, rules_single, tables
 
 
@@ -15,14 +17,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.unionByName(drawn).withColumn("rank", T.severity_rank(F.col("severity"))).orderBy("rank", "bundle", "designator")
 
 
-def over(f, *names):
-    return lambda spark, sf_dir: f(*(view(spark, sf_dir, n) for n in names))
-
-
-def raw(name: str, f):
-    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
 def marks_dropped(marks: DataFrame) -> DataFrame:
     return odd.drop_repeated(odd.odd_ones_out(marks))
 
@@ -194,8 +188,11 @@ SQL = {
 }
 
 
+PLANS = [texts]
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **{k: q for m in PLANS for k, q in m.QUERIES.items()}}
 
 
 def oracle_sql() -> dict:
@@ -207,4 +204,4 @@ def oracle_sql() -> dict:
             head = with_views("select 1 from marks")
             sql = head[: head.rindex("select 1")].rstrip() + ", " + more + " " + q
         out[k] = sql
-    return out
+    return out | {k: with_views(q) for m in PLANS for k, q in m.SQL.items()}
