@@ -10,8 +10,10 @@ Two classes link when num / den is at most |intersection| / |union|.
    token bitmaps and their range of sizes. A dual traversal descends only into pairs of nodes
    whose greatest possible overlap reaches the threshold, and skips pairs whose sets are
    connected already. At the leaves the overlap is exact.
-3. Blocks beyond SUB_BLOCK classes are split: each split is joined with itself, then one set of each
-   component found, and only where several components remain, every pair of splits.
+3. Blocks beyond SUB_BLOCK classes or SUB_SHINGLES shingles are split: each split is joined with itself,
+   then one set of each component found. Where a block has several components left, a link across
+   splits still agrees on a part: the sets of each part that has several components are joined, those
+   parts beyond the same limits as pairs of their splits.
 
 Shingles and sets are known by 64-bit hashes. Defined results: null texts and texts without words
 have the empty set and link with nothing; fewer words than k make one shingle of the whole
@@ -32,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, contracted
 from .common import chunks, cut, only_in, table, texts, without_rows, written
 
-SUB_BLOCK = 4096
+#: A task holds the sets of one split at a time: about so many classes and shingles, and never less than one set.
+SUB_BLOCK, SUB_SHINGLES = 512, 1 << 20
 LEAF, FANOUT = 32, 8
 MAX_BITS = 1 << 16
 RUN_BITS = 10
@@ -203,7 +206,10 @@ def signature_rows(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def candidate_edges(signatures: DataFrame) -> DataFrame:
-    """src, dst: each class with the first class of each key it shares. Rows stream by; none are gathered."""
+    """src, dst: edges that connect the classes of each key. Rows stream by; none are gathered.
+
+    A partition contracts its edges before they are dealt anew: a class in many keys with a large group leaves it few edges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, 0
@@ -219,9 +225,10 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
             at = np.flatnonzero(d != leader)
             if len(at):
                 pairs = np.unique(np.stack([d[at], leader[at]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return signatures.repartition("key").sortWithinPartitions("key", "d").mapInArrow(run, "src long, dst long").distinct()
+    edges = signatures.repartition("key").sortWithinPartitions("key", "d").mapInArrow(run, "a long, b long")
+    return contracted(edges).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 # Trees ------------------------------------------------------------------------------------------
@@ -357,16 +364,16 @@ def by_run(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.Da
 def join_groups(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
     """src, dst: every class with the root of its component among the rows of equal keys.
 
-    Rows: the keys, d, shingles (bytes), and side and label if pairs across sides are wanted.
+    Rows: the keys, d, shingles (bytes), label if components are known already, and side if pairs across sides alone are wanted.
     """
-    crossing = "side" in rows.columns
+    crossing, labelled = "side" in rows.columns, "label" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         for g in by_run(batches, keys):
             g = g.drop_duplicates("d").sort_values("d")
             sets = [np.frombuffer(x, np.uint64) for x in g.shingles]
-            forest = tree_links(sets, join, g.side.to_numpy(), g.label.to_numpy()) if crossing else tree_links(sets, join)
+            forest = tree_links(sets, join, g.side.to_numpy() if crossing else None, g.label.to_numpy() if labelled else None)
             d = g.d.tolist()
             src += d
             dst += [d[forest.root(i)] for i in range(len(d))]
@@ -378,6 +385,25 @@ def join_groups(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(run, "src long, dst long")
 
 
+def split_count():
+    """Splits that a group needs, from its classes and their sizes n."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / SUB_BLOCK, F.sum("n") / SUB_SHINGLES))
+
+
+def set_keys(sets: DataFrame, join: Join) -> DataFrame:
+    """key, d, label, n for every part of every set of rows (d, shingles, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes = Schemes(join)
+        for b in batches:
+            for d, shingles, label in zip(*(b[c].to_pylist() for c in ("d", "shingles", "label")), strict=True):
+                key = schemes.signatures(np.frombuffer(shingles, np.uint64)).astype(np.int64)
+                same = [pa.array(np.full(len(key), x, np.int64)) for x in (d, label, len(shingles) // 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *same], ["key", "d", "label", "n"])
+
+    return sets.select("d", "shingles", "label").mapInArrow(run, "key long, d long, label long, n long")
+
+
 def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(join.k)
@@ -388,15 +414,20 @@ def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(run, "row_key long, d long, shingles binary")
 
 
+def merged_labels(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """node, component of ``found`` with components renamed by ``merged`` (component, head)."""
+    return written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """node, component over the digests of classes that link with another one. classes: d, rep."""
+    """node, component over the digests of classes that link with another one. classes: d, n, rep."""
     blocks = connected_components(candidate_edges(signature_rows(docs, join)))
     blocks = blocks.select(F.col("node").alias("d"), F.col("component").alias("block"))
-    candidates = written(classes.join(blocks, "d").select("d", "block", F.col("rep.row_key").alias("row_key")))
+    candidates = written(classes.join(blocks, "d").select("d", "n", "block", F.col("rep.row_key").alias("row_key")))
     sets = shingle_sets(only_in(docs, candidates.select("row_key"), "row_key"), join)
-    sizes = candidates.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).alias("splits"))
+    sizes = candidates.groupBy("block").agg(split_count().alias("splits"))
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
-    rows = rows.join(sets, ["row_key", "d"]).select("block", "splits", "split", "d", "shingles")
+    rows = rows.join(sets, ["row_key", "d"]).select("block", "splits", "split", "d", "n", "shingles")
     rows = cut(rows)
     # Every class is in one group, so its root there is its component so far.
     found = written(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
@@ -405,26 +436,32 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
         return found
     # One set of each component, grouped again per block.
     heads = large.join(found.filter("node = component").select(F.col("node").alias("d")), "d", "left_semi")
-    count = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).alias("parts"))
+    count = heads.groupBy("block").agg(split_count().alias("parts"))
     heads = heads.join(count, "block").withColumn("split", F.pmod(F.xxhash64("d", F.lit(1)), F.col("parts")))
     merged = join_groups(heads.select("block", "split", "d", "shingles"), ["block", "split"], join)
-    merged = merged.select(F.col("src").alias("component"), F.col("dst").alias("head"))
-    found = written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
-    # All pairs of splits, where a block has several components left.
+    found = merged_labels(found, merged.select(F.col("src").alias("component"), F.col("dst").alias("head")))
+    # Links across splits, where a block has several components left.
     large = large.join(found.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     open_ = large.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
-    large = cut(large.join(open_, "block", "left_semi"))
+    large = cut(large.join(open_, "block", "left_semi").select("d", "label", "shingles"))
     if large.isEmpty():
         return found
-    splits = large.select("block", "split").distinct()
-    pairs = splits.select("block", F.col("split").alias("a")).join(splits.select("block", F.col("split").alias("b")), "block").filter("a < b")
-    columns = ["block", "a", "b", "d", "shingles", "side", "label"]
-    across = [pairs.join(large.withColumnRenamed("split", name), ["block", name]).withColumn("side", F.lit(s)).select(columns) for s, name in enumerate("ab")]
+    keys = cut(set_keys(large, join))
+    mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), split_count().alias("splits")).filter("low < high").select("key", "splits")
+    mixed = cut(keys.join(mixed, "key").select("key", "splits", "d", F.pmod(F.xxhash64("d"), F.col("splits")).alias("split")))
+    columns = ["key", "a", "b", "d", "shingles", "label"]
+    inside = mixed.select("key", F.col("split").alias("a"), F.col("split").alias("b"), "d").join(large, "d").select(columns)
+    links = join_groups(inside, ["key", "a", "b"], join)
+    if not mixed.filter("splits > 1").isEmpty():
+        # Pairs of the splits of one part: only parts beyond what a task holds have more than one.
+        splits = mixed.filter("splits > 1").select("key", "split").distinct()
+        pairs = splits.select("key", F.col("split").alias("a")).join(splits.select("key", F.col("split").alias("b")), "key").filter("a < b")
+        sides = [pairs.join(mixed.select("key", F.col("split").alias(name), "d"), ["key", name]).join(large, "d").withColumn("side", F.lit(s)).select(*columns, "side") for s, name in enumerate("ab")]
+        links = links.union(join_groups(sides[0].union(sides[1]), ["key", "a", "b"], join))
     label_of = found.select(F.col("node").alias("d"), F.col("component").alias("label"))
-    links = join_groups(across[0].union(across[1]), ["block", "a", "b"], join).filter("src <> dst")
-    links = links.join(label_of.withColumnsRenamed({"d": "src", "label": "from"}), "src").join(label_of.withColumnsRenamed({"d": "dst", "label": "to"}), "dst")
-    merged = connected_components(written(links.filter("from <> to").select("from", "to").distinct()), "from", "to").select(F.col("node").alias("component"), F.col("component").alias("head"))
-    return written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
+    links = links.filter("src <> dst").distinct().join(label_of.withColumnsRenamed({"d": "src", "label": "from"}), "src").join(label_of.withColumnsRenamed({"d": "dst", "label": "to"}), "dst")
+    merged = connected_components(written(links.filter("from <> to").select("from", "to").distinct()), "from", "to")
+    return merged_labels(found, merged.select(F.col("node").alias("component"), F.col("component").alias("head")))
 
 
 def row_key(id_col: str, text_col: str):
@@ -439,7 +476,7 @@ def near_rows(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFr
     rows = set_rows(docs, join).withColumn("row", F.monotonically_increasing_id())
     # Equal sets are gathered per run of rows first, so that a hot class is one row for each run.
     runs = cut(rows.groupBy("d", "n", F.shiftright("row", RUN_BITS).alias("run")).agg(F.collect_list(F.struct("doc_id", "row_key")).alias("ids"), F.min(one).alias("rep")))
-    classes = written(runs.filter("n > 0").groupBy("d").agg(F.min("rep").alias("rep")))
+    classes = written(runs.filter("n > 0").groupBy("d").agg(F.first("n").alias("n"), F.min("rep").alias("rep")))
     links = link_classes(docs, classes, join)
     of_label = classes.join(links.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     smallest = of_label.groupBy("label").agg(F.min("rep").alias("first"))
