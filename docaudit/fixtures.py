@@ -46,11 +46,37 @@ VIEWS["file_names"] = """select p_partkey as id, p_size as pages, concat('base_f
  case k % 5 when 0 then ' Э3_10.04' when 1 then '_СБ_' when 2 then ' соед СО.1' when 3 then ' NL сх_' else ' СОЕДИНЕНИЙ' end, p_partkey,
  case p_partkey % 4 when 0 then '.pdf' when 1 then '.XLSX' when 2 then '.dwg' else '.PDF' end) as path from k_part"""
 
+# Like spec_items, assembly_elements and scheme_tags, with what the cross-document rules have to fold or leave out: Cyrillic
+# letters, leading zeros, terminals, channels, ratings, ranges, replaced and repeated captions, type marks.
+VIEWS["order_rows"] = """select concat('CAB', b) as bundle, concat('SO-', b) as document, k as row_no, b = 7 as project_wide,
+ case when k % 5 = 0 then concat('К0', k + 1) when k % 23 = 7 then concat('K', k + 1, 'A') else concat('K', k + 1) end as designator,
+ case when k % 31 in (0, 4) then null when p_size % 10 = 3 then concat(' аrt', b, '-', 1000 + k) else concat('ART', b, '-', 1000 + k) end as code,
+ case when k % 31 = 0 then concat('TM', b, '-', 2000 + k) else null end as type_mark,
+ concat(p_type, ' relay ', case when k % 2 = 0 then '24' else '230' end, 'V', case when k % 19 = 0 then concat(' for K', k + 7, ', DIN') else '' end) as name,
+ case when k % 13 = 0 then concat('replaced by ALT', b, '-', 1000 + k) else null end as note
+ from k_part where p_partkey % 7 <> 0 and (b <> 6 or k < 1) and (b <> 8 or k > 2)"""
+VIEWS["drawn_labels"] = """select concat('CAB', b) as bundle, concat('SB-', b) as document, s.sheet as sheet, k * 3 + s.sheet as ord,
+ case when k % 23 = 4 then concat(k % 30, 'NO') when k % 23 = 5 then concat('DI', k % 9) when k % 23 = 6 then concat('K', k, '-K', k + 2) when k % 23 = 9 then concat('FU', k)
+ when k % 4 = 0 then concat('К', k + 1) when k % 3 = 0 then concat('K00', k + 1) else concat('K', k + 1) end as designator,
+ case when k % 29 = 2 then '230VAC' when k % 29 = 3 then '13NO' when k % 5 = 2 then concat('CAP-', b, '00') when k % 31 = 0 then concat('TM', b, '-', 2000 + k)
+ when k % 41 = 8 then 'relay' when k % 41 = 9 then '' when p_size % 11 = 0 or k % 13 = 0 then concat('ALT', b, '-', 1000 + k) when k % 4 = 1 and s.sheet = 2 then concat('OTHER-', k)
+ else concat('ART', b, '-', 1000 + k) end as article,
+ case when k % 17 = 3 then 'nearest' else 'block' end as pair_source,
+ concat('relay of type ', k, ': ', case when k % 6 = 0 then '36V' when k % 2 = 0 then '24VDC' else '0,23kV' end) as label_text
+ from k_part cross join (select 1 as sheet union all select 2 as sheet union all select 3 as sheet) s
+ where p_partkey % 9 <> 0 and not (s.sheet = 2 and k = 5) and not (s.sheet = 3 and k % 2 = 0)"""
+VIEWS["scheme_marks"] = """select distinct concat('CAB', b) as bundle, concat('E3-', b) as document, cast(1 + k % 8 as bigint) as sheet,
+ case when k % 23 = 4 then concat(k % 30, 'NO') when k % 23 = 5 then concat('DI', k % 9) when k % 23 = 6 then concat('K', k, '-K', k + 2) when k % 23 = 9 then concat('FU0', k) else concat('K', k + 1) end as designator,
+ case when p_size % 2 = 0 then concat('ALT', b, '-', 1000 + k) else concat('аRT', b, '-', 1000 + k) end as article from k_part where p_partkey % 3 <> 0"""
+VIEWS["designations"] = """select distinct concat('CAB', cast(floor(n_nationkey / 4) as bigint)) as bundle, concat(case when n_regionkey % 3 = 0 then 'SO-' when n_regionkey % 3 = 1 then 'SB-' else 'E3-' end, n_nationkey) as document,
+ case when n_regionkey % 3 = 0 then 'spec' when n_regionkey % 3 = 1 then 'assembly' else 'scheme' end as doc_type, n_nationkey as ord, n_nationkey % 8 = 0 as project_wide,
+ case when n_nationkey % 7 = 0 then 'no number' when n_nationkey % 3 <> 1 then '026.809.01-ИПК' else concat('026.80', n_regionkey % 3, '.02 СБ') end as designation from nation"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table. Spark puts the base tables in by name through parameters of ``sql``."""
     sql = VIEWS[name]
-    base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "events", "part") if f"from {t}" in sql or (t == "part" and "from k_part" in sql)}
+    base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "events", "part", "nation", "orders", "pages", "conversations") if f"from {t}" in sql or (t == "part" and "from k_part" in sql)}
     if "part" in base:
         base["k_part"] = spark.sql(K_PART.replace("from part", "from {part}"), part=base.pop("part"))
     for t in base:

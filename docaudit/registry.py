@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .plans import texts
+from .plans import across, texts
 from .plans.common import over, raw
 from .operators import album, bundles, logs, nets, odd, report, rules_cross, rules_single, tables
 
@@ -188,7 +188,7 @@ SQL = {
 }
 
 
-PLANS = [texts]
+PLANS = [texts, across]
 
 
 def queries() -> dict:
