@@ -72,6 +72,16 @@ VIEWS["designations"] = """select distinct concat('CAB', cast(floor(n_nationkey
  case when n_regionkey % 3 = 0 then 'spec' when n_regionkey % 3 = 1 then 'assembly' else 'scheme' end as doc_type, n_nationkey as ord, n_nationkey % 8 = 0 as project_wide,
  case when n_nationkey % 7 = 0 then 'no number' when n_nationkey % 3 <> 1 then '026.809.01-ИПК' else concat('026.80', n_regionkey % 3, '.02 СБ') end as designation from nation"""
 
+# Findings with one place or two, by rules and agents; some are not valid.
+VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
+ case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,
+ case l_partkey % 6 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' when 3 then 'low' when 4 then 'info' else 'urgent' end as severity,
+ case when l_suppkey % 3 = 0 then 'address' else 'article' end as type, case when l_linenumber % 2 = 0 then 'single_document' else 'cross_document' end as scope,
+ concat('NL-', l_suppkey % 4) as document, case when l_suppkey % 5 = 0 then 'scheme' else 'netlist' end as doc_type, l_partkey % 9 as sheet, l_orderkey % 7 as row_no,
+ case when l_partkey % 3 = 0 then null else concat('XT', l_partkey % 6) end as terminal_block, cast(l_orderkey % 5 as varchar(9)) as pin, case when l_partkey % 4 = 0 then concat('00USE', 10 + l_partkey % 8) else null end as kks,
+ case when l_linenumber % 3 = 0 then concat('SO-', l_suppkey % 4) else null end as document2, concat('K', l_partkey % 12) as designator, case when l_linenumber = 3 then null else concat('ART-', l_partkey % 12) end as article,
+ concat('finding of row ', l_linenumber) as finding, case when l_linenumber = 5 then null else 'check it' end as action from lineitem"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table. Spark puts the base tables in by name through parameters of ``sql``."""

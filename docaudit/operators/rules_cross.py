@@ -23,31 +23,3 @@ def spec_not_on_assembly(spec: DataFrame, elements: DataFrame, tags: DataFrame)
     scheme = keyed(tags, fold_designator).select("bundle", "key", F.lit(True).alias("on_scheme")).distinct()
     missing = s.join(drawn, ["bundle", "key"], "left_anti").join(scheme, ["bundle", "key"], "left")
     return missing.select("bundle", "key", "document", "row_no", F.when(F.col("on_scheme"), "low").otherwise("medium").alias("severity"))
-
-
-def article_not_in_spec(spec: DataFrame, elements: DataFrame) -> DataFrame:
-    """In-block articles that no spec row of the bundle names as its code, unless all their designators are ordered."""
-    a = keyed(elements.filter("pair_source = 'block' and article rlike '[0-9]'")).withColumn("art", fold(F.col("article")))
-    caption = mass_captions(elements).select("bundle", fold(F.col("article")).alias("art"))
-    codes = spec.select("bundle", fold(F.col("code")).alias("art")).distinct()
-    ordered = keyed(spec).select("bundle", "key", F.lit(True).alias("ordered")).distinct()
-    open_ = a.join(caption, ["bundle", "art"], "left_anti").join(codes, ["bundle", "art"], "left_anti").join(ordered, ["bundle", "key"], "left")
-    out = open_.groupBy("bundle", "art").agg(F.countDistinct("key").alias("designators"), F.bool_and(F.coalesce("ordered", F.lit(False))).alias("all_ordered"))
-    return out.filter("not all_ordered").select("bundle", "art", "designators")
-
-
-def designator_not_in_spec(spec: DataFrame, elements: DataFrame, tags: DataFrame) -> DataFrame:
-    """Drawn and on the scheme, but not ordered."""
-    k = lambda d: keyed(d, fold_designator).filter("key rlike '[0-9]$'").select("bundle", "key").distinct()
-    return k(elements).join(k(tags), ["bundle", "key"]).join(k(spec), ["bundle", "key"], "left_anti")
-
-
-def article_mismatch(spec: DataFrame, elements: DataFrame, tags: DataFrame) -> DataFrame:
-    """One in-block article for a designator, and another code in its first coded spec row."""
-    a = keyed(elements.filter("pair_source = 'block'")).groupBy("bundle", "key").agg(F.countDistinct("article").alias("n"), F.min("article").alias("article")).filter("n = 1")
-    s = keyed(spec.filter("code <> ''")).groupBy("bundle", "key").agg(F.min_by(F.struct("row_no", "code", "note"), "row_no").alias("s")).select("bundle", "key", "s.*")
-    scheme = keyed(tags, fold_designator).select("bundle", "key", F.lit(True).alias("on_scheme")).distinct()
-    both = a.join(s, ["bundle", "key"]).filter(fold(F.col("article")) != fold(F.col("code"))).join(scheme, ["bundle", "key"], "left")
-    noted = F.coalesce(F.contains(fold(F.col("note")), fold(F.col("article"))), F.lit(False))
-    severity = F.when(noted, "low").when(F.col("on_scheme"), "high").otherwise("medium")
-    return both.select("bundle", "key", "article", "code", "row_no", severity.alias("severity"), F.when(noted, "REVIEW").otherwise("MISMATCH").alias("kind"))

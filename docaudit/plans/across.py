@@ -33,9 +33,9 @@ def instruments(connections: DataFrame, marks: DataFrame) -> DataFrame:
 QUERIES = {
     "x5_designation_mismatch": over(R.designation_mismatch, "designations"),
     "x6_ordered_not_drawn": over(not_drawn, O, D, M),
-    "x7_article_not_ordered": over(R.article_not_in_spec, O, D),
-    "x8_designator_not_ordered": over(R.designator_not_in_spec, O, D, M),
-    "x9_article_differs": over(R.article_mismatch, O, D, M),
+    "x7_article_not_in_spec": over(R.article_not_in_spec, O, D),
+    "x8_designator_not_in_spec": over(R.designator_not_in_spec, O, D, M),
+    "x9_article_mismatch": over(R.article_mismatch, O, D, M),
     "x10_characteristic_mismatch": over(R.characteristic_mismatch, O, D),
     "x11_check_bundle": over(checked, O, D, M, "designations"),
     "x12_netlist_vs_scheme": over(terminals, "connections", M),

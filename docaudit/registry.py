@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .plans import across, texts
+from .plans import across, reports, texts
 from .plans.common import over, raw
-from .operators import album, bundles, logs, nets, odd, report, rules_cross, rules_single, tables
+from .operators import album, bundles, logs, nets, odd, report, rules_bundle, rules_cross, rules_single, tables
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, a, t = (view(spark, sf_dir, n) for n in ("spec_items", "assembly_elements", "scheme_tags"))
     ordered = rules_cross.spec_not_on_assembly(s, a, t).select("bundle", F.col("key").alias("designator"), F.lit("MISSING_ON_DRAWING").alias("kind"), "severity")
-    drawn = rules_cross.designator_not_in_spec(s, a, t).select("bundle", F.col("key").alias("designator"), F.lit("MISSING_IN_SPEC").alias("kind"), F.lit("high").alias("severity"))
+    drawn = rules_bundle.designator_not_in_spec(*(view(spark, sf_dir, n) for n in ("order_rows", "drawn_labels", "scheme_marks"))).select("bundle", "designator", F.lit("MISSING_IN_SPEC").alias("kind"), "severity")
     return ordered.unionByName(drawn).withColumn("rank", T.severity_rank(F.col("severity"))).orderBy("rank", "bundle", "designator")
 
 
@@ -61,21 +61,6 @@ def item_findings(items: DataFrame) -> DataFrame:
     return items.filter("note is not null or code like 'DUP%'").select(F.concat_ws("/", "document", F.lpad(F.col("row_no").cast("string"), 12, "0")).alias("finding_id"), kind.alias("kind"), severity.alias("severity"), F.array(ref).alias("refs"))
 
 
-def known_items(items: DataFrame) -> DataFrame:
-    """Known: replacements at every 26th row, whatever the document; planted codes of document SO-2; and places that do not exist."""
-    ref = lambda d, g, c: F.array(F.struct(d.alias("document"), g.alias("designator"), c.alias("article")))
-    no, doc, name = F.lit(None).cast("string"), F.col("document"), F.col("designator")
-    one = items.filter("row_no % 26 = 0").select(F.concat(F.lit("a"), "designator").alias("known_id"), F.lit("REPLACED").alias("kind"), ref(no, name, no).alias("refs")).distinct()
-    two = items.filter("document = 'SO-2'").select(F.lit("b").alias("known_id"), F.lit("DUPLICATE").alias("kind"), ref(doc, no, F.lit("")).alias("refs")).distinct()
-    three = items.select(F.concat(F.lit("c"), "document").alias("known_id"), no.alias("kind"), ref(doc, F.lit("none"), no).alias("refs")).distinct()
-    return one.unionByName(two).unionByName(three)
-
-
-def combined(items: DataFrame) -> DataFrame:
-    f = item_findings(items)
-    return report.combine(f.filter("kind = 'REPLACED'"), f.filter("finding_id not like 'SO-4%'")).select("finding_id", "signature")
-
-
 def sections(titles: DataFrame) -> DataFrame:
     return tables.carry_section(titles, "album", "sheet", "title").select("album", "sheet", "section")
 
@@ -91,13 +76,8 @@ QUERIES = {
     "cls9_drop_empty": over(lambda d, e: bundles.drop_empty(d.select("document").distinct(), e.filter("note is not null").select("document")), s, s),
     "cls10_lend_common_specs": over(lent, s, a, t),
     "cls11_project_wide_spec": over(project_wide, s, a, t),
-    "rep2_signature": over(lambda d: item_findings(d).select("finding_id", report.signature().alias("signature")), s),
-    "rep3_combine": over(combined, s),
-    "rep4_suppress_known": over(lambda d: report.suppress_known(item_findings(d), known_items(d)).select("finding_id"), s),
-    "rep5_unused_known": over(lambda d: report.unused_known(item_findings(d), known_items(d)).select("known_id"), s),
     "rep8_severity_sort": over(lambda d: report.severity_sort(item_findings(d)).select("finding_id", "severity"), s),
     "rep9_report_counts": over(lambda d: report.report_counts(item_findings(d)), s),
-    "rep14_baseline_diff": over(lambda d: report.baseline_diff(item_findings(d.filter("row_no % 4 <> 0")), item_findings(d.filter("row_no % 3 <> 0"))), s),
     "tab1_column_separators": over(tables.column_separators, "segments"),
     "tab7_carry_section": over(sections, "sheet_titles"),
     "r1_dup_terminal_address": over(rules_single.dup_terminal_address, "connections"),
@@ -115,9 +95,6 @@ QUERIES = {
     "r18_assembly_stats": over(rules_single.assembly_stats, a),
     "x4_mass_captions": over(lambda e: rules_cross.mass_captions(e, "label_text"), a),
     "x6_spec_not_on_assembly": over(rules_cross.spec_not_on_assembly, s, a, t),
-    "x7_article_not_in_spec": over(rules_cross.article_not_in_spec, s, a),
-    "x8_designator_not_in_spec": over(rules_cross.designator_not_in_spec, s, a, t),
-    "x9_article_mismatch": over(rules_cross.article_mismatch, s, a, t),
     "alb3_split_parts": over(album.split_parts, "sheet_titles"),
     "odd2_odd_ones_out": over(odd.odd_ones_out, "marks"),
     "odd3_drop_repeated": over(marks_dropped, "marks"),
@@ -151,13 +128,8 @@ SQL = {
     "cls9_drop_empty": "select document from spec_items group by document having count(note) > 0",
     "cls10_lend_common_specs": f"select * from {LENT}",
     "cls11_project_wide_spec": f"select n.bundle, n.document, count(distinct i.designator) as shared from {LENT} n join spec_items i using (document) where exists (select 1 from assembly_elements e where e.bundle = n.bundle and e.designator = i.designator) and exists (select 1 from scheme_tags g where g.bundle = n.bundle and g.designator = i.designator) group by n.bundle, n.document",
-    "rep2_signature": f"select finding_id, {SIGNATURE} as signature from {FOUND}",
-    "rep3_combine": f"select finding_id, {SIGNATURE} as signature from {FOUND} where kind = 'REPLACED' or finding_id not like 'SO-4%'",
-    "rep4_suppress_known": f"select finding_id from {FOUND} where not (kind = 'REPLACED' and row_no % 26 = 0) and not (kind = 'DUPLICATE' and document = 'SO-2')",
-    "rep5_unused_known": f"select distinct 'c' || document as known_id from spec_items union all select 'b' where exists (select 1 from spec_items where document = 'SO-2') and not exists (select 1 from {FOUND} where kind = 'DUPLICATE' and document = 'SO-2')",
     "rep8_severity_sort": f"select finding_id, severity from {FOUND} order by case severity when 'high' then 1 else 3 end, finding_id",
     "rep9_report_counts": f"select kind, severity, count(*) as n from {FOUND} group by all",
-    "rep14_baseline_diff": f"select {SIGNATURE} as signature, case when row_no % 3 = 0 then 'appeared' else 'vanished' end as change from {FOUND} where (row_no % 4 <> 0) <> (row_no % 3 <> 0)",
     "tab1_column_separators": "select document, sheet, x from (select *, max(length) over (partition by document, sheet) as top from (select document, sheet, round(x1) as x, sum(abs(y2 - y1)) as length from segments where abs(x1 - x2) <= 1 and y1 <> y2 group by document, sheet, round(x1))) where length >= 0.5 * top",
     "tab7_carry_section": "select album, sheet, last_value(nullif(title, '') ignore nulls) over (partition by album order by sheet rows between unbounded preceding and current row) as section from sheet_titles",
     "r1_dup_terminal_address": f"select document, terminal_address, count(*) as n, min(id) as first_id, list_sort(list(id))[2] as second_id, case when arg_min(pin, id) = 'PE' then 'medium' else 'high' end as severity from ({ADDRESS}) where terminal_address is not null group by document, terminal_address having count(*) >= 2",
@@ -175,9 +147,6 @@ SQL = {
     "r18_assembly_stats": "select document, designator, count(*) as n, count(distinct sheet) as sheets, count(distinct article) as articles, count(*) filter (pair_source = 'block') as in_block from assembly_elements group by all",
     "x4_mass_captions": "select bundle, label_text, count(distinct designator) as n from assembly_elements where pair_source = 'block' group by all having count(distinct designator) >= 25",
     "x6_spec_not_on_assembly": "select bundle, designator as key, arg_min(document, row_no) as document, min(row_no) as row_no, case when exists (select 1 from scheme_tags g where g.bundle = s.bundle and g.designator = s.designator) then 'low' else 'medium' end as severity from spec_items s where not exists (select 1 from assembly_elements e where e.bundle = s.bundle and e.designator = s.designator) group by bundle, designator",
-    "x7_article_not_in_spec": "select bundle, article as art, count(distinct designator) as designators from assembly_elements e where pair_source = 'block' and not exists (select 1 from spec_items s where s.bundle = e.bundle and s.code = e.article) group by bundle, article having not bool_and(exists (select 1 from spec_items s where s.bundle = e.bundle and s.designator = e.designator))",
-    "x8_designator_not_in_spec": "select distinct e.bundle, e.designator as key from assembly_elements e join scheme_tags g using (bundle, designator) where not exists (select 1 from spec_items s where s.bundle = e.bundle and s.designator = e.designator)",
-    "x9_article_mismatch": f"select bundle, key, x.article, z.code, z.row_no, case when contains(coalesce(z.note, ''), x.article) then 'low' when exists (select 1 from scheme_tags g where g.bundle = x.bundle and g.designator = x.key) then 'high' else 'medium' end as severity, case when contains(coalesce(z.note, ''), x.article) then 'REVIEW' else 'MISMATCH' end as kind from (select bundle, key, min(article) as article from ({BLOCK}) group by bundle, key having count(distinct article) = 1) x join (select bundle, designator as key, min(row_no) as row_no, arg_min(code, row_no) as code, max(note) as note from spec_items group by bundle, designator) z using (bundle, key) where x.article <> z.code",
     "alb3_split_parts": "select album, part, any_value(name) as title, min(pos) as first_page, max(pos) as last_page, count(*) as pages from (select *, cast(sum(new) over (partition by album order by sheet) as bigint) as part from (select *, case when lag(name) over (partition by album order by sheet) = name then 0 else 1 end as new from (select *, last_value(nullif(title, '') ignore nulls) over (partition by album order by sheet) as name, row_number() over (partition by album order by sheet) as pos from sheet_titles) where name is not null)) group by album, part",
     "odd2_odd_ones_out": ("select * from o", ODD),
     "odd3_drop_repeated": ("select o.* from o where (select count(distinct sheet) from o p where p.document = o.document and p.major = o.major and p.odd = o.odd) < 3", ODD),
@@ -188,7 +157,7 @@ SQL = {
 }
 
 
-PLANS = [texts, across]
+PLANS = [texts, across, reports]
 
 
 def queries() -> dict:
