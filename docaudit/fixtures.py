@@ -19,12 +19,12 @@ VIEWS = {
     "scheme_tags": "select distinct concat('CAB', b) as bundle, concat('E3-', b) as document, cast(1 + k % 8 as bigint) as sheet, concat('K', k + 1) as designator from k_part where p_partkey % 3 <> 0",
     "connections": """select l_orderkey * 10 + l_linenumber as id, concat('NL-', l_suppkey % 10) as document, cast(1 + l_orderkey % 20 as bigint) as page,
  concat('C', l_suppkey % 10) as cabinet, case when l_partkey % 37 = 0 then null else concat('XT', l_partkey % 90) end as terminal_block,
- case when l_linenumber = 7 then 'PE' else cast(l_orderkey % 60 as varchar(9)) end as pin,
+ case when l_linenumber = 7 then case when l_partkey % 2 = 0 then 'pe' else 'PE' end else cast(l_orderkey % 60 as varchar(9)) end as pin,
  case when l_returnflag = 'R' and l_linenumber = 1 then 'Резерв' when l_partkey % 11 = 0 then concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90, 'XQ01') else concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90) end as kks,
- case when l_partkey % 23 = 0 then concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90) when l_returnflag = 'R' then '00CJF02AI010P_01' else 'L+' end as conductor
+ case when l_partkey % 23 = 0 then concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90) when l_returnflag = 'R' and l_partkey % 9 = 0 then 'BK 2x1' when l_returnflag = 'R' then '00CJF02AI010P_01' else 'L+' end as conductor
  from lineitem""",
     "sheet_titles": "select concat('ALB', user_id % 5) as album, event_id as sheet, case when event_type in ('click','view') then '' else event_type end as title from events",
-    "cross_refs": "select distinct concat('E3-', l_suppkey % 10) as document, cast(1 + l_partkey % 40 as bigint) as from_sheet, cast(1 + l_orderkey % 45 as bigint) as target_sheet from lineitem where l_linenumber = 1 and l_orderkey % 5 = 0",
+    "cross_refs": "select distinct concat('E3-', l_suppkey % 10) as document, cast(1 + l_partkey % 400 as bigint) as from_sheet, cast(1 + l_orderkey % 450 as bigint) as target_sheet from lineitem",
     "segments": """select concat('E3-', b) as document, 1 + k % 3 as sheet, p_partkey as seg, cast((k % 20) * 10 as double) as x1, cast(floor(k / 20) * 10 as double) as y1,
  cast((k % 20) * 10 + case when p_size % 2 = 0 then 20 else 0 end as double) as x2, cast(floor(k / 20) * 10 + case when p_size % 2 = 0 then 0 else 10 end as double) as y2,
  cast(case when p_size % 9 = 0 then 0.0 else 0.72 end as double) as width from k_part""",
@@ -72,6 +72,7 @@ VIEWS["designations"] = """select distinct concat('CAB', cast(floor(n_nationkey
  case when n_regionkey % 3 = 0 then 'spec' when n_regionkey % 3 = 1 then 'assembly' else 'scheme' end as doc_type, n_nationkey as ord, n_nationkey % 8 = 0 as project_wide,
  case when n_nationkey % 7 = 0 then 'no number' when n_nationkey % 3 <> 1 then '026.809.01-ИПК' else concat('026.80', n_regionkey % 3, '.02 СБ') end as designation from nation"""
 
+VIEWS["sheet_refs"] = """select concat('E3-', l_suppkey % 3) as document, cast(1 + l_partkey % 30 as bigint) as from_sheet, cast(1 + l_orderkey % 35 as bigint) as target_sheet, concat('see ', l_linenumber, '/', l_partkey % 4) as raw_text from lineitem"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,

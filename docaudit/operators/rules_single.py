@@ -4,8 +4,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import text as T
+
 RESERVE = "резерв"  # fixed value: the word that marks a spare row
-TAG = r"^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$"
+# Rules by type of document, and of wiring tables by their kind; those that suit the specification of one cabinet alone.
+RULES = {"scheme": ["broken_sheet_link", "one_way_sheet_link", "dup_address_on_sheet", "dup_relay_coil"], "spec": ["cell_errors", "qty_below_positions", "dup_code"], "assembly": ["missing_from_peer_sheet"]}
+TABLE_RULES = {
+    "gost_connections": ["dup_terminal_address", "tag_in_conductor", "kks_suffix_artifact", "missing_terminal", "reserve_tag_placement"],
+    "signal_list": ["dup_signal_channel"], "cable_journal": ["dup_cable"], "param_list": [],
+}
+ONE_CABINET_ONLY = ["dup_code"]
 
 
 def is_reserve(kks):
@@ -13,20 +21,41 @@ def is_reserve(kks):
 
 
 def duplicates(rows: DataFrame, by: list[str], id_col: str, extra: list | None = None) -> DataFrame:
-    """Groups of two or more rows: the keys, n, and the ids of the first two. Partial aggregates carry three numbers a group."""
-    g = rows.filter(" and ".join(f"{c} is not null" for c in by)).groupBy(*by)
-    out = g.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), *(extra or [])).filter("n >= 2")
-    again = F.count_if(F.col(id_col) == F.col("first_id")) > 1  # two rows may have one id
-    later = F.min(F.when(F.col(id_col) > F.col("first_id"), F.col(id_col)))
-    second = rows.join(out.select(*by, "first_id"), by).groupBy(*by).agg(F.when(again, F.min("first_id")).otherwise(later).alias("second_id"))
-    return out.join(second, by, "left")
+    """Groups of two or more rows: the keys, n, and the ids of the first two.
+
+    Each part of the table hands on two rows of a group at most, and a count, so that a large group stays small on its way.
+    """
+    rows = rows.filter(" and ".join(f"{c} is not null and {c} <> ''" for c in by))
+    two = rows.select(*by, id_col, *(extra or [])).withColumn("at", F.row_number().over(W.Window.partitionBy(*by).orderBy(id_col))).filter("at <= 2")
+    two = two.groupBy(*by).agg(F.min(id_col).alias("first_id"), F.max(id_col).alias("second_id"), F.max("at").alias("many"), *[F.min_by(c, "at").alias(c) for c in extra or []])
+    return two.filter("many = 2").join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
 
 
 def dup_terminal_address(connections: DataFrame) -> DataFrame:
     """Terminal addresses met in two rows or more; medium when the first row's pin is PE."""
     rows = connections.withColumn("terminal_address", F.expr("cabinet || '.' || terminal_block || '.' || pin"))
-    out = duplicates(rows, ["document", "terminal_address"], "id", [F.min_by("pin", "id").alias("pin")])
-    return out.select("document", "terminal_address", "n", "first_id", "second_id", F.when(F.col("pin") == "PE", "medium").otherwise("high").alias("severity"))
+    out = duplicates(rows, ["document", "terminal_address"], "id", ["pin"])
+    return out.select("document", "terminal_address", "n", "first_id", "second_id", F.when(F.upper("pin") == "PE", "medium").otherwise("high").alias("severity"))
+
+
+def dup_in_table(connections: DataFrame, kind: str, column: str) -> DataFrame:
+    out = duplicates(connections.filter(F.col("table_kind") == kind), ["document", column], "id")
+    return out.select("document", column, "n", "first_id", "second_id", F.lit("high").alias("severity"))
+
+
+def dup_signal_channel(connections: DataFrame) -> DataFrame:
+    """Channels that a signal list names in two rows or more."""
+    return dup_in_table(connections, "signal_list", "connection_address")
+
+
+def dup_cable(connections: DataFrame) -> DataFrame:
+    """Cables that a cable journal names in two rows or more."""
+    return dup_in_table(connections, "cable_journal", "cable_harness")
+
+
+def cell_errors(cells: DataFrame) -> DataFrame:
+    """Cells that hold a spreadsheet's error value."""
+    return cells.filter(T.is_cell_error(F.col("value"))).select("document", "row", "cell", "value", F.lit("FORMAT").alias("kind"))
 
 
 def tag_in_conductor(connections: DataFrame) -> DataFrame:
@@ -34,8 +63,7 @@ def tag_in_conductor(connections: DataFrame) -> DataFrame:
 
 
 def kks_suffix_artifact(connections: DataFrame) -> DataFrame:
-    part = lambda i: F.regexp_extract("kks", TAG, i)
-    return connections.filter(F.col("kks").rlike(TAG)).select("document", "id", part(1).alias("tag"), part(2).alias("tail"))
+    return connections.select("document", "id", T.kks_suffix(F.col("kks")).alias("s")).filter("s is not null").select("document", "id", "s.tag", "s.tail")
 
 
 def missing_terminal(connections: DataFrame) -> DataFrame:
@@ -45,18 +73,22 @@ def missing_terminal(connections: DataFrame) -> DataFrame:
 
 def reserve_tag_placement(connections: DataFrame, channel_column: str = "conductor", shown: int = 15) -> DataFrame:
     """One row per document: spare rows that carry a channel name, with the first ids."""
-    rows = connections.filter(is_reserve(F.col("kks")) & (F.coalesce(F.col(channel_column), F.lit("")) != ""))
+    rows = connections.filter(is_reserve(F.col("kks")) & F.col(channel_column).rlike(T.CHANNEL_TAG))
     w = W.Window.partitionBy("document").orderBy("id")
     first = rows.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= shown)
     ids = first.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return rows.groupBy("document").agg(F.count(F.lit(1)).alias("n")).join(ids, "document")
+    counts = rows.groupBy("document").agg(F.count(F.lit(1)).alias("n")).join(ids, "document")
+    return counts.select("document", "n", F.when(F.col("n") > shown, F.concat("ids", F.lit("..."))).otherwise(F.col("ids")).alias("ids"))
 
 
 def qty_below_positions(spec_items: DataFrame) -> DataFrame:
     return spec_items.filter("quantity > 1 and n_positions >= 2 and quantity < n_positions").select("document", "row_no", "quantity", "n_positions")
 
 
-def dup_code(spec_items: DataFrame) -> DataFrame:
+def dup_code(spec_items: DataFrame, project_wide: DataFrame | None = None) -> DataFrame:
+    """Codes in two rows or more; specifications of a whole project (document) are left out, as there cabinets have rows of their own."""
+    if project_wide is not None:
+        spec_items = spec_items.join(project_wide, "document", "left_anti")
     return duplicates(spec_items.filter("code <> ''"), ["document", "code"], "row_no").select("document", "code", "n", "first_id", "second_id")
 
 
@@ -76,12 +108,42 @@ def broken_sheet_link(refs: DataFrame, sheets: DataFrame) -> DataFrame:
     return refs.join(sheets, "document").filter("target_sheet < 1 or target_sheet > total").select("document", "from_sheet", "target_sheet")
 
 
-def one_way_sheet_link(refs: DataFrame) -> DataFrame:
-    pairs = refs.filter("from_sheet <> target_sheet").select("document", "from_sheet", "target_sheet").distinct()
-    back = pairs.select("document", F.col("from_sheet").alias("target_sheet"), F.col("target_sheet").alias("from_sheet"))
+def one_way_sheet_link(refs: DataFrame, shown: int = 5) -> DataFrame:
+    """Pairs of sheets without a link back: how many links, and the first texts of them."""
+    rows = refs.filter("from_sheet <> target_sheet")
+    back = rows.select("document", F.col("from_sheet").alias("target_sheet"), F.col("target_sheet").alias("from_sheet")).distinct()
+    texts = rows.groupBy("document", "from_sheet", "target_sheet", "raw_text").agg(F.count(F.lit(1)).alias("n"))
+    w = W.Window.partitionBy("document", "from_sheet", "target_sheet")
+    texts = texts.withColumn("all", F.sum("n").over(w)).withColumn("at", F.row_number().over(w.orderBy("raw_text"))).filter(F.col("at") <= shown)
+    pairs = texts.groupBy("document", "from_sheet", "target_sheet", F.col("all").alias("n")).agg(F.array_join(F.array_sort(F.collect_list("raw_text")), "|").alias("examples"))
     return pairs.join(back, ["document", "from_sheet", "target_sheet"], "left_anti")
 
 
+def dup_address_on_sheet(addresses: DataFrame) -> DataFrame:
+    """Addresses (block:pin) written several times on a sheet. Common pins do not count, nor blocks drawn again:
+    those with two repeated addresses or more, common pins included. addresses: document, sheet, address, n."""
+    block, pin = F.split_part("address", F.lit(":"), F.lit(1)), F.upper(F.trim(F.regexp_extract("address", ":(.*)$", 1)))
+    same = W.Window.partitionBy("document", "sheet", "block")
+    rows = addresses.withColumn("block", block).withColumn("together", F.size(F.collect_set("address").over(same)))
+    return rows.filter((F.col("together") < 2) & ~pin.isin("N", "PE", "PEN")).select("document", "sheet", "address", "n", F.lit("high").alias("severity"))
+
+
+def dup_relay_coil(coils: DataFrame) -> DataFrame:
+    """Designators at two coils or more of a document."""
+    per = coils.groupBy("document", "designator").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sheet").alias("sheets"), F.min("sheet").alias("first_sheet"))
+    return per.filter("n >= 2").withColumn("severity", F.lit("high"))
+
+
+def applicable(documents: DataFrame) -> DataFrame:
+    """document, rule: the rules that read a document. documents: document, doc_type, table_kind, project_wide."""
+    array = lambda names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    by = lambda c, table: F.coalesce(*[F.when(c == k, array(v)) for k, v in table.items()])
+    wiring = F.coalesce(by(F.col("table_kind"), TABLE_RULES), array(TABLE_RULES["gost_connections"]))
+    rules = F.when(F.col("doc_type") == "netlist", wiring).otherwise(by(F.col("doc_type"), RULES))
+    rules = F.when(F.col("project_wide"), F.array_except(rules, array(ONE_CABINET_ONLY))).otherwise(rules)
+    return documents.select("document", F.explode(rules).alias("rule"))
+
+
 def column_population(connections: DataFrame) -> DataFrame:
     filled = [F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"n_{c}") for c in ("terminal_block", "pin", "kks", "conductor")]
     return connections.groupBy("document").agg(F.count(F.lit(1)).alias("n"), *filled, F.count_if(is_reserve(F.col("kks"))).alias("n_reserve"), F.countDistinct("terminal_block").alias("blocks"), F.max("page").alias("pages"))
@@ -93,3 +155,38 @@ def spec_stats(spec_items: DataFrame) -> DataFrame:
 
 def assembly_stats(elements: DataFrame) -> DataFrame:
     return elements.groupBy("document", "designator").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sheet").alias("sheets"), F.countDistinct("article").alias("articles"), F.count_if(F.col("pair_source") == "block").alias("in_block"))
+
+
+def table_stats(connections: DataFrame) -> DataFrame:
+    """Per wiring table: filled cells by column, blocks and owners, spare rows (the word anywhere in the owner), repeated addresses, pages."""
+    filled = [F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"n_{c}") for c in ("terminal_block", "pin", "kks", "conductor")]
+    some = lambda c: F.countDistinct(F.nullif(F.col(c), F.lit("")))
+    rows = connections.groupBy("document").agg(
+        F.count(F.lit(1)).alias("n"), *filled, some("terminal_block").alias("blocks"), some("kks").alias("owners"), F.count_if(F.contains(F.lower(F.coalesce("kks", F.lit(""))), F.lit(RESERVE))).alias("reserve"), F.max("page").alias("pages")
+    )
+    address = F.expr("cabinet || '.' || terminal_block || '.' || pin")
+    again = connections.filter(address.isNotNull()).groupBy("document", address.alias("address")).agg(F.count(F.lit(1)).alias("k"))
+    again = again.groupBy("document").agg(F.count_if(F.col("k") > 1).alias("duplicate_addresses"), F.max("k").alias("most_often"))
+    return rows.join(again, "document", "left")
+
+
+def spec_sections(items: DataFrame) -> DataFrame:
+    """Per specification: rows, rows with a position, different designators, rows without a code, codes of several rows."""
+    per = items.groupBy("document").agg(
+        F.count(F.lit(1)).alias("rows_"), F.count_if(F.col("designator") != "").alias("with_position"), F.countDistinct("designator").alias("designators"), F.count_if(F.coalesce("code", F.lit("")) == "").alias("without_code")
+    )
+    codes = items.filter("code <> ''").groupBy("document", "code").agg(F.count(F.lit(1)).alias("n")).groupBy("document").agg(F.count_if(F.col("n") > 1).alias("duplicate_codes"))
+    return per.join(codes, "document", "left").na.fill(0, ["duplicate_codes"])
+
+
+def designator_index(labels: DataFrame) -> DataFrame:
+    """Per designator of a drawing: labels, sheets, articles and how they were paired, each sorted and comma-joined."""
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",").alias(c)
+    per = labels.groupBy("document", "designator").agg(F.count(F.lit(1)).alias("n"), listed("sheet"), listed("article"), listed("pair_source"))
+    return per.withColumnsRenamed({"sheet": "sheets", "article": "articles", "pair_source": "sources"})
+
+
+def pairing_totals(labels: DataFrame) -> DataFrame:
+    """Per drawing: labels paired in a block, by nearness, and not at all."""
+    of = lambda s: F.count_if(F.col("pair_source") == s)
+    return labels.groupBy("document").agg(F.count(F.lit(1)).alias("n"), of("block").alias("in_block"), of("nearest").alias("nearest"), F.count_if(F.coalesce("article", F.lit("")) == "").alias("unpaired"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .plans import across, reports, texts
+from .plans import across, reports, rules, texts
 from .plans.common import over, raw
 from .operators import album, bundles, logs, nets, odd, report, rules_bundle, rules_cross, rules_single, tables
 
@@ -22,7 +22,7 @@ def marks_dropped(marks: DataFrame) -> DataFrame:
 
 
 def links(refs: DataFrame) -> DataFrame:
-    return rules_single.broken_sheet_link(refs, refs.select("document").distinct().withColumn("total", F.lit(40)))
+    return rules_single.broken_sheet_link(refs, refs.select("document").distinct().withColumn("total", F.lit(400)))
 
 
 def text_keys(part: DataFrame) -> DataFrame:
@@ -89,7 +89,6 @@ QUERIES = {
     "r10_dup_code": over(rules_single.dup_code, s),
     "r11_missing_from_peer_sheet": over(rules_single.missing_from_peer_sheet, a),
     "r12_broken_sheet_link": over(links, "cross_refs"),
-    "r13_one_way_sheet_link": over(rules_single.one_way_sheet_link, "cross_refs"),
     "r16_column_population": over(rules_single.column_population, "connections"),
     "r17_spec_stats": over(rules_single.spec_stats, s),
     "r18_assembly_stats": over(rules_single.assembly_stats, a),
@@ -132,16 +131,15 @@ SQL = {
     "rep9_report_counts": f"select kind, severity, count(*) as n from {FOUND} group by all",
     "tab1_column_separators": "select document, sheet, x from (select *, max(length) over (partition by document, sheet) as top from (select document, sheet, round(x1) as x, sum(abs(y2 - y1)) as length from segments where abs(x1 - x2) <= 1 and y1 <> y2 group by document, sheet, round(x1))) where length >= 0.5 * top",
     "tab7_carry_section": "select album, sheet, last_value(nullif(title, '') ignore nulls) over (partition by album order by sheet rows between unbounded preceding and current row) as section from sheet_titles",
-    "r1_dup_terminal_address": f"select document, terminal_address, count(*) as n, min(id) as first_id, list_sort(list(id))[2] as second_id, case when arg_min(pin, id) = 'PE' then 'medium' else 'high' end as severity from ({ADDRESS}) where terminal_address is not null group by document, terminal_address having count(*) >= 2",
+    "r1_dup_terminal_address": f"select document, terminal_address, count(*) as n, min(id) as first_id, list_sort(list(id))[2] as second_id, case when upper(arg_min(pin, id)) = 'PE' then 'medium' else 'high' end as severity from ({ADDRESS}) where terminal_address is not null group by document, terminal_address having count(*) >= 2",
     "r2_tag_in_conductor": "select document, id, kks from connections where kks = conductor and kks <> ''",
-    "r3_kks_suffix_artifact": r"select document, id, regexp_extract(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$', 1) as tag, regexp_extract(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$', 2) as tail from connections where regexp_matches(kks, '^(\d{2}[A-Z]{3}\d{2}[A-Z]{2}\d{3})(.+)$')",
+    "r3_kks_suffix_artifact": r"select document, id, regexp_extract(kks, '^(00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3})(.+)$', 1) as tag, regexp_extract(kks, '^(00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3})(.+)$', 2) as tail from connections where regexp_matches(kks, '^(00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3})(.+)$')",
     "r4_missing_terminal": "select document, id, kks from connections where kks <> 'Резерв' and kks <> '' and (terminal_block is null or pin is null)",
-    "r5_reserve_tag_placement": "select document, count(*) as n, array_to_string(list_sort(list(id))[1:15], ',') as ids from connections where kks = 'Резерв' and conductor <> '' group by document",
+    "r5_reserve_tag_placement": "select document, count(*) as n, concat(array_to_string(list_sort(list(id))[1:15], ','), case when count(*) > 15 then '...' else '' end) as ids from connections where kks = 'Резерв' and regexp_matches(conductor, '^00[A-Z0-9]{4,}[A-Z][0-9]{2,3}[A-Z]?(_[0-9]+)?$') group by document",
     "r9_qty_below_positions": "select document, row_no, quantity, n_positions from spec_items where quantity > 1 and n_positions >= 2 and quantity < n_positions",
     "r10_dup_code": "select document, code, count(*) as n, min(row_no) as first_id, list_sort(list(row_no))[2] as second_id from spec_items group by document, code having count(*) >= 2",
     "r11_missing_from_peer_sheet": "select * from (select x.document, x.sheet, y.sheet as peer, unnest(list_filter(x.d, lambda v: not list_contains(y.d, v))) as designator from (select document, sheet, list(distinct designator) as d from assembly_elements group by all) x join (select document, sheet, list(distinct designator) as d from assembly_elements group by all) y on x.document = y.document and x.sheet <> y.sheet where len(list_intersect(x.d, y.d)) >= 8 and len(x.d) - len(list_intersect(x.d, y.d)) between 1 and 3 and len(list_intersect(x.d, y.d)) >= 0.9 * len(x.d))",
-    "r12_broken_sheet_link": "select * from cross_refs where target_sheet < 1 or target_sheet > 40",
-    "r13_one_way_sheet_link": "select a.* from cross_refs a where from_sheet <> target_sheet and not exists (select 1 from cross_refs b where b.document = a.document and b.from_sheet = a.target_sheet and b.target_sheet = a.from_sheet)",
+    "r12_broken_sheet_link": "select * from cross_refs where target_sheet < 1 or target_sheet > 400",
     "r16_column_population": "select document, count(*) as n, count(*) filter (terminal_block <> '') as n_terminal_block, count(*) filter (pin <> '') as n_pin, count(*) filter (kks <> '') as n_kks, count(*) filter (conductor <> '') as n_conductor, count(*) filter (kks = 'Резерв') as n_reserve, count(distinct terminal_block) as blocks, max(page) as pages from connections group by document",
     "r17_spec_stats": "select document, count(*) as n, count(distinct designator) as designators, count(distinct code) as codes, count(*) filter (coalesce(code, '') = '') as without_code from spec_items group by document",
     "r18_assembly_stats": "select document, designator, count(*) as n, count(distinct sheet) as sheets, count(distinct article) as articles, count(*) filter (pair_source = 'block') as in_block from assembly_elements group by all",
@@ -157,7 +155,7 @@ SQL = {
 }
 
 
-PLANS = [texts, across, reports]
+PLANS = [texts, across, reports, rules]
 
 
 def queries() -> dict:
