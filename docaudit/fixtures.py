@@ -73,6 +73,15 @@ VIEWS["designations"] = """select distinct concat('CAB', cast(floor(n_nationkey
  case when n_nationkey % 7 = 0 then 'no number' when n_nationkey % 3 <> 1 then '026.809.01-ИПК' else concat('026.80', n_regionkey % 3, '.02 СБ') end as designation from nation"""
 
 VIEWS["sheet_refs"] = """select concat('E3-', l_suppkey % 3) as document, cast(1 + l_partkey % 30 as bigint) as from_sheet, cast(1 + l_orderkey % 35 as bigint) as target_sheet, concat('see ', l_linenumber, '/', l_partkey % 4) as raw_text from lineitem"""
+ALBUM_TITLES = ["Схема электрическая принципиальная ЩС2 OS001", "Общий вид щита (ЩС1) OS001", "Спецификация оборудования", "Кабельный журнал", "План расположения оборудования", "Вид спереди", "Схема внешних соединений ШУ1",
+ "Функциональная схема автоматизации", "Перечень элементов ЩС2", "Пояснительная записка", "Чертёж неизвестный", "Общий вид щита (ЩА) OS002"]
+VIEWS["album_sheets"] = "select concat('ALB', user_id % 200) as album, event_id as sheet, case when event_id % 3 = 1 then '' when event_id % 5 = 0 then upper(t) when event_id % 5 = 1 then concat(' ', replace(t, ' ', '  ')) else t end as title from (select user_id, event_id, " + (
+    "case cast(floor(event_id / 60) as bigint) % 12 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(ALBUM_TITLES)) + " end as t from events) as x"
+)
+VIEWS["title_lines"] = """select concat('ALB', user_id % 200) as album, event_id as sheet, l.line as line, case l.line when 1 then case when event_id % 7 = 0 then '' when user_id % 2 = 0 then 'Котельная  №1' else 'КОТЕЛЬНАЯ №1' end when 2 then event_type else concat('лист ', event_id % 50) end as text
+ from events cross join (select 1 as line union all select 2 as line union all select 3 as line) l"""
+VIEWS["extracts"] = """select p_partkey as id, case p_partkey % 5 when 0 then 'scheme' when 1 then 'netlist' when 2 then 'spec' when 3 then 'assembly' else 'functional' end as doc_type, case when p_size % 13 = 0 then 0 else 2 end as n_files, case when p_size % 7 = 0 then 1 else 0 end as n_errors,
+ p_size % 9 as pages, (p_size * 7) % 90 as nodes, (p_size * 3) % 60 as nets, p_size % 4 as terminals, p_size % 3 as markings, p_size % 2 as connections, p_size % 3 as rows, p_size % 5 as designators, p_size % 4 as elements, p_size % 2 as paired, p_size % 2 as instruments, p_size % 3 > 0 as has_number from k_part"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .plans import across, reports, rules, texts
+from .plans import across, albums, reports, rules, texts
 from .plans.common import over, raw
-from .operators import album, bundles, logs, nets, odd, report, rules_bundle, rules_cross, rules_single, tables
+from .operators import bundles, logs, nets, odd, report, rules_bundle, rules_cross, rules_single, tables
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,6 @@ QUERIES = {
     "r18_assembly_stats": over(rules_single.assembly_stats, a),
     "x4_mass_captions": over(lambda e: rules_cross.mass_captions(e, "label_text"), a),
     "x6_spec_not_on_assembly": over(rules_cross.spec_not_on_assembly, s, a, t),
-    "alb3_split_parts": over(album.split_parts, "sheet_titles"),
     "odd2_odd_ones_out": over(odd.odd_ones_out, "marks"),
     "odd3_drop_repeated": over(marks_dropped, "marks"),
     "net2_drop_hairlines": over(nets.drop_hairlines, "segments"),
@@ -145,7 +144,6 @@ SQL = {
     "r18_assembly_stats": "select document, designator, count(*) as n, count(distinct sheet) as sheets, count(distinct article) as articles, count(*) filter (pair_source = 'block') as in_block from assembly_elements group by all",
     "x4_mass_captions": "select bundle, label_text, count(distinct designator) as n from assembly_elements where pair_source = 'block' group by all having count(distinct designator) >= 25",
     "x6_spec_not_on_assembly": "select bundle, designator as key, arg_min(document, row_no) as document, min(row_no) as row_no, case when exists (select 1 from scheme_tags g where g.bundle = s.bundle and g.designator = s.designator) then 'low' else 'medium' end as severity from spec_items s where not exists (select 1 from assembly_elements e where e.bundle = s.bundle and e.designator = s.designator) group by bundle, designator",
-    "alb3_split_parts": "select album, part, any_value(name) as title, min(pos) as first_page, max(pos) as last_page, count(*) as pages from (select *, cast(sum(new) over (partition by album order by sheet) as bigint) as part from (select *, case when lag(name) over (partition by album order by sheet) = name then 0 else 1 end as new from (select *, last_value(nullif(title, '') ignore nulls) over (partition by album order by sheet) as name, row_number() over (partition by album order by sheet) as pos from sheet_titles) where name is not null)) group by album, part",
     "odd2_odd_ones_out": ("select * from o", ODD),
     "odd3_drop_repeated": ("select o.* from o where (select count(distinct sheet) from o p where p.document = o.document and p.major = o.major and p.odd = o.odd) < 3", ODD),
     "net2_drop_hairlines": "select * exclude (stroked) from (select *, count(*) filter (width > 0) over (partition by document, sheet) as stroked from segments) where width > 0 or stroked < 20",
@@ -155,7 +153,7 @@ SQL = {
 }
 
 
-PLANS = [texts, across, reports, rules]
+PLANS = [texts, across, reports, rules, albums]
 
 
 def queries() -> dict:
