@@ -82,6 +82,20 @@ VIEWS["title_lines"] = """select concat('ALB', user_id % 200) as album, event_id
  from events cross join (select 1 as line union all select 2 as line union all select 3 as line) l"""
 VIEWS["extracts"] = """select p_partkey as id, case p_partkey % 5 when 0 then 'scheme' when 1 then 'netlist' when 2 then 'spec' when 3 then 'assembly' else 'functional' end as doc_type, case when p_size % 13 = 0 then 0 else 2 end as n_files, case when p_size % 7 = 0 then 1 else 0 end as n_errors,
  p_size % 9 as pages, (p_size * 7) % 90 as nodes, (p_size * 3) % 60 as nets, p_size % 4 as terminals, p_size % 3 as markings, p_size % 2 as connections, p_size % 3 as rows, p_size % 5 as designators, p_size % 4 as elements, p_size % 2 as paired, p_size % 2 as instruments, p_size % 3 > 0 as has_number from k_part"""
+# Drawings: level wires with branches from their middle, crossings, strokes of letters and a frame; labels around them.
+AT = "cast((k % 12) * 30 as double) as gx, cast(floor(k / 12) * 16 as double) as gy"
+VIEWS["wires"] = f"""select concat('E3-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as seg, case when k % 4 = 0 then gx when k % 4 = 1 then gx - 13 when k % 4 = 2 then gx - 51 else gx + 1 end as x1, case when k % 4 = 2 then gy - 5 else gy end as y1,
+ case when k % 4 = 0 then gx + case when k % 16 = 8 then 130 else 30 end when k % 4 = 1 then gx - 13 when k % 4 = 2 then gx - 51 else gx + 3 end as x2, case when k % 4 = 0 then gy when k % 4 = 1 then gy + 9 when k % 4 = 2 then gy + 5.5 else gy + 1 end as y2,
+ case when k % 4 = 3 then cast(0.0 as double) when k % 16 = 8 then cast(1.0 as double) when p_size % 2 = 0 then cast(0.72 as double) else cast(0.5 as double) end as width from (select p_partkey, p_size, b, k, {AT} from k_part) as g"""
+VIEWS["wire_labels"] = f"""select concat('E3-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as ord, case k % 8 when 0 then concat('XT', k % 5) when 1 then cast(k % 30 as varchar(9)) when 2 then concat('00USE', 10 + k % 9) when 3 then '2,5' when 4 then concat(' ', 100 + k % 9)
+ when 5 then 'A1' when 6 then concat('XT', k % 3, ':', k % 4) else case when k % 16 = 7 then 'a2' else cast(40 + k % 7 as varchar(9)) end end as text,
+ case k % 8 when 0 then 'device_tag' when 1 then 'terminal_no' when 2 then 'instrument_tag' when 3 then 'wire_gauge' when 4 then 'wire_marking' when 5 then 'coil_terminal' when 6 then 'pin_ref' else 'terminal_no' end as entity_type,
+ gx + case k % 8 when 0 then 10 when 3 then -75 when 5 then -135 when 6 then -135 when 7 then -190 else 2 end - 2 as x0, gy + case k % 8 when 2 then -30 else 1 end - 1 as y0, gx + case k % 8 when 0 then 10 when 3 then -75 when 5 then -135 when 6 then -135 when 7 then -190 else 2 end + 2 as x1, gy + case k % 8 when 2 then -30 else 1 end + 1 as y1 from (select p_partkey, b, k, {AT} from k_part) as g"""
+VIEWS["drawing_texts"] = f"""select concat('SB-', b) as document, cast(floor(k / 40) as bigint) % 3 as sheet, p_partkey as ord, cast(floor(k / 4) as bigint) as block, case k % 4 when 0 then concat('K', k) when 1 then case when p_size % 3 = 0 then concat('ART-', k) else concat('LONGART-', k) end when 2 then concat('Q', k) else case when p_size % 2 = 0 then concat('02', k % 9, '.80', b, '-ИПК') else 'A-1234' end end as text,
+ case k % 4 when 0 then 'designator' when 1 then 'article' when 2 then 'designator' else case when p_size % 2 = 0 then 'doc_number' else 'article' end end as entity_type, cast(p_size % 3 + 5 as double) as size, gx as x0, gy as y0, gx + 8 as x1, gy + 4 as y1 from (select p_partkey, p_size, b, k, {AT} from k_part) as g"""
+VIEWS["instrument_texts"] = f"""select concat('FSA-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as ord, case k % 6 when 0 then 'PT' when 1 then cast(100 + k as varchar(9)) when 2 then concat('te ', 100 + k % 50) when 3 then 'DN50' when 4 then 'LIRA' else concat(k % 90, 'A') end as text,
+ case when k % 6 in (1, 5) then gx - 30 else gx end as x0, case when k % 6 in (1, 5) then gy + 5 else gy end as y0, case when k % 6 in (1, 5) then gx - 22 else gx + 8 end as x1, case when k % 6 in (1, 5) then gy + 11 else gy + 6 end as y1 from (select p_partkey, b, k, {AT} from k_part) as g"""
+VIEWS["channel_lines"] = """select concat('E3-', l_suppkey % 10) as document, l_partkey % 40 as sheet, l_orderkey * 10 + l_linenumber as ord, case l_linenumber when 1 then concat('A', l_partkey % 20) when 2 then concat('DI', l_orderkey % 30) when 4 then 'Лист' when 5 then concat('AO', l_orderkey % 9) else concat(' signal ', l_partkey % 50) end as text from lineitem"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,
@@ -109,4 +123,7 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if n in sql]
     ctes = ([f"k_part as ({K_PART})"] if any("k_part" in VIEWS[n] for n in used) or "k_part" in sql else []) + [f"{n} as ({VIEWS[n]})" for n in used]
     own = sql.lstrip()
-    return sql if not ctes else f"with {', '.join(ctes)}, {own[5:]}" if own.startswith("with ") else f"with {', '.join(ctes)} {sql}"
+    for head in ("with recursive ", "with "):
+        if ctes and own.startswith(head):
+            return f"{head}{', '.join(ctes)}, {own[len(head):]}"
+    return f"with {', '.join(ctes)} {sql}" if ctes else sql

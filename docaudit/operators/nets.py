@@ -1,10 +1,16 @@
-"""Wire segments to nets."""
+"""Wire segments to nets.
+
+segments: document, sheet, seg (one number in all documents), x1, y1, x2, y2, width. spans: document, sheet, ord, text,
+entity_type, x0, y0, x1, y1.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .components import connected_components
+from .grid import SHEET, along, apart, cells_of, distance, from_line, middle, near_lines, within
+from .spans import LABEL_TYPES, pin_owners
 
 
 def drop_hairlines(segments: DataFrame, least: int = 20) -> DataFrame:
@@ -27,6 +33,183 @@ def endpoint_edges(segments: DataFrame, snap: float = 0.15) -> DataFrame:
     return p.join(least, key).select(F.col("seg").alias("src"), "dst").distinct()
 
 
+def wire_candidates(segments: DataFrame, pages: DataFrame, edge: float = 2.0, tolerance: float = 1.0) -> DataFrame:
+    """Segments that can be wires: no frame lines, and inside the frame where a sheet has one. pages: document, sheet, page_width, page_height."""
+    rows = segments.join(pages, SHEET)
+    length = distance(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    frame = F.coalesce(F.col("width"), F.lit(0.0)).between(0.9, 1.05) & (length > 100)
+    at_edge = lambda c, size: (F.col(c) <= edge) | (F.col(c) >= F.col(size) - edge)
+    rows = rows.withColumn("frame", frame).withColumn("at_edge", at_edge("x1", "page_width") | at_edge("x2", "page_width") | at_edge("y1", "page_height") | at_edge("y2", "page_height"))
+    own = rows.filter("frame and not at_edge").groupBy(*SHEET).agg(
+        *[f(g(f"{c}1", f"{c}2")).alias(f"{n}_{c}") for c in "xy" for f, g, n in ((F.min, F.least, "low"), (F.max, F.greatest, "high"))]
+    )
+    inside = lambda c: F.col(c).between(F.col(f"low_{c[0]}") - tolerance, F.col(f"high_{c[0]}") + tolerance)
+    fits = F.col("low_x").isNull() | (inside("x1") & inside("x2") & inside("y1") & inside("y2"))
+    return rows.filter("not frame").join(own, SHEET, "left").filter(fits).select(segments.columns)
+
+
+def ends(segments: DataFrame) -> DataFrame:
+    """document, sheet, seg, px, py: both ends of every segment."""
+    both = F.array(*[F.struct(F.col(f"x{i}").alias("px"), F.col(f"y{i}").alias("py")) for i in (1, 2)])
+    return segments.select(*SHEET, "seg", F.explode(both).alias("p")).select(*SHEET, "seg", "p.*")
+
+
+def t_junction_edges(segments: DataFrame, tolerance: float = 0.6, size: float = 12.0) -> DataFrame:
+    """src, dst: a segment one of whose ends lies on the inner part of the other."""
+    pairs = near_lines(ends(segments).withColumnRenamed("seg", "src"), segments.withColumnRenamed("seg", "dst"), tolerance, size).filter("src <> dst")
+    t = along()
+    return pairs.filter((t > 0.02) & (t < 0.98) & (from_line(t) <= tolerance)).select("src", "dst").distinct()
+
+
+def axis_touch_edges(segments: DataFrame, straight: float = 0.8, least: float = 3.0, tolerance: float = 2.0, size: float = 24.0) -> DataFrame:
+    """src, dst (src < dst): upright and level lines that meet at their ends, or where an end of one lies on the other."""
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    axis = F.when((dx < straight) & (dy >= least), "v").when((dy < straight) & (dx >= least), "h")
+    lines = segments.withColumn("axis", axis).filter("axis is not null").select(*SHEET, "seg", "x1", "y1", "x2", "y2", "axis")
+    points = ends(lines).withColumnRenamed("seg", "src")
+    pairs = near_lines(points, lines.withColumnRenamed("seg", "dst"), tolerance, size).filter("src <> dst")
+    close = lambda i: (F.abs(F.col("px") - F.col(f"x{i}")) <= tolerance) & (F.abs(F.col("py") - F.col(f"y{i}")) <= tolerance)
+    body = F.when(F.col("axis") == "h", F.abs(F.col("py") - F.col("y1")) <= tolerance).otherwise(F.abs(F.col("px") - F.col("x1")) <= tolerance)
+    return pairs.filter(close(1) | close(2) | body).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def net_edges(segments: DataFrame) -> DataFrame:
+    """src, dst over shared ends and T-junctions; every segment has an edge to itself at least."""
+    return endpoint_edges(segments).unionByName(t_junction_edges(segments)).unionByName(segments.select(F.col("seg").alias("src"), F.col("seg").alias("dst")))
+
+
 def nets(segments: DataFrame) -> DataFrame:
     """seg, net: connected segments, named by the smallest."""
-    return connected_components(endpoint_edges(segments)).select(F.col("node").alias("seg"), F.col("component").alias("net"))
+    return connected_components(net_edges(segments)).select(F.col("node").alias("seg"), F.col("component").alias("net"))
+
+
+def free_ends(segments: DataFrame, net_of: DataFrame) -> DataFrame:
+    """document, sheet, net, px, py: points, to one decimal, where a net has one end only."""
+    tenth = lambda c: F.bround(F.col(c), 1).alias(c)
+    points = ends(segments).join(net_of, "seg").groupBy(*SHEET, "net", tenth("px"), tenth("py")).agg(F.count(F.lit(1)).alias("n"))
+    return points.filter("n = 1").drop("n")
+
+
+def nearest_labels(points: DataFrame, spans: DataFrame, radius: float = 14.0, types: list[str] = LABEL_TYPES) -> DataFrame:
+    """document, sheet, px, py, type, text, dist: the nearest label of each type around each point."""
+    labels = middle(spans.filter(F.col("entity_type").isin(types)).select(*SHEET, "ord", "text", F.col("entity_type").alias("type"), "x0", "y0", "x1", "y1"))
+    near = within(points.select(*SHEET, "px", "py").distinct(), labels, radius, radius).withColumn("dist", apart()).filter(F.col("dist") <= radius)
+    best = near.groupBy(*SHEET, "px", "py", "type").agg(F.min_by(F.struct("text", "dist"), F.struct("dist", "ord")).alias("b"))
+    return best.select(*SHEET, "px", "py", "type", "b.text", "b.dist")
+
+
+def describe_endpoints(points: DataFrame, spans: DataFrame, radius: float = 14.0) -> DataFrame:
+    """What is at each point: the nearest label of each kind, the nearest pin with its owner, and terminal = owner:pin."""
+    at = points.select(*SHEET, "px", "py").distinct()
+    pins = pin_owners(spans).select(*SHEET, F.col("x").alias("ox"), F.col("y").alias("oy"), "ord", "pin", "device", "kks", "owner_source")
+    pin = within(at, pins, radius, radius).withColumn("dist", apart()).filter(F.col("dist") < radius)
+    pin = pin.groupBy(*SHEET, "px", "py").agg(F.min_by(F.struct("pin", "device", "kks", "owner_source"), F.struct("dist", "ord")).alias("p"))
+    wanted = {"device_tag": "tag", "instrument_tag": "instrument", "power_pin": "power", "io_channel": "io_channel", "signal_state": "signal", "wire_gauge": "wire_gauge", "cable_type": "cable", "reserve_label": "spare"}
+    labels = nearest_labels(at, spans, radius)
+    labels = labels.groupBy(*SHEET, "px", "py").agg(F.count(F.lit(1)).alias("labels"), *[F.max(F.when(F.col("type") == t, F.col("text"))).alias(n) for t, n in wanted.items()])
+    rows = at.join(pin, [*SHEET, "px", "py"], "left").join(labels, [*SHEET, "px", "py"], "left")
+    device, kks = F.coalesce("p.device", "tag"), F.coalesce("instrument", "p.kks")
+    owner = F.coalesce(device, kks)
+    return rows.select(
+        *SHEET, "px", "py", device.alias("device"), "p.pin", "p.owner_source", kks.alias("kks"), "power", "io_channel", "signal", "wire_gauge", "cable", F.col("spare").isNotNull().alias("reserve"),
+        F.when(owner.isNotNull() & F.col("p.pin").isNotNull(), F.concat(owner, F.lit(":"), "p.pin")).alias("terminal"), F.coalesce("labels", F.lit(0).cast("long")).alias("labels"),
+    )
+
+
+def net_markings(segments: DataFrame, net_of: DataFrame, spans: DataFrame, reach: float = 9.0) -> DataFrame:
+    """net, text: numbers without an owner, and wire markings, that stand along a net's lines."""
+    numbers = pin_owners(spans).filter("device is null and kks is null and pin rlike '^[0-9]+$'").select(*SHEET, F.col("x").alias("px"), F.col("y").alias("py"), F.col("pin").alias("text"))
+    marks = middle(spans.filter("entity_type = 'wire_marking'"), "px", "py").select(*SHEET, "px", "py", F.trim("text").alias("text"))
+    t = F.least(F.greatest(F.coalesce(along(), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    near = near_lines(numbers.unionByName(marks), segments, reach, 20.0).filter(from_line(t) <= reach)
+    return near.join(net_of, "seg").select("net", "text").distinct()
+
+
+def assemble_nets(segments: DataFrame, net_of: DataFrame, spans: DataFrame) -> DataFrame:
+    """One row per net with labels at its ends or markings: document, sheet, net, counts, and its sorted markings, terminals, tags and gauges."""
+    size = segments.join(net_of, "seg").groupBy(*SHEET, "net").agg(F.count(F.lit(1)).alias("n_segments"))
+    points = free_ends(segments, net_of)
+    about = points.join(describe_endpoints(points, spans), [*SHEET, "px", "py"])
+    listed = lambda c, n: F.array_sort(F.collect_set(c)).alias(n)
+    of_ends = about.groupBy("net").agg(F.count(F.lit(1)).alias("n_endpoints"), F.sum("labels").alias("labels"), listed("terminal", "terminals"), listed("kks", "kks_tags"), listed("wire_gauge", "wire_gauges"))
+    marks = net_markings(segments, net_of, spans).groupBy("net").agg(listed("text", "wire_markings"))
+    rows = size.join(of_ends, "net", "left").join(marks, "net", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), none) for c in ("terminals", "kks_tags", "wire_gauges", "wire_markings")}).na.fill(0, ["n_endpoints", "labels"])
+    return rows.filter((F.col("labels") > 0) | (F.size("wire_markings") > 0)).drop("labels")
+
+
+def inverted(nets_: DataFrame, column: str, name: str) -> DataFrame:
+    """Each terminal or marking with its nets and sheets."""
+    rows = nets_.select("document", F.explode(column).alias(name), "net", "sheet")
+    return rows.groupBy("document", name).agg(F.array_sort(F.collect_set("net")).alias("nets"), F.countDistinct("net").alias("n_nets"), F.array_sort(F.collect_set("sheet")).alias("sheets"))
+
+
+def terminal_index(nets_: DataFrame) -> DataFrame:
+    return inverted(nets_, "terminals", "terminal")
+
+
+def marking_index(nets_: DataFrame) -> DataFrame:
+    return inverted(nets_, "wire_markings", "marking")
+
+
+def attach_cross_refs(refs: DataFrame, points: DataFrame, reach: float = 30.0) -> DataFrame:
+    """Links with the net whose free end is nearest. refs: document, sheet, ord, text, x0, y0, x1, y1; points: free_ends."""
+    own = middle(refs, "px", "py")
+    near = within(own, points.select(*SHEET, "net", F.col("px").alias("ox"), F.col("py").alias("oy")), reach, reach).withColumn("dist", apart()).filter(F.col("dist") < reach)
+    best = near.groupBy(*SHEET, "ord").agg(F.min_by(F.struct("net", F.bround("dist", 2).alias("dist_to_net")), F.struct("dist", "net")).alias("b"))
+    return own.select(*SHEET, "ord", "text").join(best, [*SHEET, "ord"], "left").select(*SHEET, "ord", "text", "b.net", "b.dist_to_net")
+
+
+def net_summary(nets_: DataFrame) -> DataFrame:
+    """Per document: nets by their number of terminals, and those that may dangle."""
+    n = F.size("terminals")
+    return nets_.groupBy("document").agg(
+        F.count(F.lit(1)).alias("nets"), F.count_if(n >= 2).alias("two_or_more"), F.count_if(n == 1).alias("one"), F.count_if(n == 0).alias("without"), F.count_if((n < 2) & (F.col("n_endpoints") < 2)).alias("dangling")
+    )
+
+
+def junction_dots(shapes: DataFrame, most: float = 3.0) -> DataFrame:
+    """Middles of small filled shapes that are about as wide as high. shapes: document, sheet, x0, y0, x1, y1, fill."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    small = F.col("fill").isNotNull() & (w > 0) & (h > 0) & (w <= most) & (h <= most)
+    rows = shapes.filter(small & (F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(0.01)) < 2.5))
+    return rows.select(*SHEET, F.bround((F.col("x0") + F.col("x1")) / 2, 2).alias("ox"), F.bround((F.col("y0") + F.col("y1")) / 2, 2).alias("oy"))
+
+
+def wire_crossings(segments: DataFrame, dots: DataFrame, size: float = 20.0, end: float = 0.3, near_dot: float = 2.5) -> DataFrame:
+    """document, sheet, a, b, x, y, has_dot: where two wires cross away from their ends, and whether a junction dot is there.
+
+    Zero-width strokes and sheets dense with lines are left out.
+    """
+    wires = drop_hairlines(segments)
+    wires = wires.join(dense_sheets(wires).select(*SHEET), SHEET, "left_anti").select(*SHEET, "seg", "x1", "y1", "x2", "y2")
+    cells = wires.withColumn("cx", cells_of(F.least("x1", "x2"), F.greatest("x1", "x2"), size)).withColumn("cy", cells_of(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
+    other = cells.select(*SHEET, "cx", "cy", F.col("seg").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
+    c = F.col
+    adx, ady, bdx, bdy = c("x2") - c("x1"), c("y2") - c("y1"), c("bx2") - c("bx1"), c("by2") - c("by1")
+    denominator = adx * bdy - ady * bdx
+    t = F.when(F.abs(denominator) >= 1e-9, ((c("bx1") - c("x1")) * bdy - (c("by1") - c("y1")) * bdx) / denominator)
+    u = F.when(F.abs(denominator) >= 1e-9, ((c("bx1") - c("x1")) * ady - (c("by1") - c("y1")) * adx) / denominator)
+    clear = lambda v, dx, dy: v.between(0, 1) & (F.least(v, 1 - v) * distance(dx, dy) >= end)
+    # A pair meets in the cell of its point alone, so it is found once although it may share several cells.
+    x, y = c("x1") + t * adx, c("y1") + t * ady
+    found = cells.join(other, [*SHEET, "cx", "cy"]).filter(c("seg") < c("b")).filter(clear(t, adx, ady) & clear(u, bdx, bdy))
+    found = found.select(*SHEET, c("seg").alias("a"), "b", x.alias("px"), y.alias("py")).distinct()
+    marked = within(found, dots, near_dot, near_dot).filter(apart() <= near_dot).select("a", "b", F.lit(True).alias("dot")).distinct()
+    return found.join(marked, ["a", "b"], "left").select(*SHEET, "a", "b", F.bround("px", 2).alias("x"), F.bround("py", 2).alias("y"), F.coalesce("dot", F.lit(False)).alias("has_dot"))
+
+
+def gauge_vs_width(spans: DataFrame, segments: DataFrame, reach: float = 8.0) -> DataFrame:
+    """document, sheet, ord, label, width, dist: the width of the stroked line whose middle is nearest to a gauge label."""
+    labels = middle(spans.filter("entity_type = 'wire_gauge'"), "px", "py").select(*SHEET, "ord", F.col("text").alias("label"), "px", "py")
+    lines = segments.filter("width > 0").select(*SHEET, "seg", "width", ((F.col("x1") + F.col("x2")) / 2).alias("ox"), ((F.col("y1") + F.col("y2")) / 2).alias("oy"))
+    near = within(labels, lines, reach, reach).withColumn("dist", apart()).filter(F.col("dist") < reach)
+    best = near.groupBy(*SHEET, "ord", "label").agg(F.min_by(F.struct("width", F.bround("dist", 2).alias("dist")), F.struct("dist", "seg")).alias("b"))
+    return best.select(*SHEET, "ord", "label", "b.width", "b.dist")
+
+
+def issue_candidates(crossings: DataFrame, anomalies: DataFrame, gauges: DataFrame) -> DataFrame:
+    """document, kind, n: what is worth a look, counted by document."""
+    kinds = [crossings.select("document", F.when(F.col("has_dot"), "crossing with dot").otherwise("crossing without dot").alias("kind")), anomalies.select("document", F.lit("terminal order").alias("kind")), gauges.select("document", F.lit("gauge and width").alias("kind"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("document", "kind").agg(F.count(F.lit(1)).alias("n"))

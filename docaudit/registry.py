@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .plans import across, albums, reports, rules, texts
+from .plans import across, albums, drawings, reports, rules, texts
 from .plans.common import over, raw
 from .operators import bundles, logs, nets, odd, report, rules_bundle, rules_cross, rules_single, tables
 
@@ -153,7 +153,7 @@ SQL = {
 }
 
 
-PLANS = [texts, across, reports, rules, albums]
+PLANS = [texts, across, reports, rules, albums, drawings]
 
 
 def queries() -> dict:
