@@ -96,6 +96,10 @@ VIEWS["drawing_texts"] = f"""select concat('SB-', b) as document, cast(floor(k /
 VIEWS["instrument_texts"] = f"""select concat('FSA-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as ord, case k % 6 when 0 then 'PT' when 1 then cast(100 + k as varchar(9)) when 2 then concat('te ', 100 + k % 50) when 3 then 'DN50' when 4 then 'LIRA' else concat(k % 90, 'A') end as text,
  case when k % 6 in (1, 5) then gx - 30 else gx end as x0, case when k % 6 in (1, 5) then gy + 5 else gy end as y0, case when k % 6 in (1, 5) then gx - 22 else gx + 8 end as x1, case when k % 6 in (1, 5) then gy + 11 else gy + 6 end as y1 from (select p_partkey, b, k, {AT} from k_part) as g"""
 VIEWS["channel_lines"] = """select concat('E3-', l_suppkey % 10) as document, l_partkey % 40 as sheet, l_orderkey * 10 + l_linenumber as ord, case l_linenumber when 1 then concat('A', l_partkey % 20) when 2 then concat('DI', l_orderkey % 30) when 4 then 'Лист' when 5 then concat('AO', l_orderkey % 9) else concat(' signal ', l_partkey % 50) end as text from lineitem"""
+VIEWS["progress_rows"] = """select cast(user_id as varchar(20)) as session, ts, event_id as seq, case event_type when 'purchase' then 'document' when 'signup' then 'stage' when 'error' then 'done' else 'page' end as kind,
+ cast(event_id % 5 as int) as index_, cast(9 as int) as total, cast(event_id % 50 as int) as page, concat('doc', event_id % 7) as name, 'scheme' as doc_type, concat('set/', event_id % 7) as path, concat('step ', event_id % 3) as stage,
+ event_id % 40 as tokens, cast(event_id % 6 as double) as seconds from events"""
+VIEWS["reply_chunks"] = """select cast(user_id as varchar(20)) as session, event_id as seq, case event_id % 9 when 0 then 'so <thi' when 1 then 'nk>maybe ' when 2 then 'not</th' when 3 then 'ink> yes ' when 4 then '<think>' when 5 then 'hm' when 6 then '</think>' else concat('word', event_id % 5, ' ') end as text from events"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,
