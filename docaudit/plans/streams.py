@@ -43,9 +43,9 @@ SQL = {
  select session, case when dk = 'document' then document end as document, case when dk = 'document' then doc_type end as doc_type, case when dk = 'document' then doc_index else -1 end as doc_index, case when dk = 'document' then doc_total else -1 end as doc_total, case when dk = 'document' then path end as path,
  case when after_ and pk = 'page' then page else -1 end as page, case when after_ and pk = 'page' then total else -1 end as page_total, case when after_ then stage end as stage from j where after_ or dk = 'document'""",
     "str3_throttle": f"""with recursive n as (select *, {AT} as sec, row_number() over (partition by session order by seq) as k from progress_rows),
- f(session, k, seq, kind, page, shown_at, shown) as (select session, k, seq, kind, page, sec, true from n where k = 1
- union all select n.session, n.k, n.seq, n.kind, n.page, case when n.kind <> 'page' or n.sec - f.shown_at >= 86400 then n.sec else f.shown_at end, n.kind <> 'page' or n.sec - f.shown_at >= 86400 from f join n on n.session = f.session and n.k = f.k + 1)
- select f.session, f.seq, not shown as late, f.kind, f.page from f left join n on n.session = f.session and n.k = f.k + 1 where shown or coalesce(n.sec - shown_at >= 86400, true)""",
+ f(session, k, seq, kind, page, own, shown_at, shown) as (select session, k, seq, kind, page, sec, sec, true from n where k = 1
+ union all select n.session, n.k, n.seq, n.kind, n.page, n.sec, case when n.kind <> 'page' or n.sec - f.shown_at >= 86400 then n.sec else f.shown_at end, n.kind <> 'page' or n.sec - f.shown_at >= 86400 from f join n on n.session = f.session and n.k = f.k + 1)
+ select f.session, f.seq, not shown as late, f.kind, f.page from f left join n on n.session = f.session and n.k = f.k + 1 where shown or coalesce(case when n.kind = 'page' then n.sec - own >= 86400 else n.sec - shown_at >= 86400 end, true)""",
     "str4_generation_speed": "with g as (select * from progress_rows where tokens > 0 and seconds > 0) select session, arg_max(round_even(tokens / seconds, 1), seq) as tps, arg_max(tokens, seq) as tokens from g group by session",
     "str5_chunk_speed": f"""with c as (select session, seq % 4 as reply, {AT} as sec, case when seq % 10 = 3 then seq % 100 end as usage from progress_rows), r as (select session, reply, coalesce(max(usage), count(*)) as tokens, max(sec) - min(sec) as seconds from c group by all)
  select session, reply, tokens, seconds, case when seconds > 0 then round_even(tokens / seconds, 1) end as tps from r""",
