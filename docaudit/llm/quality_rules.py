@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs carry a guarantee against false rejection.
 
-Five measures of a text are compared with cutoffs. For each stratum (language), measure
-and cutoff of a fixed grid, labelled good documents that the cutoff would reject are
-counted; the cutoff is admissible when the exact binomial tail P(Bin(n, limit) <= k) is at
-most delta / (number of all tests), that is, when the upper confidence bound of the
-false-rejection rate is below the limit, Bonferroni-corrected. The strictest admissible
-cutoff of each measure holds. The limit is split evenly over the measures, so all of them
-together reject at most ``alpha`` of a stratum's good documents with confidence 1 - delta.
-A stratum with too few labels gets no cutoffs and rejects nothing.
+Five measures of a text are compared with cutoffs, per stratum (language). Labelled documents that pass the base
+rule are dealt to two halves by a hash of their id. The choosing half lays out a path of rules from lenient to strict:
+in rule r each measure takes the strictest cutoff that rejects at most a share of the half's good documents by itself,
+or some steps less; a measure that catches no bad document of the half stays out. The other half tests the
+rules along the path: a rule holds when the exact binomial tail P(Bin(n, alpha) <= k) of its k false rejections among n good
+documents, by all measures together, is at most delta / (number of strata), and all rules before it hold. This
+fixed sequence needs no further correction within a stratum, and the strata share delta by Bonferroni, so with
+confidence 1 - delta no stratum loses more than ``alpha`` of its good documents. Of the rules that hold,
+those that catch most bad documents of the choosing half count, of those the ones with fewest false rejections, and of those the strictest is taken. A stratum with too few labels gets no cutoffs and rejects nothing.
 
 Everything is DataFrame expressions; no Python runs on the executors.
 
@@ -34,8 +35,12 @@ MAX_STRATA = 10_000
 
 @dataclass(frozen=True)
 class Risk:
+    """``path``: the share of good documents that a measure may reject by itself in the choosing half, and steps of the grid less strict than that."""
+
     alpha: float = 0.05
     delta: float = 0.05
+    path: tuple[tuple[float, int], ...] = ((0.0, 2), (0.0, 1), (0.0, 0), (0.005, 0), (0.01, 0), (0.02, 0), (0.03, 0))
+    seed: int = 11
 
 
 #: Measure -> (SQL over the base columns, cutoffs from lenient to strict). A document fails above a cutoff.
@@ -74,13 +79,18 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(let(words, lambda w: let(windows(w), lambda s: covered(twice(s)))))
 
 
+def stratum_name(c: Column) -> Column:
+    """Null is a stratum of its own, apart from every string."""
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), c))
+
+
 def base_columns(docs: DataFrame, id_col: str, text_col: str, stratum_col: str | None) -> DataFrame:
     """doc_id, stratum and the counts of the base rule."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")).alias("stratum"),
+        stratum_name(F.col(stratum_col).cast("string") if stratum_col else F.lit("")).alias("stratum"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("lines"),
@@ -132,42 +142,53 @@ def levels() -> Column:
     return F.array(*out)
 
 
-def thresholds(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
-    """stratum, measure, strictest (least admissible level: documents of this level or more fail); at most MAX_STRATA strata.
+def failing(cutoffs: Column) -> Column:
+    """Names of the measures whose level is at or above the cutoff's; measures without a cutoff never fail."""
+    return F.transform(F.filter(levels(), lambda m: m["level"] >= F.try_element_at(cutoffs, m["measure"])), lambda m: m["measure"])
 
-    A level counts the cutoffs that a document is above, so level 1 belongs to the strictest cutoff of the grid.
 
-    Counts go over all labelled good documents that pass the base rule.
-    """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").alias("good_id"))
-    held = rows.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("good_id"))
-    hist = held.select("stratum", F.explode(levels()).alias("m")).groupBy("stratum", "m.measure", "m.level").agg(F.count(F.lit(1)).alias("docs"))
+def rule_paths(labelled: DataFrame, risk: Risk) -> DataFrame:
+    """stratum, rules: for each step of the path the cutoffs (measure -> least level that fails) that the choosing half gives."""
+    by = ["stratum", "measure"]
+    hist = labelled.filter("choosing").select("stratum", "good", F.explode(levels()).alias("m")).groupBy("stratum", "m.measure", "m.level").agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    )
     hist = cut(hist)  # strata x measures x levels
-    strata = hist.select("stratum").distinct().count()
-    if strata > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    tests = max(1, strata) * sum(len(c) for _, c in MEASURES.values())
-    deep = W.Window.partitionBy("stratum", "measure").orderBy(F.col("level").desc())
-    every = W.Window.partitionBy("stratum", "measure")
     # Rejected at level c are the documents above c cutoffs or more: fewer, the higher c.
+    deep = W.Window.partitionBy(*by).orderBy(F.col("level").desc())
+    at = hist.select(*by, "level", F.sum("good").over(deep).alias("k"), F.sum("good").over(W.Window.partitionBy(*by)).alias("n"))
+    # Above the highest level that would reject too many.
+    strict = at.groupBy(*by).agg(*[(F.max(F.when(F.col("k") > F.col("n") * share, F.col("level"))) + 1 + more).alias(f"c{r}") for r, (share, more) in enumerate(risk.path)])
+    names = [f"c{r}" for r in range(len(risk.path))]
+    caught = hist.filter("bad > 0").join(strict, by).groupBy(*by, *names).agg(*[F.sum(F.when(F.col("level") >= F.col(c), F.col("bad"))).alias(f"b_{c}") for c in names])
     grid = F.create_map(*[x for name, (_, c) in MEASURES.items() for x in (F.lit(name), F.lit(len(c)))])
-    at = hist.select("stratum", "measure", "level", F.sum("docs").over(deep).alias("k"), F.sum("docs").over(every).alias("n"), F.lag("level").over(deep).alias("next"))
-    # Levels above ``low`` up to ``high``, two that occur, reject the same documents.
-    above = at.select("stratum", "measure", "n", "k", F.coalesce(F.lag("level").over(W.Window.partitionBy("stratum", "measure").orderBy("level")), F.lit(0)).alias("low"), F.col("level").alias("high")).filter("high > 0")
-    none = at.groupBy("stratum", "measure").agg(F.max("n").alias("n"), F.max("level").alias("top")).select(
-        "stratum", "measure", "n", F.lit(0).cast("long").alias("k"), F.col("top").alias("low"), F.element_at(grid, F.col("measure")).alias("high")
-    ).filter("high > low")
-    tails = above.unionByName(none).withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk.alpha / len(MEASURES)))
-    # Within a run of equal counts the strictest cutoff has the least level.
-    return tails.filter(F.col("tail") <= risk.delta / tests).groupBy("stratum", "measure").agg(
-        F.min(F.col("low") + 1).alias("strictest")
-    )
+    used = caught.select("stratum", *[F.when((F.col(f"b_{c}") > 0) & (F.col(c) <= F.element_at(grid, F.col("measure"))), F.struct("measure", F.col(c).alias("level"))).alias(c) for c in names])
+    return used.groupBy("stratum").agg(F.array(*[F.map_from_entries(F.collect_list(c)) for c in names]).alias("rules"))  # collect_list leaves nulls out
+
 
+def thresholds(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
+    """stratum, cutoffs (measure -> least level that fails); at most MAX_STRATA strata.
 
-def admissible(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    per = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("measure", "strictest"))).alias("cutoffs"))
-    per = cut(per)  # at most MAX_STRATA rows of a few numbers
-    return rows.join(F.broadcast(per), "stratum", "left")
+    A level counts the cutoffs that a document is above, so level 1 belongs to the strictest cutoff of the grid.
+    """
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null and doc_id is not null")
+    marks = marks.select(F.col("doc_id").alias("label_id"), (F.col("quality") == 1).alias("good"))
+    labelled = rows.filter(~F.col("base_failed")).join(marks, F.col("doc_id") == F.col("label_id"))
+    labelled = cut(labelled.withColumn("choosing", F.xxhash64(F.lit(risk.seed), "label_id") % 2 == 0))
+    strata = labelled.select("stratum").distinct().count()
+    if strata > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    paths = cut(rule_paths(labelled, risk))  # at most MAX_STRATA rows of a few numbers
+    tried = labelled.join(F.broadcast(paths), "stratum").select("*", F.posexplode("rules").alias("r", "cutoffs"))
+    hit, testing = F.size(failing(F.col("cutoffs"))) > 0, F.col("good") & ~F.col("choosing")
+    counts = tried.groupBy("stratum", "r").agg(
+        F.count_if(testing & hit).alias("k"), F.count_if(testing).alias("n"), F.count_if(F.col("choosing") & ~F.col("good") & hit).alias("caught")
+    )
+    holds = (F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk.alpha) <= risk.delta / max(1, strata))
+    so_far = W.Window.partitionBy("stratum").orderBy("r")
+    held = counts.withColumn("holds", F.min(holds.cast("int")).over(so_far)).filter("holds = 1")
+    best = held.groupBy("stratum").agg(F.max_by("r", F.struct("caught", -F.col("k"), "r")).alias("r"))
+    return paths.join(F.broadcast(cut(best)), "stratum").select("stratum", F.get("rules", F.col("r")).alias("cutoffs"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", risk: Risk = Risk()) -> DataFrame:
@@ -179,10 +200,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
     rows = cut(rows)  # a few numbers per document, for the thresholds and the verdicts
-    found = admissible(rows, thresholds(rows, labels, risk))
-    # A document fails a measure when it is above as many cutoffs as the strictest admissible level says.
-    above = F.filter(levels(), lambda m: m["level"] >= F.element_at(F.col("cutoffs"), m["measure"]))
-    failed = F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(F.transform(above, lambda m: m["measure"]))
+    found = rows.join(F.broadcast(cut(thresholds(rows, labels, risk))), "stratum", "left")  # at most MAX_STRATA rows of a few numbers
+    failed = F.coalesce(failing(F.col("cutoffs")), F.array().cast("array<string>"))
     return found.withColumn("failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed",
