@@ -20,7 +20,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +67,8 @@ class Block:
 
 def names(attributes: str) -> list[str]:
     out = []
-    for key, a, b, c in NAMES.findall(attributes):
+    for _, a, b, c in NAMES.findall(attributes):
         out += [f".{w}" for w in re.split(r"[^a-z0-9]+", (a or b or c).lower()) if w]
-        if key.lower() == "id" and out:
-            out[-1] = out[-1]
     if HIDDEN.search(attributes):
         out.append(".hidden")
     return out
@@ -158,24 +156,36 @@ def hashed(s: str, n: int) -> int:
 
 
 class Featurizer:
-    def __init__(self, shape: Shape):
-        self.shape, self.paths, self.words = shape, {}, {}
+    """Vectors of a page's blocks: hashed tag path, hashed words (all of a block, as shares), and a few numbers."""
+
+    def __init__(self, shape: Shape, most: int = 200_000):
+        self.shape, self.most, self.paths, self.words = shape, most, {}, {}
 
     def __call__(self, page: list[Block]) -> np.ndarray:
-        s = self.shape
+        s, known = self.shape, self.words
+        if len(known) > self.most:
+            known.clear()
         x = np.zeros((len(page), s.path_dim + s.word_dim + 6), np.float32)
+        buckets, count = [], np.zeros(len(page), np.int64)
         for i, b in enumerate(page):
             at = self.paths.get(b.path)
             if at is None:
-                if len(self.paths) > 50_000:
+                if len(self.paths) > self.most:
                     self.paths.clear()
                 at = self.paths[b.path] = np.array(sorted({hashed(p, s.path_dim) for p in b.path} | {hashed("last " + p, s.path_dim) for p in b.path[-1:]}), np.int64)
             x[i, at] = 1
-            words = b.text.split()
-            for w in words[:40]:
-                x[i, s.path_dim + hashed(w.lower(), s.word_dim)] += 1 / min(len(words), 40)
-            n = len(b.text)
-            x[i, -6:] = (np.log1p(n) / 8, b.linked / n, min(1.0, len(words) / 50), sum(c in ".!?" for c in b.text) / max(1, len(words)), i / len(page), 1)
+            words = b.text.lower().split()
+            for w in words:
+                k = known.get(w)
+                if k is None:
+                    k = known[w] = hashed(w, s.word_dim)
+                buckets.append(k)
+            n, count[i] = len(b.text), len(words)
+            ends = sum(map(b.text.count, ".!?"))
+            x[i, -6:] = (np.log1p(n) / 8, b.linked / n, min(1.0, len(words) / 50), ends / max(1, len(words)), i / len(page), 1)
+        cells = np.repeat(np.arange(len(page)), count) * s.word_dim + np.array(buckets, np.int64)
+        shares = np.bincount(cells, minlength=len(page) * s.word_dim).reshape(len(page), s.word_dim) / np.maximum(count, 1)[:, None]
+        x[:, s.path_dim : s.path_dim + s.word_dim] = shares
         return x
 
 
@@ -285,7 +295,7 @@ def train(samples: list[str], shape: Shape) -> Labeller:
     from .toxicity import Adam
 
     net, rng, featurize = Labeller(shape), np.random.default_rng(shape.seed), Featurizer(shape)
-    parsed = [p for p in (blocks(x)[:200] for x in samples) if p]
+    parsed = [p for p in map(blocks, samples) if p]
     adam = Adam(net.w, 0.01)
     steps = max(shape.epochs * len(parsed) // shape.batch, 60 if parsed else 0)
     for step in range(steps):
@@ -335,11 +345,15 @@ def fit(pages: DataFrame, html_col: str = "html", shape: Shape = Shape()) -> Lab
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shape: Shape = Shape()) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    model = pages.sparkSession.sparkContext.broadcast(fit(pages, html_col, shape))
+    # Plain values, as executors may not have this package.
+    model = pages.sparkSession.sparkContext.broadcast((asdict(shape), fit(pages, html_col, shape).w))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor = Extractor(model.value)
+        given, weights = model.value
+        net = Labeller(Shape(**given))
+        net.w = weights
+        extractor = Extractor(net)
         for t in chunks(batches, "html", 4_000_000):
             found = extractor(texts(t, "html"))
             yield pa.RecordBatch.from_arrays([t["page_id"].combine_chunks(), t["url"].combine_chunks(), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], schema=schema)
