@@ -1,15 +1,16 @@
 """Secret scanning with formats inferred from labelled credentials.
 
 Base rules find assignments, access keys and hex strings. From a sample of the
-credentials they mark, a probabilistic automaton is inferred: the prefix tree of their
+credentials they mark, a probabilistic automaton is inferred for each kind: the prefix tree of their
 character classes, whose states are merged while their continuation frequencies are
-compatible under Hoeffding's bound. A second automaton is inferred from other strings of
-the same shape. Every other candidate string is scored by the difference of the two
-log-likelihoods per character, and is reported as ``format`` when it is high enough.
+compatible under Hoeffding's bound. One more automaton is inferred from other strings of
+the same alphabet, some of each frequent shape (words, numbers, dotted numbers) that is not a shape of credentials mostly. Every other candidate string is scored by the likelihood ratio of the kind that suits it best,
+times the ratio of that kind's spans to other candidates in the whole corpus: what is more likely a credential
+than not is reported as ``format``.
 Texts are scanned twice, for the samples and for the scores, so that candidates need not be kept.
 
-Defined results: a null text counts as empty and has no spans; without labelled credentials
-no format is learned and only base spans are returned; an empty table gives no rows; repeated
+Defined results: a null text counts as empty and has no spans; without labelled credentials,
+or without other strings of a frequent shape to tell them from, no format is learned and only base spans are returned; an empty table gives no rows; repeated
 rows each get their row. Offsets are code points, ends exclusive.
 """
 
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import chunks, cut, table, texts
 
@@ -38,16 +40,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 @dataclass(frozen=True)
 class Formats:
-    """Candidates are runs of [A-Za-z0-9+/_.=-] of this length, as in assignments; both samples are bounded.
+    """Candidates are runs of [A-Za-z0-9+/_.=-] of this length, as in assignments.
+
+    The samples are bounded: ``max_sample`` strings of each kind, and of the others ``per_shape`` strings for
+    each of at most ``max_shapes`` shapes that ``min_shape`` different strings have.
 
     Of longer strings than ``max_chars`` the automata learn the beginning, and nothing about their end.
     """
 
     min_length: int = 6
     max_sample: int = 2000
+    max_shapes: int = 64
+    per_shape: int = 100
+    min_shape: int = 10
     max_chars: int = 128
     alpha: float = 0.05
-    margin: float = 0.25
+    odds: float = 1.0  # least odds of being a credential
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -92,12 +100,27 @@ def scan(text: str, kinds: np.ndarray, least: int) -> tuple[list[tuple[int, int,
     return found, list(zip(start.tolist(), end.tolist(), strict=True))
 
 
+CLASSES = str.maketrans({c: "a" if c in "abcdef" else "g" if c.islower() else "A" if c.isupper() else "0" for c in map(chr, range(128)) if c.isalnum()})
+
+
 def symbols(s: str) -> str:
     """Character classes: a hex letters, g other lower case, A upper case, 0 digits, other characters as they are."""
-    return "".join("a" if "a" <= c <= "f" else "g" if "g" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c for c in s)
+    return s.translate(CLASSES)
+
+
+SHAPES = str.maketrans({c: "l" if c.islower() else "A" if c.isupper() else "0" for c in map(chr, range(128)) if c.isalnum()})
+AGAIN = re.compile(r"(.)\1+")
+
 
+def shape(s: str) -> str:
+    """Runs of lower case, upper case and digits as one character each, other characters as they are."""
+    return AGAIN.sub(r"\1", s.translate(SHAPES))
 
-CLASS_SIZE = {"a": 6, "g": 20, "A": 26, "0": 10}
+
+#: Log of the number of characters in a class.
+CLASS_SIZE = {"a": math.log(6), "g": math.log(20), "A": math.log(26), "0": math.log(10)}
+#: Log-probability of a step where the automaton has no state left.
+LOST = math.log(1e-4)
 
 
 class Automaton:
@@ -179,20 +202,32 @@ class Automaton:
         number = {q: i for i, q in enumerate(red)}
         self.states = [({s: n for s, n in self.count[q].items()}, {s: number[t] for s, t in self.next[q].items()}, sum(self.count[q].values())) for q in red]
         del self.next, self.count
+        self.tables = [
+            ({x: (math.log((n + 0.01) / (total + 0.4)) - CLASS_SIZE.get(x, 0.0), follow.get(x, -1)) for x, n in count.items()}, math.log(0.01 / (total + 0.4)))
+            for count, follow, total in self.states
+        ]
 
     def score(self, word: str) -> float:
-        """Log-likelihood per character of a string of classes, each class spread evenly over its characters."""
-        at, total = 0, 0.0
-        for i, s in enumerate(word + "\0"):
-            s = "" if i == len(word) else s
-            if at is None:
-                p = 1e-4
-            else:
-                count, follow, n = self.states[at]
-                p = (count.get(s, 0) + 0.01) / (n + 0.01 * 40)
-                at = follow.get(s)
-            total += math.log(p / CLASS_SIZE.get(s, 1))
-        return total / (len(word) + 1)
+        """Log-likelihood of a string of classes, each class spread evenly over its characters."""
+        return likelihood(self.tables, word)
+
+
+def likelihood(tables: list, word: str) -> float:
+    at, total = 0, 0.0
+    for s in word:
+        if at < 0:
+            total += LOST - CLASS_SIZE.get(s, 0.0)
+            continue
+        steps, missed = tables[at]
+        found = steps.get(s)
+        if found is None:
+            total, at = total + missed - CLASS_SIZE.get(s, 0.0), -1
+        else:
+            total, at = total + found[0], found[1]
+    if at < 0:
+        return total + LOST
+    steps, missed = tables[at]
+    return total + (steps[""][0] if "" in steps else missed)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -207,42 +242,64 @@ def hashed(s: str) -> bytes:
     return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-def samples(docs: DataFrame, formats: Formats) -> tuple[list[str], list[str]]:
-    """At most max_sample different credentials and other candidates, those of least hash; each cut after max_chars + 1 characters.
+def samples(docs: DataFrame, formats: Formats) -> tuple[list[list[str]], list[int]]:
+    """Per base kind and last for other candidates: a bounded sample of different strings, those of least hash, and the number of all.
 
-    Each chunk hands on its own least ones, among which are the least of all.
+    Each string is cut after max_chars + 1 characters. Each partition hands on its own least ones, among which are the least of all.
     """
+    other = len(KINDS) - 1
 
-    def least(strings: set[str]) -> list[str]:
-        if len(strings) <= formats.max_sample:
-            return list(strings)
-        return heapq.nsmallest(formats.max_sample, strings, key=lambda s: (hashed(s), s))
+    def least(strings: set[str], most: int) -> set[str]:
+        return strings if len(strings) <= most else set(heapq.nsmallest(most, strings, key=lambda s: (hashed(s), s)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, most = class_table(), formats.max_chars + 1
-        kept: tuple[set[str], set[str]] = (set(), set())
+        kinds, cut_at = class_table(), formats.max_chars + 1
+        kept: dict[tuple[int, str], set[str]] = {}
+        many: dict[tuple[int, str], int] = {}
         for t in chunks(batches):
-            yes, no = kept
             for text in texts(t):
                 base, rest = scan(text, kinds, formats.min_length)
-                yes.update((text[a:b] if k else ASSIGN.match(text, a)[2])[:most] for a, k, b in base)
-                no.update(text[a : min(b, a + most)] for a, b in rest)
-            kept = set(least(yes)), set(least(no))
-        for credential, strings in zip((True, False), kept, strict=True):
-            yield pa.RecordBatch.from_pydict({"credential": pa.array([credential] * len(strings), pa.bool_()), "s": pa.array(list(strings), pa.string()), "h": pa.array([hashed(s) for s in strings], pa.binary())})
-
-    found = cut(docs.mapInArrow(run, "credential boolean, s string, h binary"))
-    yes, no = ([r.s for r in found.filter(which).select("h", "s").distinct().orderBy("h", "s").limit(formats.max_sample).collect()] for which in ("credential", "not credential"))
-    return yes, no
-
-
-def learn(docs: DataFrame, formats: Formats) -> tuple[Automaton, Automaton] | None:
-    """Automata of credentials and of other candidates; the samples are bounded by ``formats``."""
-    yes, no = samples(docs, formats)
-    if not yes:
+                found = [(k, (text[a:b] if k else ASSIGN.match(text, a)[2])[:cut_at]) for a, k, b in base]
+                found += [(other, text[a : min(b, a + cut_at)]) for a, b in rest]
+                for k, s in found:
+                    key = (k, shape(s))
+                    kept.setdefault(key, set()).add(s)
+                    many[key] = many.get(key, 0) + 1
+            kept = {key: least(v, formats.per_shape if key[0] == other else formats.max_sample) for key, v in kept.items()}
+        rows = [(k, form, s, hashed(s), many[k, form] if i == 0 else 0) for (k, form), v in kept.items() for i, s in enumerate(v)]
+        for i in range(0, len(rows), 10_000):
+            columns = zip(*rows[i : i + 10_000], strict=True)
+            kinds_of = (pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds_of, strict=True)], ["kind", "form", "s", "h", "n"])
+
+    found = cut(docs.mapInArrow(run, "kind int, form string, s string, h binary, n long"))
+    many = {r.kind: r.n for r in found.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    strings = [[r.s for r in found.filter(F.col("kind") == k).select("h", "s").distinct().orderBy("h", "s").limit(formats.max_sample).collect()] for k in range(other)]
+    # Shapes that many other candidates have, and more of them than credentials.
+    per_form = found.groupBy("form").agg(
+        F.sum(F.when(F.col("kind") == other, F.col("n"))).alias("others"), F.sum(F.when(F.col("kind") < other, F.col("n")).otherwise(0)).alias("own"),
+        F.countDistinct(F.when(F.col("kind") == other, F.col("h"))).alias("different"),
+    ).filter(f"different >= {formats.min_shape} and others > own")
+    forms = per_form.orderBy(F.desc("others"), "form").limit(formats.max_shapes).select("form")
+    rows = found.filter(F.col("kind") == other).join(F.broadcast(forms), "form").select("form", "h", "s").distinct()
+    for part in (["form", F.crc32("h") % 64], ["form"]):  # in two steps, so that no task gets all strings of a shape
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*part).orderBy("h", "s"))).filter(F.col("at") <= formats.per_shape)
+    strings.append([r.s for r in rows.collect()])
+    return strings, [many.get(k, 0) for k in range(other + 1)]
+
+
+def learn(docs: DataFrame, formats: Formats) -> tuple[list, list] | None:
+    """(bias, tables) of the automaton of each kind, and the tables of other candidates, as plain values: only those
+    are broadcast, as executors may not have this package. None without credentials or without other strings of a frequent shape.
+
+    The bias is the log of the kind's spans by other candidates, and of the least odds.
+    """
+    strings, many = samples(docs, formats)
+    if not any(strings[:-1]) or not strings[-1]:
         return None
-    like, other = (Automaton(sorted(map(symbols, s)), formats.alpha, formats.max_chars) for s in (yes, no))
-    return like, other
+    made = [Automaton(sorted(map(symbols, s)), formats.alpha, formats.max_chars).tables for s in strings]  # a bounded number of bounded strings
+    bias = [math.log(max(1, n) / max(1, many[-1])) - math.log(formats.odds) for n in many[:-1]]
+    return [(b, t) for b, t, s in zip(bias, made, strings, strict=False) if s], made[-1]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", formats: Formats = Formats()) -> DataFrame:
@@ -259,8 +316,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if s in known:
                 return known[s]
             x = symbols(s)
-            like, other = model.value
-            hit = like.score(x) - other.score(x) > formats.margin
+            own, other = model.value
+            hit = max(bias + likelihood(tables, x) for bias, tables in own) > likelihood(other, x)
             if len(s) <= 32:
                 if len(known) >= 200_000:
                     known.clear()
