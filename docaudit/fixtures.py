@@ -100,6 +100,14 @@ VIEWS["progress_rows"] = """select cast(user_id as varchar(20)) as session, ts,
  cast(event_id % 5 as int) as index_, cast(9 as int) as total, cast(event_id % 50 as int) as page, concat('doc', event_id % 7) as name, 'scheme' as doc_type, concat('set/', event_id % 7) as path, concat('step ', event_id % 3) as stage,
  event_id % 40 as tokens, cast(event_id % 6 as double) as seconds from events"""
 VIEWS["reply_chunks"] = """select cast(user_id as varchar(20)) as session, event_id as seq, case event_id % 9 when 0 then 'so <thi' when 1 then 'nk>maybe ' when 2 then 'not</th' when 3 then 'ink> yes ' when 4 then '<think>' when 5 then 'hm' when 6 then '</think>' else concat('word', event_id % 5, ' ') end as text from events"""
+# Rulings, words and rows of tables.
+VIEWS["rulings"] = """select concat('T-', b) as document, 1 + k % 2 as page, p_size % 4 = 0 as is_rect, cast(case when k % 3 = 0 then 20 + (k % 7) * 40 + (p_size % 3) * 0.75 else (k % 5) * 10 end as double) as x0, cast(case when k % 3 = 0 then 0 else 15 * (k % 11) + (p_size % 3) * 0.75 end as double) as y0,
+ cast(case when k % 3 = 0 then 20 + (k % 7) * 40 + (p_size % 3) * 0.75 else (k % 5) * 10 + 300 + p_size end as double) as x1, cast(case when k % 3 = 0 then 3 + p_size * 2 else 15 * (k % 11) + (p_size % 3) * 0.75 end as double) as y1 from k_part"""
+VIEWS["table_words"] = """select concat('T-', l_suppkey % 10) as document, 1 + l_linenumber % 2 as page, l_orderkey * 10 + l_linenumber as ord, case when l_partkey % 13 = 0 then case l_suppkey % 10 when 1 then 'Описание сигнала' when 2 then 'Кабели' when 3 then 'Позиция на схеме' else 'имя' end
+ when l_partkey % 13 = 1 then case l_suppkey % 10 when 1 then 'Номер  входа' when 2 then 'Начало Конец' when 3 then 'Резервирование' else 'пин' end else concat('w', l_partkey % 50) end as text, cast(l_partkey % 330 as double) as x0, cast(l_partkey % 330 + 6 as double) as x1, cast(l_orderkey % 20 * 8 as double) as top from lineitem"""
+VIEWS["spec_lines"] = """select concat('SP-', b) as document, k as row, case when k % 12 = 4 then '1' when k % 12 = 5 then null when k % 12 = 8 then null else concat('K', k, '...K', k + 2) end as position, case when k % 12 = 4 then '2' when k % 12 = 5 then case when p_size % 2 = 0 then 'Раздел 2' else 'Щиты' end when k % 12 = 8 then ' - замена' when k % 12 = 9 then null else concat('relay  ', p_size) end as name,
+ case when k % 12 = 4 then '3' when k % 12 in (5, 8, 9) then null else concat('C', k) end as code, case when k % 12 in (5, 8, 9) then null when k % 5 = 0 then '1,5' when k % 5 = 1 then 'шт' else '2' end as quantity from k_part"""
+VIEWS["talk"] = """select conv_id, turn, case when turn % 4 = 3 then 'computer' when role = 'user' and turn % 6 = 0 then 'system' else 'assistant' end as role, case when turn % 3 = 0 then 'code' when turn % 3 = 1 then 'message' else 'image' end as type, text from conversations"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,
