@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fitted_in_task, table, texts
+from .common import Adam, chunks, fitted_in_task, table, texts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -292,8 +292,6 @@ def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(samples: list[str], shape: Shape) -> Labeller:
-    from .toxicity import Adam
-
     net, rng, featurize = Labeller(shape), np.random.default_rng(shape.seed), Featurizer(shape)
     parsed = [p for p in map(blocks, samples) if p]
     adam = Adam(net.w, 0.01)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fitted_in_task, remainder, table, texts
+from .common import Adam, chunks, cut, fitted_in_task, remainder, table, texts
 
 TOKEN = re.compile(r"\w+")
 CUTOFF = 0.3
@@ -173,27 +173,6 @@ class Net:
         return g, dx
 
 
-class Adam:
-    """Adam; embedding tables share one second moment each, so that rare rows move little."""
-
-    def __init__(self, weights: dict, rate: float, tables: tuple[str, ...] = ()):
-        self.w, self.rate, self.t, self.tables = weights, rate, 0, tables
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
-
-    def step(self, grads: dict) -> None:
-        self.t += 1
-        fix = self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            square = g * g
-            if k in self.tables:
-                square = square.sum() / max(1, np.count_nonzero(square))
-            self.v[k] += 0.001 * (square - self.v[k])
-            slow = 0.2 if k in self.tables else 1.0
-            self.w[k] -= slow * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
-
-
 def windows(n: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first word and length of every window; documents have n words, one after another."""
     many = np.where(n > 0, 1 + np.maximum(0, -(-(n - shape.window) // shape.stride)), 0)

@@ -290,7 +290,7 @@ def test_lm_trains_on_every_training_document(spark):
     rows = [(None if i == 7 else i, " ".join(f"w{(i * j) % 11}" for j in range(1 + i % 5))) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)))
     encoded = lm_score.encode(docs).cache()
-    corpus = lm_score.corpus_counts(lm_score.word_rows(encoded), 1500)
+    corpus = lm_score.corpus_counts(lm_score.word_totals(lm_score.word_rows(encoded)), 1500)
     rounds = [lm_score.train_round(encoded, lm_score.Model(corpus, lm_score.Shape()), turn) for turn in range(lm_score.ROUNDS)]
     assert sum(n for _, n in rounds) == corpus.n == sum(2 + i % 5 for i in range(200) if i % 5)
 
