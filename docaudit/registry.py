@@ -149,6 +149,10 @@ SQL = {
     "net2_drop_hairlines": "select * exclude (stroked) from (select *, count(*) filter (width > 0) over (partition by document, sheet) as stroked from segments) where width > 0 or stroked < 20",
     "net3_dense_sheets": "select document, sheet, count(*) as n from segments group by all having count(*) > 5",
     "net4_endpoint_edges": "select distinct seg as src, min(seg) over (partition by document, sheet, gx, gy) as dst from (select distinct document, sheet, seg, cast(round_even(x / 0.15, 0) as bigint) as gx, cast(round_even(y / 0.15, 0) as bigint) as gy from (select document, sheet, seg, x1 as x, y1 as y from segments union all select document, sheet, seg, x2, y2 from segments))",
+    "net7_connected_components": f"with recursive {drawings.COMP.replace('wires', 'segments')} select seg, net from net_of",
+    "log3_split_reasoning": "select conv_id, turn, array_to_string(regexp_extract_all(text, '(?s)<think>(.*?)(?:</think>|$)', 1), chr(10)) as reasoning, trim(regexp_replace(text, '(?s)<think>.*?(?:</think>|$)', '', 'g')) as visible from conversations",
+    "txt_keys": """select p_partkey, upper(p_type) as folded, concat('XA', p_partkey) as designator, len(list_distinct(list_filter(list_transform(regexp_split_to_array(p_name, '[\\s,;]+'), lambda t: upper(t)), lambda t: t <> ''))) as n_tokens, p_retailprice::double as price,
+ greatest(1, round_even(length(p_type) / 4, 0))::bigint as tokens, case when length(p_type) > 5 then concat(p_type[1:5], '...') else p_type end as clipped, lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) as title from part""",
     "log1_agent_transcript": "select conv_id, count(*) as n_kept, cast(sum(n) as bigint) as chars from (select conv_id, n, sum(n) over (partition by conv_id order by turn desc) as upto from (select conv_id, turn, length(role) + 2 + case when length(text) > 200 then 203 else length(text) end as n from conversations)) where upto <= 1000 group by conv_id",
 }
 
