@@ -108,6 +108,11 @@ VIEWS["table_words"] = """select concat('T-', l_suppkey % 10) as document, 1 + l
 VIEWS["spec_lines"] = """select concat('SP-', b) as document, k as row, case when k % 12 = 4 then '1' when k % 12 = 5 then null when k % 12 = 8 then null else concat('K', k, '...K', k + 2) end as position, case when k % 12 = 4 then '2' when k % 12 = 5 then case when p_size % 2 = 0 then 'Раздел 2' else 'Щиты' end when k % 12 = 8 then ' - замена' when k % 12 = 9 then null else concat('relay  ', p_size) end as name,
  case when k % 12 = 4 then '3' when k % 12 in (5, 8, 9) then null else concat('C', k) end as code, case when k % 12 in (5, 8, 9) then null when k % 5 = 0 then '1,5' when k % 5 = 1 then 'шт' else '2' end as quantity from k_part"""
 VIEWS["talk"] = """select conv_id, turn, case when turn % 4 = 3 then 'computer' when role = 'user' and turn % 6 = 0 then 'system' else 'assistant' end as role, case when turn % 3 = 0 then 'code' when turn % 3 = 1 then 'message' else 'image' end as type, text from conversations"""
+VIEWS["sheet_texts"] = """select concat('E3-', l_suppkey % 10) as document, concat('CAB', l_suppkey % 5) as bundle, l_orderkey % 40 as sheet, l_orderkey * 10 + l_linenumber as ord, case l_linenumber when 1 then concat('К0', l_partkey % 40) when 2 then concat(' K', l_partkey % 40, ' ') when 3 then concat('DVP', l_partkey % 7)
+ when 4 then case when l_suppkey % 2 = 0 then concat('/', l_partkey % 90, '.', l_orderkey % 9, ':B') else concat('(', l_partkey % 90, ':', l_orderkey % 9, 'C)') end when 5 then concat('26.80', l_suppkey % 9) else concat('note, K', l_partkey % 9) end as text,
+ case l_linenumber when 1 then 'device_tag' when 2 then 'instrument_tag' when 3 then 'module_partno' when 4 then 'cross_ref' when 5 then 'doc_number' else 'note' end as entity_type from lineitem"""
+VIEWS["split_refs"] = f"""select concat('E3-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as ord, case when k % 3 = 0 then concat('1XT', k % 9, ':') when k % 3 = 1 then cast(k % 40 as varchar(9)) else 'note 5' end as text, case when k % 3 = 0 then gx else gx - 30 + 14 + p_size % 5 end as x0, gy as y0,
+ case when k % 3 = 0 then gx + 12 else gx - 30 + 20 end as x1, gy + 4 as y1 from (select p_partkey, p_size, b, k, {AT} from k_part) as g"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,

@@ -292,3 +292,24 @@ def parse_number_set(c: Column) -> Column:
     whole = F.from_json(F.regexp_extract(json_candidate(c), r"(?s)\{.*\}", 0), "same_line array<string>, numbers array<string>")
     values = F.coalesce(whole["same_line"], whole["numbers"], F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.filter(F.transform(values, strip), lambda x: x.rlike(r"^\d{1,4}$"))))
+
+
+# How profiles of drawings write links to sheets; what gives a profile away, and how much it counts.
+CROSS_REFS = {"A": r"^/?(\d{1,3})\.(\d{1,2}):([A-F])$", "B": r"^/?\d{1,3}\.(\d{1,2})\.(\d{1,2})()$", "C": r"^\((\d{0,3}):(\d{1,2})([A-F])\)$", "F": r"^\(Л(\d{1,3})\)()()$"}
+PROFILE_SIGNS = [
+    ("A", r"^/?\d{1,3}\.\d{1,2}:[A-F]$", 3), ("A", r"^00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3}$|^00CJF02", 3), ("A", r"^R500\s", 3), ("A", r"^\d+([.,]\d+)?\s*мм²$", 1),
+    ("B", r"^/?\d{1,3}\.\d{1,2}\.\d{1,2}$", 3), ("B", r"^М[ВУКР]\d{3}(-\d{2,3})?$", 3), ("B", r"^\d+[xх]\d+([xх][\d.,]+)?$", 1), ("B", r"(?iu)ВВГ|КВВГ|МКЭШ|КВК|КГ|ПвПг|ПуГВ|ParLan|LiYCY|РК\s?75|КИПЭВ", 1),
+    ("C", r"^\(\d{0,3}:\d{1,2}[A-F]\)$", 3), ("C", r"^DVP[0-9A-Z][0-9A-Z\-]*$", 3),
+    ("D", r"^(?:ПЛК|МВ|МУ|МК|МДВВ)\d{2,3}-[\d.]*\.\d+[А-ЯЁ\w.\-]*$|^(?:ПЛК|МВ|МУ|МК|МДВВ)\d{2,3}[-.][\d.]*[А-ЯЁ]+[\w.\-]*$|^СЭТ-", 3), ("D", r"^\d[PР](\+[NН])?-[A-DСC]\d{1,3}$", 2),
+    ("E", r"^\d{2}-\d{3}-[A-ZА-Я]{2,4}$", 3), ("E", r"^\d{0,2}X[TM]?\d{0,2}:(?:\d{1,3}|PE)$", 2), ("E", r"^[AА][TТ]\d{2,4}\.\d{1,2}$", 1),
+    ("F", r"^S9[A-Z]\d{4,6}$|^SXG\d{2}[A-Z]{2}$|^HM[A-Z0-9]{3,10}$", 3), ("F", r"^\(Л\d{1,3}\)$", 2), ("F", r"^[А-Я]{2,6}\.\d{3,6}\.\d{1,3}\.\d{1,3}-Э\d$", 2),
+]
+
+
+def parse_cross_ref(c: Column, profile: str) -> Column:
+    """(sheet, column, zone) of a link as a profile writes it; null for other texts. A null sheet is the same sheet."""
+    if profile not in CROSS_REFS:
+        return F.lit(None).cast("struct<sheet:int,column:int,zone:string>")
+    pattern = CROSS_REFS[profile]
+    part = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    return F.when(c.rlike(pattern), F.struct(part(1).cast("int").alias("sheet"), part(2).cast("int").alias("column"), part(3).alias("zone")))

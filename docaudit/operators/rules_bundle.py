@@ -7,6 +7,7 @@ sheet, designator, and scheme articles as bundle, article. Null texts count as e
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .rules_cross import keyed, mass_captions
@@ -140,3 +141,32 @@ def instrument_links(instruments: DataFrame, rows: DataFrame) -> DataFrame:
     side = lambda d, name: d.select(T.fold_designator(F.col("tag")).alias("tag"), F.lit(True).alias(name)).filter("tag <> ''").distinct()
     both = side(instruments, "drawn").join(side(rows, "listed"), "tag", "full_outer").filter("drawn is null or listed is null")
     return both.select("tag", F.when(F.col("listed").isNull(), "diagram").otherwise("journal").alias("only_in"), F.lit("REVIEW").alias("kind"))
+
+
+def explode_positions(items: DataFrame) -> DataFrame:
+    """bundle, key, row_no, designator: every designator of every specification row (bundle, row_no, position)."""
+    return items.select("bundle", "row_no", F.explode(T.parse_designators(F.col("position"))).alias("designator")).select("bundle", T.fold(F.col("designator")).alias("key"), "row_no", "designator")
+
+
+def scheme_facts(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per scheme its tags (document, key, first text, sheets), and in one row its articles, tokens and first document number.
+
+    spans: document, sheet, ord, text, entity_type.
+    """
+    rows = spans.withColumn("t", F.trim("text")).filter("t <> ''")
+    tags = rows.filter("entity_type in ('device_tag', 'instrument_tag')").groupBy("document", T.fold_designator(F.col("t")).alias("key")).agg(
+        F.min_by("t", F.struct("sheet", "ord")).alias("text"), F.array_sort(F.collect_set("sheet")).alias("sheets")
+    )
+    of = lambda kind: F.when(F.col("entity_type") == kind, F.col("t"))
+    whole = rows.groupBy("document").agg(F.array_sort(F.collect_set(of("module_partno"))).alias("articles"), F.min_by(of("doc_number"), F.when(F.col("entity_type") == "doc_number", F.struct("sheet", "ord"))).alias("designation"))
+    tokens = rows.select("document", F.explode(T.text_tokens(F.col("t"))).alias("token")).groupBy("document").agg(F.countDistinct("token").alias("tokens"))
+    return tags, whole.join(tokens, "document", "left")
+
+
+def merge_documents(facts: DataFrame, order: DataFrame) -> DataFrame:
+    """One view of several documents of a type: for each bundle and key what the first document says that has it; nothing is mixed.
+
+    facts: bundle, document, key and more; order: document, rank (the main document first).
+    """
+    w = Window.partitionBy("bundle", "key").orderBy("rank", "document")
+    return facts.join(order, "document").withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at", "rank")

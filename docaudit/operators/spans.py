@@ -138,3 +138,24 @@ def detect_font_codec(spans: DataFrame, gain: float = 0.08) -> DataFrame:
     best = F.array_max(F.array(*scored))
     rows = per.select("document", "font", best.alias("b"), (F.col("w_") / F.col("n")).alias("base"))
     return rows.select("document", "font", F.when(F.col("b.score") - F.col("base") >= gain, F.col("b.codec")).alias("codec"))
+
+
+def detect_profile(spans: DataFrame) -> DataFrame:
+    """document, profile, score: the profile whose signs weigh most among a document's texts, of equals the first; A where there are none."""
+    text = F.trim("text")
+    profiles = sorted({p for p, _, _ in T.PROFILE_SIGNS})
+    weight = lambda p: sum((F.when(text.rlike(f"(?U){r}" if not r.startswith("(?") else r), w).otherwise(0) for q, r, w in T.PROFILE_SIGNS if q == p), F.lit(0))
+    per = spans.groupBy("document").agg(*[F.sum(weight(p)).alias(p) for p in profiles])
+    best = F.array_max(F.array(*[F.struct(F.col(p).alias("score"), F.lit(-i).alias("first"), F.lit(p).alias("profile")) for i, p in enumerate(profiles)]))
+    return per.select("document", best.alias("b")).select("document", "b.profile", "b.score")
+
+
+def stitch_pin_refs(spans: DataFrame, gap: float = 6.0) -> DataFrame:
+    """document, sheet, ord, address: addresses written in two spans, "1XT5:" and "3": the nearest number on the line, which no nearer head takes."""
+    rows = spans.withColumn("t", F.trim("text"))
+    heads = rows.filter("t rlike '^[0-9]{0,2}[A-ZА-Я]{1,5}[0-9]{1,4}:$'").select(*SHEET, "ord", F.col("t").alias("head"), F.col("x1").alias("px"), F.col("y0").alias("py"), F.col("y1").alias("bottom"))
+    tails = rows.filter("t rlike '^[A-Z0-9]{1,4}$'").select(*SHEET, F.col("ord").alias("other"), F.col("t").alias("tail"), F.col("x0").alias("ox"), F.col("y0").alias("oy"), F.col("y1").alias("other_bottom"))
+    pairs = within(heads, tails, gap, 20.0).withColumn("gap", F.abs(F.col("ox") - F.col("px"))).filter(F.least("bottom", "other_bottom") - F.greatest("py", "oy") >= 1)
+    best = lambda *by: F.row_number().over(W.Window.partitionBy(*SHEET, *by).orderBy("gap", "ord", "other"))
+    mutual = pairs.withColumn("of_head", best("ord")).withColumn("of_tail", best("other")).filter("of_head = 1 and of_tail = 1")
+    return mutual.select(*SHEET, "ord", F.concat("head", "tail").alias("address"))

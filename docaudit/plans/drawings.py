@@ -71,6 +71,8 @@ QUERIES = {
     "net19_gauge_vs_width": over(lambda w, s: N.gauge_vs_width(s, w), W, L),
     "net20_issue_candidates": over(issues, W, L),
     "spn1_detect_font_codec": over(lambda s: S.detect_font_codec(fonts(s)), L),
+    "spn2_detect_profile": over(S.detect_profile, "sheet_texts"),
+    "spn11_stitch_pin_refs": over(S.stitch_pin_refs, "split_refs"),
     "spn4_type_histogram": over(S.type_histogram, L),
     "spn5_pair_in_block": over(S.pair_in_block, D),
     "spn6_pair_nearest": over(lambda d: S.pair_nearest(d.filter("entity_type = 'designator'"), d.filter("entity_type = 'article'")), D),
@@ -155,6 +157,10 @@ SQL = {
     "net19_gauge_vs_width": f"with {MID}, {GAUGE} select * from gauges",
     "net20_issue_candidates": f"with {MID}, {CROSS}, {GAUGE}, {ORDER}, k as (select document, case when has_dot then 'crossing with dot' else 'crossing without dot' end as kind from crossings union all select document, 'terminal order' from anomalies union all select document, 'gauge and width' from gauges) select document, kind, count(*) as n from k group by all",
     "spn1_detect_font_codec": "select document, (ord % 3)::varchar as font, case when any_value(ord % 3) = 0 then 'cp1251' end as codec from wire_labels group by all",
+    "spn2_detect_profile": "select document, case when sum(a) >= sum(c) then 'A' else 'C' end as profile, greatest(sum(a), sum(c))::bigint as score from (select document, case when entity_type = 'cross_ref' and starts_with(text, '/') then 3 else 0 end as a, case when entity_type = 'module_partno' or (entity_type = 'cross_ref' and starts_with(text, '(')) then 3 else 0 end as c from sheet_texts) group by document",
+    "spn11_stitch_pin_refs": f"""with h as (select * from split_refs where regexp_matches(text, '^[0-9]{{0,2}}[A-Z]{{1,5}}[0-9]{{1,4}}:$')), t as (select * from split_refs where regexp_matches(text, '^[A-Z0-9]{{1,4}}$')),
+ p as (select h.document, h.sheet, h.ord, t.ord as other, concat(h.text, t.text) as address, abs(t.x0 - h.x1) as gap from h join t on {SAME('h', 't')} where abs(t.x0 - h.x1) <= 6 and least(h.y1, t.y1) - greatest(h.y0, t.y0) >= 1),
+ r as (select *, row_number() over (partition by document, sheet, ord order by gap, ord, other) as a, row_number() over (partition by document, sheet, other order by gap, ord, other) as b from p) select document, sheet, ord, address from r where a = 1 and b = 1""",
     "spn4_type_histogram": "select document, entity_type, count(*) as n from wire_labels group by all",
     "spn5_pair_in_block": """with n as (select *, max(size) over (partition by document, sheet, block) as top from drawing_texts where entity_type = 'designator'), a as (select document, sheet, block, arg_max(text, length(text) * 1000000000 - ord) as article from drawing_texts where entity_type = 'article' group by all)
  select document, sheet, block, ord, text as designator, article from n join a using (document, sheet, block) where abs(size - top) <= 0.01""",

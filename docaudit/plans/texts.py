@@ -52,6 +52,15 @@ UNIT_PATTERN = "|".join(sorted(T.UNITS, key=lambda u: -len(u)))
 WORDS = lambda words: ", ".join(f"'{w}'" for w in words)
 
 QUERIES = {
+    "txt1_fold": per_caption(key=T.fold),
+    "txt2_fold_designator": per_caption(key=T.fold_designator),
+    "txt10_to_number": per_caption(number=lambda c: T.to_number(F.regexp_extract(c, r"[0-9][0-9,.]*", 0))),
+    "txt11_clean": per_caption(text=T.clean),
+    "txt14_norm_title": per_caption(title=T.norm_title),
+    "txt23_cross_refs": over(lambda d: d.filter("entity_type = 'cross_ref'").select("document", "ord", F.coalesce(T.parse_cross_ref(F.col("text"), "A"), T.parse_cross_ref(F.col("text"), "C")).alias("r")).select("document", "ord", "r.sheet", "r.column", "r.zone"), "sheet_texts"),
+    "txt24_severity_rank": over(lambda d: d.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).select("severity", "n", T.severity_rank(F.col("severity")).alias("rank")), "finding_rows"),
+    "txt27_approx_tokens": raw("conversations", lambda d: d.select("conv_id", "turn", T.approx_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))),
+    "txt28_clip_text": raw("conversations", lambda d: d.select("conv_id", "turn", T.clip_text(F.col("text"), 20).alias("clipped"))),
     "txt3_to_cyrillic": per_caption(fixed=T.to_cyrillic),
     "txt4_text_tokens": per_caption(tokens=lambda c: joined(T.text_tokens(c))),
     "txt5_article_tokens": per_caption(tokens=lambda c: joined(T.article_tokens(c))),
@@ -74,6 +83,15 @@ QUERIES = {
 }
 NUMBERS = """case conv_id % 4 when 0 then list_sort(list_distinct([turn::varchar, '12'])) when 1 then list_sort(list_distinct(['7', turn::varchar])) when 2 then list_sort(list_distinct([turn::varchar, '12'])) else [] end"""
 SQL = {
+    "txt1_fold": f"select id, {S.fold('caption')} as key from captions",
+    "txt2_fold_designator": f"select id, {S.fold_designator('caption')} as key from captions",
+    "txt10_to_number": "select id, try_cast(replace(regexp_extract(caption, '[0-9][0-9,.]*'), ',', '.') as double) as number from captions",
+    "txt11_clean": "select id, nullif(trim(regexp_replace(caption, '\\s+', ' ', 'g')), '') as text from captions",
+    "txt14_norm_title": "select id, translate(lower(trim(regexp_replace(caption, '\\s+', ' ', 'g'))), 'ё', 'е') as title from captions",
+    "txt23_cross_refs": "select document, ord, regexp_extract(text, '(\\d+)[.:]', 1)::int as sheet, regexp_extract(text, '[.:](\\d+)', 1)::int as \"column\", regexp_extract(text, '([A-F])\\)?$', 1) as zone from sheet_texts where entity_type = 'cross_ref'",
+    "txt24_severity_rank": "select severity, count(*) as n, case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 when 'info' then 4 else 9 end as rank from finding_rows group by severity",
+    "txt27_approx_tokens": "select conv_id, turn, greatest(1, round_even(length(coalesce(text, '')) / 4, 0))::bigint as tokens from conversations",
+    "txt28_clip_text": "select conv_id, turn, case when length(text) > 20 then concat(text[1:20], '...') else text end as clipped from conversations",
     "txt3_to_cyrillic": "select id, case when regexp_matches(caption, '[А-яЁё]') then translate(caption, 'ABEKMHOPCTYX', 'АВЕКМНОРСТУХ') else caption end as fixed from captions",
     "txt4_text_tokens": f"select id, array_to_string(list_sort({S.text_tokens('caption')}), '|') as tokens from captions",
     "txt5_article_tokens": f"select id, array_to_string(list_sort({S.article_tokens('caption')}), '|') as tokens from captions",
