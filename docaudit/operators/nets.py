@@ -213,3 +213,27 @@ def issue_candidates(crossings: DataFrame, anomalies: DataFrame, gauges: DataFra
     """document, kind, n: what is worth a look, counted by document."""
     kinds = [crossings.select("document", F.when(F.col("has_dot"), "crossing with dot").otherwise("crossing without dot").alias("kind")), anomalies.select("document", F.lit("terminal order").alias("kind")), gauges.select("document", F.lit("gauge and width").alias("kind"))]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("document", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Types of labels at the nodes of a page's graph.
+NODE_TYPES = ["terminal_no", "pin_ref", "wire_gauge", "device_tag", "instrument_tag", "power_pin"]
+
+
+def page_graph(segments: DataFrame, spans: DataFrame, radius: float = 12.0) -> DataFrame:
+    """document, sheet, line, x1, y1, x2, y2, n_segments, labels1, labels2: lines of segments that share ends, as an edge between
+    their leftmost and rightmost point, with the nearest label of each type at both.
+
+    Short strokes stay lines as well: what is near them decides nothing.
+    """
+    alone = segments.select(F.col("seg").alias("src"), F.col("seg").alias("dst"))
+    line_of = connected_components(endpoint_edges(segments).unionByName(alone)).select(F.col("node").alias("seg"), F.col("component").alias("line"))
+    point = F.struct("px", "py")
+    edges = ends(segments).join(line_of, "seg").groupBy(*SHEET, "line").agg(F.min(point).alias("a"), F.max(point).alias("b"), F.countDistinct("seg").alias("n_segments"))
+    points = edges.select(*SHEET, "a.*").union(edges.select(*SHEET, "b.*"))
+    near = nearest_labels(points, spans, radius, NODE_TYPES).filter(F.col("dist") < radius)
+    labels = near.groupBy(*SHEET, "px", "py").agg(F.array_sort(F.collect_list(F.concat("type", F.lit("="), "text"))).alias("labels"))
+    at = lambda i: labels.withColumnsRenamed({"px": f"x{i}", "py": f"y{i}", "labels": f"labels{i}"})
+    out = edges.select(*SHEET, "line", F.col("a.px").alias("x1"), F.col("a.py").alias("y1"), F.col("b.px").alias("x2"), F.col("b.py").alias("y2"), "n_segments")
+    out = out.join(at(1), [*SHEET, "x1", "y1"], "left").join(at(2), [*SHEET, "x2", "y2"], "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({f"labels{i}": F.coalesce(F.col(f"labels{i}"), none) for i in (1, 2)}).select(*SHEET, "line", "x1", "y1", "x2", "y2", "n_segments", "labels1", "labels2")

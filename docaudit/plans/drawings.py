@@ -71,6 +71,8 @@ QUERIES = {
     "net19_gauge_vs_width": over(lambda w, s: N.gauge_vs_width(s, w), W, L),
     "net20_issue_candidates": over(issues, W, L),
     "spn1_detect_font_codec": over(lambda s: S.detect_font_codec(fonts(s)), L),
+    "net16_page_graph": over(lambda w, s: joined(N.page_graph(w, s), "labels1", "labels2"), W, L),
+    "spn3_merge_split_tags": over(S.merge_split_tags, "split_tags"),
     "spn2_detect_profile": over(S.detect_profile, "sheet_texts"),
     "spn11_stitch_pin_refs": over(S.stitch_pin_refs, "split_refs"),
     "spn4_type_histogram": over(S.type_histogram, L),
@@ -157,6 +159,13 @@ SQL = {
     "net19_gauge_vs_width": f"with {MID}, {GAUGE} select * from gauges",
     "net20_issue_candidates": f"with {MID}, {CROSS}, {GAUGE}, {ORDER}, k as (select document, case when has_dot then 'crossing with dot' else 'crossing without dot' end as kind from crossings union all select document, 'terminal order' from anomalies union all select document, 'gauge and width' from gauges) select document, kind, count(*) as n from k group by all",
     "spn1_detect_font_codec": "select document, (ord % 3)::varchar as font, case when any_value(ord % 3) = 0 then 'cp1251' end as codec from wire_labels group by all",
+    "net16_page_graph": f"""with recursive {ENDS}, {KEYS}, pairs as (select a.seg as s, b.seg as d from keys a join keys b on {SAME('a', 'b')} and a.kx = b.kx and a.ky = b.ky), reach(s, d) as (select s, d from pairs union select r.s, p.d from reach r join pairs p on p.s = r.d),
+ line_of as (select s as seg, min(d) as line from reach group by s), edges as (select document, sheet, line, min(struct_pack(x := px, y := py)) as a, max(struct_pack(x := px, y := py)) as b, count(distinct seg) as n_segments from ends join line_of using (seg) group by document, sheet, line), {MID},
+ nodes as (select distinct document, sheet, a.x as px, a.y as py from edges union select document, sheet, b.x, b.y from edges), near_ as (select n.*, m.entity_type as type, m.text, m.ord, {DIST('px', 'py', 'ox', 'oy')} as dist from nodes n join mid m on {SAME('n', 'm')} where m.entity_type in ('terminal_no', 'pin_ref', 'wire_gauge', 'device_tag', 'instrument_tag', 'power_pin')),
+ best as (select * from near_ where dist < 12 qualify row_number() over (partition by document, sheet, px, py, type order by dist, ord) = 1), labels_ as (select document, sheet, px, py, array_to_string(list_sort(list(concat(type, '=', text))), ',') as labels from best group by document, sheet, px, py)
+ select e.document, e.sheet, line, a.x as x1, a.y as y1, b.x as x2, b.y as y2, n_segments, coalesce(p.labels, '') as labels1, coalesce(q.labels, '') as labels2 from edges e left join labels_ p on {SAME('p', 'e')} and p.px = a.x and p.py = a.y left join labels_ q on {SAME('q', 'e')} and q.px = b.x and q.py = b.y""",
+    "spn3_merge_split_tags": f"""select a.document, a.sheet, a.ord, b.ord as other, concat(a.text, b.text) as text from split_tags a join split_tags b on {SAME('a', 'b')} and a.font = b.font where a.text = 'XM' and regexp_matches(b.text, '^[0-9]{{1,2}}$') and b.x0 - a.x1 between -0.5 and 10 and abs(a.y0 - b.y0) <= 2
+ qualify row_number() over (partition by a.ord order by b.x0, b.ord) = 1""",
     "spn2_detect_profile": "select document, case when sum(a) >= sum(c) then 'A' else 'C' end as profile, greatest(sum(a), sum(c))::bigint as score from (select document, case when entity_type = 'cross_ref' and starts_with(text, '/') then 3 else 0 end as a, case when entity_type = 'module_partno' or (entity_type = 'cross_ref' and starts_with(text, '(')) then 3 else 0 end as c from sheet_texts) group by document",
     "spn11_stitch_pin_refs": f"""with h as (select * from split_refs where regexp_matches(text, '^[0-9]{{0,2}}[A-Z]{{1,5}}[0-9]{{1,4}}:$')), t as (select * from split_refs where regexp_matches(text, '^[A-Z0-9]{{1,4}}$')),
  p as (select h.document, h.sheet, h.ord, t.ord as other, concat(h.text, t.text) as address, abs(t.x0 - h.x1) as gap from h join t on {SAME('h', 't')} where abs(t.x0 - h.x1) <= 6 and least(h.y1, t.y1) - greatest(h.y0, t.y0) >= 1),
