@@ -114,6 +114,8 @@ VIEWS["sheet_texts"] = """select concat('E3-', l_suppkey % 10) as document, conc
 VIEWS["split_refs"] = f"""select concat('E3-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as ord, case when k % 3 = 0 then concat('1XT', k % 9, ':') when k % 3 = 1 then cast(k % 40 as varchar(9)) else 'note 5' end as text, case when k % 3 = 0 then gx else gx - 30 + 14 + p_size % 5 end as x0, gy as y0,
  case when k % 3 = 0 then gx + 12 else gx - 30 + 20 end as x1, gy + 4 as y1 from (select p_partkey, p_size, b, k, {AT} from k_part) as g"""
 VIEWS["split_tags"] = VIEWS["split_refs"].replace("concat('1XT', k % 9, ':')", "case when k % 6 = 0 then 'XM' else concat('KL', k % 9) end").replace("as text,", "as text, case when k % 8 = 1 then 'bold' else 'plain' end as font,")
+VIEWS["header_cells"] = """select concat('SP-', b) as document, cast(floor(k / 12) as bigint) as page, k % 12 as column_no, case (k * 5 + b) % 12 when 0 then 'Поз. обозначение' when 1 then 'Наименование  и техническая характеристика' when 2 then 'Код изделия' when 3 then ' КОЛИЧЕСТВО' when 4 then 'Кол. на шкаф' when 5 then 'Примечание'
+ when 6 then 'Масса единицы, кг' when 7 then 'Единица измерения' when 8 then 'Масса ед.' when 9 then '' when 10 then 'Завод-изготовитель' else 'Прочее' end as text from k_part"""
 # Findings with one place or two, by rules and agents; some are not valid.
 VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id, concat('CAB', l_suppkey % 4) as bundle, case when l_linenumber = 6 then 'agent' else 'rule' end as origin,
  case l_orderkey % 5 when 0 then 'DUPLICATE' when 1 then 'MISSING' when 2 then 'MISMATCH' when 3 then 'REVIEW' else 'OTHER' end as kind,

@@ -156,3 +156,30 @@ def number_row(lines: DataFrame, least: int = 5) -> DataFrame:
     counted = F.transform("w", lambda x: x["t"].try_cast("int"))
     good = (F.size("w") >= least) & (counted == F.sequence(F.lit(1), F.size("w")))
     return per.filter(F.coalesce(good, F.lit(False))).groupBy(*PAGE).agg(F.min("y").alias("y"))
+
+
+# Fields of a specification and what their headers begin with or hold.
+SPEC_COLUMNS = [
+    ("position", ["позиция", "поз."]), ("name", ["наименование и техническая характеристика", "наименование"]), ("type_mark", ["тип, марка", "тип,марка"]), ("code", ["код оборудования", "код изделия", "код обору"]),
+    ("manufacturer", ["завод-изготовитель", "завод изготовитель", "изготовитель"]), ("unit", ["единица измерения", "ед. изм", "единица"]), ("quantity", ["количество", "кол-во", "кол."]),
+    ("mass", ["масса единицы", "масса ед", "масса"]), ("note", ["примечание"]),
+]
+
+
+def map_columns(headers: DataFrame, patterns: list[tuple[str, list[str]]] = SPEC_COLUMNS) -> DataFrame:
+    """document, page, field, column: columns from left to right take the first field that fits their header and that no column has yet.
+
+    headers: document, page, column, text. White space and case do not matter.
+    """
+    norm = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
+    rows = headers.select(*PAGE, "column", norm.alias("text")).filter("text <> ''").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("column", "text"))).alias("headers"))
+
+    def step(taken, header):
+        free = lambda f: ~F.exists(taken, lambda t: t["field"] == f)
+        fits = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(header["text"], w))
+        field = F.coalesce(*[F.when(fits(words) & free(f), F.lit(f)) for f, words in patterns])
+        return F.when(field.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(field.alias("field"), header["column"].alias("column")))))
+
+    kind = dict(headers.dtypes)["column"]
+    found = F.aggregate("headers", F.array().cast(f"array<struct<field:string,column:{kind}>>"), step)
+    return rows.select(*PAGE, F.explode(found).alias("f")).select(*PAGE, "f.*")

@@ -80,6 +80,7 @@ QUERIES = {
     "tab1_separators": over(lambda r: listed(T.separators(r), "seps"), "rulings"),
     "tab2_row_bands": over(lambda r: T.row_bands(r, 250.0), "rulings"),
     "tab3_cells": over(filled, "table_words", "rulings"),
+    "tab4_map_columns": over(lambda d: T.map_columns(d.withColumnRenamed("column_no", "column")).withColumnRenamed("column", "column_no"), "header_cells"),
     "tab5_carry_layout": over(lambda r: listed(layouts(r), "layout"), "rulings"),
     "tab6_table_kind": over(kinds, "table_words"),
     "tab9_build_connections": over(rows, "connections"),
@@ -107,6 +108,8 @@ SQL = {
     "tab2_row_bands": f"with {BANDS} select * from bands",
     "tab3_cells": f"""with {SEPS}, {BANDS}, placed as (select w.document, w.page, b.band, len(list_filter(s.seps, lambda x: x <= (w.x0 + w.x1) / 2)) as "column", w.* exclude (document, page) from table_words w join seps s using (document, page) join bands b on b.document = w.document and b.page = w.page and w.top >= b.top - 0.5 and w.top < b.bottom - 0.5)
  select document, page, band, "column", trim(string_agg(text, ' ' order by round_even(top, 0), x0, ord, text)) as text from placed group by document, page, band, "column\"""",
+    "tab4_map_columns": """with h as (select *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from header_cells), f as (select *, case when contains(t, 'поз.') then 'position' when contains(t, 'наименование') then 'name' when contains(t, 'код изделия') then 'code' when contains(t, 'изготовитель') then 'manufacturer'
+ when contains(t, 'единица измерения') then 'unit' when contains(t, 'количество') or contains(t, 'кол.') then 'quantity' when contains(t, 'масса') then 'mass' when contains(t, 'примечание') then 'note' end as field from h) select document, page, field, min(column_no) as column_no from f where field is not null group by all""",
     "tab5_carry_layout": f"""with {SEPS}, h as (select document, seps as layout from seps where page = 1) select s.document, s.page, {MONEY('layout').replace('layout,', 'h.layout,', 1)} from seps s join h using (document) where s.page = 1 or (len(s.seps) = len(layout) and len(list_filter(list_zip(s.seps, layout), lambda p: abs(p[1] - p[2]) > 3)) = 0)""",
     "tab6_table_kind": f"""with {HEAD} select d.document, case when contains(h, 'позиция') and contains(h, 'схеме') and (contains(h, 'сигнализация') or contains(h, 'резервирование')) then 'param_list' when contains(h, 'описание сигнала') and contains(h, 'номер входа') then 'signal_list'
  when contains(h, 'кабел') and contains(h, 'начало') and contains(h, 'конец') then 'cable_journal' else 'gost_connections' end as table_kind from (select distinct document from table_words) d left join head using (document)""",
