@@ -175,7 +175,7 @@ def fragment_targets(findings: DataFrame) -> DataFrame:
     keys = lambda r: F.filter(F.array(*[r[k] for k in ("article", "designator", "marking", "kks", "terminal_block")]), lambda k: k != "")
     rows = findings.select("finding_id", F.posexplode("refs").alias("pos", "r")).filter("r.doc_type in ('scheme', 'assembly', 'netlist') and r.document <> ''")
     rows = rows.select("finding_id", "pos", "r.document", "r.doc_type", "r.sheet", keys(F.col("r")).alias("keys")).filter(F.size("keys") > 0)
-    same = Window.partitionBy("finding_id", "document", "sheet", F.get("keys", F.lit(0))).orderBy("pos", "keys")
+    same = Window.partitionBy("finding_id", "document", "sheet", F.get("keys", F.lit(0))).orderBy("pos", "keys", "doc_type")
     return rows.withColumn("again", F.row_number().over(same)).filter("again = 1").drop("again")
 
 
@@ -191,7 +191,7 @@ def locate(targets: DataFrame, spans: DataFrame, useful: int = 12) -> DataFrame:
     wanted = keys.select("document", "key").distinct()
     hits = spans.join(wanted, "document").filter(F.contains("text", F.col("key"))).groupBy("document", "sheet", "key").agg(F.count(F.lit(1)).alias("hits"))
     found = keys.join(hits, ["document", "key"])
-    order = [(F.col("sheet") != F.coalesce(F.col("named"), F.lit(-1))), F.col("sheet"), F.col("hits") > useful, F.when(F.col("hits") > useful, F.col("hits")).otherwise(F.col("rank")), F.col("rank")]
+    order = [(F.col("sheet") != F.coalesce(F.col("named"), F.lit(-1))), F.col("sheet"), F.col("hits") > useful, F.when(F.col("hits") > useful, F.col("hits")).otherwise(F.col("rank")), F.col("rank"), F.col("key")]
     best = found.groupBy("finding_id", "pos").agg(F.min_by(F.struct("sheet", "key", "hits", F.coalesce(F.col("sheet") != F.col("named"), F.lit(True)).alias("fallback")), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("b"))
     return best.select("finding_id", "pos", "b.*")
 

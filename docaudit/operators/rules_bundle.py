@@ -155,10 +155,10 @@ def scheme_facts(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = spans.withColumn("t", F.trim("text")).filter("t <> ''")
     tags = rows.filter("entity_type in ('device_tag', 'instrument_tag')").groupBy("document", T.fold_designator(F.col("t")).alias("key")).agg(
-        F.min_by("t", F.struct("sheet", "ord")).alias("text"), F.array_sort(F.collect_set("sheet")).alias("sheets")
+        F.min_by("t", F.struct("sheet", "ord", "t")).alias("text"), F.array_sort(F.collect_set("sheet")).alias("sheets")
     )
     of = lambda kind: F.when(F.col("entity_type") == kind, F.col("t"))
-    whole = rows.groupBy("document").agg(F.array_sort(F.collect_set(of("module_partno"))).alias("articles"), F.min_by(of("doc_number"), F.when(F.col("entity_type") == "doc_number", F.struct("sheet", "ord"))).alias("designation"))
+    whole = rows.groupBy("document").agg(F.array_sort(F.collect_set(of("module_partno"))).alias("articles"), F.min_by(of("doc_number"), F.when(F.col("entity_type") == "doc_number", F.struct("sheet", "ord", "t"))).alias("designation"))
     tokens = rows.select("document", F.explode(T.text_tokens(F.col("t"))).alias("token")).groupBy("document").agg(F.countDistinct("token").alias("tokens"))
     return tags, whole.join(tokens, "document", "left")
 

@@ -114,12 +114,12 @@ def part(x: str, apart: bool = False) -> str:
 
 
 SQL = {q: f"with {part(x)} select * from {x}" for x in PARTS for q in QUERIES if q.startswith(x + "_")}
-TAGS = f"""tags as (select document, {fd('trim(text)')} as key, arg_min(trim(text), sheet * 10000000000 + ord) as text, array_to_string(list_sort(list_distinct(list(sheet)))::varchar[], ',') as sheets from sheet_texts where entity_type in ('device_tag', 'instrument_tag') group by 1, 2)"""
+TAGS = f"""tags as (select document, {fd('trim(text)')} as key, (array_agg(trim(text) order by sheet, ord, trim(text)))[1] as text, array_to_string(list_sort(list_distinct(list(sheet)))::varchar[], ',') as sheets from sheet_texts where entity_type in ('device_tag', 'instrument_tag') group by 1, 2)"""
 SQL["x1_explode_positions"] = f"""with e as (select concat('B', k % 9) as bundle, id as row_no, unnest(case form when 0 then list_transform(range(k + 1, k + 5), lambda i: concat('K', i)) when 1 then list_distinct([concat('XT', k), concat('XT', k + 1)]) when 2 then list_transform(range(1, 5), lambda i: concat(i, 'KL', k))
  when 3 then [concat('K', k, '-K', k + 1)] when 4 then [concat('A', k), concat('B', k + 3)] else [] end) as designator from position_cells) select bundle, designator as key, row_no, designator from e"""
 SQL["x2_scheme_tags"] = f"with {TAGS} select * from tags"
 SQL["x2_scheme_texts"] = f"""with t as (select document, unnest({S.text_tokens('trim(text)')}) as token from sheet_texts), n as (select document, count(distinct token) as tokens from t group by document)
- select s.document, array_to_string(list_sort(list_distinct(list(trim(text)) filter (entity_type = 'module_partno'))), ',') as articles, arg_min(trim(text), sheet * 10000000000 + ord) filter (entity_type = 'doc_number') as designation, any_value(tokens) as tokens from sheet_texts s join n on n.document = s.document group by s.document"""
+ select s.document, array_to_string(list_sort(list_distinct(list(trim(text)) filter (entity_type = 'module_partno'))), ',') as articles, (array_agg(trim(text) order by sheet, ord, trim(text)) filter (entity_type = 'doc_number'))[1] as designation, any_value(tokens) as tokens from sheet_texts s join n on n.document = s.document group by s.document"""
 SQL["x3_merge_by_rank"] = f"with {TAGS}, b as (select distinct document, bundle from sheet_texts) select b.bundle, t.* from tags t join b on b.document = t.document qualify row_number() over (partition by b.bundle, key order by regexp_extract(t.document, '[0-9]+')::int % 7, t.document) = 1"
 SQL["x11_check_bundle"] = (
     "with " + ", ".join(part(x, True) for x in PARTS if x != "x6") + ", " + part("x6", True).replace("from order_rows group", "from order_rows where not project_wide group")

@@ -87,7 +87,7 @@ FULL = "(2 + 2 + (terminal_block is not null)::int + (pin is not null)::int + (k
 VALUE = lambda t, cond, fields: ", ".join(f"case when {cond} then {f}::varchar end as {t}_{n}" if f else f"null::varchar as {t}_{n}" for n, f in fields.items())
 DIFF = " || ';' || ".join(["kind", "severity", "type", SHOW("document", "doc_type", "sheet", "row_no", "terminal_block", "pin", "kks", "null::varchar", "null::varchar")]) + " || case when document2 is null then '' else ';' || " + SHOW("document2", "'spec'", "sheet", "null::varchar", "null::varchar", "null::varchar", "null::varchar", "designator", "article") + " end"
 TARGETS = """targets as (select finding_id, 0 as pos, document, doc_type, sheet::int as sheet, list_filter([kks, terminal_block], lambda x: x is not null) as keys from finding_rows where kks is not null or terminal_block is not null
- qualify row_number() over (partition by finding_id, document, sheet, coalesce(kks, terminal_block) order by keys) = 1)"""
+ qualify row_number() over (partition by finding_id, document, sheet, coalesce(kks, terminal_block) order by keys, doc_type) = 1)"""
 SQL = {
     "rep1_make_findings": "select finding_id, case when document2 is null then 1 else 2 end as places, sheet, case when document2 is not null then article end as article, null as quantity from finding_rows",
     "rep2_signature": f"select finding_id, {SIGN} as signature from finding_rows",
@@ -108,7 +108,7 @@ SQL = {
     "rep13_locate": f"""with {TARGETS}, spans as (select concat('NL-', regexp_extract(document, '\\d+')) as document, sheet, concat('XT', text, ' of 00USE1', comp % 9) as text from marks),
  keys as (select finding_id, pos, document, sheet as named, unnest(keys) as key, generate_subscripts(keys, 1) - 1 as rank from targets), wanted as (select distinct document, key from keys),
  hits as (select s.document, s.sheet, w.key, count(*) as hits from spans s join wanted w on w.document = s.document and contains(s.text, w.key) group by all),
- ordered as (select k.finding_id, k.pos, h.sheet, k.key, h.hits, coalesce(h.sheet <> k.named, true) as fallback, row_number() over (partition by k.finding_id, k.pos order by h.sheet <> coalesce(k.named, -1), h.sheet, h.hits > 12, case when h.hits > 12 then h.hits else k.rank end, k.rank) as best
+ ordered as (select k.finding_id, k.pos, h.sheet, k.key, h.hits, coalesce(h.sheet <> k.named, true) as fallback, row_number() over (partition by k.finding_id, k.pos order by h.sheet <> coalesce(k.named, -1), h.sheet, h.hits > 12, case when h.hits > 12 then h.hits else k.rank end, k.rank, k.key) as best
  from keys k join hits h on h.document = k.document and h.key = k.key) select finding_id, pos, sheet, key, hits, fallback from ordered where best = 1""",
     "rep14_baseline_diff": f"with a as (select {DIFF} as identity, count(*) filter (row_no % 4 <> 0) - count(*) filter (row_no % 3 <> 0) as more from finding_rows group by 1) select identity, abs(more) as n, case when more > 0 then 'appeared' else 'vanished' end as change from a where more <> 0",
     "rep15_extraction_report": """with d as (select document, doc_type, count(*) filter (kind = 'OTHER') as bad from finding_rows group by all) select case when doc_type = 'scheme' then 'ok' when bad > 0 then 'partial' else 'failed' end as status, count(*) as n, sum(case when bad > 0 then 2 else 0 end)::bigint as errors from d group by 1
