@@ -21,6 +21,9 @@ from .common import cut, table, without_rows
 #: Rows of one digest are first gathered per run of so many input rows, so that a hot
 #: digest reaches the join as one row for each run and never as one row for each copy.
 RUN_BITS = 10
+#: A digest with more runs is joined by broadcast, so that its runs stay where they are. There is
+#: at most one such digest in HOT_RUNS runs; beyond MAX_HOT of them the merge join takes them, too.
+HOT_RUNS, MAX_HOT = 1024, 100_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,17 +56,26 @@ class DigestIndex:
     def append(self, runs: DataFrame) -> None:
         """Add the digests that the index lacks, each with the largest id as owner."""
         new = runs.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-        if self.exists():
-            new = new.join(self.frame().hint("merge"), "digest", "left_anti")
-        (
-            new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-            .repartition(self.buckets, "digest")
-            .write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
-        )
+        new = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+        if not self.exists():
+            self.write(self.spark.createDataFrame([], new.schema))
+        self.write(new.join(self.frame().hint("merge"), "digest", "left_anti"))
+
+    def write(self, rows: DataFrame) -> None:
+        rows = rows.repartition(self.buckets, "digest")
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
     def resolve(self, runs: DataFrame, seen_before: DataFrame | None = None) -> DataFrame:
         """Each row of the batch with its group's owner; ``seen_before`` holds digests of earlier batches."""
-        owned = runs.join(self.frame().hint("merge"), "digest")
+        hot = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("runs")).filter(F.col("runs") > HOT_RUNS).select("digest")
+        hot = cut(self.frame().join(hot, "digest", "left_semi"))
+        n_hot = hot.count()
+        if 0 < n_hot <= MAX_HOT:
+            hot = F.broadcast(hot)
+            rest = runs.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(self.frame().hint("merge"), "digest")
+            owned = rest.unionByName(runs.join(hot, "digest"))
+        else:
+            owned = runs.join(self.frame().hint("merge"), "digest")
         owned = owned.withColumn("old", F.lit(False))
         if seen_before is not None:
             owned = owned.drop("old").join(
