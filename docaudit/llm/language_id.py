@@ -3,7 +3,7 @@
 Letter trigrams of all training documents are counted per language (hashed to BUCKETS). A
 document is a mixture of languages: expectation-maximisation estimates the proportions
 from its trigrams' likelihoods, and a likelihood penalised by the number of languages
-(BIC) chooses how many of the strongest ones it is written in.
+(BIC) chooses how many of the strongest ones it is written in: one more as long as that raises it.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; without
 training rows everything is ``und``; documents with a null language or in the held-out part
@@ -24,7 +24,6 @@ from .common import chunks, remainder, table, texts
 BUCKETS = 1 << 16
 #: The model goes to every task: BUCKETS x languages x 4 bytes, at most 128 MB.
 MAX_LANGUAGES = 512
-MOST_MIXED = 4
 ROUNDS, FEWER = 10, 5
 
 
@@ -67,10 +66,10 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and P[bucket, language], each column summing to 1, from rows (text, lang)."""
-    found = count_trigrams(docs).toArrow()
-    langs = sorted(set(found["lang"].to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
+    if docs.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = count_trigrams(docs).toArrow()  # at most MAX_LANGUAGES x BUCKETS rows
+    langs = sorted(set(found["lang"].to_pylist()))
     n = np.full((BUCKETS, max(1, len(langs))), 0.5)
     number = {lang: i for i, lang in enumerate(langs)}
     n[found["bucket"].to_numpy(), [number[x] for x in found["lang"].to_pylist()]] += found["n"].to_numpy()
@@ -109,14 +108,28 @@ def infer(doc_texts: list[str], p: np.ndarray, is_letter: np.ndarray) -> tuple[n
     rank = np.argsort(-pi, 1, kind="stable")
     best, k_best = np.full(len(present), -np.inf), np.ones(len(present), np.int64)
     size = np.log(np.maximum(2, np.add.reduceat(count, first)))
-    for k in range(1, min(MOST_MIXED, n_langs) + 1):
-        mask = np.zeros_like(pi)
-        np.put_along_axis(mask, rank[:, :k], 1, 1)
-        start = np.maximum(pi * mask, mask * 1e-6)
-        start /= start.sum(1, keepdims=True)
-        like = em(q, count, doc, first, start, FEWER)[1] if k > 1 else np.add.reduceat(count * np.log(np.maximum(q[np.arange(len(doc)), rank[doc, 0]], 1e-30)), first)
-        value = like - 0.5 * (k - 1) * size
-        k_best, best = np.where(value > best, k, k_best), np.maximum(best, value)
+    open_ = np.arange(len(present))  # documents that the last language more has made likelier
+    for k in range(1, n_langs + 1):
+        live = np.zeros(len(present), bool)
+        live[open_] = True
+        at = live[doc]
+        q_k, count_k, doc_k = q[at], count[at], (np.cumsum(live) - 1)[doc[at]]
+        first_k = np.flatnonzero(np.r_[True, doc_k[1:] != doc_k[:-1]])
+        top_k = rank[open_, :k]
+        if k == 1:
+            like = np.add.reduceat(count_k * np.log(np.maximum(q_k[np.arange(len(doc_k)), top_k[doc_k, 0]], 1e-30)), first_k)
+        else:
+            mask = np.zeros((len(open_), n_langs), pi.dtype)
+            np.put_along_axis(mask, top_k, 1, 1)
+            start = np.maximum(pi[open_] * mask, mask * 1e-6)
+            start /= start.sum(1, keepdims=True)
+            like = em(q_k, count_k, doc_k, first_k, start, FEWER)[1]
+        value = like - 0.5 * (k - 1) * size[open_]
+        better = value > best[open_]
+        open_ = open_[better]
+        if not len(open_):
+            break
+        k_best[open_], best[open_] = k, value[better]
     pi_all[present], chosen[present] = pi, k_best
     return pi_all, chosen, np.argsort(-pi_all, 1, kind="stable")
 
@@ -133,7 +146,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, p = model.value
         is_letter = letters()
-        for t in chunks(batches, limit=3_000_000):
+        for t in chunks(batches, limit=min(3_000_000, 48_000_000 // max(1, len(names)))):
             pi, chosen, rank = infer(texts(t), p, is_letter)
             chosen = chosen * bool(names)
             sets = [[names[i] for i in rank[d, : chosen[d]]] for d in range(t.num_rows)]
