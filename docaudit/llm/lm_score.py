@@ -5,9 +5,11 @@ it, and the training count of each number. Counts of all chunks are added per wo
 chunks that have the word. The network predicts the next of the most frequent training words, or "other";
 its output softmax is factored into frequency classes, and an "other" word then has its share of the
 smoothed counts of all other words, so every text has a proper likelihood. Output biases start from the
-counts of the whole training corpus. Weights are trained by truncated backpropagation in the
-tasks, each chunk on all of its training documents, a part of them in each round, and averaged over the
-chunks after every round; the state is carried across windows in training and in scoring.
+counts of the whole training corpus. Weights are trained by truncated backpropagation in the tasks: a chunk's
+training documents are put one after another in a seeded random order and read as parallel streams of equal
+length, a part of them in each round, with a falling rate; the state is carried across windows and set back where
+a document begins. Weights are averaged over the chunks after every round, so they depend on how Spark splits the table.
+In scoring, too, the state is carried from a document's first window to its last.
 
 Defined results: a null text counts as empty and has the end token alone; without training rows all
 counts are 0 and the network is the untrained one; an empty table gives no rows; repeated rows each get their row.
@@ -16,16 +18,17 @@ counts are 0 and the network is the untrained one; an empty table gives no rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, remainder, table, texts
+from .common import Adam, chunks, cut, remainder, table
 
 END = b""
 #: Long enough chunks for the network to read many documents side by side.
@@ -37,38 +40,46 @@ ROUNDS = 2
 @dataclass(frozen=True)
 class Shape:
     words: int = 1500
-    classes: int = 40
-    hidden: int = 24
-    window: int = 32
-    batch: int = 128
+    classes: int = 32
+    hidden: int = 16
+    window: int = 16
+    streams: int = 512
     tokens: int = 8192
-    rate: float = 0.01
+    rate: float = 0.03
     seed: int = 5
 
 
 # Chunks -----------------------------------------------------------------------------------------
 
 
+def numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of the tokens of all texts one after another, tokens of each, and the words that have the numbers; END has number 0."""
+    # Only A-Z change, and texts are split at space and controls 9 to 13 alone.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "").combine_chunks()))
+    first, flat = lists.offsets.to_numpy(), lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # spaces at an end give empty words
+    upto = np.concatenate(([0], np.cumsum(full)))
+    lengths = upto[first[1:] - first[0]] - upto[first[:-1] - first[0]]
+    words = flat.filter(pa.array(full)).dictionary_encode()
+    tokens = np.zeros(len(words) + len(lengths), np.int32)
+    at = np.ones(len(tokens), bool)
+    at[np.cumsum(lengths + 1) - 1] = False
+    tokens[at] = words.indices.to_numpy(zero_copy_only=False) + 1
+    return tokens, lengths + 1, [END, *words.dictionary.cast(pa.binary()).to_pylist()]
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """One row per chunk from rows (doc_id, text, held_out): its documents, tokens, words and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId()
         for i, t in enumerate(chunks(batches, limit=CHUNK_CHARS)):
-            number: dict[bytes, int] = {END: 0}
-            held, ids, lengths = t["held_out"].to_pylist(), [], []
-            for text in texts(t):
-                # bytes: lower() changes A-Z alone, split() parts at space and controls 9 to 13 alone
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                words.append(END)
-                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-                lengths.append(len(words))
-            tokens, lengths = np.concatenate(ids), np.array(lengths, np.int64)
-            learn = np.repeat(~np.array(held, bool), lengths)
-            n = np.bincount(tokens[learn], minlength=len(number)).astype(np.int64)
+            tokens, lengths, words = numbered(t["text"])
+            held = np.array(t["held_out"].to_pylist(), bool)
+            n = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array([(part << 24) + i], pa.int64()), "ids": pa.array([t["doc_id"].to_pylist()], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())),
-                "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())), "tokens": pa.array([pack(tokens.tobytes())], pa.binary()), "words": pa.array([pack(b" ".join(number))], pa.binary()), "counts": pa.array([pack(n.tobytes())], pa.binary()),
+                "chunk": pa.array([(part << 24) + i], pa.int64()), "ids": pa.array([t["doc_id"].to_pylist()], pa.list_(pa.int64())), "held": pa.array([held.tolist()], pa.list_(pa.bool_())),
+                "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())), "tokens": pa.array([pack(tokens.tobytes())], pa.binary()), "words": pa.array([pack(b" ".join(words))], pa.binary()), "counts": pa.array([pack(n.tobytes())], pa.binary()),
             })
 
     return docs.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words binary, counts binary")
@@ -106,14 +117,19 @@ class Corpus:
     counts: list[int] = field(default_factory=list)
 
 
-def corpus_counts(rows: DataFrame, most: int) -> Corpus:
-    totals = rows.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+def word_totals(rows: DataFrame) -> DataFrame:
+    """word, n: training count of every word."""
+    return cut(rows.groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def corpus_counts(totals: DataFrame, most: int) -> Corpus:
+    totals = totals.filter("n > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = v = 0
         best = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         for b in batches:
-            n, v = n + (pa.compute.sum(b["n"]).as_py() or 0), v + b.num_rows
+            n, v = n + (pc.sum(b["n"]).as_py() or 0), v + b.num_rows
             best = pa.concat_tables([best, pa.table({"word": b["word"].cast(pa.binary()), "n": b["n"]})]).sort_by([("n", "descending"), ("word", "ascending")]).slice(0, most)
         yield pa.RecordBatch.from_pydict({"word": pa.array([None], pa.binary()), "n": [n], "v": [v]})
         for b in best.combine_chunks().to_batches():
@@ -201,51 +217,70 @@ class Model:
                 dstates[at] += d @ w["ow"][i:j]
         return out, dstates
 
-    def train(self, docs: list[np.ndarray]) -> None:
-        """One pass over documents of symbols, by truncated backpropagation with carried states."""
-        from .toxicity import Adam
-
-        adam, h, w = Adam(self.w, self.shape.rate), self.shape.hidden, self.w
-        docs = sorted(docs, key=len)
-        for g in range(0, len(docs), self.shape.batch):
-            group = docs[g : g + self.shape.batch][::-1]
-            n = np.array([len(d) for d in group])
-            x = np.full((int(n[0]) + 1, len(group)), self.start, np.int64)
-            for j, d in enumerate(group):
-                x[1 : len(d) + 1, j] = d
-            s = np.zeros((len(group), h), np.float32)
-            for t0 in range(0, int(n[0]), self.shape.window):
-                live = int(np.searchsorted(-n, -t0, side="left"))
-                t1 = min(t0 + self.shape.window, int(n[0]))
-                s, projected = s[:live], w["e"] @ w["wx"] + w["b"]
-                states, kept = np.zeros((t1 - t0, live, h), np.float32), []
-                for t in range(t0, t1):
-                    s, k = self.step(s, x[t, :live], projected)
-                    states[t - t0] = s
-                    kept.append(k)
-                on = np.arange(t0, t1)[:, None] < n[:live]
-                grads = {k: np.zeros_like(v) for k, v in w.items()}
-                _, dout = self.outputs(states[on], x[t0 + 1 : t1 + 1, :live][on], grads)
-                dstates = np.zeros_like(states)
-                dstates[on] = dout
-                ds, dx = np.zeros_like(s), []
-                for t in range(t1 - 1, t0 - 1, -1):
-                    before, z, r, c, gc = kept[t - t0]
-                    ds = ds + dstates[t - t0]
-                    dc = ds * z * (1 - c * c)
-                    dz = ds * (c - before) * z * (1 - z)
-                    dr = dc * gc * r * (1 - r)
-                    grads["u"] += before.T @ np.concatenate([dz, dr, dc * r], 1)
-                    dx.append(np.concatenate([dz, dr, dc], 1))
-                    ds = ds * (1 - z) + np.concatenate([dz, dr, dc * r], 1) @ w["u"].T
-                seen = x[t0:t1, :live][::-1].ravel()
-                order = np.argsort(seen, kind="stable")
-                first = np.flatnonzero(np.diff(seen[order], prepend=-1))
-                dproj = np.zeros_like(projected)
-                dproj[seen[order][first]] = np.add.reduceat(np.concatenate(dx)[order], first)
-                grads["wx"], grads["b"], grads["e"] = w["e"].T @ dproj, dproj.sum(0), dproj @ w["wx"].T
-                norm = float(np.sqrt(sum((v * v).sum() for v in grads.values())))
-                adam.step({k: v * min(1.0, 1 / (norm + 1e-9)) for k, v in grads.items()})
+    def loss_and_grads(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, valid: np.ndarray, s: np.ndarray):
+        """Mean loss of a window of steps x streams, its gradients, and the state after it.
+
+        x: symbols read, fresh: where a document begins, y: symbols to predict, valid: which of them count.
+        """
+        w, h, (steps, n) = self.w, self.shape.hidden, x.shape
+        projected = w["e"] @ w["wx"] + w["b"]
+        g_in, keep = projected[x], np.float32(1) - fresh[:, :, None]
+        before, zr, c, back, states = (np.empty((steps, n, k), np.float32) for k in (h, 2 * h, h, h, h))
+        for t in range(steps):
+            before[t] = s = s * keep[t]
+            g = s @ w["u"]
+            zr[t] = 1 / (1 + np.exp(-(g_in[t, :, : 2 * h] + g[:, : 2 * h])))
+            back[t] = g[:, 2 * h :]
+            c[t] = np.tanh(g_in[t, :, 2 * h :] + zr[t, :, h:] * back[t])
+            states[t] = s = s + zr[t, :, :h] * (c[t] - s)
+        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        like, dout = self.outputs(states[valid], y[valid], grads)
+        dstates = np.zeros_like(states)
+        dstates[valid] = dout
+        z, r = zr[:, :, :h], zr[:, :, h:]
+        by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * (1 - z), back * r * (1 - r)
+        dx, dg = np.empty((steps, n, 3 * h), np.float32), np.empty((steps, n, 3 * h), np.float32)
+        ds, u_t = np.zeros((n, h), np.float32), np.ascontiguousarray(w["u"].T)
+        for t in range(steps - 1, -1, -1):
+            ds = ds + dstates[t]
+            dc = ds * by_c[t]
+            dx[t, :, :h] = ds * by_z[t]
+            dx[t, :, h : 2 * h] = dc * by_r[t]
+            dx[t, :, 2 * h :] = dc
+            dg[t, :, : 2 * h] = dx[t, :, : 2 * h]
+            dg[t, :, 2 * h :] = dc * r[t]
+            ds = (ds * (1 - z[t]) + dg[t] @ u_t) * keep[t]
+        grads["u"] = before.reshape(-1, h).T @ dg.reshape(-1, 3 * h)
+        seen = x.ravel()
+        order = np.argsort(seen, kind="stable")
+        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+        dproj = np.zeros_like(projected)
+        dproj[seen[order][first]] = np.add.reduceat(dx.reshape(-1, 3 * h)[order], first)
+        grads["wx"], grads["b"], grads["e"] = w["e"].T @ dproj, dproj.sum(0), dproj @ w["wx"].T
+        return -float(like.mean()), grads, s
+
+    def train(self, docs: list[np.ndarray], rates: tuple[float, float]) -> None:
+        """One pass over documents of symbols, with a rate that falls from the first to the second of ``rates``."""
+        shape, rng = self.shape, np.random.default_rng(self.shape.seed)
+        docs = [docs[i] for i in rng.permutation(len(docs))]
+        stream, size = np.concatenate(docs), np.array([len(d) for d in docs])
+        begins = np.zeros(len(stream), bool)
+        begins[np.cumsum(size) - size] = True
+        # A document begins with what every one ends with.
+        read = np.where(begins, self.start, np.concatenate(([self.start], stream[:-1])))
+        n = max(1, min(shape.streams, len(stream) // (8 * shape.window)))
+        length = -(-len(stream) // n)
+        lay = lambda v, fill: np.concatenate((v, np.full(n * length - len(v), fill, v.dtype))).reshape(n, length).T
+        x, y, fresh, valid = lay(read, self.start), lay(stream, self.start), lay(begins, True), lay(np.ones(len(stream), bool), False)
+        adam, s = Adam(self.w, rates[0]), np.zeros((n, shape.hidden), np.float32)
+        for t in range(0, length, shape.window):
+            part = slice(t, t + shape.window)
+            if not valid[part].any():
+                continue
+            _, grads, s = self.loss_and_grads(x[part], fresh[part].astype(np.float32), y[part], valid[part], s)
+            norm = float(np.sqrt(sum((v * v).sum() for v in grads.values())))
+            adam.rate = rates[0] + (rates[1] - rates[0]) * t / length
+            adam.step({k: v * np.float32(min(1.0, 1 / (norm + 1e-9))) for k, v in grads.items()})
 
     def score(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sum of log-probabilities per document; documents follow one another in ``symbols``."""
@@ -279,16 +314,25 @@ class Model:
         return np.fromiter((number.get(w, other) for w in words), np.int64, len(words))
 
 
+def plain(model: Model) -> tuple[dict, dict, dict]:
+    """A model as plain values; only those are broadcast, as executors may not have this package."""
+    return asdict(model.corpus), asdict(model.shape), model.w
+
+
+def rebuilt(corpus: dict, shape: dict, weights: dict) -> Model:
+    model = Model(Corpus(**corpus), Shape(**shape))
+    model.w = {k: v.copy() for k, v in weights.items()}
+    return model
+
+
 def train_round(encoded: DataFrame, model: Model, turn: int) -> tuple[dict | None, int]:
     """Weights averaged by trained tokens over all chunks, None without any, and the number of trained tokens."""
-    given = encoded.sparkSession.sparkContext.broadcast(model)
+    given = encoded.sparkSession.sparkContext.broadcast(plain(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, ids, held, lengths, tokens, words in zip(*(b[c].to_pylist() for c in ("chunk", "ids", "held", "lengths", "tokens", "words")), strict=True):
-                m = given.value
-                own = Model(m.corpus, m.shape)
-                own.w = {k: v.copy() for k, v in m.w.items()}
+                own = rebuilt(*given.value)
                 symbol = own.symbols(words_of(words))[np.frombuffer(unpack(tokens), np.int32)]
                 end = np.cumsum(lengths)
                 # Knuth's multiplier spreads ids over the rounds.
@@ -296,7 +340,7 @@ def train_round(encoded: DataFrame, model: Model, turn: int) -> tuple[dict | Non
                 docs = [symbol[end[i] - lengths[i] : end[i]] for i in mine]
                 n = sum(map(len, docs))
                 if n:
-                    own.train(docs)
+                    own.train(docs, tuple(own.shape.rate * (1 - k / ROUNDS) for k in (turn, turn + 1)))
                     flat = np.concatenate([v.ravel() for v in own.w.values()]).astype(np.float64) * n
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "n": pa.array([n], pa.int64()), "sums": pa.array([flat.tobytes()], pa.binary())})
 
@@ -304,7 +348,7 @@ def train_round(encoded: DataFrame, model: Model, turn: int) -> tuple[dict | Non
         total = np.zeros(size)
         for x in t["sums"]:
             total += np.frombuffer(x.as_py())
-        return pa.table({"n": pa.array([pa.compute.sum(t["n"]).as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"n": pa.array([pc.sum(t["n"]).as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     size = sum(v.size for v in model.w.values())
     parts = encoded.mapInArrow(run, "chunk long, n long, sums binary")
@@ -327,18 +371,18 @@ def lm_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     """
     encoded = cut(encode(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))))
     rows = word_rows(encoded)
-    corpus = corpus_counts(rows, shape.words)
+    totals = word_totals(rows)
+    corpus = corpus_counts(totals, shape.words)
     model = Model(corpus, shape)
     for turn in range(ROUNDS):
         if corpus.n:
             model.w = train_round(encoded, model, turn)[0] or model.w
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    totals = rows.groupBy("word").agg(F.sum("n").alias("c"))
-    back = rows.select("word", "chunk", "local").join(totals, "word").select("chunk", "local", "c")
+    given = docs.sparkSession.sparkContext.broadcast(plain(model))
+    back = rows.select("word", "chunk", "local").join(totals.withColumnRenamed("n", "c"), "word").select("chunk", "local", "c")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = given.value
+        m = rebuilt(*given.value)
         out = []
         for chunk in left.to_pylist():
             words = words_of(chunk["words"])
