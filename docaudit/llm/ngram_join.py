@@ -11,9 +11,12 @@ Two classes link when num / den is at most |intersection| / |union|.
    whose greatest possible overlap reaches the threshold, and skips pairs whose sets are
    connected already. At the leaves the overlap is exact.
 3. Blocks beyond SUB_BLOCK classes or SUB_SHINGLES shingles are split: each split is joined with itself,
-   then one set of each component found. Where a block has several components left, a link across
-   splits still agrees on a part: the sets of each part that has several components are joined, those
-   parts beyond the same limits as pairs of their splits.
+   then one set of each component found. Where a block has several components left, trees over the bitmaps
+   alone, a small part of the sets, are traversed for each size interval of the block; in a block of more than WIDE
+   splits for each of its parts instead, on one of which a link agrees still. Groups that one component or
+   split has alone are left out, those of the same sets taken once, and large ones joined as pairs of their splits.
+   Of the pairs that are left, each set's likeliest one in every other component is checked exactly, then all
+   others whose components are still apart.
 
 Shingles and sets are known by 64-bit hashes. Defined results: null texts and texts without words
 have the empty set and link with nothing; fewer words than k make one shingle of the whole
@@ -35,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, contracted
-from .common import chunks, cut, only_in, table, texts, without_rows, written
+from .common import chunks, cut, only_in, release, table, texts, without_rows, written
 
 #: A task holds the sets of one split at a time: about so many classes and shingles, and never less than one set.
-SUB_BLOCK, SUB_SHINGLES = 512, 1 << 20
-LEAF, FANOUT = 32, 8
+SUB_BLOCK, SUB_SHINGLES = 4096, 1 << 20
+#: Bitmaps are smaller, so a task holds more of them; beyond WIDE splits a block is joined by its parts.
+SUB_MAPS, WIDE = 16384, 128
+LEAF, MAP_LEAF, FANOUT = 32, 128, 8
 MAX_BITS = 1 << 16
 RUN_BITS = 10
 
@@ -148,10 +153,21 @@ class Schemes:
             total += term
         return max(0.0, 1.0 - float(total))
 
+    def bits(self, i: int) -> int:
+        """Width of the bitmaps of sets that meet in scheme i: two bits or more for a shingle."""
+        return min(MAX_BITS, max(64, 1 << (2 * self.bounds[i + 1] - 1).bit_length()))
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        own = self.interval(len(s))
+        return np.concatenate([keys for _, keys in self.each(s)])
+
+    def serving(self, n: int) -> tuple[int, ...]:
+        own = self.interval(n)
+        return (own, own - 1) if own else (own,)
+
+    def each(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Schemes that serve the set, and its signatures in them."""
         out = []
-        for i in (own, own - 1) if own else (own,):
+        for i in self.serving(len(s)):
             p, r = self.parts[i], self.spare[i]
             h = mix64(s + U(i + 1))
             part = ((h >> U(32)) * U(p)) >> U(32)
@@ -163,8 +179,8 @@ class Schemes:
             if p - len(first) > r:  # too many empty parts: they count as signatures too
                 empty = np.setdiff1d(np.arange(p, dtype=np.uint64), where)
                 where, total = np.concatenate((where, empty)), np.concatenate((total, np.zeros(len(empty), np.uint64)))
-            out.append(mix64(total + mix64(where + U(i << 32))))
-        return np.concatenate(out)
+            out.append((i, mix64(total + mix64(where + U(i << 32)))))
+        return out
 
 
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
@@ -253,19 +269,14 @@ class Forest:
 
 
 class SignatureTree:
-    """Levels of nodes over sets sorted by size; level 0 nodes hold up to LEAF sets."""
-
-    def __init__(self, sets: list[np.ndarray], number: np.ndarray, bits: int):
-        """``number`` gives each token of all sets its number; with more numbers than bits, bits are shared."""
-        self.size = np.array([len(s) for s in sets], np.int64)
-        width = -(-bits // 64)
-        self.map = np.zeros((len(sets), width), np.uint64)
-        owner, bit = np.repeat(np.arange(len(sets)), self.size), number % bits
-        np.bitwise_or.at(self.map, (owner, bit >> 6), U(1) << (bit & 63).astype(np.uint64))
+    """Levels of nodes over sets sorted by size; level 0 nodes hold up to ``leaf`` sets."""
+
+    def __init__(self, size: np.ndarray, maps: np.ndarray, leaf: int = LEAF):
+        self.size, self.map, self.leaf = size, maps, leaf
         #: Tokens of a set that share a bit with another one of it.
         self.hidden = self.size - np.bitwise_count(self.map).sum(1).astype(np.int64)
         self.levels = []
-        span, m, lo, hi, hid = LEAF, self.map, self.size, self.size, self.hidden
+        span, m, lo, hi, hid = leaf, self.map, self.size, self.size, self.hidden
         while True:
             at = np.arange(0, len(m), span)
             m, lo, hi, hid = np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(hid, at)
@@ -275,71 +286,91 @@ class SignatureTree:
             span = FANOUT
 
 
-def tree_links(sets: list[np.ndarray], join: Join, side: np.ndarray | None = None, known: np.ndarray | None = None) -> Forest:
-    """Components of sets under the join. With ``side`` only pairs across the two sides are compared;
-    ``known`` are labels of sets that are connected already."""
-    n = len(sets)
-    forest = Forest(n)
-    if known is not None:
-        order = np.argsort(known, kind="stable")
-        for a, b in pairwise(order):
-            if known[a] == known[b]:
-                forest.join(int(a), int(b))
-    sizes = np.array([len(s) for s in sets])
-    groups = [np.lexsort((np.arange(n), sizes))] if side is None else [o[np.argsort(sizes[o], kind="stable")] for o in (np.flatnonzero(side == 0), np.flatnonzero(side == 1))]
-    if any(len(g) == 0 for g in groups):
-        return forest
-    tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    bits = min(max(64, len(tokens)), MAX_BITS)
-    trees = [SignatureTree([sets[i] for i in g], np.concatenate([number[begin[i] : begin[i + 1]] for i in g]), bits) for g in groups]
-    a, b = trees[0], trees[-1]
-    num, den = join.num, join.den
-    exact = len(tokens) <= bits
+def bitmaps(size: np.ndarray, number: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap for each set; ``number`` gives each token of all sets its number. With more numbers than bits, bits are shared."""
+    maps = np.zeros((len(size), -(-bits // 64)), np.uint64)
+    owner, bit = np.repeat(np.arange(len(size)), size), number % bits
+    np.bitwise_or.at(maps, (owner, bit >> 6), U(1) << (bit & 63).astype(np.uint64))
+    return maps
+
+
+def greatest_overlap(x, y) -> np.ndarray:
+    """Of pairs of nodes (or sets); x and y are (map, least size, greatest size, hidden)."""
+    overlap = np.bitwise_count(x[0][:, None] & y[0][None]).sum(2, dtype=np.int64) + np.minimum(x[3][:, None], y[3][None])
+    return np.minimum(overlap, np.minimum(x[2][:, None], y[2][None]))
 
-    def reachable(x, y):
-        """Pairs of nodes (or sets) whose overlap can reach the threshold; x and y are (map, least, most, hidden)."""
-        overlap = np.bitwise_count(x[0][:, None] & y[0][None]).sum(2, dtype=np.int64) + np.minimum(x[3][:, None], y[3][None])
-        overlap = np.minimum(overlap, np.minimum(x[2][:, None], y[2][None]))
-        least = np.maximum(x[1][:, None] + y[1][None], 0)
-        # num/den <= o / (|x| + |y| - o), and neither set may be larger than den/num of the other.
-        fits = (den + num) * overlap >= num * least
-        return fits & (den * x[2][:, None] >= num * y[1][None]) & (den * y[2][None] >= num * x[1][:, None])
-
-    def one(tree: SignatureTree, level: int, i: int, j: int):
-        return tuple(v[i:j] for v in tree.levels[level])
-
-    def leaves(i: int, j: int) -> None:
-        ia, jb = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
-        ga, gb = groups[0][ia], groups[-1][jb]
-        roots = {forest.root(int(x)) for x in ga} | {forest.root(int(x)) for x in gb}
-        if len(roots) == 1:
-            return
-        own = [(t.map[s], t.size[s], t.size[s], t.hidden[s]) for t, s in ((a, ia), (b, jb))]
-        for x, y in zip(*np.nonzero(reachable(*own)), strict=True):
-            p, q = int(ga[x]), int(gb[y])
-            if p == q or forest.root(p) == forest.root(q):
-                continue
-            if exact or (den + num) * len(np.intersect1d(sets[p], sets[q], assume_unique=True)) >= num * (sizes[p] + sizes[q]):
-                forest.join(p, q)
 
-    same = side is None
+def reachable(x, y, join: Join) -> np.ndarray:
+    """Pairs of nodes (or sets) whose overlap can reach the threshold."""
+    least = np.maximum(x[1][:, None] + y[1][None], 0)
+    # num/den <= o / (|x| + |y| - o), and neither set may be larger than den/num of the other.
+    fits = (join.den + join.num) * greatest_overlap(x, y) >= join.num * least
+    return fits & (join.den * x[2][:, None] >= join.num * y[1][None]) & (join.den * y[2][None] >= join.num * x[1][:, None])
+
+
+def traverse(a: SignatureTree, b: SignatureTree, same: bool, join: Join) -> Iterator[tuple[slice, slice]]:
+    """Pairs of leaves of two trees that can hold linked sets; of one tree with itself each pair once."""
     todo = [(len(a.levels) - 1, len(b.levels) - 1, 0, 0)]
     while todo:
         la, lb, i, j = todo.pop()
         if la == 0 and lb == 0:
-            leaves(i, j)
+            yield slice(i * a.leaf, (i + 1) * a.leaf), slice(j * b.leaf, (j + 1) * b.leaf)
             continue
         ka = range(i * FANOUT, min((i + 1) * FANOUT, len(a.levels[la - 1][1]))) if la else range(i, i + 1)
         kb = range(j * FANOUT, min((j + 1) * FANOUT, len(b.levels[lb - 1][1]))) if lb else range(j, j + 1)
         da, db = max(0, la - 1), max(0, lb - 1)
-        ok = reachable(one(a, da, ka[0], ka[-1] + 1), one(b, db, kb[0], kb[-1] + 1))
+        ok = reachable(*(tuple(v[k[0] : k[-1] + 1] for v in t.levels[d]) for t, d, k in ((a, da, ka), (b, db, kb))), join)
         for x, y in zip(*np.nonzero(ok), strict=True):
             if not same or ka[x] <= kb[y]:
                 todo.append((da, db, ka[x], kb[y]))
+
+
+def surviving_pairs(size: np.ndarray, maps: np.ndarray, label: np.ndarray, side: np.ndarray | None, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of two sets with different labels whose bitmaps allow a link, and their greatest overlap; with ``side`` only across the sides."""
+    groups = [np.argsort(size, kind="stable")] if side is None else [o[np.argsort(size[o], kind="stable")] for o in (np.flatnonzero(side == 0), np.flatnonzero(side == 1))]
+    out = [(np.zeros(0, np.int64),) * 3]
+    if all(len(g) for g in groups):
+        trees = [SignatureTree(size[g], maps[g], MAP_LEAF) for g in groups]
+        for ia, jb in traverse(trees[0], trees[-1], side is None, join):
+            ga, gb = groups[0][ia], groups[-1][jb]
+            own = [(t.map[k], t.size[k], t.size[k], t.hidden[k]) for t, k in ((trees[0], ia), (trees[-1], jb))]
+            x, y = np.nonzero(reachable(*own, join) & (label[ga][:, None] != label[gb][None]))
+            if len(x):
+                out.append((ga[x], gb[y], greatest_overlap(*own)[x, y]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def tree_links(sets: list[np.ndarray], join: Join) -> Forest:
+    """Components of sets under the join."""
+    n = len(sets)
+    forest = Forest(n)
+    if n < 2:
+        return forest
+    sizes = np.array([len(s) for s in sets])
+    group = np.lexsort((np.arange(n), sizes))
+    tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    bits = min(max(64, len(tokens)), MAX_BITS)
+    tree = SignatureTree(sizes[group], bitmaps(sizes[group], np.concatenate([number[begin[i] : begin[i + 1]] for i in group]), bits))
+    exact = len(tokens) <= bits
+    for ia, jb in traverse(tree, tree, True, join):
+        ga, gb = group[ia], group[jb]
+        if len({forest.root(int(x)) for x in ga} | {forest.root(int(x)) for x in gb}) == 1:
+            continue
+        own = [(tree.map[k], tree.size[k], tree.size[k], tree.hidden[k]) for k in (ia, jb)]
+        for x, y in zip(*np.nonzero(reachable(*own, join)), strict=True):
+            p, q = int(ga[x]), int(gb[y])
+            if p == q or forest.root(p) == forest.root(q):
+                continue
+            if exact or linked(sets[p], sets[q], join):
+                forest.join(p, q)
     return forest
 
 
+def linked(a: np.ndarray, b: np.ndarray, join: Join) -> bool:
+    return (join.den + join.num) * len(np.intersect1d(a, b, assume_unique=True)) >= join.num * (len(a) + len(b))
+
+
 # The join ---------------------------------------------------------------------------------------
 
 
@@ -362,18 +393,13 @@ def by_run(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.Da
 
 
 def join_groups(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
-    """src, dst: every class with the root of its component among the rows of equal keys.
-
-    Rows: the keys, d, shingles (bytes), label if components are known already, and side if pairs across sides alone are wanted.
-    """
-    crossing, labelled = "side" in rows.columns, "label" in rows.columns
+    """src, dst: every class with the root of its component among the rows of equal keys. Rows: the keys, d, shingles (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         for g in by_run(batches, keys):
             g = g.drop_duplicates("d").sort_values("d")
-            sets = [np.frombuffer(x, np.uint64) for x in g.shingles]
-            forest = tree_links(sets, join, g.side.to_numpy() if crossing else None, g.label.to_numpy() if labelled else None)
+            forest = tree_links([np.frombuffer(x, np.uint64) for x in g.shingles], join)
             d = g.d.tolist()
             src += d
             dst += [d[forest.root(i)] for i in range(len(d))]
@@ -385,23 +411,68 @@ def join_groups(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(run, "src long, dst long")
 
 
-def split_count():
-    """Splits that a group needs, from its classes and their sizes n."""
-    return F.ceil(F.greatest(F.count(F.lit(1)) / SUB_BLOCK, F.sum("n") / SUB_SHINGLES))
+def surviving(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
+    """a, b, overlap: pairs of classes with different labels that the trees of the rows of equal keys leave.
+
+    Rows: the keys, d, n, label, map (bytes of the bitmap), and side if pairs across sides alone are wanted.
+    """
+    crossing = "side" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in by_run(batches, keys):
+            maps = np.stack([np.frombuffer(x, np.uint64) for x in g["map"]])
+            d = g.d.to_numpy()
+            x, y, overlap = surviving_pairs(g.n.to_numpy(), maps, g.label.to_numpy(), g.side.to_numpy() if crossing else None, join)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[x], d[y])), pa.array(np.maximum(d[x], d[y])), pa.array(overlap)], ["a", "b", "overlap"])
+
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(run, "a long, b long, overlap long")
+    return pairs.groupBy("a", "b").agg(F.min("overlap").alias("overlap"))
+
+
+def checked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that link. sets: d, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), join) for x, y in zip(batch["x"], batch["y"], strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    of = lambda c, n: sets.select(F.col("d").alias(c), F.col("shingles").alias(n))
+    return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def split_count(most: int | None = None):
+    """Splits that a group needs, from its classes and their sizes n; shingles count as those of SUB_BLOCK classes do."""
+    most = most or SUB_BLOCK
+    return F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / (SUB_SHINGLES * most // SUB_BLOCK)))
 
 
 def set_keys(sets: DataFrame, join: Join) -> DataFrame:
-    """key, d, label, n for every part of every set of rows (d, shingles, label)."""
+    """key, bits, d, label, split, n for every group of every set of rows (d, shingles, label, block, splits, split), and
+    ``map``, the set's bitmap of so many bits, in one row for each width. Groups are the size intervals of a block, or its parts if it is wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = Schemes(join)
         for b in batches:
-            for d, shingles, label in zip(*(b[c].to_pylist() for c in ("d", "shingles", "label")), strict=True):
-                key = schemes.signatures(np.frombuffer(shingles, np.uint64)).astype(np.int64)
-                same = [pa.array(np.full(len(key), x, np.int64)) for x in (d, label, len(shingles) // 8)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *same], ["key", "d", "label", "n"])
-
-    return sets.select("d", "shingles", "label").mapInArrow(run, "key long, d long, label long, n long")
+            for d, shingles, label, block, splits, split in zip(*(b[c].to_pylist() for c in ("d", "shingles", "label", "block", "splits", "split")), strict=True):
+                s = np.frombuffer(shingles, np.uint64)
+                if splits > WIDE:
+                    groups = schemes.each(s)
+                else:
+                    groups = [(i, mix64(mix64(np.array([block], np.int64).astype(np.uint64)) + U(i))) for i in schemes.serving(len(s))]
+                drawn: set[int] = set()
+                for i, keys in groups:
+                    bits = schemes.bits(i)
+                    maps: list[bytes | None] = [None] * len(keys)
+                    if bits not in drawn:
+                        maps[0] = bitmaps(np.array([len(s)]), (mix64(s) % U(bits)).astype(np.int64), bits).tobytes()
+                        drawn.add(bits)
+                    same = [pa.array(np.full(len(keys), x, np.int64)) for x in (bits, d, label, split, len(s))]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *same, pa.array(maps, pa.binary())], ["key", "bits", "d", "label", "split", "n", "map"])
+
+    columns = ["d", "shingles", "label", "block", "splits", "split"]
+    return sets.select(columns).mapInArrow(run, "key long, bits long, d long, label long, split long, n long, map binary")
 
 
 def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
@@ -429,6 +500,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
     rows = rows.join(sets, ["row_key", "d"]).select("block", "splits", "split", "d", "n", "shingles")
     rows = cut(rows)
+    release(docs.sparkSession)  # the signatures, much more than the sets, are not needed any more
     # Every class is in one group, so its root there is its component so far.
     found = written(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
     large = rows.filter("splits > 1")
@@ -443,25 +515,39 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     # Links across splits, where a block has several components left.
     large = large.join(found.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     open_ = large.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
-    large = cut(large.join(open_, "block", "left_semi").select("d", "label", "shingles"))
+    large = cut(large.join(open_, "block", "left_semi").select("d", "label", "block", "splits", "split", "shingles"))
     if large.isEmpty():
         return found
     keys = cut(set_keys(large, join))
-    mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), split_count().alias("splits")).filter("low < high").select("key", "splits")
-    mixed = cut(keys.join(mixed, "key").select("key", "splits", "d", F.pmod(F.xxhash64("d"), F.col("splits")).alias("split")))
-    columns = ["key", "a", "b", "d", "shingles", "label"]
-    inside = mixed.select("key", F.col("split").alias("a"), F.col("split").alias("b"), "d").join(large, "d").select(columns)
-    links = join_groups(inside, ["key", "a", "b"], join)
+    ends = [f(c).alias(n) for c in ("label", "split") for f, n in ((F.min, f"low_{c}"), (F.max, f"high_{c}"))]
+    mixed = keys.groupBy("key").agg(*ends, split_count(SUB_MAPS).alias("splits"), F.struct(F.bit_xor(F.xxhash64("d")), F.count(F.lit(1)), F.min("d"), F.max("d")).alias("members"))
+    mixed = mixed.filter("low_label < high_label and low_split < high_split").groupBy("members").agg(F.min(F.struct("key", "splits")).alias("k")).select("k.*")
+    maps = keys.filter("map is not null").select("d", "bits", "map")
+    mixed = keys.drop("map", "split").join(mixed, "key").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits"))).join(maps, ["d", "bits"])
+    mixed = cut(mixed.select("key", "splits", "split", "d", "n", "label", "map"))
+    pairs = surviving(mixed.drop("splits"), ["key", "split"], join)
     if not mixed.filter("splits > 1").isEmpty():
         # Pairs of the splits of one part: only parts beyond what a task holds have more than one.
         splits = mixed.filter("splits > 1").select("key", "split").distinct()
-        pairs = splits.select("key", F.col("split").alias("a")).join(splits.select("key", F.col("split").alias("b")), "key").filter("a < b")
-        sides = [pairs.join(mixed.select("key", F.col("split").alias(name), "d"), ["key", name]).join(large, "d").withColumn("side", F.lit(s)).select(*columns, "side") for s, name in enumerate("ab")]
-        links = links.union(join_groups(sides[0].union(sides[1]), ["key", "a", "b"], join))
-    label_of = found.select(F.col("node").alias("d"), F.col("component").alias("label"))
-    links = links.filter("src <> dst").distinct().join(label_of.withColumnsRenamed({"d": "src", "label": "from"}), "src").join(label_of.withColumnsRenamed({"d": "dst", "label": "to"}), "dst")
-    merged = connected_components(written(links.filter("from <> to").select("from", "to").distinct()), "from", "to")
-    return merged_labels(found, merged.select(F.col("node").alias("component"), F.col("component").alias("head")))
+        both = splits.select("key", F.col("split").alias("i")).join(splits.select("key", F.col("split").alias("j")), "key").filter("i < j")
+        sides = [both.join(mixed.drop("splits").withColumnRenamed("split", name), ["key", name]).withColumn("side", F.lit(side)).select("key", "i", "j", "d", "n", "label", "map", "side") for side, name in enumerate("ij")]
+        pairs = pairs.unionByName(surviving(sides[0].union(sides[1]), ["key", "i", "j"], join))
+    pairs = written(pairs)
+
+    def apart(found: DataFrame) -> DataFrame:
+        """Pairs whose components are still apart, with the components."""
+        label_of = lambda c, n: found.select(F.col("node").alias(c), F.col("component").alias(n))
+        return pairs.join(label_of("a", "of_a"), "a").join(label_of("b", "of_b"), "b").filter("of_a <> of_b")
+
+    def with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+        ends = apart(found).join(links, ["a", "b"], "left_semi").select("of_a", "of_b").distinct()
+        merged = connected_components(written(ends), "of_a", "of_b")
+        return merged_labels(found, merged.select(F.col("node").alias("component"), F.col("component").alias("head")))
+
+    first = written(apart(found).groupBy("a", "of_b").agg(F.max_by("b", F.struct("overlap", "b")).alias("b")).select("a", "b"))
+    found = with_links(found, written(checked(first, large, join)))
+    rest = written(apart(found).join(first, ["a", "b"], "left_anti").select("a", "b"))
+    return with_links(found, written(checked(rest, large, join)))
 
 
 def row_key(id_col: str, text_col: str):

@@ -343,9 +343,12 @@ def test_hot_digests_join_by_broadcast(spark, monkeypatch, hot):
     assert len(got) == 62 and len(same) == 42 and sum(r.kept for r in same) == 1 and {r.keep_id for r in same} == {59} and {r.group_size for r in same} == {42}
 
 
-def test_open_blocks_are_joined_by_their_parts(spark, monkeypatch):
+@pytest.mark.parametrize("wide, maps", [(0, 4), (0, 1000), (100, 4), (100, 1000)])
+def test_open_blocks(spark, monkeypatch, wide, maps):
     """Families that share half of their words are one block of several components; links between them are few."""
     monkeypatch.setattr(ngram_join, "SUB_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    monkeypatch.setattr(ngram_join, "SUB_MAPS", maps)
     rng, rows, base = random.Random(13), [], [f"b{i}" for i in range(60)]
     for f in range(6):
         own = [f"f{f}x{i}" for i in range(60)]
