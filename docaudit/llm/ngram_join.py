@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, contracted
-from .common import chunks, cut, only_in, release, table, texts, without_rows, written
+from .common import chunks, cut, only_in, release, small_batches, table, texts, without_rows, written
 
 #: A task holds the sets of one split at a time: about so many classes and shingles, and never less than one set.
 SUB_BLOCK, SUB_SHINGLES = 4096, 1 << 20
@@ -494,6 +494,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """node, component over the digests of classes that link with another one. classes: d, n, rep."""
     blocks = connected_components(candidate_edges(signature_rows(docs, join)))
     blocks = blocks.select(F.col("node").alias("d"), F.col("component").alias("block"))
+    with small_batches(docs.sparkSession):
+        return link_blocks(docs, classes, blocks, join)
+
+
+def link_blocks(docs: DataFrame, classes: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
+    """node, component over the digests of classes in blocks. blocks: d, block."""
     candidates = written(classes.join(blocks, "d").select("d", "n", "block", F.col("rep.row_key").alias("row_key")))
     sets = shingle_sets(only_in(docs, candidates.select("row_key"), "row_key"), join)
     sizes = candidates.groupBy("block").agg(split_count().alias("splits"))
