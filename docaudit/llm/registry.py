@@ -1,8 +1,8 @@
 """The queries of this package and their SQL."""
 
-from . import exact_dedup, fill_middle, html_extract, importance, language_id, lm_score, mixing, ngram_join, packing, quality_rules, secret_scan, toxicity
+from . import exact_dedup, fill_middle, html_extract, importance, language_id, lm_score, mixing, ngram_join, packing, personal_data, quality_rules, secret_scan, toxicity
 
-MODULES = [exact_dedup, mixing, packing, quality_rules, language_id, secret_scan, toxicity, ngram_join, html_extract, lm_score, importance, fill_middle]
+MODULES = [exact_dedup, mixing, packing, quality_rules, language_id, secret_scan, toxicity, ngram_join, html_extract, lm_score, importance, fill_middle, personal_data]
 
 
 def queries() -> dict:
