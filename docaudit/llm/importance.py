@@ -166,8 +166,23 @@ def crcs(w: Words, head: Head, shifts: Shifts) -> Iterator[tuple[np.ndarray, np.
     yield at, shifts.move(two[at], wide[at + 2]) ^ linked[at + 2]
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows with the largest ``n``: as many levels of n, sixteenths of a doubling, as have at most ``most`` rows together.
+
+    The levels' sizes alone come to the driver, a thousand numbers at most; no task gathers the first rows of all others.
+    """
+    level = F.floor(16 * F.log2(F.col("n").cast("double")))
+    sizes, lowest, total = dict(counts.groupBy(level).count().collect()), None, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        lowest = k
+    return counts.filter(F.lit(False) if lowest is None else level >= lowest)
+
+
 def frequent_words(texts: DataFrame, r: Resampling) -> Head:
-    """The most frequent words, counted over all texts; ties by their bytes."""
+    """The most frequent words, counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
@@ -175,13 +190,13 @@ def frequent_words(texts: DataFrame, r: Resampling) -> Head:
             got = pc.value_counts(w.words.filter(pa.array(w.sizes <= r.head_bytes)))
             yield pa.RecordBatch.from_arrays([got.field("values").cast(pa.binary()), got.field("counts")], ["word", "n"])
 
-    counts = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(r.head_words).select("word", F.crc32("word").alias("state")).collect()
+    counts = cut(texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = most_frequent(counts, r.head_words).orderBy(F.col("n").desc(), "word").select("word", F.crc32("word").alias("state")).collect()
     return Head([bytes(x.word) for x in top], [x.state for x in top], min(r.pair_words, len(top)))
 
 
 def frequent_pairs(texts: DataFrame, head: Head, r: Resampling) -> Head:
-    """``head`` with the most frequent pairs of its first words, counted over all texts; ties by their places."""
+    """``head`` with the most frequent pairs of its first words, counted over all texts."""
     sent = texts.sparkSession.sparkContext.broadcast(head)
     side = head.pair_words
 
@@ -196,8 +211,8 @@ def frequent_pairs(texts: DataFrame, head: Head, r: Resampling) -> Head:
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["pair", "n"])
 
-    counts = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    top = [x.pair for x in counts.orderBy(F.col("n").desc(), "pair").limit(r.head_pairs).select("pair").collect()]
+    counts = cut(texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    top = [x.pair for x in most_frequent(counts, r.head_pairs).select("pair").collect()]
     pairs = [(p // side, p % side, zlib.crc32(b" " + head.words[p % side], int(head.states[p // side]))) for p in top]
     return Head(head.words, head.states.tolist(), side, pairs)
 
