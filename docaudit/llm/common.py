@@ -57,15 +57,21 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Fewer rows at a time between JVM and Python, where a row may hold a whole set of a text's shingles."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, size: int = 4_000_000, rows: int = 1000) -> Iterator[None]:
+    """Fewer bytes and rows at a time between JVM and Python, where a row may hold a whole set of a text's shingles.
+
+    A batch ends with the row that brings it to ``size`` bytes.
+    """
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": rows}
+    before = {k: spark.conf.get(k) for k in limits}
+    number = lambda x: int(x.rstrip("bB"))
+    for k, most in limits.items():
+        spark.conf.set(k, str(min(most, number(before[k])) if number(before[k]) > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, x in before.items():
+            spark.conf.set(k, x)
 
 
 def written(df: DataFrame) -> DataFrame:

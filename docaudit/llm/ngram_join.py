@@ -431,15 +431,38 @@ def surviving(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
 
 
 def checked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that link. sets: d, shingles."""
+    """The pairs (a, b) that link. sets: d, n, shingles.
+
+    Sets are dealt to buckets of about half of what a task holds, and pairs to pairs of buckets. A group gets each of its sets once,
+    however many pairs the set is in, and then its pairs one batch after another.
+    """
+    pairs = pairs.select("a", "b")
+    used = written(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().join(sets.select("d", "n"), "d"))
+    total = used.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    buckets = max(1, -(-2 * (total.n or 0) // SUB_SHINGLES), -(-2 * total.c // SUB_BLOCK))
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(2)), F.lit(buckets))
+    dealt = pairs.withColumn("i", bucket("a")).withColumn("j", bucket("b"))
+    needed = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("d")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    given = needed.join(sets.select("d", "shingles"), "d").select("i", "j", F.col("d").alias("a"), none("long").alias("b"), "shingles")
+    rows = given.unionByName(dealt.withColumn("shingles", none("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
         for batch in batches:
-            good = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), join) for x, y in zip(batch["x"], batch["y"], strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+            out = []
+            for i, j, a, b, s in zip(*(batch[c] for c in ("i", "j", "a", "b", "shingles")), strict=True):
+                now, a, b = (i.as_py(), j.as_py()), a.as_py(), b.as_py()
+                if now != group:
+                    group, held = now, {}
+                if b is None:
+                    held[a] = np.frombuffer(s.as_py(), np.uint64)
+                elif linked(held[a], held[b], join):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    of = lambda c, n: sets.select(F.col("d").alias(c), F.col("shingles").alias(n))
-    return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # A group's sets come first: they have no b.
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def split_count(most: int | None = None):
@@ -521,7 +544,7 @@ def link_blocks(docs: DataFrame, classes: DataFrame, blocks: DataFrame, join: Jo
     # Links across splits, where a block has several components left.
     large = large.join(found.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
     open_ = large.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
-    large = cut(large.join(open_, "block", "left_semi").select("d", "label", "block", "splits", "split", "shingles"))
+    large = cut(large.join(open_, "block", "left_semi").select("d", "n", "label", "block", "splits", "split", "shingles"))
     if large.isEmpty():
         return found
     keys = cut(set_keys(large, join))
@@ -597,5 +620,25 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_ngram_join": """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) end as s from words),
+sized as (select doc_id, len(s) as n, s from sets),
+classes as (select min(doc_id) as rep, n, any_value(s) as s from sized where n > 0 group by n, list_sort(s)),
+shingles as (select rep, n, unnest(s) as f from classes),
+links as (
+  select a.rep as x, b.rep as y from shingles a join shingles b on a.f = b.f and a.rep < b.rep and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 190 * count(*) >= 90 * (a.n + b.n)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select rep as a, rep as b from classes union select reach.a, edges.y from reach join edges on reach.b = edges.x),
+component as (select b as rep, min(a) as component_id from reach group by b),
+member as (select z.doc_id, c.rep from sized z join classes c on z.n = c.n and list_sort(z.s) = list_sort(c.s))
+select z.doc_id, z.n as n_shingles, coalesce(c.component_id, z.doc_id) as component_id
+from sized z left join member m using (doc_id) left join component c using (rep)
+"""
+}
 QUERIES = {"op3_ngram_join": op3_ngram_join}
