@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,18 @@ def small_batches(spark: SparkSession, size: int = 4_000_000, rows: int = 1000)
             spark.conf.set(k, x)
 
 
+def tidy(run):
+    """The task function ``run``, whose worker then hands freed memory back to the system; idle workers would keep it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, for small results of many joins.
 

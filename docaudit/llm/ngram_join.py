@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, contracted
-from .common import chunks, cut, only_in, release, small_batches, table, texts, without_rows, written
+from .common import chunks, cut, only_in, release, small_batches, table, texts, tidy, without_rows, written
 
 #: A task holds the sets of one split at a time: about so many classes and shingles, and never less than one set.
 SUB_BLOCK, SUB_SHINGLES = 4096, 1 << 20
@@ -193,7 +193,7 @@ def set_rows(docs: DataFrame, join: Join) -> DataFrame:
             sets = [shingle(x) for x in texts(t)]
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["row_key"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, n long, d long")
+    return docs.mapInArrow(tidy(run), "doc_id long, row_key long, n long, d long")
 
 
 def signature_rows(docs: DataFrame, join: Join) -> DataFrame:
@@ -218,7 +218,7 @@ def signature_rows(docs: DataFrame, join: Join) -> DataFrame:
             key, d = np.concatenate((key[new], tie, tie)), np.concatenate((d[new], ties[:, 0], ties[:, 1]))
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(d)], ["key", "d"])
 
-    return docs.mapInArrow(run, "key long, d long")
+    return docs.mapInArrow(tidy(run), "key long, d long")
 
 
 def candidate_edges(signatures: DataFrame) -> DataFrame:
@@ -243,8 +243,7 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([d[at], leader[at]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    edges = signatures.repartition("key").sortWithinPartitions("key", "d").mapInArrow(run, "a long, b long")
-    return contracted(edges).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return contracted(signatures.repartition("key").sortWithinPartitions("key", "d"), run, "a long, b long").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 # Trees ------------------------------------------------------------------------------------------
@@ -408,7 +407,7 @@ def join_groups(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
                 src, dst = [], []
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(run, "src long, dst long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(tidy(run), "src long, dst long")
 
 
 def surviving(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
@@ -426,7 +425,7 @@ def surviving(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[x], d[y])), pa.array(np.maximum(d[x], d[y])), pa.array(overlap)], ["a", "b", "overlap"])
 
-    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(run, "a long, b long, overlap long")
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(tidy(run), "a long, b long, overlap long")
     return pairs.groupBy("a", "b").agg(F.min("overlap").alias("overlap"))
 
 
@@ -462,7 +461,7 @@ def checked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     # A group's sets come first: they have no b.
-    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInArrow(tidy(run), "a long, b long")
 
 
 def split_count(most: int | None = None):
@@ -495,7 +494,7 @@ def set_keys(sets: DataFrame, join: Join) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *same, pa.array(maps, pa.binary())], ["key", "bits", "d", "label", "split", "n", "map"])
 
     columns = ["d", "shingles", "label", "block", "splits", "split"]
-    return sets.select(columns).mapInArrow(run, "key long, bits long, d long, label long, split long, n long, map binary")
+    return sets.select(columns).mapInArrow(tidy(run), "key long, bits long, d long, label long, split long, n long, map binary")
 
 
 def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
@@ -505,7 +504,7 @@ def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
             sets = [shingle(x) for x in texts(t)]
             yield pa.RecordBatch.from_arrays([t["row_key"].combine_chunks(), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary() if sum(map(len, sets)) > 1 << 27 else pa.binary())], ["row_key", "d", "shingles"])
 
-    return docs.mapInArrow(run, "row_key long, d long, shingles binary")
+    return docs.mapInArrow(tidy(run), "row_key long, d long, shingles binary")
 
 
 def merged_labels(found: DataFrame, merged: DataFrame) -> DataFrame:
