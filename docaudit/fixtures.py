@@ -127,6 +127,50 @@ VIEWS["finding_rows"] = """select l_orderkey * 10 + l_linenumber as finding_id,
  concat('finding of row ', l_linenumber) as finding, case when l_linenumber = 5 then null else 'check it' end as action from lineitem"""
 
 
+# Spans of six profiles, some of which read otherwise in another profile.
+SPAN_TEXTS = [
+    "Лист", "Формат А3", "A", "-", "7", "FB_OPEN", "A1", "PE", "Резерв", "РЕЗЕРВ 2", "12С", "/15.2:D", "/4.9.2", "(6:5E)", "(Л11)", "Лист 10.5", "DI7", "AO", "DO1,2A", "2DI1", "2,5 мм²", "4x1", "1x0.75", "R500 DI 16", "МВ210-212", "DVP04AD-S2", "МУ110-224.16Р",
+    "S9F22110", "4х2х0,5", "кввгнг-LS", "DR-120", "00USE10CL001", "AT601.2", "XPA3", "-2XT.AP", "XT-AI1", "2XT-G1", "QF10", "12-3", "24-1", "1234", "046", "ИК.1234-5", "24-051-АК", "026.809.01.01-ИПК", "СТМД.14747.75.07-Э3", "04.25", "10.2", "48 B", "=24В", "~220В/+24В",
+    "0,05А", "C6A/30мА", "15 м", "-W.H25.1", "3.1АW1", "GNYE", "NC", "+G2", "AA13.1.1 Затвор", "Авария", "АВАРИЯ НАСОСА 1", "Линия QFD1", "V1+", "1/L1", "TA", "13N1", "1P+N-C16", "200/5", "4 (0V)", "RS485-1", "1XT1:PE", "Схема соединения модуля №3 (А)", "see the other sheets", "?!",
+]
+VIEWS["profile_spans"] = "select l_orderkey * 10 + l_linenumber as ord, concat('E3-', l_suppkey % 60) as document, case l_suppkey % 6 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate("ABCDEF")) + " end as profile, case (l_orderkey * 7 + l_linenumber) % " + (
+    f"{len(SPAN_TEXTS)} " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(SPAN_TEXTS))
+    + " end as text, cast(l_linenumber as double) as size, cast(case when l_partkey % 5 = 0 then 12 when l_partkey % 5 = 1 then 790 else 300 end as double) as y0, cast(800 as double) as height from lineitem"
+)
+# Title blocks: captions, a title of two lines, one that sticks out to the left and one to the right; the rulings of the block.
+EIGHT = "(select 1 as l union all select 2 as l union all select 3 as l union all select 4 as l union all select 5 as l union all select 6 as l union all select 7 as l union all select 8 as l) as n"
+VIEWS["stamp_texts"] = f"""select concat('ALB', user_id % 50) as album, event_id as sheet, l as ord, case l when 1 then 'Стадия' when 2 then ' ЛИСТОВ' when 3 then 'Изм.' when 4 then 'Кол.уч' when 5 then concat('Щит ЩС', event_id % 9) when 6 then case when event_id % 4 = 0 then 'Формат А3' else '12.05.26 Схема' end when 7 then 'Объект' else 'выше' end as text,
+ cast(case l when 1 then 500 + event_id % 3 when 2 then 540 when 3 then 100 when 4 then 125 when 5 then 305 + event_id % 4 when 6 then 270 when 7 then 310 else 320 end as double) as x0, cast(case l when 5 then 610 when 6 then 620 when 7 then 615 when 8 then 500 + event_id % 100 else 590 + l * 4 end as double) as y0,
+ cast(case l when 1 then 530 when 2 then 570 when 3 then 120 when 4 then 150 when 5 then 440 when 6 then 330 + 30 * (event_id % 7) when 7 then 460 + 20 * (event_id % 5) else 400 end as double) as x1, cast(700 as double) as y1
+ from events cross join {EIGHT} where not (event_id % 5 = 0 and l <= 2) and not (event_id % 15 = 0 and l in (3, 4))"""
+VIEWS["stamp_rulings"] = f"""select concat('ALB', user_id % 50) as album, event_id as sheet, (event_id + l) % 2 = 0 as is_rect, cast(case l when 1 then 100 when 2 then 128 when 3 then 156 when 4 then 299.5 when 5 then 470 + event_id % 4 when 6 then 472 + event_id % 4 when 7 then 520 else 486 end as double) as x0, cast(560 as double) as y0,
+ cast(case l when 1 then 100 when 2 then 128 when 3 then 156 when 4 then 300.5 when 5 then 470 + event_id % 4 when 6 then 472 + event_id % 4 when 7 then 520 else 486 end as double) as x1, cast(case when l = 8 then 562 when l = 2 then 580 when event_id % 11 = 0 and l in (4, 5) then 570 else 660 end as double) as y1 from events cross join {EIGHT}"""
+# Pages of three kinds of lists: a header on every fourth page, its layout on the next two, another layout on the fourth.
+CELL_TEXTS = {
+    0: (("XS'k'", "Дискретные сигналы", "Лист", "XS'k'"), ("1DI'k'", "", "", "04.25"), ("bool", "bool", "bool", "bool"), ("сигнал  'k'", "", "x", "y")),
+    1: (("K-'k'", "K-'k'", "Подп.", "K-'k'"), ("A'k'", "", "A'k'", "A'k'"), ("B'k'", "", "B'k'", ""), ("ВВГ", "ВВГ", "", "ВВГ")),
+    2: (("PT'k'", "", "Дата", ""), ("Давление", "Насосы 'k'", "x", "Примечание"), ("СК НР =24В", "", "0..1", ""), ("лист 'k'", "", "", "")),
+}
+HEADER_TEXTS = (("Обозначение", "Адрес  PLC", "Тип", "Описание сигнала"), ("№ кабеля", "Начало", "Конец", "Марка"), ("Позиция по схеме", "Наименование", "Пределы измерений", "Лист схемы"))
+
+
+def _cell(kind: int, column: int) -> str:
+    """The text of a list's cell by row: most rows, headings, stamps, odd ones."""
+    plain, heading, stamp, odd = ("concat('" + t.replace("'k'", "', k, '") + "')" for t in CELL_TEXTS[kind][column])
+    return f"case k % 8 when 3 then {heading} when 5 then {stamp} when 6 then {odd} else {plain} end"
+
+
+VIEWS["list_words"] = f"""select document, page, ord, text, x0, x0 + 20 as x1, top, top + 6 as bottom from (select concat('L-', b) as document, cast(floor(k / 8) as bigint) + 1 as page, k * 10 + l as ord,
+ case when l > 4 then case b % 3 {" ".join(f"when {i} then case l {' '.join(f'when {j + 5} then {chr(39)}{t}{chr(39)}' for j, t in enumerate(texts))} end" for i, texts in enumerate(HEADER_TEXTS))} end
+ else case b % 3 {" ".join(f"when {i} then case l {' '.join(f'when {j + 1} then {_cell(i, j)}' for j in range(4))} end" for i in range(3))} end end as text,
+ cast(70 + 100 * ((l - 1) % 4) + case when floor(k / 8) % 4 = 3 then 10 else 0 end as double) as x0, cast(case when l > 4 then 30 else 105 + 20 * (k % 8) end as double) as top from k_part cross join {EIGHT}
+ where l <= 4 or (k % 8 = 0 and floor(k / 8) % 4 = 0)) as w where text <> ''"""
+VIEWS["list_rulings"] = f"""select concat('L-', b) as document, cast(floor(k / 8) as bigint) + 1 as page, l % 2 = 0 as is_rect, cast(case when l <= 2 then 60 else 60 + 100 * (l - 3) + case when floor(k / 8) % 4 = 3 then 10 else floor(k / 8) % 4 end end as double) as x0, cast(case when l <= 2 then 80 + 20 * (l + k % 8) else 20 end as double) as y0,
+ cast(case when l <= 2 then 760 else 60 + 100 * (l - 3) + case when floor(k / 8) % 4 = 3 then 10 else floor(k / 8) % 4 end end as double) as x1, cast(case when l <= 2 then 80 + 20 * (l + k % 8) else 300 end as double) as y1 from k_part cross join {EIGHT} where l <= 2 or (l <= 7 and k % 8 = 0)"""
+VIEWS["header_lines"] = """select concat('SP-', b) as document, cast(floor(k / 12) as bigint) as page, p_partkey as ord, case k % 12 when 1 then 'Код обору-' when 2 then concat('дования,', p_size) when 4 then ' Наименование' when 7 then 'изделия' when 9 then case when b % 4 = 0 then 'Количество' else '246' end else concat('K', k) end as text,
+ cast(case k % 12 when 1 then 40 when 2 then 50 + p_size % 3 when 4 then 42 when 7 then 58 + b % 9 else 60 + (k % 12) * 30 end as double) as y0, cast(case k % 12 when 1 then 48 when 2 then 60 when 4 then 47 when 7 then 70 else 66 + (k % 12) * 30 end as double) as y1, cast(800 as double) as page_height from k_part"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table. Spark puts the base tables in by name through parameters of ``sql``."""
     sql = VIEWS[name]

@@ -29,6 +29,49 @@ TITLE_TO_TYPE = [
 ]
 
 
+# Captions left and right of a title block's title.
+LEFT_LABELS = ["изм.", "изм", "кол.уч.", "кол.уч", "кол. уч.", "№ док", "№ док.", "№док", "подп.", "дата"]
+RIGHT_LABELS = ["стадия", "листов"]
+SHEET = ["album", "sheet"]
+
+
+def stamp_lines(lines: DataFrame, pages: DataFrame, left: float = 0.30, top: float = 0.55) -> DataFrame:
+    """Lines that reach into the lower right of their sheet, where the title block is. pages: album, sheet, width, height."""
+    inside = (F.col("x1") > left * F.col("width")) & (F.col("y1") > top * F.col("height"))
+    return lines.join(pages, SHEET).filter(inside).select(lines.columns)
+
+
+def title_cell(lines: DataFrame, rulings: DataFrame, near: float = 3.0, slack: float = 2.0, share: float = 0.8) -> DataFrame:
+    """album, sheet, line, text: the lines in the title's cell of a title block, in reading order, without captions and formats.
+
+    lines: album, sheet, ord, text, x0, y0, x1, y1; rulings: album, sheet, x0, y0, x1, y1, is_rect. The cell is what the last two upright
+    rulings left of the stage's caption enclose, of those that reach below the caption's top; where there are no such two, what lies between
+    the captions left and right. A line may stick out to the left if ``share`` of its width is in the cell, but not to the right.
+    """
+    norm = T.norm_title(F.col("text"))
+    right, left = norm.isin(RIGHT_LABELS), norm.isin(LEFT_LABELS)
+    of = lambda f, c, side: f(F.when(side, F.col(c)))
+    labels = lines.groupBy(*SHEET).agg(
+        of(F.min, "x0", right).alias("right_x"), of(F.min, "y0", right).alias("right_y"), of(F.max, "x1", left).alias("left_x"), of(F.min, "y0", left).alias("left_y")
+    )
+    wide, high = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    upright = F.when(F.col("is_rect"), wide <= 1.5).otherwise((wide <= 1.0) & (high >= 3))
+    anchors = labels.filter("right_x is not null").select(*SHEET, "right_x", "right_y")
+    ticks = rulings.filter(upright).join(anchors, SHEET).filter(F.greatest("y0", "y1") >= F.col("right_y"))
+    xs = ticks.groupBy(*SHEET, "right_x").agg(F.array_sort(F.collect_set(F.bround("x0"))).alias("xs"))
+    kept = F.aggregate("xs", F.array().cast("array<double>"), lambda a, x: F.when(F.coalesce(x - F.try_element_at(a, F.lit(-1)) > near, F.lit(True)), F.concat(a, F.array(x))).otherwise(a))
+    inner = xs.select(*SHEET, F.filter(kept, lambda x: x <= F.col("right_x")).alias("inner")).filter(F.size("inner") >= 2)
+    ruled = inner.select(*SHEET, F.try_element_at("inner", F.lit(-2)).alias("low"), F.try_element_at("inner", F.lit(-1)).alias("high"))
+    bounds = labels.join(ruled, SHEET, "left").select(
+        *SHEET, F.coalesce("low", "left_x").alias("low"), F.coalesce("high", "right_x", F.lit(float("inf"))).alias("high"), F.when(F.col("low").isNotNull(), F.col("right_y")).otherwise(F.col("left_y")).alias("from")
+    ).filter("low is not null")
+    common = F.least("x1", "high") - F.greatest("x0", "low")
+    inside = (F.col("y0") >= F.col("from") - slack) & (F.col("x1") <= F.col("high") + slack) & ((F.col("x0") >= F.col("low") - slack) | (common >= share * (F.col("x1") - F.col("x0"))))
+    cell = lines.join(bounds, SHEET).filter(inside & ~T.is_title_junk(F.trim("text")))
+    order = W.Window.partitionBy(*SHEET).orderBy(F.bround("y0"), "x0", "ord")
+    return cell.select(*SHEET, F.row_number().over(order).alias("line"), "text")
+
+
 def strip_boilerplate(lines: DataFrame) -> DataFrame:
     """album, sheet, title from title-block lines (album, sheet, line, text) without those that half of the filled sheets have."""
     rows = lines.withColumn("norm", T.norm_title(F.col("text"))).filter("norm <> ''")

@@ -5,29 +5,42 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that are contracted together within a task.
 CHUNK_EDGES = 1 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; local sessions without one (tests) get a new folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder of checkpoints, that driver and executors share; local sessions without one (tests) get a new folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None)
         if given is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for small results that go into several joins: unlike a checkpoint it hands none of its plan's constraints on."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def contracted(e: DataFrame, made=None, schema: str = "") -> DataFrame:
     """Edges a, b that connect what those of ``e`` do: each node with the smallest one that it hangs together with in its part.
 

@@ -183,3 +183,21 @@ def map_columns(headers: DataFrame, patterns: list[tuple[str, list[str]]] = SPEC
     kind = dict(headers.dtypes)["column"]
     found = F.aggregate("headers", F.array().cast(f"array<struct<field:string,column:{kind}>>"), step)
     return rows.select(*PAGE, F.explode(found).alias("f")).select(*PAGE, "f.*")
+
+
+def header_bottom(lines: DataFrame, patterns: list[tuple[str, list[str]]] = SPEC_COLUMNS, share: float = 0.4, gap: float = 4.0) -> DataFrame:
+    """document, page, bottom: how far down the header of a table reaches that has no row of column numbers.
+
+    It holds every line of the upper ``share`` of the page that names a field, and all that follows below without a clear
+    ``gap``: the wrapped words of narrow columns. lines: document, page, ord, text, y0, y1, page_height. Pages that name no field are left out.
+    """
+    norm = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
+    names = F.array(*[F.lit(w) for _, words in patterns for w in words])
+    top = lines.filter(F.col("y0") <= share * F.col("page_height"))
+    top = top.withColumn("named", F.max(F.when(F.exists(names, lambda w: F.contains(norm, w)), F.col("y1"))).over(Window.partitionBy(*PAGE))).filter("named is not null")
+    # From top to bottom: the first line below all before it, and below the named ones, ends the header.
+    above = Window.partitionBy(*PAGE).orderBy("y0", "y1", "ord")
+    reach = F.greatest("named", F.max("y1").over(above.rowsBetween(Window.unboundedPreceding, -1)))
+    top = top.withColumn("apart", (F.col("y0") > reach + gap).cast("int"))
+    top = top.withColumn("gaps", F.sum("apart").over(above.rowsBetween(Window.unboundedPreceding, 0))).filter("gaps = 0")
+    return top.groupBy(*PAGE).agg(F.greatest(F.max("named"), F.max("y1")).alias("bottom"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
 from .functions import text as T
-from .plans import across, albums, drawings, grids, reports, rules, streams, texts
+from .plans import across, albums, drawings, grids, layouts, reports, rules, streams, texts
 from .plans.common import over, raw
 from .operators import bundles, logs, nets, odd, report, rules_bundle, rules_cross, rules_single, tables
 
@@ -157,7 +157,7 @@ SQL = {
 }
 
 
-PLANS = [texts, across, reports, rules, albums, drawings, streams, grids]
+PLANS = [texts, across, reports, rules, albums, drawings, streams, grids, layouts]
 
 
 def queries() -> dict:
