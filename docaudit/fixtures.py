@@ -20,7 +20,8 @@ VIEWS = {
     "connections": """select l_orderkey * 10 + l_linenumber as id, concat('NL-', l_suppkey % 10) as document, cast(1 + l_orderkey % 20 as bigint) as page,
  concat('C', l_suppkey % 10) as cabinet, case when l_partkey % 37 = 0 then null else concat('XT', l_partkey % 90) end as terminal_block,
  case when l_linenumber = 7 then case when l_partkey % 2 = 0 then 'pe' else 'PE' end else cast(l_orderkey % 60 as varchar(9)) end as pin,
- case when l_returnflag = 'R' and l_linenumber = 1 then 'Резерв' when l_partkey % 11 = 0 then concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90, 'XQ01') else concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90) end as kks,
+ concat('CAB', l_suppkey % 10) as bundle, case when l_partkey % 13 = 0 then 'Резерв 5' when l_partkey % 13 = 1 then cast(100 + l_partkey % 40 as varchar(9)) when l_partkey % 13 = 2 then '' else null end as circuit_marking,
+ case when l_partkey % 17 = 0 then null when l_partkey % 19 = 0 then '' when l_returnflag = 'R' and l_linenumber = 1 then 'Резерв' when l_partkey % 11 = 0 then concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90, 'XQ01') else concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90) end as kks,
  case when l_partkey % 23 = 0 then concat('00USE', 10 + l_partkey % 80, 'CL', 100 + l_suppkey % 90) when l_returnflag = 'R' and l_partkey % 9 = 0 then 'BK 2x1' when l_returnflag = 'R' then '00CJF02AI010P_01' else 'L+' end as conductor
  from lineitem""",
     "sheet_titles": "select concat('ALB', user_id % 5) as album, event_id as sheet, case when event_type in ('click','view') then '' else event_type end as title from events",
@@ -95,7 +96,13 @@ VIEWS["drawing_texts"] = f"""select concat('SB-', b) as document, cast(floor(k /
  case k % 4 when 0 then 'designator' when 1 then 'article' when 2 then 'designator' else case when p_size % 2 = 0 then 'doc_number' else 'article' end end as entity_type, cast(p_size % 3 + 5 as double) as size, gx as x0, gy as y0, gx + 8 as x1, gy + 4 as y1 from (select p_partkey, p_size, b, k, {AT} from k_part) as g"""
 VIEWS["instrument_texts"] = f"""select concat('FSA-', b) as document, cast(floor(k / 48) as bigint) % 3 as sheet, p_partkey as ord, case k % 6 when 0 then 'PT' when 1 then cast(100 + k as varchar(9)) when 2 then concat('te ', 100 + k % 50) when 3 then 'DN50' when 4 then 'LIRA' else concat(k % 90, 'A') end as text,
  case when k % 6 in (1, 5) then gx - 30 else gx end as x0, case when k % 6 in (1, 5) then gy + 5 else gy end as y0, case when k % 6 in (1, 5) then gx - 22 else gx + 8 end as x1, case when k % 6 in (1, 5) then gy + 11 else gy + 6 end as y1 from (select p_partkey, b, k, {AT} from k_part) as g"""
-VIEWS["channel_lines"] = """select concat('E3-', l_suppkey % 10) as document, l_partkey % 40 as sheet, l_orderkey * 10 + l_linenumber as ord, case l_linenumber when 1 then concat('A', l_partkey % 20) when 2 then concat('DI', l_orderkey % 30) when 4 then 'Лист' when 5 then concat('AO', l_orderkey % 9) else concat(' signal ', l_partkey % 50) end as text from lineitem"""
+# Modules stand on a few sheets and hold on the next ones; channels come again, some before any module.
+VIEWS["channel_lines"] = """select concat('E3-', l_suppkey % 10) as document, l_partkey % 40 as sheet, l_orderkey * 10 + l_linenumber as ord, case l_linenumber when 1 then case when l_partkey % 40 > 5 and l_orderkey % 16 = 0 then concat('AA', 10 + l_partkey % 3, ' ') else 'motor 3QF12' end when 2 then concat('DI ', l_orderkey % 30) when 3 then concat(' Насос  00USE10CL', 100 + l_partkey % 5, ' включен 12KM', 1 + l_suppkey % 9)
+ when 4 then case when l_orderkey % 2 = 0 then 'Лист' else 'RB12:3' end when 5 then concat('AO', l_orderkey % 9) when 6 then case when l_orderkey % 3 = 0 then 'ok' when l_orderkey % 3 = 1 then 'да' else 'Ввод 1W2 RA12 2X1' end else concat('сигнал ', l_partkey % 50) end as text from lineitem"""
+# Addresses whole, in two spans along the line and in two spans downwards, some of them repeated on the sheet.
+VIEWS["address_texts"] = f"""select concat('E3-', b) as document, cast(floor(k / 96) as bigint) % 3 as sheet, p_partkey as ord, case when k % 4 in (0, 3) and k % 8 <> 7 then concat(' 1XT', k % 3, ':') when k % 4 = 2 then concat('1XT', k % 3, ':', k % 5) else cast(k % 5 as varchar(9)) end as text,
+ case when k % 4 = 1 then gx - 30 + 14 + p_size % 7 when k % 8 = 7 then gx - 120 else gx end as x0, case when k % 8 = 7 then gy + 13 else gy end as y0, case when k % 4 = 1 then gx - 30 + 24 when k % 8 = 7 then gx - 117 when k % 8 = 3 then gx + 3 else gx + 12 end as x1, case when k % 8 = 3 then gy + 12 when k % 8 = 7 then gy + 17 else gy + 4 end as y1
+ from (select p_partkey, p_size, b, k, {AT} from k_part) as g"""
 VIEWS["progress_rows"] = """select cast(user_id as varchar(20)) as session, ts, event_id as seq, case event_type when 'purchase' then 'document' when 'signup' then 'stage' when 'error' then 'done' else 'page' end as kind,
  cast(event_id % 5 as int) as index_, cast(9 as int) as total, cast(event_id % 50 as int) as page, concat('doc', event_id % 7) as name, 'scheme' as doc_type, concat('set/', event_id % 7) as path, concat('step ', event_id % 3) as stage,
  event_id % 40 as tokens, cast(event_id % 6 as double) as seconds from events"""

@@ -105,6 +105,51 @@ PROFILES = {
 DEFAULT = "A"
 
 
+@dataclass(frozen=True)
+class Channels:
+    """How a profile writes the lines of a channel list: module and channel lines, tags within a line, lines that say nothing."""
+
+    module: str
+    channel: str
+    equipment: str
+    junk: tuple[str, ...]
+    instrument: str = r"\b(00[A-Z0-9]{9,11})\b"
+
+
+# The patterns of channel lists in each profile.
+PLC = r"^((?:ПЛК|МВ|МУ)\d{2,3}[-.][\d.]+[-.А-ЯЁA-Z\d]*)\s*$"
+CHANNELS = {
+    "A": Channels(
+        r"^([A-C]A\d{2})\s*$", r"^(DI|AI|DO|AO)\s*(\d{1,2})\s*$", r"\b(\d{1,2}[A-Z]{1,3}\d{1,2})\b",
+        (r"(?i)^\d+[.,]?\d*\s*м?м²", r"^\d+[õxх]\d+[xх]\d+", r"^\d{1,4}$", r"^\d+-\d+", r"^/[0-9]+\.[0-9]:[A-F]", r"^[A-Z]{2}\d+:\d+", r"^X[A-Z]\d+", r"^PE$", r"^\d+W\d+$", r"^FB_[A-Z]+", r"^C_[A-Z_]+", r"(?i)КДВВГнг|КДВВГ|LS",
+         r"^[A-C]A\d{2}:[A-B]\d", r"^RB\d{2}:\d+[A-Z]?", r"^RA\d{2}:\d+[A-Z]?", r"^Формат\s+А\d+", r"^Инв\.?\s*N\s*подл", r"^Взам\.?\s*инв", r"^Подп\.?\s*и\s*дата", r"^Лист$", r"^Подп\.?$", r"^№\s*док", r"^Дата$", r"^Изм\.?$",
+         r"^Кол\.?\s*уч", r"^Зам\.?$", r"^ИК\.\d{4}-", r"^Схема\s+соединения\s+модуля", r"^Подключение\s+ПЛК"),
+    ),
+    "B": Channels(
+        r"^(AA\d{2}|М[ВУК]\d{3}-\d{2,3})\s*$", r"^(DI|AI|DO|AO)\s*(\d{1,2})\s*$", r"\b(-?\d{0,2}[A-ZА-Я]{1,3}\d{1,2}(?:\.[A-ZА-Я0-9]{1,4})?)\b",
+        (r"(?i)^\d+[.,]?\d*\s*м?м²", r"^\d+[xх]\d+([xх][\d.,]+)?$", r"^\d{1,4}$", r"^\d+-\d+", r"^/\d+\.\d+\.\d+", r"^\d{1,3}\s*[BВ]$", r"^\d{1,3}([.,]\d+)?\s*[AА]$", r"^\d{1,4}\s*м$", r"(?i)ВВГ|КВВГ|МКЭШ|LS|ParLan", r"^PE$", r"^Формат",
+         r"^Инв\.?\s*№\s*подл", r"^Взам\.?\s*инв", r"^Подп\.?\s*и\s*дата", r"^Лист(ов)?$", r"^Подп\.?$", r"^№\s*док", r"^Дата$", r"^Изм\.?$", r"^Согласовано$", r"^Примечание"),
+    ),
+    "C": Channels(
+        r"^(DVP[0-9A-Z\-]+)\s*$", r"^(DI|AI|DO|AO)\s*(\d{1,2})\s*$", r"\b(-?\d{0,2}[A-ZА-Я]{1,3}\d{1,2}(?:[.\-][A-ZА-Я0-9]{1,4})?)\b",
+        (r"^\d{1,4}$", r"^\(\d*:\d+[A-F]\)$", r"^\d{1,3}\s*[BВ]$", r"(?i)ШНК|ВВГ|КВВГ|МКЭШ", r"^PE$|^N$|^FG$", r"^Формат", r"^Инв\.?\s*N\s*подл", r"^Взам\.?\s*инв", r"^Подп", r"^Лист(ов)?$", r"^№\s*док", r"^Дата$", r"^Изм\.?$", r"^Копировал$"),
+    ),
+    "D": Channels(
+        r"^((?:ПЛК|МВ|МУ|МК)\d{2,3}[-.][\d.]+[-.А-ЯЁA-Z\d]*)\s*$", r"^\d{0,2}(DI|AI|DO|AO)\s*(\d{1,2})\s*$", r"\b(-?\d{0,2}[A-ZА-Я]{1,3}\d{1,2}(?:[-.][A-ZА-Я0-9]{1,4})?)\b",
+        (r"^\d{1,4}$", r"^\d{1,3}\s?V(AC|DC)?$", r"^[A-DСC]?\d{1,3}\s?м?[АA]$", r"(?i)ВБШв|ВВГ|КВВГ|МКЭШ", r"^(PE|N|L[123]?|FG|GND|XPE|XN\d?)$", r"^Формат", r"^Инв\.?\s*N\s*подл", r"^Взам\.?\s*инв", r"^Подп", r"^Лист(ов)?$", r"^№\s*(док|пров)", r"^Дата$",
+         r"^Изм\.?$", r"^Кол\.?\s*уч", r"^Согласовано$", r"^Конт\.$"),
+    ),
+    "E": Channels(
+        PLC, r"^\d{0,2}(DI|AI|DO|AO)\s*(\d{1,2})\s*$", r"\b(-?\d{0,2}[A-ZА-Я]{1,4}\d{1,3}(?:[.\-][A-ZА-Я0-9]{1,4})?)\b",
+        (r"^\d{1,4}$", r"^\d{1,3}\.\d{1,2}$", r"^Лист\s+\d", r"^(PE|РЕ|L|N|L1|L2|L3)$", r"^Взам", r"^инв\.?$", r"^Подп", r"^Изм\.?$", r"^Кол\.?$", r"^уч\.?$", r"^№", r"^Дата$", r"^Примечание"),
+    ),
+    "F": Channels(
+        PLC, r"^\d{0,2}(DI|AI|DO|AO)\s*(\d{1,2})\s*$", r"\b(-?\d{0,2}[A-ZА-Я]{1,4}\d{1,3}(?:[.\-][A-ZА-Я0-9]{1,4})?)\b",
+        (r"^\d{1,4}$", r"^\d{1,3}-\d{1,2}$", r"^\(Л\d{1,3}\)$", r"(?i)^\d+[xх]\d+", r"^[CС]?\d{1,3}([.,]\d+)?\s?м?[AА]$", r"^(PE|РЕ|N|L|L1|L2|L3)$", r"^Инв\.", r"^Взаим", r"^Взам", r"^Подп", r"^Подл", r"^Лист(ов)?$", r"^Изм\.?$", r"^Согласовано$", r"^Формат"),
+    ),
+}
+
+
 def java(pattern: str) -> str:
     return pattern.replace("(?i)", "(?iu)")
 

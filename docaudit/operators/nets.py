@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import text as T
 from .components import connected_components
 from .grid import SHEET, along, apart, cells_of, distance, from_line, middle, near_lines, within
 from .spans import LABEL_TYPES, pin_owners
@@ -161,6 +162,31 @@ def attach_cross_refs(refs: DataFrame, points: DataFrame, reach: float = 30.0) -
     return own.select(*SHEET, "ord", "text").join(best, [*SHEET, "ord"], "left").select(*SHEET, "ord", "text", "b.net", "b.dist_to_net")
 
 
+# Fixed value: a pin with its device in front of a link.
+PIN_BEFORE = r"^[A-ZА-Я]{1,4}\d{1,4}:[A-Z0-9]{1,3}$"
+
+
+def graph_links(spans: DataFrame, lines: DataFrame, profile: str = "A", reach: float = 25.0, row: float = 4.0) -> DataFrame:
+    """document, sheet, ord, raw_text, target_sheet, target_column, target_zone, line, node, device_pin: links to other sheets on a page graph.
+
+    A link belongs to the nearest node (end 1 or 2 of a line of ``page_graph``) closer than ``reach``. Of the three texts before it in reading
+    order the first on its row that is a pin or a device names the pin. spans: document, sheet, ord, text, entity_type, x0, y0, x1, y1.
+    """
+    order = W.Window.partitionBy(*SHEET).orderBy(F.bround("y0"), "x0", "ord")
+    tells = F.coalesce(F.col("text").rlike(PIN_BEFORE) | (F.col("entity_type") == "device_tag"), F.lit(False))
+    said = F.struct(tells.alias("tells"), "text", "y0")
+    before = lambda i: F.lag(said, i).over(order)
+    rows = spans.withColumns({f"before{i}": before(i) for i in (3, 2, 1)}).filter("entity_type = 'cross_ref'").withColumn("link", T.parse_cross_ref(F.trim("text"), profile)).filter("link is not null")
+    pin = F.coalesce(*[F.when(F.col(f"before{i}.tells") & (F.abs(F.col(f"before{i}.y0") - F.col("y0")) <= row), F.col(f"before{i}.text")) for i in (3, 2, 1)])
+    links = middle(rows.withColumn("device_pin", pin), "px", "py").select(*SHEET, "ord", F.col("text").alias("raw_text"), "link", "device_pin", "px", "py")
+    nodes = lines.select(*SHEET, "line", F.explode(F.array(*[F.struct(F.lit(i).alias("node"), F.col(f"x{i}").alias("ox"), F.col(f"y{i}").alias("oy")) for i in (1, 2)])).alias("n")).select(*SHEET, "line", "n.*")
+    near = within(links.select(*SHEET, "ord", "px", "py"), nodes, reach, reach).withColumn("dist", apart()).filter(F.col("dist") < reach)
+    best = near.groupBy(*SHEET, "ord").agg(F.min(F.struct("dist", "line", "node")).alias("b"))
+    return links.join(best, [*SHEET, "ord"], "left").select(
+        *SHEET, "ord", "raw_text", F.col("link.sheet").alias("target_sheet"), F.col("link.column").alias("target_column"), F.col("link.zone").alias("target_zone"), "b.line", "b.node", "device_pin"
+    )
+
+
 def net_summary(nets_: DataFrame) -> DataFrame:
     """Per document: nets by their number of terminals, and those that may dangle."""
     n = F.size("terminals")

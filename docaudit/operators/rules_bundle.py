@@ -128,19 +128,30 @@ def check_bundle(orders: DataFrame, drawn: DataFrame, marks: DataFrame, document
     return union.orderBy(T.severity_rank(F.col("severity")), "at", "bundle", "place").drop("at")
 
 
-def netlist_vs_scheme(connections: DataFrame, terminals: DataFrame) -> DataFrame:
-    """Terminal addresses that only the wiring table or only the scheme has, for review. Both: block, pin (with a document to show)."""
-    side = lambda d, name: d.filter("block is not null and pin is not null").groupBy(T.fold_designator(F.col("block")).alias("block"), F.upper("pin").alias("pin")).agg(F.min("document").alias(name))
-    both = side(connections, "table_document").join(side(terminals, "scheme_document"), ["block", "pin"], "full_outer")
-    only = F.when(F.col("scheme_document").isNull(), "table").when(F.col("table_document").isNull(), "scheme")
-    return both.withColumn("only_in", only).filter("only_in is not null").select("block", "pin", "only_in", F.coalesce("table_document", "scheme_document").alias("document"), F.lit("REVIEW").alias("kind"))
+def on_one_side(rows: DataFrame, key: list[str], first: str, second: str) -> DataFrame:
+    """Keys that come from one side alone: only_in, and the smallest document they are in. rows: the key, side, document."""
+    per = rows.groupBy(*key).agg(F.min("side").alias("low"), F.max("side").alias("high"), F.min("document").alias("document")).filter("low = high")
+    return per.select(*key, F.when(F.col("low") == 0, first).otherwise(second).alias("only_in"), "document", F.lit("REVIEW").alias("kind"))
+
+
+def netlist_vs_scheme(connections: DataFrame, terminals: DataFrame, markings: DataFrame) -> DataFrame:
+    """bundle, what, place, only_in, document, kind: terminals (block:pin) and wire markings that only the wiring tables or only the schemes of a bundle have, for review.
+
+    connections: bundle, document, block, pin, marking; terminals: bundle, document, block, pin; markings: bundle, document, marking. Nulls and empty texts are no places.
+    Both sides go into one grouping, after a partial one, so that no side is joined with the other.
+    """
+    terminal = F.concat(T.fold_designator(F.nullif(F.trim("block"), F.lit(""))), F.lit(":"), F.upper(F.nullif(F.trim("pin"), F.lit(""))))
+    terminal = F.when((F.trim("block") != "") & (F.trim("pin") != ""), terminal)
+    marking = F.nullif(T.fold(F.col("marking")), F.lit(""))
+    of = lambda d, side, what, place: d.select("bundle", F.lit(what).alias("what"), place.alias("place"), F.lit(side).alias("side"), "document")
+    rows = of(connections, 0, "terminal", terminal).unionByName(of(terminals, 1, "terminal", terminal)).unionByName(of(connections, 0, "marking", marking)).unionByName(of(markings, 1, "marking", marking))
+    return on_one_side(rows.filter("place is not null"), ["bundle", "what", "place"], "table", "scheme")
 
 
 def instrument_links(instruments: DataFrame, rows: DataFrame) -> DataFrame:
-    """Instrument tags that only the functional diagram or only the cable journal has, for review. Both: tag."""
-    side = lambda d, name: d.select(T.fold_designator(F.col("tag")).alias("tag"), F.lit(True).alias(name)).filter("tag <> ''").distinct()
-    both = side(instruments, "drawn").join(side(rows, "listed"), "tag", "full_outer").filter("drawn is null or listed is null")
-    return both.select("tag", F.when(F.col("listed").isNull(), "diagram").otherwise("journal").alias("only_in"), F.lit("REVIEW").alias("kind"))
+    """bundle, tag, only_in, document, kind: instruments that only the functional diagrams or only the cable journals and parameter lists of a bundle have, for review. Both: bundle, document, tag."""
+    of = lambda d, side: d.select("bundle", T.fold_designator(F.col("tag")).alias("tag"), F.lit(side).alias("side"), "document").filter("tag <> ''")
+    return on_one_side(of(instruments, 0).unionByName(of(rows, 1)), ["bundle", "tag"], "diagram", "journal")
 
 
 def explode_positions(items: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Rules over one table; each returns its findings as rows."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -67,8 +69,11 @@ def kks_suffix_artifact(connections: DataFrame) -> DataFrame:
 
 
 def missing_terminal(connections: DataFrame) -> DataFrame:
+    """Rows that are no spares and have an owner, by tag or by the circuit's marking, but lack a block or a pin."""
     empty = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    return connections.filter(~is_reserve(F.col("kks")) & ~empty("kks") & (empty("terminal_block") | empty("pin"))).select("document", "id", "kks")
+    owner = F.coalesce(*[F.when(~empty(c), F.col(c)) for c in ("kks", "circuit_marking")])
+    spare = F.coalesce(is_reserve(F.col("kks")), F.lit(False))
+    return connections.filter(~spare & owner.isNotNull() & (empty("terminal_block") | empty("pin"))).select("document", "id", owner.alias("owner"))
 
 
 def reserve_tag_placement(connections: DataFrame, channel_column: str = "conductor", shown: int = 15) -> DataFrame:
@@ -144,11 +149,6 @@ def applicable(documents: DataFrame) -> DataFrame:
     return documents.select("document", F.explode(rules).alias("rule"))
 
 
-def column_population(connections: DataFrame) -> DataFrame:
-    filled = [F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"n_{c}") for c in ("terminal_block", "pin", "kks", "conductor")]
-    return connections.groupBy("document").agg(F.count(F.lit(1)).alias("n"), *filled, F.count_if(is_reserve(F.col("kks"))).alias("n_reserve"), F.countDistinct("terminal_block").alias("blocks"), F.max("page").alias("pages"))
-
-
 def spec_stats(spec_items: DataFrame) -> DataFrame:
     return spec_items.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("designator").alias("designators"), F.countDistinct("code").alias("codes"), F.count_if(F.coalesce(F.col("code"), F.lit("")) == "").alias("without_code"))
 
@@ -157,17 +157,32 @@ def assembly_stats(elements: DataFrame) -> DataFrame:
     return elements.groupBy("document", "designator").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sheet").alias("sheets"), F.countDistinct("article").alias("articles"), F.count_if(F.col("pair_source") == "block").alias("in_block"))
 
 
-def table_stats(connections: DataFrame) -> DataFrame:
-    """Per wiring table: filled cells by column, blocks and owners, spare rows (the word anywhere in the owner), repeated addresses, pages."""
+def column_population(connections: DataFrame) -> DataFrame:
     filled = [F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"n_{c}") for c in ("terminal_block", "pin", "kks", "conductor")]
-    some = lambda c: F.countDistinct(F.nullif(F.col(c), F.lit("")))
-    rows = connections.groupBy("document").agg(
-        F.count(F.lit(1)).alias("n"), *filled, some("terminal_block").alias("blocks"), some("kks").alias("owners"), F.count_if(F.contains(F.lower(F.coalesce("kks", F.lit(""))), F.lit(RESERVE))).alias("reserve"), F.max("page").alias("pages")
+    return connections.groupBy("document").agg(F.count(F.lit(1)).alias("n"), *filled, F.count_if(is_reserve(F.col("kks"))).alias("n_reserve"), F.countDistinct("terminal_block").alias("blocks"), F.max("page").alias("pages"))
+
+
+# The fields of a wiring table.
+FIELDS = ["cable_harness", "circuit_marking", "kks", "conductor", "cabinet", "terminal_block", "pin", "terminal_type_or_ref", "connection_address", "note"]
+
+
+def table_stats(connections: DataFrame) -> DataFrame:
+    """Per wiring table: rows, pages, filled cells by field (a map), its blocks and roles of conductors, spare rows, and how often each repeated address occurs (a map).
+
+    Fields that the table lacks count as empty. A row is spare with the word anywhere in its tag or marking.
+    """
+    rows = connections.withColumns({c: F.lit(None).cast("string") for c in FIELDS if c not in connections.columns})
+    filled = F.create_map(*[x for c in FIELDS for x in (F.lit(c), F.count_if(F.coalesce(F.col(c), F.lit("")) != ""))])
+    some = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+    spare = reduce(Column.__or__, [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(RESERVE)) for c in ("kks", "circuit_marking")])
+    stats = rows.groupBy("document").agg(
+        F.count(F.lit(1)).alias("n"), F.max("page").alias("pages"), filled.alias("filled"), some("terminal_block").alias("blocks"), some("conductor").alias("roles"), F.count_if(spare).alias("reserve")
     )
-    address = F.expr("cabinet || '.' || terminal_block || '.' || pin")
-    again = connections.filter(address.isNotNull()).groupBy("document", address.alias("address")).agg(F.count(F.lit(1)).alias("k"))
-    again = again.groupBy("document").agg(F.count_if(F.col("k") > 1).alias("duplicate_addresses"), F.max("k").alias("most_often"))
-    return rows.join(again, "document", "left")
+    parts = [F.nullif(F.col(c), F.lit("")) for c in ("cabinet", "terminal_block", "pin")]
+    address = F.concat(parts[0], F.lit("."), parts[1], F.lit("."), parts[2])
+    again = rows.select("document", address.alias("address")).filter("address is not null").groupBy("document", "address").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    again = again.groupBy("document").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("address", "k")))).alias("duplicate_addresses"))
+    return stats.join(again, "document", "left").withColumn("duplicate_addresses", F.coalesce("duplicate_addresses", F.expr("cast(map() as map<string, bigint>)")))
 
 
 def spec_sections(items: DataFrame) -> DataFrame:

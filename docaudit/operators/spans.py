@@ -3,12 +3,16 @@
 spans: document, sheet, ord, text, entity_type, x0, y0, x1, y1, and block and size where pairs are made.
 """
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
-from .grid import SHEET, apart, distance, middle, within
+from ..functions.profiles import CHANNELS, java
+from .carry import last_known
+from .grid import SHEET, apart, cell, cells_of, distance, middle, within
 
 # Types of labels that say something about a wire's end.
 LABEL_TYPES = ["device_tag", "instrument_tag", "terminal_no", "pin_ref", "power_pin", "wire_gauge", "io_channel", "signal_state", "reserve_label", "coil_terminal", "cable_type"]
@@ -69,8 +73,10 @@ def instrument_tags(spans: DataFrame) -> DataFrame:
     whole = rows.filter("t rlike '^[A-Z]{2,4} ?-?[0-9]{1,4}[A-Z]?$'").select(*SHEET, "ord", F.regexp_replace("t", "[ -]", "").alias("tag"), F.lit(False).alias("split"))
     letters = middle(rows.filter("t rlike '^[A-Z]{2,4}$'").withColumn("h", F.col("y1") - F.col("y0")), "px", "py").select(*SHEET, "ord", F.col("t").alias("letters"), "h", "px", "py")
     digits = middle(rows.filter("t rlike '^[0-9]{1,4}[A-Z]?$'")).select(*SHEET, F.col("ord").alias("other"), F.col("t").alias("number"), "ox", "oy")
-    # 50 points hold the largest letters; the rule itself goes by their height.
-    near = within(letters, digits, 50.0, 50.0).withColumn("dy", F.col("oy") - F.col("py")).filter("abs(px - ox) <= 1.2 * h and dy >= -h and dy <= 1.4 * h")
+    # Letters look for numbers in the cells that their own height admits, so that none is too large.
+    near = letters.withColumns({"cx": cells_of(F.col("px") - 1.2 * F.col("h"), F.col("px") + 1.2 * F.col("h"), 20.0), "cy": cells_of(F.col("py") - F.col("h"), F.col("py") + 1.4 * F.col("h"), 20.0)})
+    near = near.join(digits.withColumns({"cx": cell(F.col("ox"), 20.0), "cy": cell(F.col("oy"), 20.0)}), [*SHEET, "cx", "cy"])
+    near = near.withColumn("dy", F.col("oy") - F.col("py")).filter("abs(px - ox) <= 1.2 * h and dy >= -h and dy <= 1.4 * h")
     split = near.groupBy(*SHEET, "ord").agg(F.min_by(F.concat("letters", "number"), F.struct(F.abs("dy"), "other")).alias("tag")).select(*SHEET, "ord", "tag", F.lit(True).alias("split"))
     return whole.unionByName(split)
 
@@ -80,21 +86,27 @@ def instrument_index(tags: DataFrame) -> DataFrame:
 
 
 def dup_addresses(spans: DataFrame, apart_by: float = 5.0) -> DataFrame:
-    """document, sheet, address, n: full addresses written on a sheet at two places more than ``apart_by`` points apart."""
-    rows = middle(spans.withColumn("address", F.trim("text")).filter(F.col("address").rlike(FULL_ADDRESS)), "px", "py").select(*SHEET, "address", "px", "py")
+    """document, sheet, address, n, positions: full addresses written on a sheet at two places more than ``apart_by`` points apart.
+
+    An address in two spans, "1XT5:" and "3", counts at its first one; the number then is no text of its own.
+    """
+    rows = middle(stitched(spans).filter(F.col("text").rlike(FULL_ADDRESS)), "px", "py").select(*SHEET, F.col("text").alias("address"), "px", "py")
     # The places of one address on one sheet are few.
-    per = rows.groupBy(*SHEET, "address").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("px", "py")).alias("places"))
+    per = rows.groupBy(*SHEET, "address").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(F.bround("px", 1).alias("x"), F.bround("py", 1).alias("y")))).alias("positions"), F.collect_set(F.struct("px", "py")).alias("places"))
     far = F.exists("places", lambda a: F.exists("places", lambda b: distance(a["px"] - b["px"], a["py"] - b["py"]) > apart_by))
-    return per.filter(F.col("n") >= 2).filter(far).select(*SHEET, "address", "n")
+    return per.filter(F.col("n") >= 2).filter(far).select(*SHEET, "address", "n", "positions")
 
 
 def relay_coils(spans: DataFrame, reach: float = 40.0) -> DataFrame:
-    """document, sheet, ord, designator, x, y: devices with both pins A1 and A2 close by."""
+    """document, sheet, ord, designator, x, y: devices with both pins A1 and A2 close by. A number of one or two digits that adjoins the tag belongs to it."""
     tags = middle(spans.filter("entity_type = 'device_tag'"), "px", "py").select(*SHEET, "ord", F.trim("text").alias("designator"), "px", "py")
     pins = middle(spans.withColumn("pin", F.upper(F.trim("text"))).filter("pin in ('A1', 'A2')")).select(*SHEET, "pin", "ox", "oy")
     near = within(tags, pins, reach, reach).filter(apart() <= reach)
     both = near.groupBy(*SHEET, "ord", "designator", "px", "py").agg(F.countDistinct("pin").alias("pins")).filter("pins = 2")
-    return both.select(*SHEET, "ord", "designator", F.bround("px", 1).alias("x"), F.bround("py", 1).alias("y"))
+    digits = spans.filter(F.trim("text").rlike(r"^\d{1,2}$"))
+    parts = adjoining(spans.filter("entity_type = 'device_tag'"), digits).groupBy(*SHEET, "ord").agg(F.min_by("tail", F.struct(F.abs("gap"), "other")).alias("part"))
+    whole = both.join(parts, [*SHEET, "ord"], "left").withColumn("designator", F.concat("designator", F.coalesce("part", F.lit(""))))
+    return whole.select(*SHEET, "ord", "designator", F.bround("px", 1).alias("x"), F.bround("py", 1).alias("y"))
 
 
 def terminal_order_anomalies(spans: DataFrame, connector: str = r"^(XA|XM|XB|XT|XP)\d+$", reach: float = 60.0, row: float = 3.0) -> DataFrame:
@@ -113,20 +125,33 @@ def terminal_order_anomalies(spans: DataFrame, connector: str = r"^(XA|XM|XB|XT|
     return per.filter("n >= 3 and share < 0.9").select(*SHEET, "connector", "row_y", "sequence")
 
 
-def io_channels(lines: DataFrame) -> DataFrame:
-    """document, sheet, module, channel, description: text lines of a sheet gathered under the module and channel named last above them.
+def io_channels(lines: DataFrame, profile: str = "A") -> DataFrame:
+    """document, sheet, module, channel, description, tags: what the lines below a channel's own say about it.
 
-    lines: document, sheet, ord, text. Modules look like A12 or DVP16; channels like DI3 or AO12.
+    A module holds for all channels after it, over the sheets of a document; a channel begins where its line stands and lasts until
+    the next module or channel, even over a sheet's end; met again on its sheet under the same module it is the same one. Channels before any
+    module are none. Lines with Cyrillic, less their tags, make the description. lines: document, sheet, ord, text.
     """
+    c = CHANNELS[profile]
     text = F.trim("text")
-    rows = lines.select(*SHEET, "ord", text.alias("text"), F.when(text.rlike(r"^(A\d{1,2}|DVP[0-9A-Z]+)$"), text).alias("m"), F.when(text.rlike(r"^(DI|DO|AI|AO)\d{1,3}$"), text).alias("c"))
-    w = W.Window.partitionBy(*SHEET).orderBy("ord").rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = rows.withColumn("module", F.last("m", ignorenulls=True).over(w)).withColumn("no", F.count(F.coalesce("m", "c")).over(w))
-    group = W.Window.partitionBy(*SHEET, "no")
-    rows = rows.withColumn("channel", F.max("c").over(group)).filter("m is null and c is null and channel is not null and text <> ''")
-    rows = rows.filter(~T.is_title_junk(F.col("text")))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy(*SHEET, "module", "channel", "no").agg(words.alias("description")).drop("no")
+    hit = lambda p: text.rlike(java(p))
+    rows = lines.select(*SHEET, "ord", text.alias("text")).filter("text <> ''")
+    rows = rows.withColumn("m", F.when(hit(c.module), F.regexp_extract(text, java(c.module), 1))).withColumn("c", F.when(hit(c.channel), F.replace(text, F.lit(" "))))
+    rows = last_known(rows, ["document"], ["sheet"], ["ord"], F.col("m"), "module")
+    starts = F.col("m").isNotNull() | (F.col("c").isNotNull() & F.col("module").isNotNull())
+    key = F.struct(F.col("sheet").alias("at"), "module", F.when(F.col("m").isNull(), F.col("c")).alias("channel"))
+    rows = last_known(rows.withColumn("starts", starts), ["document"], ["sheet"], ["ord"], F.when(F.col("starts"), key), "key").filter("key.channel is not null")
+    cyrillic = text.rlike("[а-яА-ЯёЁ]")
+    says = ~F.col("starts") & ~reduce(Column.__or__, map(hit, c.junk)) & ((F.length(text) >= 3) | cyrillic)
+    found = lambda p: F.regexp_extract_all(text, F.lit(f"(?U){p}"), F.lit(1))
+    tags = F.concat(found(c.instrument), F.filter(found(c.equipment), lambda t: ~t.rlike(r"^\d+W\d+$")))
+    bare = F.trim(F.aggregate(tags, text, lambda line, t: F.replace(line, t, F.lit(""))))
+    rows = rows.withColumn("tags", F.when(says, tags)).withColumn("part", F.when(says & cyrillic & (F.length(bare) > 2), bare))
+    kept = F.filter(F.array_distinct(F.flatten(F.collect_list("tags"))), lambda t: (F.length(t) > 2) & ~t.contains("мм") & ~t.rlike(r"^\d+W\d+$|^R[AB]\d{2}"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("sheet", "ord", "part")))), lambda x: x["part"])
+    words = F.trim(F.regexp_replace(F.array_join(parts, " "), r"(?U)\s+", " "))
+    per = rows.groupBy("document", F.col("key.at").alias("on_sheet"), "key.module", "key.channel").agg(words.alias("description"), F.array_sort(kept).alias("tags"))
+    return per.withColumnRenamed("on_sheet", "sheet")
 
 
 def detect_font_codec(spans: DataFrame, gain: float = 0.08) -> DataFrame:
@@ -150,15 +175,56 @@ def detect_profile(spans: DataFrame) -> DataFrame:
     return per.select("document", best.alias("b")).select("document", "b.profile", "b.score")
 
 
+def adjoining(heads: DataFrame, tails: DataFrame, most: float = 6.0, overlap: float = 1.0, size: float = 20.0) -> DataFrame:
+    """document, sheet, ord, other, head, tail, gap: texts that begin where another one ends, along its direction of reading and on its line.
+
+    Boxes that are higher than wide are read downwards. Both: document, sheet, ord, text, x0, y0, x1, y1. A pair meets in all cells that both
+    lines share and counts in the first of them.
+    """
+    down = (F.col("y1") - F.col("y0")) > (F.col("x1") - F.col("x0"))
+    text = F.trim("text")
+    a = heads.select(*SHEET, "ord", text.alias("head"), down.alias("down"), F.when(down, F.col("y1")).otherwise(F.col("x1")).alias("end"), *[F.when(down, F.col(f"x{i}")).otherwise(F.col(f"y{i}")).alias(f"a{i}") for i in (0, 1)])
+    b = tails.select(*SHEET, F.col("ord").alias("other"), text.alias("tail"), F.explode(F.array(F.lit(False), F.lit(True))).alias("down"), "x0", "y0", "x1", "y1")
+    b = b.select(*SHEET, "other", "tail", "down", F.when(F.col("down"), F.col("y0")).otherwise(F.col("x0")).alias("start"), *[F.when(F.col("down"), F.col(f"x{i}")).otherwise(F.col(f"y{i}")).alias(f"b{i}") for i in (0, 1)])
+    a = a.withColumn("place", cell(F.col("end"), most)).withColumn("row", cells_of(F.col("a0"), F.col("a1"), size))
+    b = b.withColumn("place", cells_of(F.col("start") - most, F.col("start") + most, most)).withColumn("row", cells_of(F.col("b0"), F.col("b1"), size))
+    pairs = a.join(b, [*SHEET, "down", "place", "row"]).filter(cell(F.greatest("a0", "b0"), size) == F.col("row")).withColumn("gap", F.col("start") - F.col("end"))
+    near = pairs.filter((F.abs("gap") <= most) & (F.least("a1", "b1") - F.greatest("a0", "b0") >= overlap) & (F.col("ord") != F.col("other")))
+    return near.select(*SHEET, "ord", "other", "head", "tail", "gap")
+
+
 def stitch_pin_refs(spans: DataFrame, gap: float = 6.0) -> DataFrame:
-    """document, sheet, ord, address: addresses written in two spans, "1XT5:" and "3": the nearest number on the line, which no nearer head takes."""
-    rows = spans.withColumn("t", F.trim("text"))
-    heads = rows.filter("t rlike '^[0-9]{0,2}[A-ZА-Я]{1,5}[0-9]{1,4}:$'").select(*SHEET, "ord", F.col("t").alias("head"), F.col("x1").alias("px"), F.col("y0").alias("py"), F.col("y1").alias("bottom"))
-    tails = rows.filter("t rlike '^[A-Z0-9]{1,4}$'").select(*SHEET, F.col("ord").alias("other"), F.col("t").alias("tail"), F.col("x0").alias("ox"), F.col("y0").alias("oy"), F.col("y1").alias("other_bottom"))
-    pairs = within(heads, tails, gap, 20.0).withColumn("gap", F.abs(F.col("ox") - F.col("px"))).filter(F.least("bottom", "other_bottom") - F.greatest("py", "oy") >= 1)
-    best = lambda *by: F.row_number().over(W.Window.partitionBy(*SHEET, *by).orderBy("gap", "ord", "other"))
-    mutual = pairs.withColumn("of_head", best("ord")).withColumn("of_tail", best("other")).filter("of_head = 1 and of_tail = 1")
-    return mutual.select(*SHEET, "ord", F.concat("head", "tail").alias("address"))
+    """document, sheet, ord, other, address: addresses written in two spans, "1XT5:" and "3".
+
+    Heads take their nearest number in the order of the sheet, of equally near ones the first; a number that an earlier head has taken is gone.
+    """
+    t = F.trim("text")
+    pairs = adjoining(spans.filter(t.rlike(r"^\d{0,2}[A-ZА-Я]{1,5}\d{1,4}:$")), spans.filter(t.rlike("^[A-Z0-9]{1,4}$")), gap)
+
+    def resolve(sheet):
+        """The candidate pairs of one sheet, first come first served."""
+        sheet = sheet.assign(near=sheet.gap.abs()).sort_values(["ord", "near", "other"])
+        used, done, kept = set(), set(), []
+        for i, (x, y) in enumerate(zip(sheet.ord, sheet.other, strict=True)):
+            if x not in done and y not in used:
+                done.add(x)
+                used.add(y)
+                kept.append(i)
+        sheet = sheet.iloc[kept]
+        return sheet.assign(address=sheet["head"] + sheet["tail"])[["document", "sheet", "ord", "other", "address"]]
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy(*SHEET).applyInPandas(resolve, f"document string, sheet {kinds['sheet']}, ord {kinds['ord']}, other {kinds['other']}, address string")
+
+
+def stitched(spans: DataFrame) -> DataFrame:
+    """document, sheet, ord, text, x0, y0, x1, y1: all texts, with addresses of two spans whole at their first one. Heads that found no number are left out."""
+    made = stitch_pin_refs(spans)
+    text = F.trim("text")
+    rest = spans.filter(~text.rlike(r"^\d{0,2}[A-ZА-Я]{1,5}\d{1,4}:$")).join(made.select(*SHEET, F.col("other").alias("ord")), [*SHEET, "ord"], "left_anti")
+    box = ["x0", "y0", "x1", "y1"]
+    whole = spans.select(*SHEET, "ord", *box).join(made.select(*SHEET, "ord", F.col("address").alias("text")), [*SHEET, "ord"])
+    return rest.select(*SHEET, "ord", text.alias("text"), *box).unionByName(whole)
 
 
 # What a whole tag of a device or instrument looks like where no profile says otherwise.

@@ -21,13 +21,15 @@ def checked(orders: DataFrame, drawn: DataFrame, marks: DataFrame, documents: Da
 
 
 def terminals(connections: DataFrame, marks: DataFrame) -> DataFrame:
-    own = connections.select("document", F.col("terminal_block").alias("block"), "pin")
-    theirs = marks.select("document", F.concat(F.lit("ХТ0"), F.col("sheet").cast("string")).alias("block"), F.regexp_extract("designator", r"\d+", 0).alias("pin"))
-    return R.netlist_vs_scheme(own, theirs)
+    own = connections.select("bundle", "document", F.col("terminal_block").alias("block"), "pin", F.col("circuit_marking").alias("marking"))
+    number = F.regexp_extract("designator", r"\d+", 0)
+    theirs = marks.select("bundle", "document", F.concat(F.lit("ХТ0"), F.col("sheet").cast("string")).alias("block"), number.alias("pin"), number.alias("marking"))
+    return R.netlist_vs_scheme(own, theirs, theirs)
 
 
 def instruments(connections: DataFrame, marks: DataFrame) -> DataFrame:
-    return R.instrument_links(marks.select(F.concat(F.lit("XT"), F.regexp_extract("designator", r"\d+", 0)).alias("tag")), connections.select(F.col("terminal_block").alias("tag")))
+    drawn = marks.select("bundle", "document", F.concat(F.lit("XT"), F.regexp_extract("designator", r"\d+", 0)).alias("tag"))
+    return R.instrument_links(drawn, connections.select("bundle", "document", F.col("terminal_block").alias("tag")))
 
 
 def tags(spans: DataFrame) -> DataFrame:
@@ -127,8 +129,9 @@ SQL["x11_check_bundle"] = (
  union all select bundle, 'not ordered', 'MISSING', severity, article from x7 union all select bundle, 'not in spec', kind, severity, designator from x8 union all select bundle, 'not drawn', 'REVIEW', severity, key from x6)
  select bundle, rule, kind, severity, count(*) as n, min(place) as place from every group by all"""
 )
-SQL["x12_netlist_vs_scheme"] = f"""with a as (select {fd('terminal_block')} as block, upper(pin) as pin, min(document) as d from connections where terminal_block is not null and pin is not null group by 1, 2),
- b as (select concat('XT', sheet) as block, regexp_extract(designator, '\\d+') as pin, min(document) as d from scheme_marks group by 1, 2)
- select coalesce(a.block, b.block) as block, coalesce(a.pin, b.pin) as pin, case when b.d is null then 'table' else 'scheme' end as only_in, coalesce(a.d, b.d) as document, 'REVIEW' as kind from a full join b on a.block = b.block and a.pin = b.pin where a.d is null or b.d is null"""
-SQL["x13_instrument_links"] = f"""with a as (select distinct {fd("concat('XT', regexp_extract(designator, '[0-9]+'))")} as tag from scheme_marks), b as (select distinct {fd('terminal_block')} as tag from connections where terminal_block <> '')
- select coalesce(a.tag, b.tag) as tag, case when b.tag is null then 'diagram' else 'journal' end as only_in, 'REVIEW' as kind from a full join b on a.tag = b.tag where a.tag is null or b.tag is null"""
+SQL["x12_netlist_vs_scheme"] = f"""with s as (select bundle, 'terminal' as what, concat({fd('terminal_block')}, ':', upper(pin)) as place, document, true as listed from connections where terminal_block <> '' and pin <> ''
+ union all select bundle, 'terminal', concat('XT', sheet, ':', regexp_extract(designator, '\\d+')), document, false from scheme_marks where regexp_extract(designator, '\\d+') <> '' union all select bundle, 'marking', {S.fold('circuit_marking')}, document, true from connections where circuit_marking <> ''
+ union all select bundle, 'marking', regexp_extract(designator, '\\d+'), document, false from scheme_marks where regexp_extract(designator, '\\d+') <> '')
+ select bundle, what, place, case when bool_or(listed) then 'table' else 'scheme' end as only_in, min(document) as document, 'REVIEW' as kind from s group by bundle, what, place having count(distinct listed) = 1"""
+SQL["x13_instrument_links"] = f"""with s as (select bundle, document, {fd("concat('XT', regexp_extract(designator, '[0-9]+'))")} as tag, true as drawn from scheme_marks union all select bundle, document, {fd('terminal_block')}, false from connections where terminal_block <> '')
+ select bundle, tag, case when bool_or(drawn) then 'diagram' else 'journal' end as only_in, min(document) as document, 'REVIEW' as kind from s group by bundle, tag having count(distinct drawn) = 1"""

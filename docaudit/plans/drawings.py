@@ -51,6 +51,16 @@ def fonts(labels: DataFrame) -> DataFrame:
     return labels.select("document", (F.col("ord") % 3).cast("string").alias("font"), F.when(F.col("ord") % 3 == 0, F.translate(word, meant, latin)).otherwise(word).alias("text"))
 
 
+def placed(d: DataFrame) -> DataFrame:
+    return d.withColumn("positions", F.array_join(F.transform("positions", lambda p: F.concat(F.round(p["x"] * 10).cast("long").cast("string"), F.lit("/"), F.round(p["y"] * 10).cast("long").cast("string"))), ","))
+
+
+def linked(labels: DataFrame) -> DataFrame:
+    """Labels, of which some are links to other sheets."""
+    link = F.col("ord") % 3 == 0
+    return labels.withColumns({"text": F.when(link, F.concat(F.lit("/"), F.col("ord") % 90, F.lit(".4:D"))).otherwise(F.trim("text")), "entity_type": F.when(link, F.lit("cross_ref")).otherwise(F.col("entity_type"))})
+
+
 W, L, D, I = "wires", "wire_labels", "drawing_texts", "instrument_texts"
 QUERIES = {
     "net1_wire_candidates": over(lambda w: N.wire_candidates(w, pages(w)).select("seg"), W),
@@ -65,6 +75,7 @@ QUERIES = {
     "net13_terminal_index": over(lambda w, s: joined(N.terminal_index(assembled(w, s)), "nets", "sheets"), W, L),
     "net13_marking_index": over(lambda w, s: joined(N.marking_index(assembled(w, s)), "nets", "sheets"), W, L),
     "net14_attach_cross_refs": over(lambda w, s: refs(w, s).select("ord", F.coalesce("net", F.lit(-1).cast("long")).alias("net"), "dist_to_net"), W, L),
+    "net14_graph_links": over(lambda w, s: N.graph_links(linked(s), w.withColumnRenamed("seg", "line")), W, L),
     "net15_net_summary": over(lambda w, s: N.net_summary(assembled(w, s)), W, L),
     "net17_wire_crossings": over(crossings, W, L),
     "net18_junction_dots": over(dots, L),
@@ -74,15 +85,16 @@ QUERIES = {
     "net16_page_graph": over(lambda w, s: joined(N.page_graph(w, s), "labels1", "labels2"), W, L),
     "spn3_merge_split_tags": over(S.merge_split_tags, "split_tags"),
     "spn2_detect_profile": over(S.detect_profile, "sheet_texts"),
-    "spn11_stitch_pin_refs": over(S.stitch_pin_refs, "split_refs"),
+    "spn11_stitch_pin_refs": over(lambda d: S.stitch_pin_refs(d).drop("other"), "split_refs"),
     "spn4_type_histogram": over(S.type_histogram, L),
     "spn5_pair_in_block": over(S.pair_in_block, D),
     "spn6_pair_nearest": over(lambda d: S.pair_nearest(d.filter("entity_type = 'designator'"), d.filter("entity_type = 'article'")), D),
     "spn7_document_designation": over(S.document_designation, D),
     "spn8_instrument_tags": over(S.instrument_tags, I),
     "spn9_instrument_index": over(lambda d: S.instrument_index(S.instrument_tags(d)), I),
-    "spn10_io_channels": over(S.io_channels, "channel_lines"),
-    "spn12_dup_addresses": over(S.dup_addresses, L),
+    "spn10_io_channels": over(lambda d: joined(S.io_channels(d), "tags"), "channel_lines"),
+    "spn12_dup_addresses": over(lambda d: placed(S.dup_addresses(d)), L),
+    "spn12_stitched_addresses": over(lambda d: placed(S.dup_addresses(d)), "address_texts"),
     "spn13_relay_coils": over(S.relay_coils, L),
     "spn14_terminal_order": over(S.terminal_order_anomalies, L),
     "spn15_pin_owners": over(lambda s: S.pin_owners(s).select("document", "sheet", "ord", "pin", "device", "kks", "owner_source"), L),
@@ -153,6 +165,11 @@ SQL = {
     "net13_marking_index": INDEX("wire_markings", "marking"),
     "net14_attach_cross_refs": f"""with recursive {COMP}, {FREE}, {MID}, r as (select m.ord, f.net, {DIST('m.ox', 'm.oy', 'f.px', 'f.py')} as dist from mid m left join free f on {SAME('m', 'f')} and {DIST('m.ox', 'm.oy', 'f.px', 'f.py')} < 30 where entity_type = 'pin_ref')
  select ord, coalesce(net, -1) as net, round_even(dist, 2) as dist_to_net from r qualify row_number() over (partition by ord order by dist, net) = 1""",
+    "net14_graph_links": over(lambda w, s: N.graph_links(linked(s), w.withColumnRenamed("seg", "line")), W, L),
+    "net14_graph_links": f"""with t as (select *, ord % 3 = 0 as link, case when ord % 3 = 0 then concat('/', ord % 90, '.4:D') else trim(text) end as txt, (x0 + x1) / 2 as px, (y0 + y1) / 2 as py from wire_labels),
+ o as (select *, {", ".join(f"lag({{'ok': not link and (regexp_matches(txt, '^[A-ZА-Я]{{1,4}}\\d{{1,4}}:[A-Z0-9]{{1,3}}$') or entity_type = 'device_tag'), 't': txt, 'y': y0}}, {i}) over w as l{i}" for i in (1, 2, 3))} from t window w as (partition by document, sheet order by round_even(y0, 0), x0, ord)),
+ n as (select document, sheet, seg as line, 1 as node, x1 as ox, y1 as oy from wires union all select document, sheet, seg, 2, x2, y2 from wires), d as (select o.document, o.sheet, o.ord, n.line, n.node from o join n on {SAME('o', 'n')} and {DIST('px', 'py', 'ox', 'oy')} < 25 where link qualify row_number() over (partition by o.document, o.sheet, o.ord order by {DIST('px', 'py', 'ox', 'oy')}, n.line, n.node) = 1)
+ select o.document, o.sheet, o.ord, txt as raw_text, (o.ord % 90)::int as target_sheet, 4 as target_column, 'D' as target_zone, line, node, case {" ".join(f"when l{i}.ok and abs(l{i}.y - y0) <= 4 then l{i}.t" for i in (3, 2, 1))} end as device_pin from o left join d on d.document = o.document and d.sheet = o.sheet and d.ord = o.ord where link""",
     "net15_net_summary": f"{ALL} select document, count(*) as nets, count(*) filter (len(terminals) >= 2) as two_or_more, count(*) filter (len(terminals) = 1) as one, count(*) filter (len(terminals) = 0) as without, count(*) filter (len(terminals) < 2 and n_endpoints < 2) as dangling from assembled group by document",
     "net17_wire_crossings": f"with {CROSS} select * from crossings",
     "net18_junction_dots": f"with {DOTS} select * from dots",
@@ -178,13 +195,29 @@ SQL = {
     "spn7_document_designation": "select document, text as designation from drawing_texts where entity_type = 'doc_number' qualify row_number() over (partition by document order by size desc, sheet, ord) = 1",
     "spn8_instrument_tags": f"with {SPN8} select * from tags",
     "spn9_instrument_index": f"with {SPN8} select document, tag, count(*) as n, array_to_string(list_sort(list_distinct(list(sheet)))::varchar[], ',') as sheets from tags group by all",
-    "spn10_io_channels": """with l as (select *, trim(text) as t from channel_lines), m as (select *, case when regexp_matches(t, '^(A\\d{1,2}|DVP[0-9A-Z]+)$') then t end as m, case when regexp_matches(t, '^(DI|DO|AI|AO)\\d{1,3}$') then t end as c from l),
- g as (select *, last_value(m ignore nulls) over w as module, count(coalesce(m, c)) over w as no from m window w as (partition by document, sheet order by ord rows between unbounded preceding and current row)), h as (select *, max(c) over (partition by document, sheet, no) as channel from g)
- select document, sheet, module, channel, string_agg(t, ' ' order by ord, t) as description from h where m is null and c is null and channel is not null and t <> '' and t <> 'Лист' group by document, sheet, module, channel, no""",
-    "spn12_dup_addresses": f"""with {MID}, a as (select document, sheet, trim(text) as address, ox, oy from mid where regexp_matches(trim(text), '{ADDRESS}')) select document, sheet, address, count(*) as n from a group by document, sheet, address
- having count(*) >= 2 and exists (select 1 from a p join a q on {SAME('p', 'q')} and p.address = q.address where p.document = a.document and p.sheet = a.sheet and p.address = a.address and {DIST('p.ox', 'p.oy', 'q.ox', 'q.oy')} > 5)""",
-    "spn13_relay_coils": f"""with {MID} select t.document, t.sheet, t.ord, trim(t.text) as designator, round_even(t.ox, 1) as x, round_even(t.oy, 1) as y from mid t join mid p on {SAME('t', 'p')} where t.entity_type = 'device_tag' and upper(trim(p.text)) in ('A1', 'A2') and {DIST('t.ox', 't.oy', 'p.ox', 'p.oy')} <= 40
- group by t.document, t.sheet, t.ord, t.text, t.ox, t.oy having count(distinct upper(trim(p.text))) = 2""",
+    "spn10_io_channels": """with l as (select *, trim(text) as t from channel_lines where trim(text) <> ''), m as (select *, nullif(regexp_extract(t, '^([A-C]A\\d{2})$', 1), '') as m, case when regexp_matches(t, '^(DI|AI|DO|AO)\\s*\\d{1,2}$') then replace(t, ' ', '') end as c from l),
+ g as (select *, last_value(m ignore nulls) over (partition by document order by sheet, ord rows between unbounded preceding and current row) as module from m), s as (select *, m is not null or (c is not null and module is not null) as starts from g),
+ h as (select *, last_value(case when starts then {'at': sheet, 'module': module, 'channel': case when m is null then c end} end ignore nulls) over (partition by document order by sheet, ord rows between unbounded preceding and current row) as key from s),
+ k as (select *, not starts and not regexp_matches(t, '^\\d{1,4}$|^RB\\d{2}:\\d|^Лист$|^\\d+W\\d+$') and (length(t) >= 3 or regexp_matches(t, '[а-яА-ЯёЁ]')) as says, list_concat(regexp_extract_all(t, '\\b(00[A-Z0-9]{9,11})\\b', 1), list_filter(regexp_extract_all(t, '\\b(\\d{1,2}[A-Z]{1,3}\\d{1,2})\\b', 1), lambda x: not regexp_matches(x, '^\\d+W\\d+$'))) as tags from h where key.channel is not null),
+ p as (select *, trim(list_reduce(list_concat([t], tags), lambda a, x: replace(a, x, ''))) as bare from k)
+ select document, key.at as sheet, key.module as module, key.channel as channel, coalesce(trim(regexp_replace(string_agg(case when says and regexp_matches(t, '[а-яА-ЯёЁ]') and length(bare) > 2 then bare end, ' ' order by p.sheet, ord, bare), '\\s+', ' ', 'g')), '') as description,
+ array_to_string(list_sort(list_filter(list_distinct(flatten(list(case when says then tags else [] end))), lambda x: length(x) > 2 and not regexp_matches(x, '^R[AB]\\d{2}'))), ',') as tags from p group by document, key""",
+    "spn12_dup_addresses": f"""with h as (select *, trim(text) as t, (y1 - y0) > (x1 - x0) as down from wire_labels), pair as (select a.document, a.sheet, a.ord, b.ord as other, a.t || b.t as whole, abs(case when a.down then b.y0 - a.y1 else b.x0 - a.x1 end) as gap from h a join h b on {SAME('a', 'b')} and regexp_matches(a.t, '^[0-9]{{0,2}}[A-ZА-Я]{{1,5}}[0-9]{{1,4}}:$')
+ and regexp_matches(b.t, '^[A-Z0-9]{{1,4}}$') where case when a.down then abs(b.y0 - a.y1) <= 6 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 1 else abs(b.x0 - a.x1) <= 6 and least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 1 end),
+ best as (select * from pair qualify row_number() over (partition by document, sheet, ord order by gap, other) = 1), a as (select h.document, h.sheet, coalesce(best.whole, t) as address, (x0 + x1) / 2 as ox, (y0 + y1) / 2 as oy from h left join best on best.document = h.document and best.sheet = h.sheet and best.ord = h.ord
+ where not exists (select 1 from best u where u.document = h.document and u.sheet = h.sheet and u.other = h.ord)), f as (select * from a where regexp_matches(address, '{ADDRESS}'))
+ select document, sheet, address, count(*) as n, string_agg(concat(round(round_even(ox, 1) * 10)::bigint, '/', round(round_even(oy, 1) * 10)::bigint), ',' order by ox, oy) as positions from f group by document, sheet, address
+ having count(*) >= 2 and exists (select 1 from f p join f q on {SAME('p', 'q')} and p.address = q.address where p.document = f.document and p.sheet = f.sheet and p.address = f.address and {DIST('p.ox', 'p.oy', 'q.ox', 'q.oy')} > 5)""",
+    "spn12_stitched_addresses": f"""with h as (select *, trim(text) as t, (y1 - y0) > (x1 - x0) as down from address_texts), pair as (select a.document, a.sheet, a.ord, b.ord as other, a.t || b.t as whole, abs(case when a.down then b.y0 - a.y1 else b.x0 - a.x1 end) as gap from h a join h b on {SAME('a', 'b')} and regexp_matches(a.t, '^[0-9]{{0,2}}[A-ZА-Я]{{1,5}}[0-9]{{1,4}}:$')
+ and regexp_matches(b.t, '^[A-Z0-9]{{1,4}}$') where case when a.down then abs(b.y0 - a.y1) <= 6 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 1 else abs(b.x0 - a.x1) <= 6 and least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 1 end),
+ best as (select * from pair qualify row_number() over (partition by document, sheet, ord order by gap, other) = 1), a as (select h.document, h.sheet, coalesce(best.whole, t) as address, (x0 + x1) / 2 as ox, (y0 + y1) / 2 as oy from h left join best on best.document = h.document and best.sheet = h.sheet and best.ord = h.ord
+ where not exists (select 1 from best u where u.document = h.document and u.sheet = h.sheet and u.other = h.ord)), f as (select * from a where regexp_matches(address, '{ADDRESS}'))
+ select document, sheet, address, count(*) as n, string_agg(concat(round(round_even(ox, 1) * 10)::bigint, '/', round(round_even(oy, 1) * 10)::bigint), ',' order by ox, oy) as positions from f group by document, sheet, address
+ having count(*) >= 2 and exists (select 1 from f p join f q on {SAME('p', 'q')} and p.address = q.address where p.document = f.document and p.sheet = f.sheet and p.address = f.address and {DIST('p.ox', 'p.oy', 'q.ox', 'q.oy')} > 5)""",
+    "spn13_relay_coils": f"""with {MID}, c as (select t.document, t.sheet, t.ord, trim(t.text) as tag, t.ox, t.oy from mid t join mid p on {SAME('t', 'p')} where t.entity_type = 'device_tag' and upper(trim(p.text)) in ('A1', 'A2') and {DIST('t.ox', 't.oy', 'p.ox', 'p.oy')} <= 40
+ group by t.document, t.sheet, t.ord, t.text, t.ox, t.oy having count(distinct upper(trim(p.text))) = 2),
+ part as (select a.document, a.sheet, a.ord, arg_min(trim(b.text), {{'gap': abs(b.x0 - a.x1), 'ord': b.ord}}) as part from wire_labels a join wire_labels b on {SAME('a', 'b')} where a.entity_type = 'device_tag' and a.ord <> b.ord and regexp_matches(trim(b.text), '^\\d{{1,2}}$') and abs(b.x0 - a.x1) <= 6 and least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 1 group by all)
+ select c.document, c.sheet, c.ord, tag || coalesce(part, '') as designator, round_even(ox, 1) as x, round_even(oy, 1) as y from c left join part on part.document = c.document and part.sheet = c.sheet and part.ord = c.ord""",
     "spn14_terminal_order": f"with {MID}, {ORDER} select * from anomalies",
     "spn15_pin_owners": f"with {MID}, {OWNERS} select document, sheet, ord, pin, device, kks, owner_source from owners",
 }

@@ -113,7 +113,7 @@ SQL = {
     "tab5_carry_layout": f"""with {SEPS}, h as (select document, seps as layout from seps where page = 1) select s.document, s.page, {MONEY('layout').replace('layout,', 'h.layout,', 1)} from seps s join h using (document) where s.page = 1 or (len(s.seps) = len(layout) and len(list_filter(list_zip(s.seps, layout), lambda p: abs(p[1] - p[2]) > 3)) = 0)""",
     "tab6_table_kind": f"""with {HEAD} select d.document, case when contains(h, 'позиция') and contains(h, 'схеме') and (contains(h, 'сигнализация') or contains(h, 'резервирование')) then 'param_list' when contains(h, 'описание сигнала') and contains(h, 'номер входа') then 'signal_list'
  when contains(h, 'кабел') and contains(h, 'начало') and contains(h, 'конец') then 'cable_journal' else 'gost_connections' end as table_kind from (select distinct document from table_words) d left join head using (document)""",
-    "tab9_build_connections": """select document, row_number() over (partition by document order by id, kks nulls first, terminal_block nulls first, pin, page) as id, concat('W', page) as cable_harness, null::varchar as circuit_marking, kks, null::varchar as conductor, cabinet, terminal_block, pin, null::varchar as terminal_type_or_ref, null::varchar as connection_address, null::varchar as note,
+    "tab9_build_connections": """select document, row_number() over (partition by document order by id, kks nulls first, terminal_block nulls first, pin, page) as id, concat('W', page) as cable_harness, null::varchar as circuit_marking, nullif(kks, '') as kks, null::varchar as conductor, cabinet, terminal_block, pin, null::varchar as terminal_type_or_ref, null::varchar as connection_address, null::varchar as note,
  cabinet || '.' || terminal_block || '.' || pin as terminal_address from connections""",
     "tab10_number_row": """with l as (select document, page, top as yc, case when top = 40 then (floor(x0 / 40) + 1)::int::varchar else text end as text, ord, x0 as xc from table_words), one as (select document, page, yc, text, ord, xc from l where yc <> 40 union all select document, page, yc, text, min(ord), min(xc) from l where yc = 40 group by document, page, yc, text),
  g as (select document, page, min(yc) as y, list(try_cast(text as int) order by xc, ord) as c from one group by document, page, round_even(yc / 4, 0)) select document, page, min(y) as y from g where len(c) >= 5 and c = range(1, len(c) + 1)::int[] group by document, page""",

@@ -38,6 +38,12 @@ def references(rows: DataFrame) -> DataFrame:
 
 
 C = "connections"
+def statistics(connections: DataFrame) -> DataFrame:
+    entries = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    found = R.table_stats(connections)
+    return found.withColumns({**{c: F.array_join(c, ",") for c in ("blocks", "roles")}, **{c: entries(c) for c in ("filled", "duplicate_addresses")}})
+
+
 QUERIES = {
     "r6_dup_signal_channel": over(lambda c: R.dup_signal_channel(wiring(c)), C),
     "r7_dup_cable": over(lambda c: R.dup_cable(wiring(c)), C),
@@ -46,7 +52,7 @@ QUERIES = {
     "r13_one_way_sheet_link": over(references, "sheet_refs"),
     "r14_dup_address_on_sheet": over(addresses, C),
     "r15_dup_relay_coil": over(coils, "segments"),
-    "r16_table_stats": over(R.table_stats, C),
+    "r16_table_stats": over(statistics, C),
     "r17_spec_sections": over(R.spec_sections, "order_rows"),
     "r18_designator_index": over(R.designator_index, "drawn_labels"),
     "r18_pairing_totals": over(R.pairing_totals, "drawn_labels"),
@@ -64,9 +70,10 @@ SQL = {
     "r14_dup_address_on_sheet": """with d as (select document, page as sheet, terminal_block as block, pin, concat(terminal_block, ':', pin) as address, count(*) as n from connections where terminal_block is not null and pin is not null group by all having count(*) >= 2)
  select document, sheet, address, n, 'high' as severity from d where upper(pin) not in ('N', 'PE', 'PEN') and (select count(*) from d e where e.document = d.document and e.sheet = d.sheet and e.block = d.block) < 2""",
     "r15_dup_relay_coil": "select document, concat('KL', seg % 13) as designator, count(*) as n, count(distinct sheet) as sheets, min(sheet) as first_sheet, 'high' as severity from segments group by all having count(*) >= 2",
-    "r16_table_stats": """with d as (select document, count(*) filter (n > 1) as duplicate_addresses, max(n) as most from (select document, concat(cabinet, '.', terminal_block, '.', pin) as a, count(*) as n from connections where terminal_block is not null and pin is not null group by all) group by document)
- select c.document, count(*) as n, count(*) filter (terminal_block <> '') as n_terminal_block, count(*) filter (pin <> '') as n_pin, count(*) filter (kks <> '') as n_kks, count(*) filter (conductor <> '') as n_conductor, count(distinct nullif(terminal_block, '')) as blocks,
- count(distinct nullif(kks, '')) as owners, count(*) filter (contains(lower(coalesce(kks, '')), 'резерв')) as reserve, any_value(duplicate_addresses) as duplicate_addresses, any_value(most) as most_often, max(page) as pages from connections c left join d on d.document = c.document group by c.document""",
+    "r16_table_stats": """with d as (select document, concat(cabinet, '.', terminal_block, '.', pin) as a, count(*) as n from connections where terminal_block <> '' and pin <> '' group by all having count(*) > 1), e as (select document, string_agg(concat(a, '=', n), ',' order by a) as duplicate_addresses from d group by document)
+ select c.document, count(*) as n, max(page) as pages, concat('cable_harness=0,circuit_marking=', count(*) filter (circuit_marking <> ''), ',kks=', count(*) filter (kks <> ''), ',conductor=', count(*) filter (conductor <> ''), ',cabinet=', count(*) filter (cabinet <> ''), ',terminal_block=', count(*) filter (terminal_block <> ''),
+ ',pin=', count(*) filter (pin <> ''), ',terminal_type_or_ref=0,connection_address=0,note=0') as filled, array_to_string(list_sort(list(distinct nullif(terminal_block, '')) filter (terminal_block <> '')), ',') as blocks, array_to_string(list_sort(list(distinct conductor) filter (conductor <> '')), ',') as roles,
+ count(*) filter (contains(lower(coalesce(kks, '')), 'резерв') or contains(lower(coalesce(circuit_marking, '')), 'резерв')) as reserve, coalesce(any_value(duplicate_addresses), '') as duplicate_addresses from connections c left join e on e.document = c.document group by c.document""",
     "r17_spec_sections": """with per as (select document, code, count(*) as n from order_rows where code is not null and code <> '' group by all) select o.document, count(*) as rows_, count(*) filter (designator <> '') as with_position, count(distinct designator) as designators,
  count(*) filter (coalesce(code, '') = '') as without_code, (select count(*) from per p where p.document = o.document and n > 1) as duplicate_codes from order_rows o group by o.document""",
     "r18_designator_index": """select document, designator, count(*) as n, array_to_string(list_sort(list_distinct(list(sheet)))::varchar[], ',') as sheets, array_to_string(list_sort(list_distinct(list(article))), ',') as articles, array_to_string(list_sort(list_distinct(list(pair_source))), ',') as sources from drawn_labels group by all""",

@@ -133,7 +133,7 @@ SQL = {
     "r1_dup_terminal_address": f"select document, terminal_address, count(*) as n, min(id) as first_id, list_sort(list(id))[2] as second_id, case when upper(arg_min(pin, id)) = 'PE' then 'medium' else 'high' end as severity from ({ADDRESS}) where terminal_address is not null group by document, terminal_address having count(*) >= 2",
     "r2_tag_in_conductor": "select document, id, kks from connections where kks = conductor and kks <> ''",
     "r3_kks_suffix_artifact": r"select document, id, regexp_extract(kks, '^(00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3})(.+)$', 1) as tag, regexp_extract(kks, '^(00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3})(.+)$', 2) as tail from connections where regexp_matches(kks, '^(00[A-Z]{2,4}\d{2}[A-Z]{2}\d{3})(.+)$')",
-    "r4_missing_terminal": "select document, id, kks from connections where kks <> 'Резерв' and kks <> '' and (terminal_block is null or pin is null)",
+    "r4_missing_terminal": "select document, id, coalesce(nullif(kks, ''), nullif(circuit_marking, '')) as owner from connections where coalesce(kks, '') <> 'Резерв' and coalesce(nullif(kks, ''), nullif(circuit_marking, '')) is not null and (terminal_block is null or pin is null)",
     "r5_reserve_tag_placement": "select document, count(*) as n, concat(array_to_string(list_sort(list(id))[1:15], ','), case when count(*) > 15 then '...' else '' end) as ids from connections where kks = 'Резерв' and regexp_matches(conductor, '^00[A-Z0-9]{4,}[A-Z][0-9]{2,3}[A-Z]?(_[0-9]+)?$') group by document",
     "r9_qty_below_positions": "select document, row_no, quantity, n_positions from spec_items where quantity > 1 and n_positions >= 2 and quantity < n_positions",
     "r10_dup_code": "select document, code, count(*) as n, min(row_no) as first_id, list_sort(list(row_no))[2] as second_id from spec_items group by document, code having count(*) >= 2",
