@@ -8,7 +8,7 @@ from a table.
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -101,7 +101,7 @@ def throttle(events: DataFrame, interval: float = INTERVAL) -> DataFrame:
 
 
 def throttle_stream(events: DataFrame, interval: float = INTERVAL) -> DataFrame:
-    """The same for a stream; a page that is held back is shown by a timer."""
+    """The same for a stream; a page that is held back is shown by a timer. A session's state goes with the first timer that finds nothing to show."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shown_at, held_seq, held_page = state.get if state.exists else (-1e18, None, None)
@@ -109,7 +109,8 @@ def throttle_stream(events: DataFrame, interval: float = INTERVAL) -> DataFrame:
         if state.hasTimedOut:
             if held_seq is not None:
                 out.append((key[0], held_seq, True, "page", held_page))
-                state.update((shown_at, None, None))
+                state.update((shown_at + interval, None, None))  # when it was due; pages right after it are held back again
+                state.setTimeoutDuration(int(interval * 1000))
             else:
                 state.remove()
         else:
@@ -139,15 +140,47 @@ def with_speed(events: DataFrame) -> DataFrame:
 
 
 def generation_speed(events: DataFrame) -> DataFrame:
-    """session, tps, tokens of the latest call of each session; on a stream in update mode, the latest so far."""
+    """session, tps, tokens of the latest call of each session. A stream of them goes to a ``SpeedTable``."""
     last = with_speed(events).groupBy("session").agg(F.max(F.struct("seq", "tps", "tokens")).alias("l"))
     return last.select("session", "l.tps", "l.tokens")
 
 
+class SpeedTable:
+    """The latest speed of each session, kept up by ``foreachBatch(table.merge)``.
+
+    Each batch adds its sessions' latest calls in a folder of its own, which the same batch replaces if it runs again; reading takes the
+    latest of each session. No state is held in the stream, and no batch reads or writes the sessions that it does not touch.
+    """
+
+    SCHEMA = "session string, seq bigint, tps double, tokens bigint, batch bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def merge(self, events: DataFrame, batch_id: int) -> None:
+        """A batch of events (session, seq, tokens, seconds)."""
+        last = with_speed(events).groupBy("session").agg(F.max(F.struct("seq", "tps", "tokens")).alias("l"))
+        last.select("session", F.col("l.seq").cast("bigint").alias("seq"), "l.tps", F.col("l.tokens").cast("bigint").alias("tokens")).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def frame(self) -> DataFrame:
+        """session, tps, tokens."""
+        last = self.rows().groupBy("session").agg(F.max(F.struct("seq", "tps", "tokens")).alias("l"))
+        return last.select("session", "l.tps", "l.tokens")
+
+    def compacted(self, path: str) -> "SpeedTable":
+        """A table elsewhere with a row for each session, from which a stream goes on with later batches."""
+        last = self.rows().groupBy("session").agg(F.max(F.struct("seq", "tps", "tokens")).alias("l"), F.max("batch").alias("batch"))
+        last.select("session", "l.seq", "l.tps", "l.tokens", F.lit(-1).alias("batch")).write.partitionBy("batch").mode("overwrite").parquet(path)
+        return SpeedTable(self.spark, path)
+
+
 def chunk_speed(chunks: DataFrame) -> DataFrame:
-    """session, reply, tokens, seconds, tps of each reply: chunks so far over the time since the first, or the reported usage at its end.
+    """session, reply, tokens, seconds, tps of each reply: chunks over the time since the first, or the reported usage at its end.
 
-    chunks: session, reply, ts, usage (tokens of the whole reply, given with the last chunk if at all). Works on streams, too.
+    chunks: session, reply, ts, usage (tokens of the whole reply, given with the last chunk if at all).
     """
     at = F.col("ts").cast("timestamp").cast("double")
     rows = chunks.groupBy("session", "reply").agg(F.count(F.lit(1)).alias("chunks"), F.max("usage").alias("usage"), (F.max(at) - F.min(at)).alias("seconds"))
@@ -155,6 +188,44 @@ def chunk_speed(chunks: DataFrame) -> DataFrame:
     return rows.select("session", "reply", tokens.alias("tokens"), "seconds", F.when(F.col("seconds") > 0, F.bround(tokens / F.col("seconds"), 1)).alias("tps"))
 
 
+def chunk_speed_stream(chunks: DataFrame, interval: float = INTERVAL, idle: str = IDLE) -> DataFrame:
+    """session, reply, tokens, seconds, tps, final: the speed of running replies, at most once per ``interval`` of each, and at its end.
+
+    chunks: session, reply, seq, ts, usage. A reply ends with the chunk that has its usage, whose figure then holds, or when the watermark has passed its
+    last chunk by ``idle``; its state goes with it.
+    """
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, tokens, told = state.get if state.exists else (None, None, 0, None)
+        out, ended = [], False
+        figure = lambda n, final: (*key, n, round(last - first, 3), round(n / (last - first), 1) if last > first else None, final)
+        if state.hasTimedOut:
+            out.append(figure(tokens, True))
+            ended = True
+        else:
+            for e in pd.concat(list(parts)).sort_values("seq").itertuples():
+                last = e.ts.timestamp()
+                first, tokens = last if first is None else first, tokens + 1
+                if not pd.isna(e.usage):
+                    out.append(figure(int(e.usage), True))
+                    ended = True
+                    break
+                if last > first and (told is None or last - told >= interval):
+                    told = last
+                    out.append(figure(tokens, False))
+        if ended:
+            state.remove()
+        else:
+            state.update((first, last, tokens, told))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last * 1000)) + 1)
+        yield pd.DataFrame(out, columns=["session", "reply", "tokens", "seconds", "tps", "final"]).astype({"tokens": "int64", "seconds": float, "tps": float, "final": bool})
+
+    reply = dict(chunks.dtypes)["reply"]
+    return chunks.withWatermark("ts", idle).groupBy("session", "reply").applyInPandasWithState(
+        fold, f"session string, reply {reply}, tokens bigint, seconds double, tps double, final boolean", "first double, last double, tokens bigint, told double", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def split_chunks(in_think: bool, held: str, text: str) -> tuple[bool, str, list[tuple[str, str]]]:
     """One chunk more of a reply: new state, and what is certain of it as (kind, text). A tail that may begin a tag is held back."""
     held, out = held + text, []

@@ -41,7 +41,7 @@ def test_a_module_holds_over_sheets(spark):
 
 def test_channels_of_another_profile(spark):
     got = channels(spark, [(1, "МВ210-212"), (1, "AI 3"), (1, "Давление -2XT.AP1 в баке"), (1, "15 м"), (1, "ok"), (1, "да")], "B")
-    assert got == {(1, "МВ210-212", "AI3"): ("Давление -2XT. в баке да", ["AP1"])}
+    assert got == {(1, "МВ210-212", "AI3"): ("Давление -2XT. в баке", ["AP1"])}
 
 
 def test_heads_take_numbers_in_turn(spark):

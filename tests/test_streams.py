@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -95,3 +96,80 @@ def test_speeds(spark):
     rows = [("a", 1, start + timedelta(seconds=i), 50 if i == 4 else None) for i in range(5)]
     got = P.chunk_speed(spark.createDataFrame(rows, "session string, reply int, ts timestamp, usage bigint")).collect()
     assert [tuple(r) for r in got] == [("a", 1, 50, 4.0, 12.5)]
+
+
+def test_a_timer_shows_the_last_page_and_drops_the_state(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    rows = [("s", start + timedelta(seconds=a), i, "page", i) for i, a in enumerate([0.0, 0.1, 0.2])]
+    folder, schema = tmp_path / "in", "session string, ts timestamp, seq bigint, kind string, page int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder))
+    stream = P.throttle_stream(spark.readStream.schema(schema).parquet(str(folder)))
+    q = stream.writeStream.format("memory").queryName("throttled_by_timer").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.time() + 90
+        state = None
+        while time.time() < until:
+            got = sorted((r.seq, r.late) for r in spark.table("throttled_by_timer").collect())
+            state = q.lastProgress and q.lastProgress["stateOperators"] and q.lastProgress["stateOperators"][0]["numRowsTotal"]
+            if len(got) == 2 and state == 0:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert got == [(0, False), (2, True)] and state == 0
+
+
+def test_speeds_are_merged_by_batch(spark, tmp_path):
+    table = P.SpeedTable(spark, str(tmp_path / "speeds"))
+    schema = "session string, seq bigint, ts timestamp, tokens bigint, seconds double"
+    rng, start = random.Random(4), datetime(2026, 1, 1)
+    rows = [(f"s{rng.randint(0, 5)}", i, start + timedelta(seconds=i), rng.randint(0, 50), float(rng.randint(0, 4))) for i in range(90)]
+    q = files(spark, tmp_path, rows, schema).writeStream.foreachBatch(table.merge).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    want = {tuple(r) for r in P.generation_speed(spark.createDataFrame(rows, schema)).collect()}
+    assert {tuple(r) for r in table.frame().collect()} == want
+    table.merge(spark.createDataFrame(rows[60:], schema), 2)  # a batch that runs again replaces what it wrote
+    assert {tuple(r) for r in table.frame().collect()} == want and table.rows().count() <= 18
+    small = table.compacted(str(tmp_path / "compacted"))
+    small.merge(spark.createDataFrame([("s0", 1000, start, 30, 2.0)], schema), 3)
+    assert {tuple(r) for r in small.frame().collect()} == {r for r in want if r[0] != "s0"} | {("s0", 15.0, 30)}
+
+
+def figures(chunks, interval):
+    """Brute force of one reply: running figures and the last one."""
+    out, told, first = [], None, chunks[0][0]
+    for n, (at, usage) in enumerate(chunks, 1):
+        if usage is not None:
+            return [*out, (usage, round(at - first, 3), round(usage / (at - first), 1), True)]
+        if at > first and (told is None or at - told >= interval):
+            told = at
+            out.append((n, round(at - first, 3), round(n / (at - first), 1), False))
+    return out
+
+
+def test_speed_of_running_replies(spark, tmp_path):
+    rng, start = random.Random(6), datetime(2026, 1, 1)
+    rows, want = [], {}
+    for reply in range(4):
+        at, own = 0.0, []
+        for i in range(40):
+            at += rng.choice([0.125, 0.25, 0.5])
+            own.append((at, 77 if i == 39 and reply < 3 else None))
+            rows.append(("s", reply, i, start + timedelta(seconds=at), own[-1][1]))
+        want[reply] = figures(own, 0.4)
+    rows.sort(key=lambda r: r[3])
+    # Long after, so that the watermark passes the reply that never said its usage.
+    rows += [("t", 9, 0, start + timedelta(days=1), None), ("t", 9, 1, start + timedelta(days=2), None)]
+    schema = "session string, reply int, seq int, ts timestamp, usage bigint"
+    folder = tmp_path / "in"
+    for part in (rows[:100], rows[100:-2], rows[-2:-1], rows[-1:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = P.chunk_speed_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)))
+    got = run(spark, tmp_path, stream, "append", "running_speed").filter("session = 's'").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.reply, []).append((r.tokens, r.seconds, r.tps, r.final))
+    assert {k: sorted(v) for k, v in by.items() if k < 3} == {k: sorted(v) for k, v in want.items() if k < 3}
+    last = max(by[3])
+    assert last[0] == 40 and last[3] and sorted(x for x in by[3] if not x[3]) == sorted(want[3])
