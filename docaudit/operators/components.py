@@ -41,11 +41,12 @@ def tabled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def contracted(e: DataFrame, made=None, schema: str = "") -> DataFrame:
+def contracted(e: DataFrame, made=None, schema: str = "", roots: bool = True) -> DataFrame:
     """Edges a, b that connect what those of ``e`` do: each node with the smallest one that it hangs together with in its part.
 
     Parts are runs of CHUNK_EDGES edges of a partition. ``made`` makes the edges (a, b as in ``schema``) of a partition's
-    batches, where ``e`` has other rows; that saves a second Python worker for each task.
+    batches, where ``e`` has other rows; that saves a second Python worker for each task. Without ``roots`` the smallest node of a part has no
+    row of its own if others name it; each node still occurs.
     """
 
     def forest(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -64,7 +65,8 @@ def contracted(e: DataFrame, made=None, schema: str = "") -> DataFrame:
             np.minimum.at(label, label[y], low)
             while (label != label[label]).any():
                 label = label[label]
-        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[label], kind)], ["a", "b"])
+        kept = np.ones(len(nodes), bool) if roots else (label != np.arange(len(nodes))) | (np.bincount(label, minlength=len(nodes)) == 1)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[kept], kind), pa.array(nodes[label][kept], kind)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -94,7 +96,7 @@ def sparse(e: DataFrame, worth: float = 0.8) -> tuple[DataFrame, bool]:
     Partitions contract their edges; then as many are read together as make CHUNK_EDGES edges, again and again while
     that saves some. Once a single task takes all edges that are left, its answer is whole.
     """
-    e = cut(contracted(e).distinct())
+    e = cut(contracted(e, roots=False).distinct())
     n = e.count()
     while n:
         parts = -(-n // CHUNK_EDGES)
