@@ -243,7 +243,7 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([d[at], leader[at]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return contracted(signatures.repartition("key").sortWithinPartitions("key", "d"), run, "a long, b long").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return contracted(signatures.repartition("key").sortWithinPartitions("key", "d"), run, "a long, b long", roots=False).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 # Trees ------------------------------------------------------------------------------------------
