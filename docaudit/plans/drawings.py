@@ -75,7 +75,7 @@ QUERIES = {
     "net13_terminal_index": over(lambda w, s: joined(N.terminal_index(assembled(w, s)), "nets", "sheets"), W, L),
     "net13_marking_index": over(lambda w, s: joined(N.marking_index(assembled(w, s)), "nets", "sheets"), W, L),
     "net14_attach_cross_refs": over(lambda w, s: refs(w, s).select("ord", F.coalesce("net", F.lit(-1).cast("long")).alias("net"), "dist_to_net"), W, L),
-    "net14_graph_links": over(lambda w, s: N.graph_links(linked(s), w.withColumnRenamed("seg", "line")), W, L),
+    "net14_graph_links": over(lambda w, s: N.graph_links(linked(s), w.withColumnRenamed("seg", "line")).na.fill(-1, ["line", "node"]), W, L),
     "net15_net_summary": over(lambda w, s: N.net_summary(assembled(w, s)), W, L),
     "net17_wire_crossings": over(crossings, W, L),
     "net18_junction_dots": over(dots, L),
@@ -165,11 +165,11 @@ SQL = {
     "net13_marking_index": INDEX("wire_markings", "marking"),
     "net14_attach_cross_refs": f"""with recursive {COMP}, {FREE}, {MID}, r as (select m.ord, f.net, {DIST('m.ox', 'm.oy', 'f.px', 'f.py')} as dist from mid m left join free f on {SAME('m', 'f')} and {DIST('m.ox', 'm.oy', 'f.px', 'f.py')} < 30 where entity_type = 'pin_ref')
  select ord, coalesce(net, -1) as net, round_even(dist, 2) as dist_to_net from r qualify row_number() over (partition by ord order by dist, net) = 1""",
-    "net14_graph_links": over(lambda w, s: N.graph_links(linked(s), w.withColumnRenamed("seg", "line")), W, L),
+    "net14_graph_links": over(lambda w, s: N.graph_links(linked(s), w.withColumnRenamed("seg", "line")).na.fill(-1, ["line", "node"]), W, L),
     "net14_graph_links": f"""with t as (select *, ord % 3 = 0 as link, case when ord % 3 = 0 then concat('/', ord % 90, '.4:D') else trim(text) end as txt, (x0 + x1) / 2 as px, (y0 + y1) / 2 as py from wire_labels),
  o as (select *, {", ".join(f"lag({{'ok': not link and (regexp_matches(txt, '^[A-ZА-Я]{{1,4}}\\d{{1,4}}:[A-Z0-9]{{1,3}}$') or entity_type = 'device_tag'), 't': txt, 'y': y0}}, {i}) over w as l{i}" for i in (1, 2, 3))} from t window w as (partition by document, sheet order by round_even(y0, 0), x0, ord)),
  n as (select document, sheet, seg as line, 1 as node, x1 as ox, y1 as oy from wires union all select document, sheet, seg, 2, x2, y2 from wires), d as (select o.document, o.sheet, o.ord, n.line, n.node from o join n on {SAME('o', 'n')} and {DIST('px', 'py', 'ox', 'oy')} < 25 where link qualify row_number() over (partition by o.document, o.sheet, o.ord order by {DIST('px', 'py', 'ox', 'oy')}, n.line, n.node) = 1)
- select o.document, o.sheet, o.ord, txt as raw_text, (o.ord % 90)::int as target_sheet, 4 as target_column, 'D' as target_zone, line, node, case {" ".join(f"when l{i}.ok and abs(l{i}.y - y0) <= 4 then l{i}.t" for i in (3, 2, 1))} end as device_pin from o left join d on d.document = o.document and d.sheet = o.sheet and d.ord = o.ord where link""",
+ select o.document, o.sheet, o.ord, txt as raw_text, (o.ord % 90)::int as target_sheet, 4 as target_column, 'D' as target_zone, coalesce(line, -1) as line, coalesce(node, -1) as node, case {" ".join(f"when l{i}.ok and abs(l{i}.y - y0) <= 4 then l{i}.t" for i in (3, 2, 1))} end as device_pin from o left join d on d.document = o.document and d.sheet = o.sheet and d.ord = o.ord where link""",
     "net15_net_summary": f"{ALL} select document, count(*) as nets, count(*) filter (len(terminals) >= 2) as two_or_more, count(*) filter (len(terminals) = 1) as one, count(*) filter (len(terminals) = 0) as without, count(*) filter (len(terminals) < 2 and n_endpoints < 2) as dangling from assembled group by document",
     "net17_wire_crossings": f"with {CROSS} select * from crossings",
     "net18_junction_dots": f"with {DOTS} select * from dots",
