@@ -11,7 +11,7 @@ Two classes link when num / den is at most |intersection| / |union|.
    whose greatest possible overlap reaches the threshold, and skips pairs whose sets are
    connected already. At the leaves the overlap is exact.
 3. Blocks beyond SUB_BLOCK classes or SUB_SHINGLES shingles are split: each split is joined with itself,
-   then one set of each component found. Where a block has several components left, trees over the bitmaps
+   then, if they are few, one set of each component found. Where a block has several components left, trees over the bitmaps
    alone, a small part of the sets, are traversed for each size interval of the block; in a block of more than WIDE
    splits for each of its parts instead, on one of which a link agrees still. Groups that one component or
    split has alone are left out, those of the same sets taken once, and large ones joined as pairs of their splits.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, contracted
-from .common import chunks, cut, only_in, release, small_batches, table, texts, tidy, without_rows, written
+from .common import chunks, cut, not_in, only_in, release, small_batches, split_by, table, texts, tidy, without_rows, written
 
 #: A task holds the sets of one split at a time: about so many classes and shingles, and never less than one set.
 SUB_BLOCK, SUB_SHINGLES = 4096, 1 << 20
@@ -391,23 +391,30 @@ def by_run(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.Da
         yield pd.concat(parts) if len(parts) > 1 else parts[0]
 
 
-def join_groups(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
-    """src, dst: every class with the root of its component among the rows of equal keys. Rows: the keys, d, shingles (bytes)."""
+def join_groups(rows: DataFrame, keys: list[str], join: Join, kept: str = "") -> DataFrame:
+    """src, dst: every class with the root of its component among the rows of equal keys. Rows: the keys, d, shingles (bytes).
+
+    ``kept`` (as a schema) names columns of the rows that go out with them, so that sets need not be joined with their roots again.
+    """
+    schema = f"src long, dst long{', ' * bool(kept)}{kept}"
+    names = [x.split()[0] for x in kept.split(", ")] if kept else []
+    binary = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst = [], []
+        held, weight = [], 0
         for g in by_run(batches, keys):
             g = g.drop_duplicates("d").sort_values("d")
             forest = tree_links([np.frombuffer(x, np.uint64) for x in g.shingles], join)
-            d = g.d.tolist()
-            src += d
-            dst += [d[forest.root(i)] for i in range(len(d))]
-            if len(src) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-                src, dst = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            d = g.d.to_numpy()
+            held.append(pd.DataFrame({"src": d, "dst": d[[forest.root(i) for i in range(len(d))]], **{c: g[c].to_numpy() for c in names}}))
+            weight += len(d) + (g.shingles.str.len().sum() >> 8 if names else 0)
+            if weight > 50_000:
+                yield pa.RecordBatch.from_pandas(pd.concat(held), schema=binary, preserve_index=False)
+                held, weight = [], 0
+        if held:
+            yield pa.RecordBatch.from_pandas(pd.concat(held), schema=binary, preserve_index=False)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(tidy(run), "src long, dst long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(tidy(run), schema)
 
 
 def surviving(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
@@ -523,27 +530,36 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 def link_blocks(docs: DataFrame, classes: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
     """node, component over the digests of classes in blocks. blocks: d, block."""
     candidates = written(classes.join(blocks, "d").select("d", "n", "block", F.col("rep.row_key").alias("row_key")))
+    release(docs.sparkSession)  # the signatures, much more than the sets, are not needed any more
     sets = shingle_sets(only_in(docs, candidates.select("row_key"), "row_key"), join)
     sizes = candidates.groupBy("block").agg(split_count().alias("splits"))
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
     rows = rows.join(sets, ["row_key", "d"]).select("block", "splits", "split", "d", "n", "shingles")
-    rows = cut(rows)
-    release(docs.sparkSession)  # the signatures, much more than the sets, are not needed any more
-    # Every class is in one group, so its root there is its component so far.
-    found = written(join_groups(rows, ["block", "split"], join).select(F.col("src").alias("node"), F.col("dst").alias("component")))
-    large = rows.filter("splits > 1")
-    if large.isEmpty():
+    # Every class is in one group, so its root there is its component so far. Sets stay where they are from here on.
+    kept = "block long, splits long, split long, n long, shingles binary"
+    first = cut(join_groups(rows, ["block", "split"], join, kept).withColumn("shingles", F.when(F.col("splits") > 1, F.col("shingles"))))
+    found = written(first.select(F.col("src").alias("node"), F.col("dst").alias("component"), "block", "splits", "n"))
+    large = first.filter("splits > 1").select(F.col("src").alias("d"), F.col("dst").alias("label"), "block", "splits", "split", "n", "shingles")
+    placed = found.filter("splits > 1").select(F.col("node").alias("d"), "component", "block", "splits", "n")
+    found = found.select("node", "component")
+    if placed.isEmpty():
         return found
-    # One set of each component, grouped again per block.
-    heads = large.join(found.filter("node = component").select(F.col("node").alias("d")), "d", "left_semi")
-    count = heads.groupBy("block").agg(split_count().alias("parts"))
-    heads = heads.join(count, "block").withColumn("split", F.pmod(F.xxhash64("d", F.lit(1)), F.col("parts")))
-    merged = join_groups(heads.select("block", "split", "d", "shingles"), ["block", "split"], join)
-    found = merged_labels(found, merged.select(F.col("src").alias("component"), F.col("dst").alias("head")))
+    # One set of each component, grouped again per block, where that leaves half of the splits or fewer: with more of them
+    # hardly two sets that link would meet.
+    heads = placed.filter("d = component")
+    count = heads.groupBy("block").agg(split_count().alias("parts"), F.first("splits").alias("splits")).filter("2 * parts <= splits").select("block", "parts")
+    heads = written(heads.join(count, "block").select("d", "block", F.pmod(F.xxhash64("d", F.lit(1)), F.col("parts")).alias("split")))
+    if not heads.isEmpty():
+        merged = join_groups(only_in(large.select("d", "shingles"), heads.select("d"), "d").join(heads, "d"), ["block", "split"], join)
+        merged = written(merged.filter("src <> dst").select(F.col("src").alias("component"), F.col("dst").alias("head")))
+        moved = written(found.join(merged, "component").select(F.col("node").alias("d"), "head"))
+        found = merged_labels(found, merged)
+        maybe, same = split_by(large, moved.select("d"), "d")
+        large = same.unionByName(maybe.join(moved, "d", "left").withColumn("label", F.coalesce("head", "label")).select(large.columns))
+        placed = placed.drop("component").join(found.withColumnRenamed("node", "d"), "d")
     # Links across splits, where a block has several components left.
-    large = large.join(found.select(F.col("node").alias("d"), F.col("component").alias("label")), "d")
-    open_ = large.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
-    large = cut(large.join(open_, "block", "left_semi").select("d", "n", "label", "block", "splits", "split", "shingles"))
+    closed = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low = high").select("block")
+    large = cut(not_in(large, written(placed.join(closed, "block", "left_semi").select("d")), "d"))
     if large.isEmpty():
         return found
     keys = cut(set_keys(large, join))
