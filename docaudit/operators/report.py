@@ -4,6 +4,8 @@ A finding has finding_id, kind, severity and refs, an array of at most three str
 action and evidence where a function says so.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +23,10 @@ COMPARED = ["document", "doc_type", "sheet", "row", "terminal_block", "pin", "kk
 KINDS = ["MISMATCH", "MISSING", "REVIEW", "DUPLICATE", "BROKEN_LINK", "FORMAT", "INCOMPLETE"]
 SCOPES = ["cross_document", "single_document"]
 DOC_TYPES = ["netlist", "scheme", "assembly", "spec", "functional"]
-#: Different choices of fields that a file of known errors, written by hand, may have.
-MAX_MASKS = 1000
+#: Known errors up to this size are broadcast; a ref of one counts for its place and so many bytes. It changes no result.
+KNOWN_BYTES, ROW_BYTES = 32 << 20, 64
+#: Lengths of the grams by which texts are looked up: a key has the longest one that it can fill. It changes no result.
+GRAMS = (5, 3, 2)
 
 
 def make_ref(**fields: Column) -> Column:
@@ -63,27 +67,32 @@ def known_hits(findings: DataFrame, known: DataFrame) -> DataFrame:
 
     A record has known_id, kind, type, scope and refs; null or empty fields say nothing. It covers a finding of
     its kind, type and scope if each of its refs agrees with some ref of the finding in all fields it gives, compared as texts. Records
-    without refs cover nothing. A finding's ref is offered once for each choice of fields that occurs in the
-    records, of which there are few, and joined by equality.
+    without refs cover nothing.
+
+    A choice of fields is a mask, a bit for each field, so there are 2^15 of them at most. A finding's ref is offered once for
+    each mask of the records whose fields it has, and joined by equality. Records are written by hand and few: up to
+    KNOWN_BYTES they are broadcast, so that nothing but hits is shuffled; beyond that both sides are.
     """
     head = ["kind", "type", "scope"]
     mark = "\x01"
     given = lambda c: F.nullif(c.cast("string"), F.lit(""))
-    wanted = known.select("known_id", *[given(F.col(h)).alias(h) for h in head], F.posexplode("refs").alias("pos", "r"))
-    values = [F.col(h) for h in head] + [given(F.col("r")[f]) for f in KNOWN_FIELDS]
-    mask = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in values])
-    wanted = wanted.select("known_id", "pos", mask.alias("mask"), F.concat_ws(mark, *[F.coalesce(c, F.lit("")) for c in values]).alias("place"))
-    masks = [r["mask"] for r in wanted.select("mask").distinct().limit(MAX_MASKS + 1).collect()]
-    if len(masks) > MAX_MASKS:
-        raise ValueError(f"known errors give more than {MAX_MASKS} different choices of fields")
+    fields = [F.col(h) for h in head] + [F.col("r")[f] for f in KNOWN_FIELDS]
+    mask_of = lambda values: sum((F.when(v.isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(values)), F.lit(0))
+    place_of = lambda values, mask: F.concat_ws(mark, *[F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, v).otherwise("") for i, v in enumerate(values)])
+    values = [given(c) for c in fields]
+    wanted = known.select("known_id", *head, F.posexplode("refs").alias("pos", "r"))
+    wanted = wanted.select("known_id", "pos", mask_of(values).alias("mask"), F.concat_ws(mark, *[F.coalesce(v, F.lit("")) for v in values]).alias("place"))
+    # One row comes to the driver: the masks, and the size of the records.
+    of_known = wanted.agg(F.array_sort(F.collect_set("mask")).alias("masks"), F.sum(F.octet_length("place") + ROW_BYTES).alias("bytes")).first()
     needed = wanted.groupBy("known_id").agg(F.count(F.lit(1)).alias("needed"))
-    own = findings.select("finding_id", *head, F.explode("refs").alias("r"))
-    values = [F.col(h) for h in head] + [F.col("r")[f].cast("string") for f in KNOWN_FIELDS]
-    shown = lambda m: F.concat_ws(mark, *[F.coalesce(c, F.lit("")) if bit == "1" else F.lit("") for bit, c in zip(m, values, strict=True)])
-    offers = F.array(*[F.struct(F.lit(m).alias("mask"), shown(m).alias("place")) for m in sorted(masks)]) if masks else F.array().cast("array<struct<mask:string,place:string>>")
-    offered = own.select("finding_id", F.explode(offers).alias("o")).select("finding_id", "o.*").distinct()
-    met = offered.join(wanted, ["mask", "place"]).groupBy("finding_id", "known_id").agg(F.countDistinct("pos").alias("met"))
-    return met.join(needed, "known_id").filter("met = needed").select("finding_id", "known_id")
+    own = findings.select("finding_id", *head, F.explode("refs").alias("r")).select("finding_id", *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    values = [F.col(f"v{i}") for i in range(len(fields))]
+    masks = F.split(F.lit(",".join(map(str, of_known.masks)) or None), ",").cast("array<int>")
+    offered = own.withColumn("own", mask_of(values)).withColumn("mask", F.explode(F.filter(masks, lambda m: m.bitwiseAND(F.col("own")) == m)))
+    offered = offered.select("finding_id", "mask", place_of(values, F.col("mask")).alias("place"))
+    few = (of_known.bytes or 0) <= KNOWN_BYTES
+    met = offered.join(F.broadcast(wanted) if few else wanted, ["mask", "place"]).groupBy("finding_id", "known_id").agg(F.countDistinct("pos").alias("met"))
+    return met.join(F.broadcast(needed) if few else needed, "known_id").filter("met = needed").select("finding_id", "known_id")
 
 
 def suppress_known(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -179,6 +188,29 @@ def fragment_targets(findings: DataFrame) -> DataFrame:
     return rows.withColumn("again", F.row_number().over(same)).filter("again = 1").drop("again")
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def holding(spans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """document, sheet, key, n: the keys wanted in a document (two characters or more) and its texts that hold them, equal texts of a sheet as one row with their number.
+
+    An inverted index of grams: a key is looked up under the one of its grams that fewest texts of the document have, and
+    compared with those texts alone. Grams that no key has are left out of the index.
+    """
+    texts = spans.groupBy("document", "sheet", "text").agg(F.count(F.lit(1)).alias("n"))
+    size = reduce(lambda w, n: w.when(F.length("key") >= n, n), GRAMS[1:], F.when(F.length("key") >= GRAMS[0], GRAMS[0]))
+    at_size = lambda c: F.flatten(F.array(*[F.when(F.length(c) >= n, grams(F.col(c), n)).otherwise(F.array().cast("array<string>")) for n in GRAMS]))
+    of_key = F.filter(at_size("key"), lambda g: F.length(g) == size)
+    key_grams = wanted.select("document", "key", F.explode(of_key).alias("gram"))
+    asked = key_grams.select("document", "gram").distinct()
+    index = texts.select("document", "sheet", "text", "n", F.explode(at_size("text")).alias("gram"))
+    common = index.groupBy("document", "gram").agg(F.count(F.lit(1)).alias("texts")).join(asked, ["document", "gram"], "left_semi")
+    by = key_grams.join(common, ["document", "gram"]).groupBy("document", "key").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
+    return index.join(by, ["document", "gram"]).filter(F.contains("text", F.col("key"))).select("document", "sheet", "key", "n")
+
+
 def locate(targets: DataFrame, spans: DataFrame, useful: int = 12) -> DataFrame:
     """The sheet and key that show a target best: finding_id, pos, sheet, key, hits, fallback.
 
@@ -187,9 +219,8 @@ def locate(targets: DataFrame, spans: DataFrame, useful: int = 12) -> DataFrame:
     spans: document, sheet, text. Keys of one character are left out; a hit is a span that holds the key.
     """
     keys = targets.select("finding_id", "pos", "document", F.col("sheet").alias("named"), F.posexplode("keys").alias("rank", "key")).withColumn("key", F.trim("key")).filter(F.length("key") >= 2)
-    # Each key is looked up in the spans of its document once, whoever asks for it.
     wanted = keys.select("document", "key").distinct()
-    hits = spans.join(wanted, "document").filter(F.contains("text", F.col("key"))).groupBy("document", "sheet", "key").agg(F.count(F.lit(1)).alias("hits"))
+    hits = holding(spans, wanted).groupBy("document", "sheet", "key").agg(F.sum("n").alias("hits"))
     found = keys.join(hits, ["document", "key"])
     order = [(F.col("sheet") != F.coalesce(F.col("named"), F.lit(-1))), F.col("sheet"), F.col("hits") > useful, F.when(F.col("hits") > useful, F.col("hits")).otherwise(F.col("rank")), F.col("rank"), F.col("key")]
     best = found.groupBy("finding_id", "pos").agg(F.min_by(F.struct("sheet", "key", "hits", F.coalesce(F.col("sheet") != F.col("named"), F.lit(True)).alias("fallback")), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("b"))

@@ -98,14 +98,24 @@ def dup_code(spec_items: DataFrame, project_wide: DataFrame | None = None) -> Da
 
 
 def missing_from_peer_sheet(elements: DataFrame, shared: int = 8, most: int = 3, share: float = 0.9) -> DataFrame:
-    """Designators of a sheet that an almost equal sheet of the document lacks."""
+    """Designators of a sheet that an almost equal sheet of the document lacks.
+
+    A peer lacks ``most`` designators at most, so it has one of any ``most`` + 1: only sheets that have one of a sheet's rarest ones
+    in the document are compared with it.
+    """
     d = elements.select("document", "sheet", "designator").distinct()
-    size = d.groupBy("document", "sheet").agg(F.count(F.lit(1)).alias("n"))
+    own = W.Window.partitionBy("document", "sheet")
+    often = d.groupBy("document", "designator").agg(F.count(F.lit(1)).alias("sheets"))
+    ranked = d.join(often, ["document", "designator"], "left").withColumn("at", F.row_number().over(own.orderBy("sheets", "designator"))).withColumn("n", F.count(F.lit(1)).over(own))
+    ranked = ranked.filter(f"n > {shared}").select("document", "sheet", "designator", "n", "at")
+    sizes = d.groupBy("document", F.col("sheet").alias("peer")).agg(F.count(F.lit(1)).alias("peer_n"))
     other = d.select("document", F.col("sheet").alias("peer"), "designator")
-    pairs = d.join(other, ["document", "designator"]).filter("sheet <> peer").groupBy("document", "sheet", "peer").agg(F.count(F.lit(1)).alias("both"))
-    near = pairs.join(size, ["document", "sheet"]).filter(f"both >= {shared} and n - both between 1 and {most} and both >= {share} * n")
-    wanted = d.join(near.select("document", "sheet", "peer"), ["document", "sheet"])
-    return wanted.join(other, ["document", "peer", "designator"], "left_anti").select("document", "sheet", "peer", "designator")
+    meeting = ranked.filter(f"at <= {most + 1}").join(other, ["document", "designator"]).filter("sheet <> peer").select("document", "sheet", "peer", "n").distinct()
+    meeting = meeting.join(sizes, ["document", "peer"]).filter(f"peer_n >= greatest({shared}, n - {most})").select("document", "sheet", "peer")
+    pairs = ranked.join(meeting, ["document", "sheet"]).join(other.withColumn("there", F.lit(1)), ["document", "peer", "designator"], "left")
+    near = pairs.groupBy("document", "sheet", "peer", "n").agg(F.count("there").alias("both"), F.collect_list(F.when(F.col("there").isNull(), F.struct("designator"))).alias("lacking"))
+    near = near.filter(f"both >= {shared} and n - both between 1 and {most} and both >= {share} * n")
+    return near.select("document", "sheet", "peer", F.explode("lacking.designator").alias("designator"))
 
 
 def broken_sheet_link(refs: DataFrame, sheets: DataFrame) -> DataFrame:
