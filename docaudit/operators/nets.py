@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from ..functions import text as T
 from .components import connected_components
-from .grid import SHEET, along, apart, cells_of, distance, from_line, middle, near_lines, within
+from .grid import SHEET, along, apart, cell, cells_of, distance, from_line, middle, near_lines, within
 from .spans import LABEL_TYPES, pin_owners
 
 
@@ -206,7 +206,7 @@ def junction_dots(shapes: DataFrame, most: float = 3.0) -> DataFrame:
 def wire_crossings(segments: DataFrame, dots: DataFrame, size: float = 20.0, end: float = 0.3, near_dot: float = 2.5) -> DataFrame:
     """document, sheet, a, b, x, y, has_dot: where two wires cross away from their ends, and whether a junction dot is there.
 
-    Zero-width strokes and sheets dense with lines are left out.
+    Zero-width strokes and sheets dense with lines are left out. ``seg`` names a segment.
     """
     wires = drop_hairlines(segments)
     wires = wires.join(dense_sheets(wires).select(*SHEET), SHEET, "left_anti").select(*SHEET, "seg", "x1", "y1", "x2", "y2")
@@ -218,10 +218,11 @@ def wire_crossings(segments: DataFrame, dots: DataFrame, size: float = 20.0, end
     t = F.when(F.abs(denominator) >= 1e-9, ((c("bx1") - c("x1")) * bdy - (c("by1") - c("y1")) * bdx) / denominator)
     u = F.when(F.abs(denominator) >= 1e-9, ((c("bx1") - c("x1")) * ady - (c("by1") - c("y1")) * adx) / denominator)
     clear = lambda v, dx, dy: v.between(0, 1) & (F.least(v, 1 - v) * distance(dx, dy) >= end)
-    # A pair meets in the cell of its point alone, so it is found once although it may share several cells.
+    # A pair may share several cells and is looked at in the first of them alone, so it is found once.
+    first = (c("cx") == cell(F.greatest(F.least("x1", "x2"), F.least("bx1", "bx2")), size)) & (c("cy") == cell(F.greatest(F.least("y1", "y2"), F.least("by1", "by2")), size))
     x, y = c("x1") + t * adx, c("y1") + t * ady
-    found = cells.join(other, [*SHEET, "cx", "cy"]).filter(c("seg") < c("b")).filter(clear(t, adx, ady) & clear(u, bdx, bdy))
-    found = found.select(*SHEET, c("seg").alias("a"), "b", x.alias("px"), y.alias("py")).distinct()
+    found = cells.join(other, [*SHEET, "cx", "cy"]).filter((c("seg") < c("b")) & first).filter(clear(t, adx, ady) & clear(u, bdx, bdy))
+    found = found.select(*SHEET, c("seg").alias("a"), "b", x.alias("px"), y.alias("py"))
     marked = within(found, dots, near_dot, near_dot).filter(apart() <= near_dot).select("a", "b", F.lit(True).alias("dot")).distinct()
     return found.join(marked, ["a", "b"], "left").select(*SHEET, "a", "b", F.bround("px", 2).alias("x"), F.bround("py", 2).alias("y"), F.coalesce("dot", F.lit(False)).alias("has_dot"))
 

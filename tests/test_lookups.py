@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docaudit.operators import report, rules_single
+from docaudit.operators import nets, report, rules_single
 
 PLACE = ", ".join(f"{f} {k}" for f, k in report.REF_FIELDS.items())
 HEAD = ["kind", "type", "scope"]
@@ -89,3 +89,18 @@ def test_peer_sheets(spark):
     rows = [(d, s, k) for (d, s), x in sheets.items() for k in x] * 2
     got = rules_single.missing_from_peer_sheet(spark.createDataFrame(rows, "document string, sheet int, designator string"))
     assert len(want) > 20 and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_wires_that_cross_are_found_once(spark):
+    rng = random.Random(3)
+    segments = []
+    for i in range(60):
+        at, low, high = rng.randint(1, 300) + 0.5, rng.randint(0, 150), rng.randint(151, 400)
+        x1, y1, x2, y2 = (low, at, high, at) if i % 2 else (at, low, at, high)
+        segments.append(("D", 1, i, float(x1), float(y1), float(x2), float(y2), 1.0))
+    slanted = [("D", 1, 60, 0.0, 0.0, 390.0, 380.0, 1.0), ("D", 1, 61, 390.0, 3.0, 0.0, 370.0, 1.0)]
+    frame = spark.createDataFrame(segments + slanted, "document string, sheet int, seg int, x1 double, y1 double, x2 double, y2 double, width double")
+    want = {(a[2], b[2]) for a in segments for b in segments if a[2] < b[2] and a[2] % 2 != b[2] % 2 for h, v in [(a, b) if a[2] % 2 else (b, a)] if h[3] + 0.3 <= v[3] <= h[5] - 0.3 and v[4] + 0.3 <= h[4] <= v[6] - 0.3}
+    dots = spark.createDataFrame([], "document string, sheet int, ox double, oy double")
+    got = [(r.a, r.b) for r in nets.wire_crossings(frame, dots).collect()]
+    assert len(got) == len(set(got)) and (60, 61) in got and want and {p for p in got if p[1] < 60} == want
