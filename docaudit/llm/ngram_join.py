@@ -6,6 +6,8 @@ Two classes link when num / den is at most |intersection| / |union|.
 1. Routing. Sets that link differ in at most H shingles, H following from their sizes. Shingles are
    dealt by hash to more than H parts, so a linked pair agrees on whole parts; classes that agree on
    a part (of the same size scheme) are candidates, and candidates that hang together form a block.
+   Blocks are narrowed by trees over bitmaps, a small part of the sets: what no pair of bitmaps that allows a link
+   connects falls apart, and classes that are left alone link with nothing, so their sets are not shuffled.
 2. Trees. Within a block, sets are leaves of a signature tree: a node holds the OR of its sets'
    token bitmaps and their range of sizes. A dual traversal descends only into pairs of nodes
    whose greatest possible overlap reaches the threshold, and skips pairs whose sets are
@@ -27,6 +29,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -44,6 +47,8 @@ from .common import chunks, cut, not_in, only_in, release, small_batches, split_
 SUB_BLOCK, SUB_SHINGLES = 4096, 1 << 20
 #: Bitmaps are smaller, so a task holds more of them; beyond WIDE splits a block is joined by its parts.
 SUB_MAPS, WIDE = 16384, 128
+#: A size interval of a block is narrowed by pairs of its splits up to so many splits; beyond them it stays together.
+NARROW = 16
 LEAF, MAP_LEAF, FANOUT = 32, 128, 8
 MAX_BITS = 1 << 16
 RUN_BITS = 10
@@ -370,6 +375,23 @@ def linked(a: np.ndarray, b: np.ndarray, join: Join) -> bool:
     return (join.den + join.num) * len(np.intersect1d(a, b, assume_unique=True)) >= join.num * (len(a) + len(b))
 
 
+def map_forest(size: np.ndarray, maps: np.ndarray, side: np.ndarray | None, join: Join) -> Forest:
+    """Components of sets under the pairs whose bitmaps allow a link; with ``side`` only pairs across the sides count."""
+    forest = Forest(len(size))
+    groups = [np.argsort(size, kind="stable")] if side is None else [o[np.argsort(size[o], kind="stable")] for o in (np.flatnonzero(side == 0), np.flatnonzero(side == 1))]
+    if not all(len(g) for g in groups):
+        return forest
+    trees = [SignatureTree(size[g], maps[g], MAP_LEAF) for g in groups]
+    for ia, jb in traverse(trees[0], trees[-1], side is None, join):
+        ga, gb = groups[0][ia], groups[-1][jb]
+        if len({forest.root(int(x)) for x in (*ga, *gb)}) == 1:
+            continue
+        own = [(t.map[k], t.size[k], t.size[k], t.hidden[k]) for t, k in ((trees[0], ia), (trees[-1], jb))]
+        for x, y in zip(*np.nonzero(reachable(*own, join)), strict=True):
+            forest.join(int(ga[x]), int(gb[y]))
+    return forest
+
+
 # The join ---------------------------------------------------------------------------------------
 
 
@@ -514,6 +536,72 @@ def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(tidy(run), "row_key long, d long, shingles binary")
 
 
+def map_rows(docs: DataFrame, join: Join) -> DataFrame:
+    """row_key, d, n, level (its size interval), map (bytes of its bitmap, two bits or more for a shingle)."""
+    schema = pa.schema([*((x, pa.int64()) for x in ("row_key", "d", "n", "level")), ("map", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, bounds = Shingler(join.k), [1]
+        for t in chunks(batches):
+            sets = [shingle(x) for x in texts(t)]
+            while bounds[-1] <= max(map(len, sets)):  # the intervals of Schemes, which takes long over the parts of very large sets
+                bounds.append(max(bounds[-1] + 1, bounds[-1] * join.den // join.num + 1))
+            levels = [max(0, bisect_right(bounds, len(s)) - 1) for s in sets]
+            maps = []
+            for s, i in zip(sets, levels, strict=True):
+                bits = min(MAX_BITS, max(64, 1 << (2 * (bounds[i + 1] if len(s) else 1) - 1).bit_length()))
+                maps.append(bitmaps(np.array([len(s)]), (mix64(s) % U(bits)).astype(np.int64), bits).tobytes())
+            columns = [digest(s) for s in sets], [len(s) for s in sets], levels
+            yield pa.RecordBatch.from_arrays([t["row_key"].combine_chunks(), *(pa.array(c, pa.int64()) for c in columns), pa.array(maps, pa.binary())], schema=schema)
+
+    return docs.mapInArrow(tidy(run), "row_key long, d long, n long, level long, map binary")
+
+
+def folded(data: bytes, words: int) -> np.ndarray:
+    """A bitmap as one of so many words of 64 bits, a power of two."""
+    return np.bitwise_or.reduce(np.frombuffer(data, np.uint64).reshape(-1, words), axis=0)
+
+
+def map_edges(rows: DataFrame, keys: list[str], join: Join) -> DataFrame:
+    """src, dst: edges that connect the classes that pairs of bitmaps connect among the rows of equal keys. Rows: the keys, d, n,
+    map (the widest are folded to the narrowest), and side if pairs across sides alone are wanted."""
+    crossing = "side" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in by_run(batches, keys):
+            g = g.drop_duplicates("d").sort_values("d")
+            d, words = g.d.to_numpy(), int(g["map"].str.len().min()) >> 3
+            forest = map_forest(g.n.to_numpy(), np.stack([folded(x, words) for x in g["map"]]), g.side.to_numpy() if crossing else None, join)
+            root = np.array([forest.root(x) for x in range(len(d))])
+            tied = root != np.arange(len(d))
+            yield pa.RecordBatch.from_arrays([pa.array(d[tied]), pa.array(d[root[tied]])], ["src", "dst"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "d").mapInArrow(tidy(run), "src long, dst long")
+
+
+def narrowed(docs: DataFrame, candidates: DataFrame, join: Join) -> DataFrame:
+    """d, block: what is left of the blocks where pairs of bitmaps that allow no link do not count. candidates: d, block, row_key.
+
+    Sets that link meet in the size interval of the smaller one. Classes that nothing is connected with are left out.
+    """
+    hit, _ = split_by(docs, candidates.select("row_key"), "row_key")
+    maps = written(map_rows(hit, join).join(candidates.select("row_key", "d", "block"), ["row_key", "d"]).drop("row_key"))
+    rows = maps.withColumn("level", F.explode(F.when(F.col("level") > 0, F.array("level", F.col("level") - 1)).otherwise(F.array("level"))))
+    counted = rows.groupBy("block", "level").agg(split_count(SUB_MAPS).alias("splits"), F.min("d").alias("low"), F.max("d").alias("high"))
+    groups = written(counted.filter("low < high").select("block", "level", "splits", "low"))
+    rows = rows.join(groups, ["block", "level"]).withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
+    edges = map_edges(rows.filter(F.col("splits") <= NARROW).select("block", "level", "split", "d", "n", "map"), ["block", "level", "split"], join)
+    if not groups.filter("splits > 1").isEmpty():
+        several = groups.filter((F.col("splits") > 1) & (F.col("splits") <= NARROW))
+        each = several.select("block", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("i"), "splits")
+        both = each.select("block", "level", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("j")).filter("i < j")
+        of_split = rows.filter("splits > 1").select("block", "level", "split", "d", "n", "map")
+        sides = [both.join(of_split.withColumnRenamed("split", name), ["block", "level", name]).withColumn("side", F.lit(side)).select("block", "level", "i", "j", "d", "n", "map", "side") for side, name in enumerate("ij")]
+        edges = edges.unionByName(map_edges(sides[0].union(sides[1]), ["block", "level", "i", "j"], join))
+        edges = edges.unionByName(rows.filter((F.col("splits") > NARROW) & (F.col("d") != F.col("low"))).select(F.col("d").alias("src"), F.col("low").alias("dst")))
+    return connected_components(edges).select(F.col("node").alias("d"), F.col("component").alias("block"))
+
+
 def merged_labels(found: DataFrame, merged: DataFrame) -> DataFrame:
     """node, component of ``found`` with components renamed by ``merged`` (component, head)."""
     return written(found.join(merged, "component", "left").select("node", F.coalesce("head", "component").alias("component")))
@@ -524,14 +612,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     blocks = connected_components(candidate_edges(signature_rows(docs, join)))
     blocks = blocks.select(F.col("node").alias("d"), F.col("component").alias("block"))
     with small_batches(docs.sparkSession):
-        return link_blocks(docs, classes, blocks, join)
+        candidates = written(classes.join(blocks, "d").select("d", "block", F.col("rep.row_key").alias("row_key")))
+        release(docs.sparkSession)  # the signatures, much more than the sets, are not needed any more
+        return link_blocks(docs, classes, narrowed(docs, candidates, join), join)
 
 
 def link_blocks(docs: DataFrame, classes: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
     """node, component over the digests of classes in blocks. blocks: d, block."""
     candidates = written(classes.join(blocks, "d").select("d", "n", "block", F.col("rep.row_key").alias("row_key")))
-    release(docs.sparkSession)  # the signatures, much more than the sets, are not needed any more
-    sets = shingle_sets(only_in(docs, candidates.select("row_key"), "row_key"), join)
+    # Rows that the filter lets through by chance fall out in the join with the candidates; texts need no shuffle for that.
+    sets = shingle_sets(split_by(docs, candidates.select("row_key"), "row_key")[0], join)
     sizes = candidates.groupBy("block").agg(split_count().alias("splits"))
     rows = candidates.join(sizes, "block").withColumn("split", F.pmod(F.xxhash64("d"), F.col("splits")))
     rows = rows.join(sets, ["row_key", "d"]).select("block", "splits", "split", "d", "n", "shingles")

@@ -376,6 +376,26 @@ def test_open_blocks(spark, monkeypatch, wide, maps):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("most, splits", [(16384, 16), (3, 16), (3, 1)])
+def test_blocks_fall_apart_before_sets_are_shuffled(spark, monkeypatch, most, splits):
+    """Chains of candidates that link with few others: what bitmaps part needs no sets, whatever way a group is joined; links stay."""
+    monkeypatch.setattr(ngram_join, "SUB_MAPS", most)
+    monkeypatch.setattr(ngram_join, "NARROW", splits)
+    join, texts = ngram_join.Join(5, 80, 100), {}
+    for i in range(12):  # half of each text is that of its neighbour
+        own = [f"{p}x{j}" for p in (i, i + 1) for j in range(80)]
+        texts |= {2 * i: " ".join(own), 2 * i + 1: " ".join([*own, f"tail{i}"]) if i % 3 == 0 else f"alone {i}"}
+    rows = [(i, i, t) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, row_key long, text string")
+    d = {i: ngram_join.digest(ngram_join.Shingler(5)(t)) for i, t in texts.items()}
+    candidates = spark.createDataFrame([(x, 7, i) for i, x in d.items()], "d long, block long, row_key long")
+    got = {r.d: r.block for r in ngram_join.narrowed(docs, candidates, join).collect()}
+    pairs = [(d[2 * i], d[2 * i + 1]) for i in range(0, 12, 3)]
+    assert all(got[a] == got[b] for a, b in pairs)
+    if splits > 1:
+        assert set(got) == {x for p in pairs for x in p} and len(set(got.values())) == len(pairs)
+
+
 def test_pipeline_against_brute_force(spark, documents):
     out = corpus_pipeline.run(spark, SF).collect()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
