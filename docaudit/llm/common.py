@@ -7,7 +7,7 @@ import gc
 import io
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -75,10 +75,10 @@ def small_batches(spark: SparkSession, size: int = 4_000_000, rows: int = 1000)
             spark.conf.set(k, x)
 
 
-def tidy(run):
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The task function ``run``, whose worker then hands freed memory back to the system; idle workers would keep it."""
 
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with suppress(OSError, AttributeError):
@@ -177,7 +177,7 @@ def fitted_in_task(sample: DataFrame, fit) -> dict[str, np.ndarray]:
         np.savez(out, **fit(pa.Table.from_batches(got) if got else None))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["arrays"])
 
-    row = sample.coalesce(1).mapInArrow(run, "arrays binary").first()
+    row = sample.coalesce(1).mapInArrow(tidy(run), "arrays binary").first()
     if row is None:  # an empty table may have no partition and so no task
         return fit(None)
     data = bytes(row[0])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, table, texts
+from .common import chunks, cut, small_batches, table, texts, tidy
 
 SHARD_ITEMS = 4096
 
@@ -105,7 +105,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: i
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], schema=PIECES)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, doc_tokens long, crcs array<long>")
 
 
 def pack_vectors(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,8 @@ def pack_shard(limits: Limits):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limits: Limits = Limits(), end_id: int = 0) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = cut(cut_pieces(docs, id_col, text_col, path or vocabulary(), limits.tokens, end_id).withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        pieces = cut(cut_pieces(docs, id_col, text_col, path or vocabulary(), limits.tokens, end_id).withColumn("row", F.monotonically_increasing_id()))
     shards = max(1, -(-pieces.count() // SHARD_ITEMS))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
     return dealt.groupBy("shard").applyInPandas(

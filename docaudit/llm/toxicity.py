@@ -16,16 +16,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Adam, chunks, cut, fitted_in_task, remainder, table, texts
+from .common import Adam, chunks, cut, fitted_in_task, remainder, table, texts, tidy
 
 TOKEN = re.compile(r"\w+")
 CUTOFF = 0.3
+#: Features and inputs of words are made for so many words at a time; the arrays for all their characters take memory.
+WORDS = 5000
 
 
 @dataclass(frozen=True)
@@ -83,6 +86,14 @@ def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np
     return (word % np.uint32(shape.word_buckets)).astype(np.int64), grams, np.cumsum(count) - count
 
 
+def all_features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``features``, a bounded number of words at a time."""
+    parts = [features(words[i : i + WORDS], shape) for i in range(0, len(words), WORDS)]
+    n = np.cumsum([0] + [len(grams) for _, grams, _ in parts])
+    word, grams, first = zip(*parts)
+    return np.concatenate(word), np.concatenate(grams), np.concatenate([f + k for f, k in zip(first, n)])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -111,10 +122,12 @@ class Net:
     def project(self, e: np.ndarray) -> np.ndarray:
         return e @ self.w["wx"] + self.w["b"]
 
-    def project_words(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
-        """Projected inputs of words, a bounded number at a time."""
-        parts = [self.project(self.embed(words[i : i + at_once])[0]) for i in range(0, len(words), at_once)]
-        return np.concatenate(parts) if parts else np.zeros((0, 6 * self.shape.hidden), np.float32)
+    def project_words(self, words: list[str], out: np.ndarray | None = None) -> np.ndarray:
+        """Projected inputs of words, a bounded number at a time, put into ``out`` if it is given."""
+        out = np.empty((len(words), 6 * self.shape.hidden), np.float32) if out is None else out
+        for i in range(0, len(words), WORDS):
+            out[i : i + WORDS] = self.project(self.embed(words[i : i + WORDS])[0])
+        return out
 
     def forward(self, x: np.ndarray, length: np.ndarray, keep: bool = False):
         """x: projected inputs (steps, windows, 6 hidden), zero beyond a window's length."""
@@ -201,7 +214,8 @@ def train(doc_texts: list[str], toxic: np.ndarray, shape: Shape) -> Net:
     net.w["bias"][0] = np.log(net.base / (1 - net.base))
     doc, start, length = windows(n, shape)
     vocabulary = list(number)
-    word, grams, first = features(vocabulary, shape)
+    del tokens, number
+    word, grams, first = all_features(vocabulary, shape)
     n_grams = np.diff(np.append(first, len(grams)))
     root = np.sqrt(n_grams).astype(np.float32)
     # The tables' first column is the smoothed log-odds of a bucket. The odds come from one half of the
@@ -282,21 +296,27 @@ def score_windows(net: Net, projected: np.ndarray, ids: np.ndarray, start: np.nd
 class Scorer:
     """Scores texts in a task; projections of words met before are kept, up to a bound."""
 
-    def __init__(self, net: Net, most_words: int = 200_000):
+    def __init__(self, net: Net, most_words: int = 100_000):
         self.net, self.most = net, most_words
         self.number: dict[str, int] = {}
-        self.rows = np.zeros((0, 6 * net.shape.hidden), np.float32)
+        self.rows = self.room(2 * most_words)
+
+    def room(self, words: int) -> np.ndarray:
+        """Rows for so many words; they take memory when they are written."""
+        return np.empty((words, 6 * self.net.shape.hidden), np.float32)
 
     def __call__(self, doc_texts: list[str]) -> np.ndarray:
         if len(self.number) > self.most:
-            self.number, self.rows = {}, self.rows[:0]
+            self.number = {}
         known, number = len(self.number), self.number
         tokens = [TOKEN.findall(t.lower()) for t in doc_texts]
         n = np.array([len(w) for w in tokens], np.int64)
         ids = np.fromiter((number.setdefault(w, len(number)) for ws in tokens for w in ws), np.int64, int(n.sum()))
         if len(number) > known:
-            fresh = list(number)[known:]
-            self.rows = np.concatenate([self.rows, self.net.project_words(fresh)])
+            if len(number) > len(self.rows):
+                old, self.rows = self.rows, self.room(2 * len(number))
+                self.rows[:known] = old[:known]
+            self.net.project_words(list(islice(number, known, None)), self.rows[known : len(number)])
         out = np.full(len(doc_texts), self.net.base)
         doc, start, length = windows(n, self.net.shape)
         if len(doc):
@@ -341,13 +361,18 @@ def scores(docs: DataFrame, net: Net):
     """A column function: the score of a text column."""
     model = docs.sparkSession.sparkContext.broadcast((asdict(net.shape), {**net.w, "base": net.base}))
 
-    @F.arrow_udf("double")
-    def score_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(rebuilt(*model.value))
         for part in parts:
             rows = pa.RecordBatch.from_arrays([part], ["text"])
             yield pa.array(np.concatenate([scorer(texts(t)) for t in chunks([rows], limit=1_500_000)] or [np.zeros(0)]))
 
+    tidied = tidy(run)
+
+    @F.arrow_udf("double")
+    def score_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(parts)
+
     return score_of
 
 
