@@ -58,7 +58,7 @@ class DigestIndex:
         new = runs.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
         new = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
         if not self.exists():
-            self.write(self.spark.createDataFrame([], new.schema))
+            self.write(new.limit(0))  # rows made by Python would start workers
         self.write(new.join(self.frame().hint("merge"), "digest", "left_anti"))
 
     def write(self, rows: DataFrame) -> None:

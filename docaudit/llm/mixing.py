@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -140,8 +141,9 @@ def plan(rows: DataFrame, mix: Mix) -> DataFrame:
         copies = min(mix.cap, int((flow + 1e-6) // words)) if words else 0
         first = members[0] if members else None
         lines.append((list(members), copies, max(0.0, flow - copies * words), sizes.get(first, 0), float(targets.get(first, 0.0))))
-    schema = "pattern array<string>, copies int, extra double, source_size long, target double"
-    plans = spark.createDataFrame(lines, schema)
+    schema = pa.schema([("pattern", pa.list_(pa.string())), ("copies", pa.int32()), ("extra", pa.float64()), ("source_size", pa.int64()), ("target", pa.float64())])
+    # An Arrow table: for Python rows executors would start workers of another kind, which stay.
+    plans = spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, x, strict=True)) for x in lines], schema=schema))
     # The bin in which the extra words run out, and what is taken before it.
     order = W.Window.partitionBy("pattern").orderBy("bin")
     edge = (

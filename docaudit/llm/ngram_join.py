@@ -599,7 +599,8 @@ def narrowed(docs: DataFrame, candidates: DataFrame, join: Join) -> DataFrame:
         sides = [both.join(of_split.withColumnRenamed("split", name), ["block", "level", name]).withColumn("side", F.lit(side)).select("block", "level", "i", "j", "d", "n", "map", "side") for side, name in enumerate("ij")]
         edges = edges.unionByName(map_edges(sides[0].union(sides[1]), ["block", "level", "i", "j"], join))
         edges = edges.unionByName(rows.filter((F.col("splits") > NARROW) & (F.col("d") != F.col("low"))).select(F.col("d").alias("src"), F.col("low").alias("dst")))
-    return connected_components(edges).select(F.col("node").alias("d"), F.col("component").alias("block"))
+    # Contracted in the task that makes them, edges would take a second worker for each task, which stays for the next stages.
+    return connected_components(written(edges)).select(F.col("node").alias("d"), F.col("component").alias("block"))
 
 
 def merged_labels(found: DataFrame, merged: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from docaudit.llm import common, packing, toxicity
+from docaudit.llm import common, exact_dedup, mixing, ngram_join, packing, toxicity
 
 
 def words(n, seed):
@@ -62,3 +62,27 @@ def test_workers_hand_memory_back(spark, monkeypatch):
         assert len(trims) == k + 1
     assert len(list(score(iter([pa.array(["a b", None])])))[0]) == 2
     assert len(trims) == 3
+
+
+def test_no_workers_for_rows_of_the_driver(spark, monkeypatch):
+    """Local Python rows go through workers of another kind, which stay beside those of the operators."""
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "d", None)], "doc_id long, text string, source string").localCheckpoint()
+    none = docs.limit(0).localCheckpoint()
+    made = []
+    kept = spark.sparkContext.parallelize
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda self, c, *a, **b: made.append(c) or kept(c, *a, **b))
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {1: 2, 2: 2, 3: 3}
+    assert mixing.mixed_documents(docs).count() >= 3 and mixing.mixed_documents(none).count() == 0
+    assert not made
+
+
+def test_bitmap_edges_are_made_before_they_are_contracted(spark, monkeypatch):
+    """A task of two Python nodes takes two workers."""
+    plans = []
+    kept = ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda edges, *a: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or kept(edges, *a))
+    text = " ".join(map(str, range(60)))
+    docs = spark.createDataFrame([(i, f"{text} x{i}" if i < 20 else f"{i} z") for i in range(24)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 20 else i for i in range(24)}
+    assert "MapInArrow" not in plans[1]  # of the bitmaps; the first are made and contracted by one worker
