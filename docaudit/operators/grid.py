@@ -43,7 +43,7 @@ def near_lines(points: DataFrame, lines: DataFrame, reach: float, size: float) -
     box = {f"{f}{c}": fn(f"{c}1", f"{c}2") for c in "xy" for f, fn in (("low_", F.least), ("high_", F.greatest))}
     b = lines.withColumns(box).withColumn("cx", cells_of(F.col("low_x") - reach, F.col("high_x") + reach, size)).withColumn("cy", cells_of(F.col("low_y") - reach, F.col("high_y") + reach, size))
     inside = F.col("px").between(F.col("low_x") - reach, F.col("high_x") + reach) & F.col("py").between(F.col("low_y") - reach, F.col("high_y") + reach)
-    return a.join(b, [*SHEET, "cx", "cy"]).filter(inside).drop("cx", "cy", *box)
+    return a.join(dealt(b), [*SHEET, "cx", "cy"]).filter(inside).drop("cx", "cy", *box)
 
 
 def along() -> Column:
