@@ -119,16 +119,22 @@ def rows_by_anchor(lines: DataFrame, rules: DataFrame, low: float, high: float)
 
     Two rows part at the single ruling between their numbers, else halfway. lines: document, page, ord, text, xc, yc; rules: document, page, y.
     """
-    at = Window.partitionBy(*PAGE).orderBy("yc", "ord")
-    anchors = lines.filter(F.col("xc").between(low, high) & to_number(F.trim("text")).isNotNull()).select(*PAGE, "yc", "ord")
-    anchors = anchors.withColumns({"row": F.row_number().over(at), "next": F.lead("yc").over(at)})
+    numbers = lines.filter(F.col("xc").between(low, high) & to_number(F.trim("text")).isNotNull())
+    # Numbers at one height part there, so heights and their counts tell all edges.
+    anchors = numbers.groupBy(*PAGE, "yc").agg(F.count(F.lit(1)).alias("n")).withColumn("next", F.lead("yc").over(Window.partitionBy(*PAGE).orderBy("yc")))
     ys = rules.groupBy(*PAGE).agg(F.collect_list("y").alias("ys"))
     between = F.filter(F.coalesce("ys", F.array().cast("array<double>")), lambda y: (y > F.col("yc")) & (y < F.col("next")))
     edge = F.when(F.size(between) == 1, F.get(between, F.lit(0))).otherwise((F.col("yc") + F.col("next")) / 2)
-    anchors = anchors.join(ys, PAGE, "left").withColumn("edge", edge)
-    edges = anchors.groupBy(*PAGE).agg(F.array_sort(F.collect_list("edge")).alias("edges"))  # the last row has no edge
-    placed = lines.join(edges, PAGE).withColumn("row", F.size(F.filter("edges", lambda e: e <= F.col("yc"))) + 1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("yc", "xc", "ord", "text"))), lambda x: x["text"]), " ")
+    edges = anchors.join(ys, PAGE, "left").select(*PAGE, edge.alias("y"), F.lit(1).alias("n")).unionByName(anchors.select(*PAGE, F.col("yc").alias("y"), (F.col("n") - 1).alias("n")))
+    heights = lines.select(*PAGE, F.col("yc").alias("y")).distinct().join(anchors.select(*PAGE).distinct(), PAGE, "left_semi")
+    upto = F.sum("n").over(Window.partitionBy(*PAGE).orderBy("y"))  # with the edges at the height itself; the last row has none
+    rows = edges.filter("y is not null").withColumn("line", F.lit(False)).unionByName(heights.withColumns({"n": F.lit(0), "line": F.lit(True)}))
+    rows = rows.withColumn("row", (upto + 1).cast("int")).filter("line").select(*[F.col(c).alias(f"of {c}") for c in PAGE], "y", "row")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("xc", "ord", "text"))), lambda x: x["text"])
+    per = lines.groupBy(*PAGE, "yc").agg(texts.alias("texts"))
+    same = [F.col(c) == F.col(f"of {c}") for c in PAGE]
+    placed = per.join(rows, [*same, F.col("yc").eqNullSafe(F.col("y"))])
+    text = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("yc", "texts"))), lambda x: x["texts"])), " ")
     return placed.groupBy(*PAGE, "row").agg(text.alias("text"))
 
 

@@ -1,8 +1,12 @@
 """What has to hold when tables grow: no rows through the driver, no bounds on sheets and pages."""
 
+import random
+import time
+
 import pytest
 
 from docaudit import registry
+from docaudit.operators import tables
 
 SF = "/root/testdata/sf0.01"
 DEALT = ["net19_gauge_vs_width", "net9_nearest_labels", "net16_page_graph", "net10_describe_endpoints", "net12_assemble_nets", "net13_terminal_index", "net15_net_summary"]
@@ -12,3 +16,35 @@ DEALT = ["net19_gauge_vs_width", "net9_nearest_labels", "net16_page_graph", "net
 def test_no_cells_ends_or_labels_go_through_the_driver(spark, name):
     rows = registry.queries()[name](spark, SF)
     assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+LINES, RULES = "document string, page int, ord int, text string, xc double, yc double", "document string, page int, y double"
+
+
+def test_rows_by_anchor_match_one_pass(spark):
+    rng = random.Random(5)
+    lines = [("D", p, o, rng.choice(["1", "2,5", "a", "b", None]), rng.choice([10.0, 100.0]), float(rng.randrange(12) * 5)) for p in range(1, 5) for o in range(60 if p < 4 else 3)]
+    lines += [("D", 9, 1, "a", 10.0, 5.0), ("D", 8, 1, "7", 100.0, 5.0), ("D", 8, 2, "a", 10.0, 1.0)]
+    rules = sorted({("D", rng.randrange(1, 5), rng.randrange(60) + 0.5) for _ in range(25)})
+    want = {}
+    for p in {x[1] for x in lines}:
+        page = sorted((x for x in lines if x[1] == p), key=lambda x: (x[5], x[4], x[2]))
+        at = sorted((x[5], x[2]) for x in page if x[4] == 100.0 and x[3] in ("1", "2,5", "7"))
+        edges = []
+        for (y, _), (z, _) in zip(at, at[1:], strict=False):
+            between = [r[2] for r in rules if r[1] == p and y < r[2] < z]
+            edges.append(between[0] if len(between) == 1 else (y + z) / 2)
+        for x in page if at else []:
+            own = want.setdefault((p, 1 + sum(e <= x[5] for e in edges)), [])
+            own += [x[3]] if x[3] is not None else []
+    got = tables.rows_by_anchor(spark.createDataFrame(lines, LINES), spark.createDataFrame(rules, RULES), 95.0, 105.0).collect()
+    assert {(r.page, r.row): r.text for r in got} == {k: " ".join(t) for k, t in want.items()}
+
+
+def test_rows_by_anchor_of_a_long_page(spark):
+    n = 100_000
+    lines = spark.range(n).selectExpr("'D' as document", "1 as page", "cast(id as int) as ord", "if(id % 2 = 0, '1', 'a') as text", "if(id % 2 = 0, 100d, 10d) as xc", "cast(id as double) as yc")
+    began = time.time()
+    got = tables.rows_by_anchor(lines, spark.createDataFrame([], RULES), 95.0, 105.0)
+    assert got.filter("text = if(row = 1, '1', 'a 1')").count() == n // 2 - 1 and got.count() == n // 2
+    assert time.time() - began < 60  # pairs of lines and numbers would take far longer
