@@ -30,7 +30,7 @@ def transcript(messages: DataFrame, per_message: int = 1500, total: int = 60_000
     """conv_id, transcript: labelled messages, long ones clipped, and of all the last ``total`` characters.
 
     messages: conv_id, turn, role, type, text. Other roles and blank texts are left out. Only messages that can reach into
-    the last characters are gathered.
+    the last characters are gathered, or whose blank line after them can.
     """
     label = F.lit(None).cast("string")
     for (role, kind), name in reversed(LABELS.items()):
@@ -40,7 +40,7 @@ def transcript(messages: DataFrame, per_message: int = 1500, total: int = 60_000
     rows = messages.withColumn("label", label).filter("label is not null and trim(text) <> ''").select("conv_id", "turn", F.concat("label", F.lit("\n"), clipped).alias("part"))
     back = W.Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
     rows = rows.withColumn("after", F.sum(F.length("part") + 2).over(back) - F.length("part") - 2)
-    rows = rows.withColumn("all", F.sum(F.length("part") + 2).over(W.Window.partitionBy("conv_id")) - 2).filter(F.col("after") <= total)
+    rows = rows.withColumn("all", F.sum(F.length("part") + 2).over(W.Window.partitionBy("conv_id")) - 2).filter(F.col("after") - 2 < total)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n\n")
     whole = rows.groupBy("conv_id", "all").agg(text.alias("t"))
     return whole.select("conv_id", F.when(F.col("all") > total, F.concat(F.lit(CUT), F.right("t", F.lit(total)))).otherwise(F.col("t")).alias("transcript"))

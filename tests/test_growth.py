@@ -6,7 +6,7 @@ import time
 import pytest
 
 from docaudit import registry
-from docaudit.operators import spans, tables
+from docaudit.operators import logs, spans, tables
 
 SF = "/root/testdata/sf0.01"
 DEALT = ["net19_gauge_vs_width", "net9_nearest_labels", "net16_page_graph", "net10_describe_endpoints", "net12_assemble_nets", "net13_terminal_index", "net15_net_summary"]
@@ -54,3 +54,13 @@ def test_tags_split_on_a_full_sheet(spark):
     rows = [("D", 1, 1, "XM", "plain", 0.0, 0.0, 20.0, 5.0), ("D", 1, 99, "5", "plain", 22.0, 0.0, 25.0, 5.0)] + [("D", 1, i, "note", "plain", 1.0 + i / 10, 50.0, 30.0, 55.0) for i in range(2, 90)]
     d = spark.createDataFrame(rows, "document string, sheet int, ord int, text string, font string, x0 double, y0 double, x1 double, y1 double")
     assert [(r.ord, r.other, r.text) for r in spans.merge_split_tags(d).collect()] == [(1, 99, "XM5")]
+
+
+def test_transcript_begins_between_messages(spark):
+    """The last characters are the last message and none, one or both of the line ends before it."""
+    d = spark.createDataFrame([(1, 0, "assistant", "message", "first"), (1, 1, "computer", None, "second")], "conv_id long, turn int, role string, type string, text string")
+    label = {"first": "[рассуждение агента]\n", "second": "[вывод кода]\n"}
+    whole = "\n\n".join(label[t] + t for t in label)
+    own = len(label["second"] + "second")
+    for total in range(own - 1, own + 5):
+        assert logs.transcript(d, 100, total).first().transcript == logs.CUT + whole[-total:]
