@@ -9,7 +9,9 @@ from docaudit import registry
 from docaudit.operators import logs, nets, spans, tables
 
 SF = "/root/testdata/sf0.01"
-DEALT = ["net19_gauge_vs_width", "net9_nearest_labels", "net16_page_graph", "net10_describe_endpoints", "net12_assemble_nets", "net13_terminal_index", "net15_net_summary"]
+DEALT = [
+    "net19_gauge_vs_width", "net20_issue_candidates", "net9_nearest_labels", "net16_page_graph", "net10_describe_endpoints", "net12_assemble_nets", "net13_terminal_index", "net15_net_summary",
+]
 
 
 @pytest.mark.parametrize("name", DEALT)
